@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import packing
+from strandline.llm import langid, packing, quality, token_file, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,14 +17,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(folds: int) -> Column:
+    """crc32 of doc_id as text, modulo ``folds``."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.documents(token_file.write(table(spark, sf_dir, "documents"), WORD_VOCABULARY))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forests = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs.select("doc_id", "text"), forests).drop("text")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold(4) != 2)
+    return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing,)}
+    return {f.__name__: f for f in (op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
