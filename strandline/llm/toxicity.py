@@ -23,12 +23,16 @@ from strandline.llm.langid import bounded_sample
 from strandline.llm.packing import gathered
 from strandline.llm.shared import small_batches, stored
 
-SIZES, BITS, WIDTH = range(3, 7), 18, 8
+SIZES, BITS, WIDTH = range(3, 6), 18, 4
 
 #: Labelled rows of each class that training takes, about; characters of the sample's texts at most on the driver.
-PER_CLASS, SAMPLE_CHARS = 1500, 60_000_000
+PER_CLASS, SAMPLE_CHARS = 2500, 60_000_000
 
-ROUNDS, RATE, SCALE, SEED = 60, 0.05, 100.0, 3
+#: n-grams are learnt if their share of the sample's texts leans to one class by so many standard errors (estimated with
+#: PROBES random signs); the others would only name single documents.
+LEAST_LEAN, PROBES = 3.0, 24
+
+ROUNDS, RATE, SCALE, SEED = 60, 0.1, 100.0, 3
 
 #: Marks cut from the ends of words.
 MARKS = ".,;:!?\"'()[]{}<>#*$%&|-_/\\"
@@ -92,10 +96,18 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model:
     docs = _Rows(pair // len(words), pair % len(words), count / np.maximum(np.bincount(owner, minlength=n), 1)[pair // len(words)], (n, len(words)))
     found = list(subwords(words))
     w, bucket = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-    parts = _Rows(w, bucket, 1.0 / np.bincount(w, minlength=len(words))[w], (len(words), 1 << BITS))
+    grams = np.bincount(w, minlength=len(words))
+    every = _Rows(w, bucket, 1.0 / grams[w], (len(words), 1 << BITS))
     rng = np.random.default_rng(SEED)
+    lean = (toxic - share).astype(np.float32)[:, None]
+    signs = rng.choice([-1.0, 1.0], (n, PROBES)).astype(np.float32)
+    error = np.sqrt(np.square(every(docs(lean * signs, back=True), back=True)).mean(axis=1))
+    z = every(docs(lean, back=True), back=True)[:, 0] / np.maximum(error, 1e-12)
+    learnt = (np.abs(z) >= LEAST_LEAN)[bucket]
+    w, bucket = w[learnt], bucket[learnt]
+    parts = _Rows(w, bucket, 1.0 / grams[w], (len(words), 1 << BITS))
     values = {
-        "e": rng.uniform(-0.1 / WIDTH, 0.1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32),
+        "e": (rng.uniform(-0.1 / WIDTH, 0.1 / WIDTH, (1 << BITS, WIDTH)) * (np.abs(z) >= LEAST_LEAN)[:, None]).astype(np.float32),
         "w": rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32),
         "b": np.zeros((1, 2), np.float32),
     }
@@ -111,8 +123,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model:
         for k, slope in slopes.items():
             first[k] += 0.1 * (slope - first[k])
             second[k] += 0.01 * (slope * slope - second[k])
-            rate = RATE * (0.1 if k == "e" else 1.0)
-            values[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+            values[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     lean = values["w"][:, 1] - values["w"][:, 0]
     return Model((values["e"] @ lean).astype(np.float64), float(values["b"][0, 1] - values["b"][0, 0]))
 
