@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, line_dedup, packing, quality, token_file, toxicity
+from strandline.llm import langid, line_dedup, packing, quality, simhash, token_file, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,6 +22,10 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.documents(token_file.write(table(spark, sf_dir, "documents"), WORD_VOCABULARY))
 
@@ -77,7 +81,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id, op7_line_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id, op7_line_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

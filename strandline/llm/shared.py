@@ -60,6 +60,11 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows_of: str, total: int
     return first.unionByName(second)
 
 
+def sized(frame: DataFrame, most_rows: int) -> DataFrame:
+    """``frame``, broadcast if its rows, counted here, are few enough; else as it is, for a shuffle join."""
+    return F.broadcast(frame) if frame.limit(most_rows + 1).count() <= most_rows else frame
+
+
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start+1, ... of every span, one after another."""
     lengths = np.asarray(lengths, dtype=np.int64)
