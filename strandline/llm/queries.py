@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, line_dedup, packing, quality, simhash, token_file, toxicity
+from strandline.llm import html_extract, langid, line_dedup, packing, quality, simhash, token_file, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,6 +74,11 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extracted(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
@@ -81,7 +86,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id, op7_line_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id, op7_line_dedup, op8_html_extraction, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
