@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import html_extract, langid, line_dedup, packing, quality, simhash, token_file, toxicity
+from strandline.llm import embed_dedup, html_extract, langid, line_dedup, packing, quality, sentencepiece_codec, simhash, token_file, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.checked(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.deduplicated(docs, line_dedup.build(docs))
@@ -85,8 +90,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id, op7_line_dedup, op8_html_extraction, op9_toxicity)}
+    found = (
+        op1_simhash, op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id,
+        op6_sentencepiece, op7_line_dedup, op8_html_extraction, op9_toxicity, op10_embedding_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

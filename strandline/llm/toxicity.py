@@ -26,7 +26,7 @@ from strandline.llm.shared import small_batches, stored
 SIZES, BITS, WIDTH = range(3, 6), 18, 4
 
 #: Labelled rows of each class that training takes, about; characters of the sample's texts at most on the driver.
-PER_CLASS, SAMPLE_CHARS = 2500, 60_000_000
+PER_CLASS, SAMPLE_CHARS = 1500, 30_000_000
 
 #: n-grams are learnt if their share of the sample's texts leans to one class by so many standard errors (estimated with
 #: PROBES random signs); the others would only name single documents.
@@ -73,11 +73,14 @@ class Model:
 class _Rows:
     """A sparse matrix that multiplies dense ones from both sides."""
 
-    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int], both: bool = True):
         self.shape = shape
-        by_row, by_column = np.argsort(rows, kind="stable"), np.argsort(columns, kind="stable")
-        self.forward = rows[by_row], columns[by_row], values[by_row].astype(np.float32)[:, None]
-        self.backward = columns[by_column], rows[by_column], values[by_column].astype(np.float32)[:, None]
+        rows, columns, values = rows.astype(np.int32), columns.astype(np.int32), values.astype(np.float32)
+        order = np.argsort(columns, kind="stable")
+        self.backward = columns[order], rows[order], values[order][:, None]
+        if both:
+            order = np.argsort(rows, kind="stable")
+            self.forward = rows[order], columns[order], values[order][:, None]
 
     def __call__(self, dense: np.ndarray, back: bool = False) -> np.ndarray:
         to, source, value = self.backward if back else self.forward
@@ -97,12 +100,15 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model:
     found = list(subwords(words))
     w, bucket = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
     grams = np.bincount(w, minlength=len(words))
-    every = _Rows(w, bucket, 1.0 / grams[w], (len(words), 1 << BITS))
+    every = _Rows(w, bucket, 1.0 / grams[w], (len(words), 1 << BITS), both=False)
     rng = np.random.default_rng(SEED)
     lean = (toxic - share).astype(np.float32)[:, None]
-    signs = rng.choice([-1.0, 1.0], (n, PROBES)).astype(np.float32)
-    error = np.sqrt(np.square(every(docs(lean * signs, back=True), back=True)).mean(axis=1))
-    z = every(docs(lean, back=True), back=True)[:, 0] / np.maximum(error, 1e-12)
+    error = np.zeros(1 << BITS, np.float32)
+    for _ in range(PROBES):
+        signs = rng.choice([-1.0, 1.0], (n, 1)).astype(np.float32)
+        error += np.square(every(docs(lean * signs, back=True), back=True))[:, 0] / PROBES
+    z = every(docs(lean, back=True), back=True)[:, 0] / np.maximum(np.sqrt(error), 1e-12)
+    del every
     learnt = (np.abs(z) >= LEAST_LEAN)[bucket]
     w, bucket = w[learnt], bucket[learnt]
     parts = _Rows(w, bucket, 1.0 / grams[w], (len(words), 1 << BITS))
