@@ -145,7 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).where("text is not null")
     sample = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * PER_CLASS).toPandas()
     sample = sample[sample["text"].str.len().cumsum() <= SAMPLE_CHARS]
-    return train(pa.array(sample["text"].tolist(), pa.string()), sample["toxic"].to_numpy(np.int64))
+    model = train(pa.array(sample["text"].tolist(), pa.string()), sample["toxic"].to_numpy(np.int64))
+    whole = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    own = sample["toxic"].value_counts()
+    if len(whole) == 2 and len(own) == 2:  # half way back to the classes' own shares, which the sample levelled
+        model.bias += 0.5 * (np.log(whole[1] / whole[0]) - np.log(own[1] / own[0]))
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
