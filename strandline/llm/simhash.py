@@ -46,17 +46,22 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
     A bit is 1 if it is set in over half of the shingles' XXH64 values.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not parts:
-        return 0
-    shingles = map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
-    raw = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed))), np.uint8).reshape(-1, 8)
+    raw = shingle_hashes(text, words, seed)
     counts = np.zeros(64, np.int64)
     for first in range(0, len(raw), 1 << 16):
         counts += np.unpackbits(raw[first : first + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(raw)).tobytes(), "big")
 
 
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of the text (A-Z lowered; fewer words: the whole sequence; none: nothing), as raw bytes."""
+    parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not parts:
+        return np.zeros((0, 8), np.uint8)
+    shingles = map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(seed))), np.uint8).reshape(-1, 8)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; fp holds the 64 bits as a signed long. A null text counts as empty."""
     small_batches(docs.sparkSession)
@@ -86,8 +91,11 @@ def _cut(rows: DataFrame, path: int, step: int, bits: int) -> DataFrame:
 
 
 def subtrees(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(fp, subtree, turned): each fingerprint in every subtree where it may meet another within BUDGET bits."""
-    rows = distinct.select("fp", F.lit(0).cast("long").alias("subtree"), F.col("fp").alias("turned"))
+    """(fp, subtree, turned): each fingerprint in every subtree where it may meet another within BUDGET bits.
+
+    ``distinct`` has fp, the fingerprint's name in links, bits, the fingerprint, and tree, the trie it belongs to.
+    """
+    rows = distinct.select("fp", F.col("tree").cast("long").alias("subtree"), F.col("bits").alias("turned"))
     done = []
     for k, (path, step, bits) in enumerate(CUTS):
         rows = stored(_cut(rows, path, step, bits), "subtrees")
@@ -169,7 +177,7 @@ def _ones(values: np.ndarray, bit: int) -> np.ndarray:
 
 
 def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """(u, v): links between distinct fingerprints; their components are those of all pairs within BUDGET bits."""
+    """(u, v): links between fingerprints of a tree; their components are those of all pairs within BUDGET bits."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,9 +223,102 @@ def near_duplicates(docs: DataFrame, words: int = 3, heavy: int = HEAVY) -> Data
     """
     rows = stored(fingerprints(docs, words), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    stars = components(stored(links(nodes, heavy), "simhash-links"))
+    stars = components(stored(links(nodes.select("fp", F.col("fp").alias("bits"), F.lit(0).alias("tree")), heavy), "simhash-links"))
     placed = stored(nodes.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
     sizes = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = lookup(placed, stored(sizes, "simhash-components"), "root", "members", placed.count()).select("fp", "n", "component_id")
     found = lookup(rows, stored(named, "named-fingerprints"), "fp", "n", rows.count())
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Samples of each text that get a fingerprint, shingles of a sample, and shingles of the sketch that confirms a link.
+SAMPLES, SAMPLE, SKETCH = 8, 5, 256
+
+_MIXERS = np.random.default_rng(11).integers(1, 2**63, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def sampled(text: str | None, words: int) -> tuple[bytes, list[int], bytes]:
+    """Of the text's set of shingles: a hash of the whole set, the SimHash of SAMPLES min-wise samples of it, and its sketch.
+
+    The sketch holds the SKETCH smallest hashes (their upper halves, ascending), which is all of a shorter text.
+    """
+    hashes = np.unique(shingle_hashes(text, words).view(">u8").ravel().astype(np.uint64))
+    key = xxhash.xxh3_128_digest(hashes.tobytes())
+    sketch = (hashes[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+    if not len(hashes):
+        return key, [0] * SAMPLES, sketch
+    mixed = (hashes[None, :] ^ _MIXERS[:, :1]) * _MIXERS[:, 1:]
+    mixed ^= mixed >> np.uint64(32)
+    k = min(SAMPLE, len(hashes))
+    chosen = np.argpartition(mixed, k - 1, axis=1)[:, :k] if k < len(hashes) else np.tile(np.arange(k), (SAMPLES, 1))
+    bits = np.unpackbits(hashes[chosen].astype(">u8").view(np.uint8).reshape(SAMPLES, k, 8), axis=2)
+    found = np.packbits(2 * bits.sum(axis=1, dtype=np.int64) > k, axis=1)
+    return key, found.view(">i8").ravel().tolist(), sketch
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets from their sketches: exact for sets that fit a sketch, else estimated."""
+    both = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        both = both[: SKETCH if len(both) >= SKETCH else None]
+    common = np.intersect1d(a, b, assume_unique=True)
+    return float(np.isin(both, common, assume_unique=True).sum() / len(both)) if len(both) else 1.0
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every different non-null doc_id; components of pairs whose shingle sets are that similar.
+
+    One 64-bit SimHash moves by about ten bits at a similarity of 0.8, far beyond what a trie can search. So each text gets
+    SAMPLES fingerprints, each of a min-wise sample of SAMPLE shingles, which a similar text shares with a chance of about
+    similarity ** SAMPLE; each sample's fingerprints are joined in a trie of their own. Found pairs are confirmed by their
+    sketches. Texts with the same set of shingles (all without words among them) are one from the start. A group is linked
+    to a member chosen anew for each sample, so it gives links in proportion to its size. Rows that share a doc_id are one
+    document with the first of their texts in order.
+    """
+    small_batches(docs.sparkSession)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sampled(x, words) for x in batch.column("text").to_pylist()]
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "prints", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
+    rows = stored(rows.mapInArrow(sample, "doc_id long, key binary, prints array<long>, sketch binary"), "sampled")
+    keys = stored(rows.groupBy("doc_id").agg(F.min("key").alias("key")), "shingle-sets")
+    firsts = stored(keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-sets")
+    texts = rows.join(firsts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    texts = stored(texts, "distinct-texts")
+    prints = texts.select("doc_id", F.posexplode("prints").alias("tree", "bits"))
+    order = F.xxhash64("doc_id", "tree")
+    groups = prints.groupBy("tree", "bits").agg(F.min_by("doc_id", order).alias("center"), F.count(F.lit(1)).alias("n"))
+    groups = stored(groups.select(F.struct("tree", "bits").alias("place"), "center", "n", F.xxhash64("tree", "bits").alias("fp")), "print-groups")
+    own = lookup(prints.select("doc_id", F.struct("tree", "bits").alias("place")), groups.where("n > 1").select("place", "center", "n"), "place", "n", SAMPLES * texts.count())
+    near = stored(links(groups.select("fp", F.col("place.bits").alias("bits"), F.col("place.tree").alias("tree"))), "print-links")
+    named = groups.select("fp", "center")
+    across = near.join(named, near["u"] == named["fp"]).select("v", F.col("center").alias("u_doc")).join(named, F.col("v") == F.col("fp")).select(F.col("u_doc").alias("u"), F.col("center").alias("v"))
+    pairs = own.where("center is not null").select(F.col("doc_id").alias("u"), F.col("center").alias("v")).unionByName(across).where("u <> v")
+    pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "similar-candidates")
+    confirmed = _confirmed(pairs, texts.select("doc_id", "sketch"), similarity)
+    stars = components(stored(confirmed, "similar-links"))
+    named = firsts.join(stars, F.col("first") == F.col("node"), "left").select("key", "n", F.coalesce("root", "first").alias("component_id"))
+    return lookup(keys, stored(named, "similar-components"), "key", "n", keys.count()).select("doc_id", "component_id")
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sketches are similar enough."""
+    total = max(1, pairs.count())
+    for side in ("u", "v"):
+        uses = pairs.groupBy(F.col(side).alias("doc_id")).agg(F.count(F.lit(1)).alias("uses"))
+        used = stored(sketches.join(uses, "doc_id").select("doc_id", F.col("sketch").alias(f"{side}_sketch"), "uses"), "used-sketches")
+        pairs = lookup(pairs, used.withColumnRenamed("doc_id", side), side, "uses", total)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [
+                sketch_similarity(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) >= similarity
+                for a, b in zip(batch.column("u_sketch").to_pylist(), batch.column("v_sketch").to_pylist(), strict=True)
+            ]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(confirm, "u long, v long")
