@@ -84,20 +84,24 @@ daily AS (
 """
 
 
-def long_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily order value of each nation over several years, as thousands; the level of an entity with gaps."""
-    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey"))  # 25 nations
-    customers = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey")
+def long_panel(spark: SparkSession, sf_dir: str, by: str = "n_regionkey") -> DataFrame:
+    """Daily order value of each region (or nation) over several years, in thousands."""
+    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", F.col(by).cast("long").alias("entity_id")))  # 25 nations
+    customers = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "entity_id")
     rows = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy(F.col("n_nationkey").cast("long").alias("entity_id"), F.to_date("o_orderdate").alias("obs_date")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / 100000).alias("level"))
+    return rows.groupBy("entity_id", F.to_date("o_orderdate").alias("obs_date")).agg(F.expr("sum(cast(round(o_totalprice * 100) as bigint)) div 1000 / 100D").alias("level"))
 
 
-LONG = """
+def long_sql(by: str = "n_regionkey") -> str:
+    return f"""
 long_panel AS (
-    SELECT n_nationkey::BIGINT AS entity_id, CAST(o_orderdate AS DATE) AS obs_date, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / 100000 AS level
+    SELECT {by}::BIGINT AS entity_id, CAST(o_orderdate AS DATE) AS obs_date, (sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 1000) / 100.0::DOUBLE AS level
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
 """
 
+
+LONG = long_sql()
+
 #: History columns of ``daily``, for the gated and flagged table.
 HISTORY = (
     DAILY
