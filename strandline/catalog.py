@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.queries import backtests, grains, panels  # noqa: F401
+from strandline.queries import backtests, grains, modelled, panels  # noqa: F401
 from strandline.queries.base import QUERIES, SQL, Query
 
 
