@@ -32,6 +32,9 @@ SMOOTHING = 0.5
 
 UNKNOWN = "und"
 
+#: Bytes of text that a worker holds as code points at once, about.
+BATCH_BYTES = 3 << 20
+
 
 def bounded_sample(rows: DataFrame, group: str, most: int) -> DataFrame:
     """Rows whose hash of doc_id is low enough that about ``most`` rows of each group are left."""
@@ -44,7 +47,7 @@ def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-case code points with anything but letters as spaces, lengths, and which texts have a letter."""
     points, lengths = ngrams.code_points(pc.utf8_lower(W.whole(texts)))
     letter = ngrams.is_letter(points)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     return np.where(letter, points, 32), lengths, np.bincount(owner[letter], minlength=len(lengths)) > 0
 
 
@@ -78,7 +81,7 @@ def fit(docs: DataFrame, learn_from: Column) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages) + 1, 1 << BITS), np.int64)
-        for table in gathered(batches):
+        for table in gathered(batches, BATCH_BYTES):
             points, lengths, _ = _points(table.column("text"))
             lang = np.array([number[x] for x in table.column("lang").to_pylist()])
             counts[-1, : len(languages)] += np.bincount(lang, minlength=len(languages))
@@ -112,7 +115,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.languages, UNKNOWN], dtype=object)
-        for table in gathered(batches):
+        for table in gathered(batches, BATCH_BYTES):
             n = table.num_rows
             best, score = shared.value.scores(table.column("text")) if shared.value.languages else (np.full(n, -1), np.zeros(n))
             table = table.append_column("lang_pred", pa.array(names[best], pa.string())).append_column("score", pa.array(score))

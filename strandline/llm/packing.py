@@ -62,8 +62,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 12 << 20) -> Iterator[pa.Table]:
-    """Tables of successive batches, each closed once it holds ``most_bytes``, so that words repeat within it."""
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.Table]:
+    """Tables of successive batches, each closed once it holds ``most_bytes``, so that words repeat within it.
+
+    Freed memory goes back to the system after each table: a worker that lives on must not keep its peak.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -73,8 +76,11 @@ def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 12 << 20) -> I
         if size >= most_bytes:
             yield pa.Table.from_batches(held)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    pa.default_memory_pool().release_unused()
 
 
 def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int, int]]:
