@@ -47,8 +47,10 @@ def origins(first: date, last: date, horizon: int = 6, least_train: int = 12, ke
 
 
 def rolling_folds(frame: DataFrame, column: str = "obs_date", horizon: int = 6, least_train: int = 12, keep: int | None = 4) -> list[Fold]:
-    """``origins`` over a table's dates: one aggregation."""
+    """``origins`` over a table's dates: one aggregation. A table without dates has no folds."""
     row = frame.agg(F.min(column), F.max(column)).first()
+    if row[0] is None:
+        return []
     return origins(row[0], row[1], horizon, least_train, keep)
 
 
@@ -63,7 +65,7 @@ def assigned(frame: DataFrame, folds: list[Fold], column: str = "obs_date", labe
     parts = [
         F.when(day < F.lit(f.origin), F.when(before < F.lit(f.origin), F.struct(F.lit(f.name).alias("fold"), F.lit("train").alias("part")))).when(day < F.lit(f.end), F.struct(F.lit(f.name).alias("fold"), F.lit("test").alias("part")))
         for f in folds
-    ]
+    ] or [F.lit(None).cast("struct<fold:string,part:string>")]
     return frame.withColumn("_f", F.explode(F.array_compact(F.array(*parts)))).select("*", "_f.*").drop("_f")
 
 
@@ -74,7 +76,7 @@ def fold_table(frame: DataFrame, folds: list[Fold], column: str = "obs_date", la
     train, test = F.col("part") == "train", F.col("part") == "test"
     out = rows.groupBy("fold").agg(F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"), F.max(F.when(train, day)).alias("train_end"), F.min(F.when(test, day)).alias("test_start"), F.max(F.when(test, day)).alias("test_end"))
     out = out.where("n_train > 0 and n_test > 0")
-    if not label_end:
+    if not label_end or not folds:
         return out.withColumn("embargoed", F.lit(0).cast("long"))
     lost = F.array(*[F.struct(F.lit(f.name).alias("fold"), F.count_if((day < F.lit(f.origin)) & ~F.coalesce(F.col(label_end) < F.lit(f.origin), F.lit(False))).alias("embargoed")) for f in folds])
     return out.join(F.broadcast(frame.agg(lost.alias("x")).select(F.inline("x"))), "fold")

@@ -383,7 +383,7 @@ def relative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {RELATIVE}, m AS (SELECT unnest([0.5, 1.0, 2.0, 3.0])::DOUBLE AS multiplier), e AS (SELECT multiplier, entity_id, any_value(scale) AS scale, count(*) AS n, count(*) FILTER (WHERE coalesce(abs(target) > multiplier * scale, false)) AS p FROM r, m GROUP BY 1, 2)
-        SELECT multiplier, sum(p)::BIGINT AS positives, count(*) FILTER (WHERE p > 0) AS entities, round(multiplier * median(scale), 6) AS median_threshold, round(sum(p) / sum(n), 6) AS rate FROM e GROUP BY 1"""
+        SELECT m.multiplier, sum(p)::BIGINT AS positives, count(*) FILTER (WHERE p > 0) AS entities, round(m.multiplier * median(scale), 6) AS median_threshold, round(sum(p) / sum(n), 6) AS rate FROM m LEFT JOIN e ON m.multiplier = e.multiplier GROUP BY 1"""
 )
 def relative_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extremes.relative_sweep(relative_rows(spark, sf_dir), (0.5, 1, 2, 3))
