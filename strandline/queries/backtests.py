@@ -43,7 +43,7 @@ def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {DAILY_FOLDS} SELECT fold, count(*) FILTER (WHERE part = 'train') AS n_train, count(*) FILTER (WHERE part = 'test') AS n_test, max(obs_date) FILTER (WHERE part = 'train') AS train_end,
-        min(obs_date) FILTER (WHERE part = 'test') AS test_start, max(obs_date) FILTER (WHERE part = 'test') AS test_end, 0::BIGINT AS embargoed FROM assigned GROUP BY 1"""
+        min(obs_date) FILTER (WHERE part = 'test') AS test_start, max(obs_date) FILTER (WHERE part = 'test') AS test_end, 0::BIGINT AS embargoed FROM assigned GROUP BY 1 HAVING count(*) FILTER (WHERE part = 'train') > 0 AND count(*) FILTER (WHERE part = 'test') > 0"""
 )
 def rolling_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = long_targets(spark, sf_dir)
@@ -64,7 +64,8 @@ def period_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {PERIOD_FOLDS} SELECT fold, count(*) FILTER (WHERE target_period_end < origin) AS n_train, count(*) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS n_test,
         max(period_start) FILTER (WHERE target_period_end < origin) AS train_end, min(period_start) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS test_start,
-        max(period_start) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS test_end, count(*) FILTER (WHERE period_start < origin AND target_period_end >= origin) AS embargoed FROM period_targets, folds GROUP BY 1"""
+        max(period_start) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS test_end, count(*) FILTER (WHERE period_start < origin AND target_period_end >= origin) AS embargoed FROM period_targets, folds GROUP BY 1
+        HAVING count(*) FILTER (WHERE target_period_end < origin) > 0 AND count(*) FILTER (WHERE period_start >= origin AND period_start < horizon_end) > 0"""
 )
 def embargo_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = period_targets(spark, sf_dir)
