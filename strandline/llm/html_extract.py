@@ -162,6 +162,8 @@ def best_path(found: list[tuple[Element, str, int]]) -> str | None:
                 spot.score += gain * share or 1e-9
                 share /= 2
             spot = spot.parent
+    if found and not scored:
+        return ""  # text outside any container: the page itself
     best = max(scored, key=lambda e: e.score * (1.5 if e.tag in ("article", "main") else 1.0), default=None)
     return best.path if best is not None and best.score > 0 else None
 

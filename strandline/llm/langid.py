@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strandline.llm import ngrams
 from strandline.llm import words as W
 from strandline.llm.packing import gathered
-from strandline.llm.shared import small_batches, stored
+from strandline.llm.shared import added_to, small_batches, stored
 
 SIZES, BITS = range(1, 4), 15
 
@@ -121,4 +121,4 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             table = table.append_column("lang_pred", pa.array(names[best], pa.string())).append_column("score", pa.array(score))
             yield from table.combine_chunks().to_batches()
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(identify, docs.schema.add("lang_pred", "string").add("score", "double"))
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(identify, added_to(docs.schema).add("lang_pred", "string").add("score", "double"))

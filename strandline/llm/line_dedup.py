@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.cuckoo import CuckooFilter
-from strandline.llm.shared import lookup, small_batches, stored
+from strandline.llm.shared import added_to, lookup, small_batches, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -206,4 +206,4 @@ def deduplicated(docs: DataFrame, index: LineIndex) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     joined = docs.join(lost, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInArrow(cut, docs.schema.add("n_lines", "long").add("n_dropped", "long"))
+    return joined.mapInArrow(cut, added_to(docs.schema).add("n_lines", "long").add("n_dropped", "long"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import words as W
 from strandline.llm.packing import gathered
-from strandline.llm.shared import small_batches, spans
+from strandline.llm.shared import added_to, small_batches, spans
 
 MARK = "▁"
 
@@ -231,7 +231,7 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
             column = pa.array([raw[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
             yield from table.append_column("ids", column).append_column("n_tokens", pa.array(counts)).combine_chunks().to_batches()
 
-    return docs.mapInArrow(encode, docs.schema.add("ids", "binary").add("n_tokens", "long"))
+    return docs.mapInArrow(encode, added_to(docs.schema).add("ids", "binary").add("n_tokens", "long"))
 
 
 def decoded(rows: DataFrame, model_path: str) -> DataFrame:
@@ -247,7 +247,7 @@ def decoded(rows: DataFrame, model_path: str) -> DataFrame:
             column = pa.array([None if x is None else t for x, t in zip(raw, texts, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(decode, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(decode, added_to(rows.schema).add("decoded", "string"))
 
 
 def checked(docs: DataFrame, model_path: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Documents a Python worker sees at once; bounds a worker's memory when texts are long.
 ROWS_PER_BATCH = 500
@@ -34,6 +35,11 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def added_to(schema: StructType) -> StructType:
+    """A copy of a table's schema that fields may be added to."""
+    return StructType(list(schema.fields))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

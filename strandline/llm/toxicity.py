@@ -21,7 +21,7 @@ from strandline.llm import ngrams
 from strandline.llm import words as W
 from strandline.llm.langid import bounded_sample
 from strandline.llm.packing import gathered
-from strandline.llm.shared import small_batches, stored
+from strandline.llm.shared import added_to, small_batches, stored
 
 SIZES, BITS, WIDTH = range(3, 6), 18, 4
 
@@ -170,4 +170,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             table = table.append_column("score", pa.array(found)).append_column("predicted", pa.array((found >= 0.5).astype(np.int32)))
             yield from table.combine_chunks().to_batches()
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(score, docs.schema.add("score", "double").add("predicted", "integer"))
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(score, added_to(docs.schema).add("score", "double").add("predicted", "integer"))
