@@ -25,13 +25,17 @@ REFRESH = (64, 256, 1024, 4096)
 HEADER = struct.Struct("<4sIIII")
 MAGIC = b"SLT1"
 
-ONE, TOP, BOTTOM = 1 << 16, np.uint64(1 << 56), np.uint64(1 << 48)
+#: Total of the first symbol's frequencies; a coder puts out the upper half of its state once that is settled.
+ONE, HALF = 1 << 16, np.uint64(1 << 32)
 SLOTS1, SLOTS2 = 1 << 12, 1 << 13
 U64 = np.uint64
 
+#: A prediction is an id with its confidence in the lowest bits.
+SURE_BITS, SUREST = 3, 7
+
 
 class _Ranges:
-    """The intervals of all lanes; codes symbols given by (cumulative, frequency) of a total."""
+    """The intervals of all lanes; codes symbols given by (start, size) of a total, in words of 32 bits."""
 
     def __init__(self, lanes: int, data: list[bytes] | None, capacity: int = 0):
         self.low = np.zeros(lanes, U64)
@@ -39,15 +43,13 @@ class _Ranges:
         self.at = np.zeros(lanes, np.int64)
         if data is None:
             self.code = None
-            self.bytes = np.zeros((lanes, capacity), np.uint8)
+            self.words = np.zeros((lanes, capacity), "<u4")
         else:
-            self.bytes = np.zeros((lanes, max(map(len, data), default=0) + 16), np.uint8)
+            self.words = np.zeros((lanes, max(map(len, data), default=0) // 4 + 4), "<u4")
             for k, x in enumerate(data):
-                self.bytes[k, : len(x)] = np.frombuffer(x, np.uint8)
-            self.code = np.zeros(lanes, U64)
-            for k in range(8):
-                self.code = (self.code << U64(8)) | self.bytes[:, k].astype(U64)
-            self.at += 8
+                self.words[k, : len(x) // 4] = np.frombuffer(x, "<u4")
+            self.code = (self.words[:, 0].astype(U64) << U64(32)) | self.words[:, 1].astype(U64)
+            self.at += 2
 
     def slot(self, lanes, total) -> np.ndarray:
         """Where in [0, total) the coded number of each lane lies."""
@@ -58,32 +60,30 @@ class _Ranges:
         step = self.range[lanes] // total if self.code is None else self.step
         low = self.low[lanes] + start.astype(U64) * step
         width = size.astype(U64) * step
-        todo = np.arange(len(low))
-        while True:
-            same = (low[todo] ^ (low[todo] + width[todo])) < TOP
-            small = width[todo] < BOTTOM
-            moving = same | small
-            if not moving.any():
-                break
-            cut = todo[small & ~same]
-            width[cut] = (~low[cut] + U64(1)) & (BOTTOM - U64(1))
-            todo = todo[moving]
+        todo = np.flatnonzero((low ^ (low + width) < HALF) | (width < HALF))
+        while len(todo):
+            lo, wide = low[todo], width[todo]
+            cut = (lo ^ (lo + wide)) >= HALF  # too narrow to go on, though its upper half isn't settled: give the rest up
+            wide[cut] = (~lo[cut] + U64(1)) & (HALF - U64(1))
             own = todo if isinstance(lanes, slice) else lanes[todo]
             at = self.at[own]
             if self.code is None:
-                self.bytes[own, at] = (low[todo] >> U64(56)).astype(np.uint8)
+                self.words[own, at] = lo >> U64(32)
             else:
-                self.code[own] = (self.code[own] << U64(8)) | self.bytes[own, np.minimum(at, self.bytes.shape[1] - 1)].astype(U64)
+                self.code[own] = (self.code[own] << U64(32)) | self.words[own, np.minimum(at, self.words.shape[1] - 1)]
             self.at[own] = at + 1
-            low[todo] <<= U64(8)
-            width[todo] <<= U64(8)
+            lo <<= U64(32)
+            wide <<= U64(32)
+            low[todo], width[todo] = lo, wide
+            todo = todo[(lo ^ (lo + wide) < HALF) | (wide < HALF)]
         self.low[lanes], self.range[lanes] = low, width
 
     def finish(self) -> list[bytes]:
-        for k in range(8):
-            self.bytes[np.arange(len(self.at)), self.at] = (self.low >> U64(56 - 8 * k)).astype(np.uint8)
+        every = np.arange(len(self.at))
+        for shift in (32, 0):
+            self.words[every, self.at] = (self.low >> U64(shift)) & (HALF - U64(1))
             self.at += 1
-        return [self.bytes[k, :n].tobytes() for k, n in enumerate(self.at.tolist())]
+        return [self.words[k, :n].tobytes() for k, n in enumerate(self.at.tolist())]
 
 
 class _Mixer:
@@ -94,25 +94,25 @@ class _Mixer:
         self.weight = [np.full(lanes, 0.6), np.full(lanes, 0.4)]
 
     def mix(self, lanes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        self.where = ((lanes, first), (lanes, second))
-        self.lean = []
+        self.where, self.old, self.lean = ((lanes, first), (lanes, second)), [], []
         mixed = 0.0
         for k in (0, 1):
-            y = 2.0 * self.chance[k][self.where[k]] - 1.0
-            lean = y / (1.0 - np.abs(y))
+            old = self.chance[k][self.where[k]]
+            lean = (old - 0.5) / np.minimum(old, 1.0 - old)
+            self.old.append(old)
             self.lean.append(lean)
             mixed = mixed + self.weight[k][: len(lanes)] * lean
-        self.chance_now = 0.5 + 0.5 * mixed / (1.0 + np.abs(mixed))
+        size = np.abs(mixed)
+        self.chance_now = 0.5 + 0.5 * mixed / (1.0 + size)
         return self.chance_now
 
     def learn(self, yes: np.ndarray) -> None:
         n = len(yes)
         miss = (yes - self.chance_now) * 0.02
         for k in (0, 1):
-            old = self.chance[k][self.where[k]]
-            self.chance[k][self.where[k]] = np.clip(old + (yes - old) * 0.04, 0.002, 0.998)
-            lean = self.lean[k]
-            self.weight[k][:n] = np.clip(self.weight[k][:n] + miss * lean / (1.0 + np.abs(lean)), 0.0, 2.0)
+            old, lean, weight = self.old[k], self.lean[k], self.weight[k][:n]
+            self.chance[k][self.where[k]] = np.minimum(np.maximum(old + (yes - old) * 0.04, 0.002), 0.998)
+            np.minimum(np.maximum(weight + miss * lean / (1.0 + np.abs(lean)), 0.0), 2.0, out=weight)
 
 
 class _Seen:
@@ -147,9 +147,9 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
     decoding = ids is None
     if decoding:
         ids = np.zeros((steps, lanes), np.int64)
-    coder = _Ranges(lanes, data, 64 + 6 * steps)
-    pick2, pick1 = np.zeros(lanes * SLOTS2, np.int64), np.zeros(lanes * SLOTS1, np.int64)
-    sure2, sure1 = np.zeros(lanes * SLOTS2, np.int8), np.zeros(lanes * SLOTS1, np.int8)
+    coder = _Ranges(lanes, data, 16 + 2 * steps)
+    kind_of = np.int32 if vocabulary <= 1 << (31 - SURE_BITS) else np.int64
+    table2, table1 = np.zeros(lanes * SLOTS2, kind_of), np.zeros(lanes * SLOTS1, kind_of)
     first, second = _Mixer(lanes, 16, 8), _Mixer(lanes, 8, 8)
     every = np.arange(lanes)
     before, before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -160,10 +160,15 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
         n = int(active[t])
         if t in REFRESH:
             seen = _Seen(ids[:t], n)
+            if not decoding:  # all that follows until the next refresh is known: look it up at once
+                upto = min((r for r in REFRESH if r > t), default=steps)
+                found_at, found = seen.find(every[:n][None, :], ids[t:upto, :n])
+                since = t
         lane, b, b2 = every[:n], before[:n], before2[:n]
         s2 = lane * SLOTS2 + (((b * 40503 + b2 * 65599 + 12345) >> 3) & (SLOTS2 - 1))
         s1 = lane * SLOTS1 + ((b * 40503 >> 4) & (SLOTS1 - 1))
-        guess2, guess1, c2, c1 = pick2[s2], pick1[s1], sure2[s2], sure1[s1]
+        cell2, cell1 = table2[s2].astype(np.int64), table1[s1].astype(np.int64)
+        guess2, guess1, c2, c1 = cell2 >> SURE_BITS, cell1 >> SURE_BITS, cell2 & SUREST, cell1 & SUREST
         p2 = first.mix(lane, c2 * 2 + (guess1 == guess2), c1)
         size2 = 1 + (p2 * (ONE - 3)).astype(np.int64)
         p1 = second.mix(lane, c1, c2)
@@ -185,7 +190,7 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
                 slot = coder.slot(rest, total)
                 k, known = seen.at(rest, slot), slot < seen.total
             else:
-                k, known = seen.find(rest, ids[t, rest])
+                k, known = found_at[t - since, rest], found[t - since, rest]
             k = np.where(known, k, 0)
             coder.take(rest, np.where(known, seen.start[k], seen.total), np.where(known, seen.counts[k], seen.distinct[rest]), total)
             if decoding:
@@ -198,10 +203,10 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
         own = ids[t, :n]
         first.learn((kind == 0).astype(np.float64))
         second.learn((kind == 1).astype(np.float64))
-        for pick, sure, s, guess, c in ((pick2, sure2, s2, guess2, c2), (pick1, sure1, s1, guess1, c1)):
+        for cells, s, guess, c in ((table2, s2, guess2, c2), (table1, s1, guess1, c1)):
             right = guess == own
-            pick[s] = np.where(right | (c > 1), guess, own)
-            sure[s] = np.where(right, np.minimum(c + 1, 7), np.where(c > 1, c >> 1, 1))
+            stays = right | (c > 1)
+            cells[s] = (np.where(stays, guess, own) << SURE_BITS) + np.where(right, np.minimum(c + 1, SUREST), np.where(stays, c >> 1, 1))
         before2[:n], before[:n] = b, own
     return ids if decoding else coder.finish()
 
