@@ -69,14 +69,19 @@ def step_downs(panel: DataFrame, threshold: float = 3.0, sustain_rows: int = 7,
 
 
 def threshold_sweep(panel: DataFrame, thresholds: tuple[float, ...] = (2, 3, 4, 5, 7, 10), p: Panel = DEFAULT) -> DataFrame:
-    """Per threshold: steps, entities, median and total mass, and the share from May to August. One scan for all."""
-    cuts = panel.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    """Per threshold: steps, entities, median and total mass, and the share from May to August. One aggregation for all."""
     rows = step_candidates(panel, p=p).where(F.col("removed") >= float(min(thresholds)))
-    met = F.broadcast(cuts).join(rows, F.col("removed") >= F.col("threshold"), "left")
-    return met.groupBy("threshold").agg(
-        F.count("removed").alias("n"), F.count_distinct(p.entity).alias("entities"), median(F.col("removed")).alias("median_removed"),
-        F.coalesce(F.sum("removed"), F.lit(0.0)).alias("total_removed"), F.avg(F.when(F.col("removed").isNotNull(), F.col("month").between(5, 8).cast("double"))).alias("share_may_to_aug"),
-    )
+    cells = []
+    for t in thresholds:
+        own = F.col("removed") >= float(t)
+        mass = F.when(own, F.col("removed"))
+        cells.append(
+            F.struct(
+                F.lit(float(t)).alias("threshold"), F.count(mass).alias("n"), F.count_distinct(F.when(own, F.col(p.entity))).alias("entities"), median(mass).alias("median_removed"),
+                F.coalesce(F.sum(mass), F.lit(0.0)).alias("total_removed"), F.avg(F.when(own, F.col("month").between(5, 8).cast("double"))).alias("share_may_to_aug"),
+            )
+        )
+    return rows.agg(F.array(*cells).alias("x")).select(F.inline("x"))
 
 
 def corroboration(found: DataFrame, steps: DataFrame, tolerances: tuple[int, ...] = (1, 3, 7, 14), p: Panel = DEFAULT) -> DataFrame:
@@ -102,16 +107,12 @@ def corroboration(found: DataFrame, steps: DataFrame, tolerances: tuple[int, ...
         return F.least(F.datediff("day", f"_{k}_past"), F.datediff(f"_{k}_next", "day"))
 
     rows = rows.withColumn("_distance", F.when(F.col("kind") == "logged", distance("logged")).otherwise(distance("drop")))
-    cuts = panel_numbers(found, tolerances)
-    return rows.join(F.broadcast(cuts)).groupBy("tolerance_days", "kind").agg(
+    rows = rows.withColumn("tolerance_days", F.explode(F.array(*[F.lit(t).cast("long") for t in tolerances])))
+    return rows.groupBy("tolerance_days", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("_distance") <= F.col("tolerance_days")).alias("matched"), F.avg(F.coalesce(F.col("_distance") <= F.col("tolerance_days"), F.lit(False)).cast("double")).alias("share")
     )
 
 
-def panel_numbers(frame: DataFrame, tolerances: tuple[int, ...]) -> DataFrame:
-    return frame.sparkSession.createDataFrame([(int(t),) for t in tolerances], "tolerance_days long")
-
-
 def gross_target(features: DataFrame, steps: DataFrame, period: str = "week", p: Panel = DEFAULT) -> DataFrame:
     """Period features with removed mass in the period and the next adjacent one, and the target with the latter added."""
     mass = steps.groupBy(p.entity, C.period_index(F.col(p.date), period).alias("period_index")).agg(F.sum("removed").alias("removed_in_period"))
