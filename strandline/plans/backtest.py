@@ -123,10 +123,13 @@ def naive(rows: DataFrame, rules: tuple[str, ...] = DAILY_RULES, target: str = "
     month = F.month(date_column or p.date)
     rows = rows.where(F.col(target).isNotNull()).withColumn("_month", month)
     train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
-    overall = train.groupBy("fold").agg(F.avg(target).alias("_all"))
-    entity = train.groupBy("fold", p.entity).agg(F.avg(target).alias("_entity"))
-    months = train.groupBy("fold", "_month").agg(F.avg(target).alias("_by_month"))
-    both = train.groupBy("fold", p.entity, "_month").agg(F.avg(target).alias("_both"))
+    sums = train.groupBy("fold", p.entity, "_month").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+
+    def mean(name: str, *keys: str) -> DataFrame:
+        """From the finest sums, so the training rows are read once."""
+        return sums.groupBy("fold", *keys).agg((F.sum("_s") / F.sum("_n")).alias(name))
+
+    overall, entity, months, both = mean("_all"), mean("_entity", p.entity), mean("_by_month", "_month"), sums.select("fold", p.entity, "_month", (F.col("_s") / F.col("_n")).alias("_both"))
     out = test.join(F.broadcast(overall), "fold").join(entity, ["fold", p.entity], "left").join(F.broadcast(months), ["fold", "_month"], "left").join(both, ["fold", p.entity, "_month"], "left")
     fallback = F.coalesce("_by_month", "_all") if "month_mean" in rules else F.col("_all")
     found = {
@@ -241,3 +244,31 @@ def required_size(summary: DataFrame, confidence: float = 1.96) -> DataFrame:
     rows = summary.where("sd > 0 and mean_n > 0")
     fit = rows.agg(F.regr_slope(F.log("sd"), F.log("mean_n")).alias("slope"), F.exp(F.avg(F.log("sd") + 0.5 * F.log("mean_n"))).alias("c"), F.max_by("mean", "mean_n").alias("effect"))
     return fit.withColumn("required_n", F.when(F.col("effect") > 0, F.ceil(F.pow(confidence * F.col("c") / F.nullif("effect", F.lit(0.0)), 2)).cast("long")))
+
+
+def row_share_split(frame: DataFrame, share: float = 0.8, column: str = "obs_date") -> DataFrame:
+    """part by a share of the rows in date order, cut at a whole date: the first date by which so many rows have passed
+    opens the test part. Rows are counted by date first, so only dates are summed in order."""
+    days = frame.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    passed = days.withColumns({"_before": F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy())})
+    cut = passed.where(F.col("_before") >= share * F.col("_all")).agg(F.min(column).alias("_cut"))
+    return frame.join(F.broadcast(cut)).withColumn("part", F.when(F.col("_cut").isNull() | (F.col(column) < F.col("_cut")), "train").otherwise("test")).drop("_cut")
+
+
+def residual_tiers(predictions: DataFrame, tier: Column, quantiles: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """Box-plot statistics of the residuals by tier and rule."""
+    rows = predictions.withColumns({"tier": tier, "_e": F.col("y_true") - F.col("y_pred")}).where("tier is not null")
+    found = rows.groupBy("tier", "rule").agg(F.count("_e").alias("n"), F.percentile("_e", F.array(*map(F.lit, quantiles))).alias("q"))
+    return found.select("tier", "rule", "n", *[F.col("q")[k].alias(f"q{int(100 * q):03d}") for k, q in enumerate(quantiles)])
+
+
+def expectations(found: DataFrame, expected: dict[str, tuple[float, float]]) -> DataFrame:
+    """(name, found, expected, ok): a row of computed numbers against quoted ones, each within its relative tolerance."""
+    cells = [
+        F.struct(
+            F.lit(name).alias("name"), F.col(name).cast("double").alias("found"), F.lit(float(value)).alias("expected"),
+            F.coalesce(F.abs(F.col(name) - value) <= tolerance * F.greatest(F.abs(F.lit(float(value))), F.lit(1e-12)), F.lit(False)).alias("ok"),
+        )
+        for name, (value, tolerance) in expected.items()
+    ]
+    return found.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
