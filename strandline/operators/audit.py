@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
+from strandline.operators.history import in_ranges
 
 
 def assert_unique(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,13 +93,13 @@ def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 def average_ranks(frame: DataFrame, value: str, name: str) -> DataFrame:
     """The average rank of each value, ties sharing it. Ranks are summed over the distinct values, which are fewer than rows;
-    the running sum is taken in two phases over range partitions."""
+    the running sum is taken in two phases over ranges of values."""
     counts = frame.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id())
+    placed = in_ranges(counts, value, "_part")
     local = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_own", F.coalesce(F.sum("_n").over(local), F.lit(0)))
     sizes = placed.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     ranks = placed.join(F.broadcast(offsets), "_part").select(F.col(value).alias("_value"), (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2).alias(name))
     return frame.join(ranks, F.col(value) == F.col("_value"), "left").drop("_value")

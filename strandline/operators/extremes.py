@@ -95,5 +95,5 @@ def label_comparison(frame: DataFrame, absolute: float, multiplier: float, targe
     order = Window.partitionBy("rule").orderBy(F.desc("n"), p.entity)
     top = counts.withColumn("_r", F.row_number().over(order)).where("_r <= 5").groupBy("rule").agg(F.sum("n").alias("_top"), F.max("n").alias("most"))
     sums = counts.groupBy("rule").agg(F.sum("n").alias("positives"), F.count_if(F.col("n") > 0).alias("entities_with"), F.count_if(F.col("n") == 0).alias("entities_without"))
-    out = sums.join(top, "rule").join(levels, "rule", "left").join(F.broadcast(agreement))
+    out = sums.join(top, "rule").join(levels, "rule", "left").withColumn("agreement", agreement.scalar())
     return out.withColumn("top5_share", F.try_divide("_top", "positives")).drop("_top")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -184,11 +185,10 @@ def forward_filled(frame: DataFrame, columns: list[str], p: Panel = DEFAULT) ->
 
 
 def imputed(frame: DataFrame, columns: list[str], p: Panel = DEFAULT) -> DataFrame:
-    """Forward fill within the entity, then the entity's median, then the median of all rows (one broadcast row)."""
+    """Forward fill within the entity, then the entity's median, then the median of all rows (a scalar subquery)."""
     overall = frame.agg(*[F.percentile_approx(c, 0.5, 100_000).alias(f"_{c}") for c in columns])
     filled = forward_filled(frame.withColumns({f"_{c}_m": median(F.col(c)).over(p.whole) for c in columns}), columns, p)
-    filled = filled.join(F.broadcast(overall))
-    return filled.withColumns({c: F.coalesce(c, f"_{c}_m", f"_{c}") for c in columns}).drop(*[f"_{c}_m" for c in columns], *[f"_{c}" for c in columns])
+    return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}_m"), overall.select(f"_{c}").scalar()) for c in columns}).drop(*[f"_{c}_m" for c in columns])
 
 
 def equal_bins(frame: DataFrame, value: str, order: list[str], bins: int = 10, name: str = "bin", within: tuple[str, ...] = ()) -> DataFrame:
@@ -207,10 +207,24 @@ def _ranked(frame: DataFrame, value: str, order: list[str], within: tuple[str, .
     if within:
         w = Window.partitionBy(*within)
         return frame.withColumns({"_rank": F.row_number().over(w.orderBy(F.col(value).asc_nulls_last(), *order)), "_n": F.count(value).over(w)})
-    placed = frame.repartitionByRange(F.col(value).asc_nulls_last(), *order).withColumn("_part", F.spark_partition_id())
+    placed = in_ranges(frame, value, "_part")
     local = Window.partitionBy("_part").orderBy(F.col(value).asc_nulls_last(), *order)
     placed = placed.withColumn("_local", F.row_number().over(local))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.count(value).alias("_with"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_with").over(Window.partitionBy()).alias("_n"))
     return placed.join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
+
+
+def in_ranges(frame: DataFrame, value: str, name: str) -> DataFrame:
+    """``name`` numbers ascending ranges of about equally many rows; missing values come last.
+
+    The bounds (one for each shuffle partition) are taken once and are then fixed, so a row's range is the same however
+    often, and wherever, it is computed.
+    """
+    n = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = frame.agg(F.percentile_approx(F.col(value).cast("double"), [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_v", outputCol=name, handleInvalid="keep")
+    out = cut.transform(frame.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))))
+    return out.drop("_v")

@@ -116,7 +116,7 @@ def waterfall(daily: DataFrame, period: str = "week", p: Panel = DEFAULT) -> Dat
     )
     before = sizes.agg(F.coalesce(F.sum("days_observed"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("b"))
     after = gated.agg(F.count(F.lit(1)).alias("c"), F.count_if("next_ok").alias("d"), F.count_if(F.col("next_ok") & F.col("previous_ok")).alias("e"))
-    one = before.join(F.broadcast(after)).select(F.array("a", "b", "c", "d", "e").alias("counts"))
+    one = before.withColumns({c: after.select(c).scalar() for c in ("c", "d", "e")}).select(F.array("a", "b", "c", "d", "e").alias("counts"))
     return history.stepped(one, ["daily rows", f"entity-{period}s", "coverage", "next period adjacent", "previous period adjacent"])
 
 

@@ -104,8 +104,8 @@ def date_share_split(frame: DataFrame, share: float = 0.8, column: str = "obs_da
     """part by the given share of the distinct dates. Only dates are ranked."""
     dates = frame.select(column).distinct()
     ranked = dates.withColumns({"_r": F.row_number().over(Window.orderBy(column)), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    cut = ranked.where(F.col("_r") == F.floor(F.col("_n") * share) + 1).select(F.col(column).alias("_cut"))
-    return frame.join(F.broadcast(cut)).withColumn("part", F.when(F.col(column) < F.col("_cut"), "train").otherwise("test")).drop("_cut")
+    cut = ranked.where(F.col("_r") == F.floor(F.col("_n") * share) + 1).agg(F.min(column)).scalar()
+    return frame.withColumn("part", F.when(F.col(column) < cut, "train").otherwise("test"))
 
 
 def group_folds(frame: DataFrame, folds: int = 5, seed: int = 42, entity: str = "entity_id") -> DataFrame:
@@ -188,8 +188,8 @@ def segmented(predictions: DataFrame, segments: dict[str, Column], model: str, p
     bars = bars.select("segment", "value", F.col("x.mae").alias("bar"), F.col("x.rule").alias("bar_rule"))
     out = rows.where(F.col("rule") == model).drop("rule", "rule_order").join(bars, ["segment", "value"], "left").withColumn("skill", C.skill(F.col("mae"), F.col("bar")))
     if pooled_bar:
-        pooled = predictions.where(F.col("rule") != model).groupBy("rule").agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("m")).agg(F.min("m").alias("_pooled"))
-        out = out.join(F.broadcast(pooled)).withColumn("skill_pooled", C.skill(F.col("mae"), F.col("_pooled"))).drop("_pooled")
+        pooled = predictions.where(F.col("rule") != model).groupBy("rule").agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("m")).agg(F.min("m"))
+        out = out.withColumn("skill_pooled", C.skill(F.col("mae"), pooled.scalar()))
     return out
 
 
@@ -251,8 +251,8 @@ def row_share_split(frame: DataFrame, share: float = 0.8, column: str = "obs_dat
     opens the test part. Rows are counted by date first, so only dates are summed in order."""
     days = frame.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     passed = days.withColumns({"_before": F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy())})
-    cut = passed.where(F.col("_before") >= share * F.col("_all")).agg(F.min(column).alias("_cut"))
-    return frame.join(F.broadcast(cut)).withColumn("part", F.when(F.col("_cut").isNull() | (F.col(column) < F.col("_cut")), "train").otherwise("test")).drop("_cut")
+    cut = passed.where(F.col("_before") >= share * F.col("_all")).agg(F.min(column)).scalar()
+    return frame.withColumn("part", F.when(F.coalesce(F.col(column) >= cut, F.lit(False)), "test").otherwise("train"))
 
 
 def residual_tiers(predictions: DataFrame, tier: Column, quantiles: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:

@@ -210,9 +210,9 @@ def normalised_two_stage(columns: list[str], multiplier: float, entity: str = "e
         bounds = scale.agg(F.percentile("_scale", F.lit(0.05)).alias("_low"), F.percentile("_scale", F.lit(0.5)).alias("_mid"))
 
         def scaled(rows: DataFrame) -> DataFrame:
-            met = rows.join(scale, entity, "left").join(F.broadcast(bounds))
-            met = met.withColumn("_unit", F.greatest(F.coalesce("_scale", "_mid"), F.col("_low"), F.lit(1e-9)))
-            return met.withColumns({"_raw": F.col("target"), "target": F.col("target") / F.col("_unit")}).drop("_scale", "_low", "_mid")
+            met = rows.join(scale, entity, "left")
+            met = met.withColumn("_unit", F.greatest(F.coalesce(F.col("_scale"), bounds.select("_mid").scalar()), bounds.select("_low").scalar(), F.lit(1e-9)))
+            return met.withColumns({"_raw": F.col("target"), "target": F.col("target") / F.col("_unit")}).drop("_scale")
 
         out = two_stage(columns, F.abs("target") > multiplier, name=name, seed=seed)(scaled(train), scaled(test))
         return out.withColumns({"y_pred": F.col("y_pred") * F.col("_unit"), "target": F.col("_raw")})
