@@ -106,8 +106,8 @@ def average_ranks(frame: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def spearman(frame: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, n, rho), strongest first, over rows where both are present."""
-    parts = None
+    """(feature, n, rho), strongest first, over rows where both are present. The columns used are kept while ranks are taken."""
+    parts, frame = None, frame.select(*features, target).persist()
     for f in features:
         pairs = frame.where(F.col(f).isNotNull() & F.col(target).isNotNull()).select(F.col(f).alias("x"), F.col(target).alias("y"))
         ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
