@@ -360,3 +360,23 @@ def test_embedding_links(spark):
     assert np.mean([found[i][1] == ids[r] for i, r in zip(ids, root, strict=True)]) > 0.98
     assert all(found[i] == (0, i, True) for i in (600, 601, 602, 603, 604, 605, 606))
     assert embed_dedup.near_duplicates(empty(frame)).count() == 0
+
+
+def _pair_at(rng, v, cosine):
+    other = rng.normal(size=len(v))
+    other -= (other @ v) / (v @ v) * v
+    return cosine * v / np.linalg.norm(v) + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other)
+
+
+def test_embedding_pairs_of_a_small_label_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LEAF", 1)
+    rng = np.random.default_rng(8)
+    rows = [(k, (rng.normal(size=32)).tolist(), 0) for k in range(4000)]
+    hot = rng.normal(size=32)
+    rows += [(5000 + k, (hot + rng.normal(0, 0.05, 32)).tolist(), 0) for k in range(300)]
+    for k in range(200):
+        v = rng.normal(size=32)
+        rows += [(10000 + 2 * k, v.tolist(), 1), (10001 + 2 * k, _pair_at(rng, v, 0.932).tolist(), 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.component_id for r in embed_dedup.near_duplicates(frame).where("vec_id >= 10000").collect()}
+    assert sum(found[10001 + 2 * k] == 10000 + 2 * k for k in range(200)) == 200
