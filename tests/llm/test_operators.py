@@ -380,3 +380,26 @@ def test_embedding_pairs_of_a_small_label_beside_a_large_one(spark, monkeypatch)
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     found = {r.vec_id: r.component_id for r in embed_dedup.near_duplicates(frame).where("vec_id >= 10000").collect()}
     assert sum(found[10001 + 2 * k] == 10000 + 2 * k for k in range(200)) == 200
+
+
+def test_embedding_pairs_within_a_dense_region(spark, monkeypatch):
+    for name, value in (("EXACT", 0), ("LARGEST", 16), ("LEAF", 8), ("LIST", 3), ("ROUNDS", 1)):
+        monkeypatch.setattr(embed_dedup, name, value, raising=False)
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=48)
+    middle /= np.linalg.norm(middle)
+    rows = []
+    for k in range(1500):
+        side = rng.normal(size=48)
+        side -= (side @ middle) * middle
+        v = np.sqrt(0.8) * middle + np.sqrt(0.2) * side / np.linalg.norm(side)
+        rows.append((k, v, 0))
+        if k < 300:
+            rows.append((5000 + k, _pair_at(rng, v, 0.945), 0))
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = (x @ x.T >= 0.93).sum(axis=1) - 1
+    frame = spark.createDataFrame([(i, v.tolist(), lab) for i, v, lab in rows], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(frame).collect()}
+    assert all(found[i] <= n for (i, _, _), n in zip(rows, linked, strict=True))
+    assert sum(found[i] for i, _, _ in rows) >= 0.96 * linked.sum() > 500
