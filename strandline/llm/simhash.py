@@ -231,38 +231,62 @@ def near_duplicates(docs: DataFrame, words: int = 3, heavy: int = HEAVY) -> Data
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Samples of each text that get a fingerprint, shingles of a sample, and shingles of the sketch that confirms a link.
-SAMPLES, SAMPLE, SKETCH = 8, 5, 256
+#: Samples of each text that get a fingerprint, and shingles of a sample.
+SAMPLES, SAMPLE = 16, 5
+
+#: Members of a group whose pairs are listed, at most; larger groups are compared in pairs of chunks of CHUNK.
+LISTED, CHUNK = 8, 256
 
 _MIXERS = np.random.default_rng(11).integers(1, 2**63, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def sampled(text: str | None, words: int) -> tuple[bytes, list[int], bytes]:
-    """Of the text's set of shingles: a hash of the whole set, the SimHash of SAMPLES min-wise samples of it, and its sketch.
+    """Of the text's set of shingles: a hash of the whole set, the SimHash of SAMPLES min-wise samples, and the set itself.
 
-    The sketch holds the SKETCH smallest hashes (their upper halves, ascending), which is all of a shorter text.
+    The set is given by the upper halves of all its hashes, ascending.
     """
     hashes = np.unique(shingle_hashes(text, words).view(">u8").ravel().astype(np.uint64))
     key = xxhash.xxh3_128_digest(hashes.tobytes())
-    sketch = (hashes[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+    whole = np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
     if not len(hashes):
-        return key, [0] * SAMPLES, sketch
+        return key, [0] * SAMPLES, whole
     mixed = (hashes[None, :] ^ _MIXERS[:, :1]) * _MIXERS[:, 1:]
     mixed ^= mixed >> np.uint64(32)
     k = min(SAMPLE, len(hashes))
     chosen = np.argpartition(mixed, k - 1, axis=1)[:, :k] if k < len(hashes) else np.tile(np.arange(k), (SAMPLES, 1))
     bits = np.unpackbits(hashes[chosen].astype(">u8").view(np.uint8).reshape(SAMPLES, k, 8), axis=2)
     found = np.packbits(2 * bits.sum(axis=1, dtype=np.int64) > k, axis=1)
-    return key, found.view(">i8").ravel().tolist(), sketch
-
-
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets from their sketches: exact for sets that fit a sketch, else estimated."""
-    both = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        both = both[: SKETCH if len(both) >= SKETCH else None]
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(both, common, assume_unique=True).sum() / len(both)) if len(both) else 1.0
+    return key, found.view(">i8").ravel().tolist(), whole
+
+
+def set_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - common
+    return common / either if either else 1.0
+
+
+def similar_among(sets: list[np.ndarray], first: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of similar sets: of different sides, or of any two sets if all are ``first``."""
+    left = np.flatnonzero(first)
+    right = left if first.all() else np.flatnonzero(~first)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    members = np.concatenate([sets[k] for k in right]) if len(right) else np.zeros(0, "<u4")
+    owners = np.repeat(np.arange(len(right)), sizes[right])
+    _, codes = np.unique(members, return_inverse=True)
+    values = np.unique(members)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    held = np.zeros(len(values) + 1, bool)
+    for i in left:
+        at = np.searchsorted(values, sets[i])
+        at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[i])] if len(values) else at[:0]
+        held[at] = True
+        common = np.bincount(owners[held[codes]], minlength=len(right))
+        held[at] = False
+        near = right[common >= similarity * (sizes[i] + sizes[right] - common)]
+        near = near[near > i] if right is left else near
+        out.append((np.full(len(near), i), near))
+    return np.concatenate([x[0] for x in out]) if out else left[:0], np.concatenate([x[1] for x in out]) if out else left[:0]
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -270,10 +294,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     One 64-bit SimHash moves by about ten bits at a similarity of 0.8, far beyond what a trie can search. So each text gets
     SAMPLES fingerprints, each of a min-wise sample of SAMPLE shingles, which a similar text shares with a chance of about
-    similarity ** SAMPLE; each sample's fingerprints are joined in a trie of their own. Found pairs are confirmed by their
-    sketches. Texts with the same set of shingles (all without words among them) are one from the start. A group is linked
-    to a member chosen anew for each sample, so it gives links in proportion to its size. Rows that share a doc_id are one
-    document with the first of their texts in order.
+    similarity ** SAMPLE; each sample's fingerprints are joined in a trie of their own. Texts whose fingerprints a trie
+    joins are a group, and all pairs of a group are compared by their whole sets: in small groups as listed pairs, in large
+    ones in pairs of chunks, which give links in proportion to their size. Texts with the same set of shingles (all without
+    words among them) are one from the start. Rows that share a doc_id are one document with the first of their texts in
+    order.
     """
     small_batches(docs.sparkSession)
 
@@ -281,44 +306,81 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         for batch in batches:
             found = [sampled(x, words) for x in batch.column("text").to_pylist()]
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "prints", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "prints", "whole"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    rows = stored(rows.mapInArrow(sample, "doc_id long, key binary, prints array<long>, sketch binary"), "sampled")
+    rows = stored(rows.mapInArrow(sample, "doc_id long, key binary, prints array<long>, whole binary"), "sampled")
     keys = stored(rows.groupBy("doc_id").agg(F.min("key").alias("key")), "shingle-sets")
     firsts = stored(keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-sets")
     texts = rows.join(firsts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     texts = stored(texts, "distinct-texts")
     prints = texts.select("doc_id", F.posexplode("prints").alias("tree", "bits"))
-    order = F.xxhash64("doc_id", "tree")
-    groups = prints.groupBy("tree", "bits").agg(F.min_by("doc_id", order).alias("center"), F.count(F.lit(1)).alias("n"))
-    groups = stored(groups.select(F.struct("tree", "bits").alias("place"), "center", "n", F.xxhash64("tree", "bits").alias("fp")), "print-groups")
-    own = lookup(prints.select("doc_id", F.struct("tree", "bits").alias("place")), groups.where("n > 1").select("place", "center", "n"), "place", "n", SAMPLES * texts.count())
-    near = stored(links(groups.select("fp", F.col("place.bits").alias("bits"), F.col("place.tree").alias("tree"))), "print-links")
-    named = groups.select("fp", "center")
-    across = near.join(named, near["u"] == named["fp"]).select("v", F.col("center").alias("u_doc")).join(named, F.col("v") == F.col("fp")).select(F.col("u_doc").alias("u"), F.col("center").alias("v"))
-    pairs = own.where("center is not null").select(F.col("doc_id").alias("u"), F.col("center").alias("v")).unionByName(across).where("u <> v")
-    pairs = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "similar-candidates")
-    confirmed = _confirmed(pairs, texts.select("doc_id", "sketch"), similarity)
+    prints = prints.select("doc_id", "tree", "bits", F.xxhash64("tree", "bits").alias("fp"))
+    groups = stored(prints.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("tree").alias("tree"), F.count(F.lit(1)).alias("n")), "print-groups")
+    joined = components(stored(links(groups), "print-links"))
+    rooted = stored(groups.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "rooted-prints")
+    sizes = rooted.groupBy("root").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("rows")).where("members > 1")
+    placed = lookup(rooted, stored(sizes, "print-sizes"), "root", "rows", max(1, rooted.count())).where("members > 1")
+    total = SAMPLES * texts.count()
+    placed = stored(placed.select("fp", F.struct("root", "members").alias("group"), "n"), "print-places")
+    members = lookup(prints.select("doc_id", "fp"), placed, "fp", "n", total).where("group is not null").select("doc_id", "group.*")
+    members = stored(members, "group-members")
+    listed = members.where(F.col("members") <= LISTED).groupBy("root").agg(F.sort_array(F.collect_list("doc_id")).alias("x"))
+    pairs = listed.select(F.explode("x").alias("v"), "x").select(F.explode(F.filter("x", lambda u: u > F.col("v"))).alias("u"), "v")
+    confirmed = _confirmed(stored(pairs.distinct(), "similar-candidates"), texts.select("doc_id", "whole"), similarity)
+    confirmed = confirmed.unionByName(_compared(members.where(F.col("members") > LISTED), texts.select("doc_id", "whole"), similarity))
     stars = components(stored(confirmed, "similar-links"))
     named = firsts.join(stars, F.col("first") == F.col("node"), "left").select("key", "n", F.coalesce("root", "first").alias("component_id"))
     return lookup(keys, stored(named, "similar-components"), "key", "n", keys.count()).select("doc_id", "component_id")
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sketches are similar enough."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough."""
     total = max(1, pairs.count())
     for side in ("u", "v"):
         uses = pairs.groupBy(F.col(side).alias("doc_id")).agg(F.count(F.lit(1)).alias("uses"))
-        used = stored(sketches.join(uses, "doc_id").select("doc_id", F.col("sketch").alias(f"{side}_sketch"), "uses"), "used-sketches")
+        used = stored(sets.join(uses, "doc_id").select("doc_id", F.col("whole").alias(f"{side}_whole"), "uses"), "used-sets")
         pairs = lookup(pairs, used.withColumnRenamed("doc_id", side), side, "uses", total)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [
-                sketch_similarity(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) >= similarity
-                for a, b in zip(batch.column("u_sketch").to_pylist(), batch.column("v_sketch").to_pylist(), strict=True)
+                set_similarity(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) >= similarity
+                for a, b in zip(batch.column("u_whole").to_pylist(), batch.column("v_whole").to_pylist(), strict=True)
             ]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.mapInArrow(confirm, "u long, v long")
+
+
+def _compared(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links that join what the similar pairs of each group join; ``members`` has root, members and doc_id."""
+    members = members.withColumn("_chunks", F.ceil(F.col("members") / CHUNK))
+    dealt = members.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("_chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, _chunks - 1L)")))
+    pair = F.xxhash64("root", F.least("b", "other"), F.greatest("b", "other"))
+    dealt = dealt.select("doc_id", pair.alias("pair"), (F.col("b") <= F.col("other")).alias("left"))
+    used = members.groupBy("doc_id").agg(F.sum("_chunks").alias("uses"))
+    used = stored(sets.join(used, "doc_id"), "grouped-sets")
+    met = lookup(dealt, used, "doc_id", "uses", max(1, dealt.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def links_of(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+            ids = np.array([r[0] for r in rows])
+            u, v = similar_among([np.frombuffer(r[2], "<u4") for r in rows], np.array([r[1] for r in rows]), similarity)
+            root = local_roots(len(ids), u, v)
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["u", "v"])
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("pair", "doc_id", "left", "whole")), strict=True):
+                if key != now and held:
+                    yield links_of(held)
+                    held = []
+                now = key
+                held.append(tuple(row))
+        if held:
+            yield links_of(held)
+
+    return met.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "u long, v long")

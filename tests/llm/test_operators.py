@@ -403,3 +403,20 @@ def test_embedding_pairs_within_a_dense_region(spark, monkeypatch):
     found = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(frame).collect()}
     assert all(found[i] <= n for (i, _, _), n in zip(rows, linked, strict=True))
     assert sum(found[i] for i, _, _ in rows) >= 0.96 * linked.sum() > 500
+
+
+def test_similar_documents_that_share_a_passage(spark):
+    """Near copies in a hot group whose members are mostly too far from its centre."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{k}" for k in range(400)]
+    rows, pairs = [], []
+    for k in range(240):
+        own = [f"d{k}x{j}" for j in range(110)]
+        rows.append((2 * k, " ".join(passage + own)))
+        changed = [w if j > 3 else f"c{k}x{j}" for j, w in enumerate(own)]
+        rows.append((2 * k + 1, " ".join(passage + changed)))
+        pairs.append((2 * k, 2 * k + 1))
+    order = rng.permutation(len(rows)).tolist()
+    frame = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, words=5, similarity=0.8).collect()}
+    assert all(found[u] == found[v] == u for u, v in pairs) and len(set(found.values())) == 240
