@@ -420,3 +420,18 @@ def test_similar_documents_that_share_a_passage(spark):
     frame = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, words=5, similarity=0.8).collect()}
     assert all(found[u] == found[v] == u for u, v in pairs) and len(set(found.values())) == 240
+
+
+def test_similarity_of_long_documents_is_exact(spark):
+    rows, want = [], {}
+    for k in range(60):
+        words = [f"w{k}x{j}" for j in range(1200)]
+        same = 1072 if k % 2 else 1056  # of 1196 shingles: similarity 0.807 or 0.784
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:same] + [f"o{k}x{j}" for j in range(1200 - same)]))]
+        want[2 * k] = 2 * k
+        want[2 * k + 1] = 2 * k + (k % 2 == 0)
+    sims = [(s - 4) / (2 * 1196 - (s - 4)) for s in (1072, 1056)]
+    assert sims[0] > 0.8 > sims[1] and sims[0] < 0.815
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()}
+    assert all(found[k] == v for k, v in want.items() if k % 4 < 2)
+    assert sum(found[k] == v for k, v in want.items()) >= 118
