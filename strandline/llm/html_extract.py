@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from strandline.llm.shared import lookup, small_batches, stored
 #: Hosts whose winning paths are broadcast, at most; more of them meet their pages in a shuffle join.
 HOSTS = 200_000
 
-#: Bytes of a generalised path at most; deeper paths keep their end.
+#: Characters of a generalised path at most; longer ones are a hash of the whole with their end.
 PATH_BYTES = 300
 
 #: Elements whose content is never text of an article.
@@ -60,10 +61,21 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("aside", "parent", "path", "score", "tag")
+    __slots__ = ("aside", "header", "parent", "path", "score", "tag", "titled", "within")
 
     def __init__(self, tag: str, parent: Element | None, path: str, aside: bool):
         self.tag, self.parent, self.path, self.aside, self.score = tag, parent, path, aside, 0.0
+        #: In a header; in an article, main or section; in a header that is in one of these.
+        self.header = tag == "header" or (parent is not None and parent.header)
+        self.within = tag in ("article", "main", "section") or (parent is not None and parent.within)
+        self.titled = parent is not None and (parent.titled or (tag == "header" and parent.within))
+
+
+def _bounded(path: str) -> str:
+    """The path, or if it is long a hash of it with its end: different paths stay different."""
+    if len(path) <= PATH_BYTES:
+        return path
+    return "#" + xxhash.xxh3_128_hexdigest(path.encode("utf-8", "surrogatepass")) + path[33 - PATH_BYTES :]
 
 
 def _opened(tag: str, rest: str, parent: Element) -> Element:
@@ -79,7 +91,7 @@ def _opened(tag: str, rest: str, parent: Element) -> Element:
                 aside |= value in ASIDE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                 aside |= key == "hidden" or tag not in ("body", "html")
-    return Element(tag, parent, f"{parent.path}/{name}"[-PATH_BYTES:], aside)
+    return Element(tag, parent, _bounded(f"{parent.path}/{name}"), aside)
 
 
 def blocks(html: str) -> Iterator[tuple[Element, str, int]]:
@@ -145,7 +157,7 @@ def blocks(html: str) -> Iterator[tuple[Element, str, int]]:
 def page_blocks(html: str | None) -> list[tuple[Element, str, int]]:
     """The blocks that may be text of an article; a header element's only if it holds a heading within a container."""
     found = [x for x in blocks(html or "") if not x[0].aside]
-    return [x for x in found if "/header" not in x[0].path or (x[0].tag[0] == "h" and x[0].tag[1:].isdigit() and re.search(r"/(article|main|section)\b.*/header", x[0].path))]
+    return [x for x in found if not x[0].header or (x[0].titled and x[0].tag[0] == "h" and x[0].tag[1:].isdigit())]
 
 
 def best_path(found: list[tuple[Element, str, int]]) -> str | None:

@@ -435,3 +435,13 @@ def test_similarity_of_long_documents_is_exact(spark):
     found = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()}
     assert all(found[k] == v for k, v in want.items() if k % 4 < 2)
     assert sum(found[k] == v for k, v in want.items()) >= 118
+
+
+def test_html_headers_under_long_classes():
+    long = " ".join(f"category-{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    read = lambda html: [text for _, text, _ in html_extract.page_blocks(html)]
+    assert read(f'<article><div class="{long}"><header><h1>Title</h1><p>by</p></header><p>Text</p></div></article>') == ["Title", "Text"]
+    assert read(f'<body><header><div class="{long}"><p>Shop</p></div></header><main><p>Text</p></main></body>') == ["Text"]
+    pages = [f'<body><{tag}><div class="{long}"><p>Words of the text</p></div></{tag}></body>' for tag in ("main", "section")]
+    paths = [html_extract.page_blocks(x)[0][0].parent.path for x in pages]
+    assert paths[0] != paths[1] and max(map(len, paths)) <= html_extract.PATH_BYTES
