@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.shared import small_batches, stored
+from strandline.llm.shared import release_memory, small_batches, stored
 from strandline.llm.tokenise import encoder
 
 PLAN = "length long, rank_from long, rank_to long, first_sequence long, each long, room_used long"
@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.Table]:
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.Table]:
     """Tables of successive batches, each closed once it holds ``most_bytes``, so that words repeat within it.
 
     Freed memory goes back to the system after each table: a worker that lives on must not keep its peak.
@@ -76,11 +76,11 @@ def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> It
         if size >= most_bytes:
             yield pa.Table.from_batches(held)
             held, size = [], 0
-            pa.default_memory_pool().release_unused()
+            release_memory()
     if held:
         yield pa.Table.from_batches(held)
     held = []
-    pa.default_memory_pool().release_unused()
+    release_memory()
 
 
 def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int, int]]:

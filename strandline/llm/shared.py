@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,9 +20,11 @@ HEAVY_SHARE = 1000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only in local mode, where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandline-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir() or root
@@ -28,10 +32,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(frame: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The table goes when the application ends.
+    """
     spark = frame.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -41,12 +50,26 @@ def added_to(schema: StructType) -> StructType:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small unless the session already asks for smaller ones."""
+    """Keep Arrow batches of whole texts small unless the session already asks for smaller ones.
+
+    The setting is read when a plan runs, which may be long after it was made, so it stays set for the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
+#: The C library's call that gives freed memory back, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker that lives on must not keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, rows_of: str, total: int) -> DataFrame:
     """Left join on a key that is unique in ``right``; ``rows_of`` there counts the key's rows in ``left``.
 
@@ -75,8 +98,9 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start+1, ... of every span, one after another."""
     lengths = np.asarray(lengths, dtype=np.int64)
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
+    out = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    out += np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
+    return out
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:

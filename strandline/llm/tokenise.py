@@ -7,6 +7,7 @@ library, and cut apart again where a token ends a word.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -15,8 +16,8 @@ import pyarrow.compute as pc
 
 from strandline.llm.shared import spans
 
-#: Words whose ids a Python worker remembers from one batch to the next.
-REMEMBERED = 700_000
+#: Strings whose ids a Python worker remembers from one batch to the next, and strings that the library encodes at once.
+REMEMBERED, AT_ONCE = 700_000, 40_000
 
 #: Composed Latin letters whose lower case is one letter again, and closing marks that never start a contraction: one or
 #: two pre-tokens, which the library's normaliser would only put in lower case.
@@ -24,6 +25,39 @@ PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 CLOSED = "^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)$"
 
 
+class Memory:
+    """Ids of strings met before, as Arrow and numpy columns; ``learn`` gives (ids, starts, lengths) of new strings."""
+
+    def __init__(self, learn: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self.forget()
+
+    def forget(self) -> None:
+        self.strings = pa.array([], pa.large_string())
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def rows(self, distinct: pa.Array) -> np.ndarray:
+        """The row of each string: its ids are ids[starts[k] : starts[k] + lengths[k]]."""
+        at = pc.index_in(distinct, value_set=self.strings)
+        if at.null_count:
+            new = distinct.filter(pc.is_null(at))
+            if len(self.strings) + len(new) > REMEMBERED:
+                self.forget()
+                new = distinct
+            for first in range(0, len(new), AT_ONCE):
+                ids, starts, lengths = self.learn(new.slice(first, AT_ONCE))
+                self.starts = np.concatenate([self.starts, len(self.ids) + starts])
+                self.ids = np.concatenate([self.ids, ids])
+                self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
+            self.strings = pa.concat_arrays([self.strings, new])
+            at = pc.index_in(distinct, value_set=self.strings)
+        return at.to_numpy(zero_copy_only=False)
+
+    def spelled(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the strings of these rows, one after another."""
+        return self.ids[spans(self.starts[rows], self.lengths[rows])]
+
+
 class WordEncoder:
     """Token ids of texts by the vocabulary file at ``path``; the same ids as the library gives for whole texts."""
 
@@ -31,12 +65,11 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         #: The same model for words in normal form that white space cuts into pre-tokens.
-        self.direct = Tokenizer.from_file(path)
-        self.direct.normalizer = normalizers.Sequence([])
+        self.direct = Tokenizer(self.library.model)
         self.direct.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)]
         )
@@ -44,12 +77,7 @@ class WordEncoder:
         self.ends_word = np.zeros(size, dtype=bool)
         for token, number in self.library.get_vocab(with_added_tokens=True).items():
             self.ends_word[number] = token.endswith("</w>")
-        self._forget()
-
-    def _forget(self) -> None:
-        #: Word to its row; row k's ids are ids[starts[k] : starts[k] + lengths[k]].
-        self.known: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memory = Memory(self._learn)
 
     def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
@@ -69,23 +97,19 @@ class WordEncoder:
             raise ValueError("a vocabulary without word ends")
         return ids, np.diff(cuts[last - 1], prepend=0)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self._forget()
-        column = pa.array(words, pa.string())
-        plain = pc.match_substring_regex(column, PLAIN).to_numpy(zero_copy_only=False)
-        closed = pc.match_substring_regex(column, CLOSED).to_numpy(zero_copy_only=False)
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False)
+        closed = pc.match_substring_regex(words, CLOSED).to_numpy(zero_copy_only=False)
         simple = np.flatnonzero(plain | closed)
         other = np.flatnonzero(~(plain | closed))
-        spaced = pc.replace_substring_regex(column.take(pa.array(simple)), CLOSED, r"\1 \2").to_pylist()
+        spaced = pc.replace_substring_regex(words.take(pa.array(simple)), CLOSED, r"\1 \2").to_pylist()
         ids_a, lengths_a = self._in_lines(spaced, 1 + closed[simple].astype(np.int64))
-        ids_b, lengths_b = self._one_by_one([words[i] for i in other])
-        lengths = np.concatenate([lengths_a, lengths_b])
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        first = len(self.known)
-        self.known.update((words[i], first + k) for k, i in enumerate(np.concatenate([simple, other]).tolist()))
-        self.ids = np.concatenate([self.ids, ids_a, ids_b])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        ids_b, lengths_b = self._one_by_one(words.take(pa.array(other)).to_pylist())
+        starts, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        lengths[simple], lengths[other] = lengths_a, lengths_b
+        starts[simple] = np.cumsum(lengths_a) - lengths_a
+        starts[other] = len(ids_a) + np.cumsum(lengths_b) - lengths_b
+        return np.concatenate([ids_a, ids_b]), starts, lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), and the number of ids of each text."""
@@ -95,17 +119,10 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(texts)
         counts = np.diff(words.offsets.to_numpy())
         distinct = words.flatten().dictionary_encode()
-        names = distinct.dictionary.to_pylist()
-        if new := [w for w in names if w not in self.known]:
-            before = len(self.known)
-            self._learn(new)
-            if len(self.known) < before + len(new):
-                self._learn([w for w in names if w not in self.known])
-        rows = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[distinct.indices.to_numpy()]
-        each = self.lengths[rows]
-        ends = np.concatenate([[0], np.cumsum(each)])
+        rows = self.memory.rows(distinct.dictionary)[distinct.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(self.memory.lengths[rows], dtype=np.int64)])
         edges = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[spans(self.starts[rows], each)], np.diff(ends[edges])
+        return self.memory.spelled(rows), np.diff(ends[edges])
 
 
 @lru_cache(maxsize=2)
