@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
-from strandline.llm.shared import local_roots, lookup, small_batches, stored
+from strandline.llm.shared import local_roots, lookup, release_memory, sized, small_batches, stored
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -37,8 +37,11 @@ CUTS = ((0, 16, 16), (16, 12, 12), (28, 9, 9), (37, 7, 6))
 #: Fingerprints of a subtree that one task walks, at most; larger ones are cut again.
 HEAVY = 1 << 17
 
+#: Hashes of subtrees that are counted first.
+BUCKETS = 1 << 12
+
 #: Node pairs that a task holds at once, about.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -98,14 +101,20 @@ def subtrees(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     rows = distinct.select("fp", F.col("tree").cast("long").alias("subtree"), F.col("bits").alias("turned"))
     done = []
     for k, (path, step, bits) in enumerate(CUTS):
-        rows = stored(_cut(rows, path, step, bits), "subtrees")
+        rows = _cut(rows, path, step, bits)
         if k + 1 == len(CUTS):
             break
-        large = stored(rows.groupBy("subtree").count().where(F.col("count") > heavy).select("subtree"), "heavy-subtrees")
+        # counts over hashes of subtrees tell at little cost which subtrees to count at all
+        bucket = F.pmod(F.col("subtree"), F.lit(BUCKETS))
+        full = stored(rows.groupBy(bucket.alias("bucket")).count().where(F.col("count") > heavy).select("bucket"), "full-buckets")  # at most BUCKETS rows
+        if full.isEmpty():
+            break
+        counted = rows.join(F.broadcast(full), bucket == F.col("bucket"), "left_semi").groupBy("subtree").count()
+        large = stored(counted.where(F.col("count") > heavy).select("subtree"), "heavy-subtrees")
         if large.isEmpty():
             break
         done.append(rows.join(large, "subtree", "left_anti").select("fp", "subtree", "turned"))
-        rows = rows.join(large, "subtree", "left_semi").select("fp", "subtree", "turned")
+        rows = stored(rows.join(large, "subtree", "left_semi").select("fp", "subtree", "turned"), "subtrees")
     for other in done:
         rows = rows.unionByName(other)
     return rows
@@ -209,6 +218,8 @@ def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
                 held, size = table.slice(last).to_batches(), table.num_rows - last
         if held:
             yield joined(pa.Table.from_batches(held))
+        held = []
+        release_memory()
 
     placed = subtrees(distinct, heavy).repartition("subtree").sortWithinPartitions("subtree")
     return placed.mapInArrow(walk, "u long, v long")
@@ -234,8 +245,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, heavy: int = HEAVY) -> Data
 #: Samples of each text that get a fingerprint, and shingles of a sample.
 SAMPLES, SAMPLE = 16, 5
 
-#: Members of a group whose pairs are listed, at most; larger groups are compared in pairs of chunks of CHUNK.
-LISTED, CHUNK = 8, 256
+#: Members of a chunk: a larger group is compared in pairs of chunks. Members, about, that stand for a group in each chunk
+#: while chunks are first compared alone, and the samples whose groups are.
+CHUNK, LEADERS, FIRST = 256, 8, 4
 
 _MIXERS = np.random.default_rng(11).integers(1, 2**63, (SAMPLES, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -250,10 +262,14 @@ def sampled(text: str | None, words: int) -> tuple[bytes, list[int], bytes]:
     whole = np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
     if not len(hashes):
         return key, [0] * SAMPLES, whole
-    mixed = (hashes[None, :] ^ _MIXERS[:, :1]) * _MIXERS[:, 1:]
-    mixed ^= mixed >> np.uint64(32)
     k = min(SAMPLE, len(hashes))
-    chosen = np.argpartition(mixed, k - 1, axis=1)[:, :k] if k < len(hashes) else np.tile(np.arange(k), (SAMPLES, 1))
+    chosen = np.tile(np.arange(k), (SAMPLES, 1))
+    at_once = max(1, (1 << 18) // len(hashes))  # samples of a very long text are taken one after another
+    for first in range(0, SAMPLES if k < len(hashes) else 0, at_once):
+        own = _MIXERS[first : first + at_once]
+        mixed = (hashes[None, :] ^ own[:, :1]) * own[:, 1:]
+        mixed ^= mixed >> np.uint64(32)
+        chosen[first : first + at_once] = np.argpartition(mixed, k - 1, axis=1)[:, :k]
     bits = np.unpackbits(hashes[chosen].astype(">u8").view(np.uint8).reshape(SAMPLES, k, 8), axis=2)
     found = np.packbits(2 * bits.sum(axis=1, dtype=np.int64) > k, axis=1)
     return key, found.view(">i8").ravel().tolist(), whole
@@ -295,10 +311,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     One 64-bit SimHash moves by about ten bits at a similarity of 0.8, far beyond what a trie can search. So each text gets
     SAMPLES fingerprints, each of a min-wise sample of SAMPLE shingles, which a similar text shares with a chance of about
     similarity ** SAMPLE; each sample's fingerprints are joined in a trie of their own. Texts whose fingerprints a trie
-    joins are a group, and all pairs of a group are compared by their whole sets: in small groups as listed pairs, in large
-    ones in pairs of chunks, which give links in proportion to their size. Texts with the same set of shingles (all without
-    words among them) are one from the start. Rows that share a doc_id are one document with the first of their texts in
-    order.
+    joins are a group, and the pairs of a group are compared by their whole sets, but for pairs that are joined already:
+    first the groups of FIRST samples, large ones in chunks that each hold the group's leaders, which joins near copies at a
+    cost in proportion to their number; then every group that still holds different components, in pairs of chunks. Texts
+    with the same set of shingles (all without words among them) are one from the start. Rows that share a doc_id are one
+    document with the first of their sets in order. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 
@@ -307,68 +324,87 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             found = [sampled(x, words) for x in batch.column("text").to_pylist()]
             columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int64()), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "key", "prints", "whole"])
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     rows = stored(rows.mapInArrow(sample, "doc_id long, key binary, prints array<long>, whole binary"), "sampled")
     keys = stored(rows.groupBy("doc_id").agg(F.min("key").alias("key")), "shingle-sets")
     firsts = stored(keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-sets")
-    texts = rows.join(firsts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    texts = stored(texts, "distinct-texts")
-    prints = texts.select("doc_id", F.posexplode("prints").alias("tree", "bits"))
-    prints = prints.select("doc_id", "tree", "bits", F.xxhash64("tree", "bits").alias("fp"))
-    groups = stored(prints.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("tree").alias("tree"), F.count(F.lit(1)).alias("n")), "print-groups")
-    joined = components(stored(links(groups), "print-links"))
-    rooted = stored(groups.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "rooted-prints")
-    sizes = rooted.groupBy("root").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("rows")).where("members > 1")
-    placed = lookup(rooted, stored(sizes, "print-sizes"), "root", "rows", max(1, rooted.count())).where("members > 1")
-    total = SAMPLES * texts.count()
-    placed = stored(placed.select("fp", F.struct("root", "members").alias("group"), "n"), "print-places")
-    members = lookup(prints.select("doc_id", "fp"), placed, "fp", "n", total).where("group is not null").select("doc_id", "group.*")
-    members = stored(members, "group-members")
-    listed = members.where(F.col("members") <= LISTED).groupBy("root").agg(F.sort_array(F.collect_list("doc_id")).alias("x"))
-    pairs = listed.select(F.explode("x").alias("v"), "x").select(F.explode(F.filter("x", lambda u: u > F.col("v"))).alias("u"), "v")
-    confirmed = _confirmed(stored(pairs.distinct(), "similar-candidates"), texts.select("doc_id", "whole"), similarity)
-    confirmed = confirmed.unionByName(_compared(members.where(F.col("members") > LISTED), texts.select("doc_id", "whole"), similarity))
-    stars = components(stored(confirmed, "similar-links"))
+    owners = firsts.select("key", F.col("first").alias("doc_id"))
+    prints = rows.select("doc_id", "key", "prints").join(owners, ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    members = _grouped(stored(prints.select("doc_id", "prints"), "sample-prints"))
+    found = stored(_compared(_different(members.where(F.col("tree") < FIRST)), rows, keys, similarity, False), "similar-links")
+    stars = components(found)
+    rest = members.where((F.col("tree") >= FIRST) | (F.col("members") > CHUNK))
+    found = found.unionByName(stored(_compared(_different(_apart(rest, stars)), rows, keys, similarity, True), "similar-links"))
+    stars = components(found)
     named = firsts.join(stars, F.col("first") == F.col("node"), "left").select("key", "n", F.coalesce("root", "first").alias("component_id"))
     return lookup(keys, stored(named, "similar-components"), "key", "n", keys.count()).select("doc_id", "component_id")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
-    total = max(1, pairs.count())
-    for side in ("u", "v"):
-        uses = pairs.groupBy(F.col(side).alias("doc_id")).agg(F.count(F.lit(1)).alias("uses"))
-        used = stored(sets.join(uses, "doc_id").select("doc_id", F.col("whole").alias(f"{side}_whole"), "uses"), "used-sets")
-        pairs = lookup(pairs, used.withColumnRenamed("doc_id", side), side, "uses", total)
+def _grouped(prints: DataFrame) -> DataFrame:
+    """(doc_id, root, members, tree): the groups of two or more documents whose samples' fingerprints a trie joins."""
+    each = prints.select("doc_id", F.posexplode("prints").alias("tree", "bits")).withColumn("fp", F.xxhash64("tree", "bits"))
+    groups = stored(each.groupBy("fp").agg(F.first("bits").alias("bits"), F.first("tree").alias("tree"), F.count(F.lit(1)).alias("n")), "print-groups")
+    joined = components(stored(links(groups), "print-links"))
+    rooted = groups.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "tree", "n", F.coalesce("root", "fp").alias("root"))
+    near = stored(rooted.where(F.col("fp") != F.col("root")).select("root").distinct(), "joined-roots")
+    alone = rooted.join(near, "root", "left_anti").where("n > 1").select("fp", "tree", "n", "root", F.col("n").alias("members"))
+    more = stored(rooted.join(near, "root", "left_semi"), "rooted-prints")
+    sizes = stored(more.groupBy("root").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("rows")), "print-sizes")
+    more = lookup(more, sizes, "root", "rows", max(1, more.count())).select("fp", "tree", "n", "root", "members")
+    placed = stored(alone.unionByName(more).select("fp", F.struct("root", "members", "tree").alias("group"), "n"), "print-places")
+    met = lookup(each.select("doc_id", "fp"), placed, "fp", "n", SAMPLES * prints.count())
+    return stored(met.where("group is not null").select("doc_id", "group.*"), "group-members")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [
-                set_similarity(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) >= similarity
-                for a, b in zip(batch.column("u_whole").to_pylist(), batch.column("v_whole").to_pylist(), strict=True)
-            ]
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(confirm, "u long, v long")
+def _different(members: DataFrame) -> DataFrame:
+    """``members`` without groups that hold the same documents as another group."""
+    same = members.groupBy("root").agg(F.first("members").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("y"))
+    one = stored(same.groupBy("members", "x", "y").agg(F.min("root").alias("root")).select("root", F.col("members").alias("uses"), F.lit(True).alias("met")), "different-groups")
+    return lookup(members, one, "root", "uses", max(1, members.count())).where("met").drop("met")
 
 
-def _compared(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): links that join what the similar pairs of each group join; ``members`` has root, members and doc_id."""
-    members = members.withColumn("_chunks", F.ceil(F.col("members") / CHUNK))
-    dealt = members.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("_chunks"))).withColumn("other", F.explode(F.expr("sequence(0L, _chunks - 1L)")))
-    pair = F.xxhash64("root", F.least("b", "other"), F.greatest("b", "other"))
-    dealt = dealt.select("doc_id", pair.alias("pair"), (F.col("b") <= F.col("other")).alias("left"))
-    used = members.groupBy("doc_id").agg(F.sum("_chunks").alias("uses"))
-    used = stored(sets.join(used, "doc_id"), "grouped-sets")
-    met = lookup(dealt, used, "doc_id", "uses", max(1, dealt.count()))
+def _apart(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """``members`` of the groups that hold different components."""
+    placed = members.join(stars.withColumnRenamed("root", "component"), F.col("doc_id") == F.col("node"), "left")
+    spread = placed.groupBy("root").agg(F.min(F.coalesce("component", "doc_id")).alias("low"), F.max(F.coalesce("component", "doc_id")).alias("high"), F.first("members").alias("uses"))
+    kept = stored(spread.where("low < high").select("root", "uses", F.lit(True).alias("met")), "open-groups")
+    return stored(lookup(members, kept, "root", "uses", max(1, members.count())).where("met").drop("met"), "open-members")
+
+
+def _compared(members: DataFrame, rows: DataFrame, keys: DataFrame, similarity: float, pairs: bool) -> DataFrame:
+    """(u, v): links that join what the similar pairs of each group join; ``members`` has root, members and doc_id.
+
+    A group is dealt over chunks. With ``pairs`` every pair of chunks is compared; without, each chunk with itself and with
+    the group's leaders.
+    """
+    members = stored(members.select("root", "members", "doc_id"), "compared-members")
+    chunks = F.ceil(F.col("members") / CHUNK)
+    dealt = members.withColumn("_chunks", chunks).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("_chunks")))
+    every = F.expr("sequence(0L, _chunks - 1L)")
+    if pairs:
+        dealt = dealt.withColumn("other", F.explode(every))
+        cell, left = F.xxhash64("root", F.least("b", "other"), F.greatest("b", "other")), F.col("b") <= F.col("other")
+    else:
+        leads = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("members")) < LEADERS
+        dealt = dealt.withColumn("other", F.explode(F.when(leads, every).otherwise(F.array("b"))))
+        cell, left = F.xxhash64("root", "other"), F.lit(True)
+    dealt = dealt.select("doc_id", cell.alias("pair"), left.alias("left"))
+    uses = stored(dealt.groupBy("doc_id").agg(F.count(F.lit(1)).alias("uses")).join(keys, "doc_id"), "compared-documents")
+    held = rows.select("doc_id", "key", "whole").join(sized(uses, 1_000_000), ["doc_id", "key"]).dropDuplicates(["doc_id"])
+    met = lookup(dealt, stored(held.select("doc_id", "whole", "uses"), "compared-sets"), "doc_id", "uses", max(1, dealt.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def links_of(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
-            ids = np.array([r[0] for r in rows])
-            u, v = similar_among([np.frombuffer(r[2], "<u4") for r in rows], np.array([r[1] for r in rows]), similarity)
+            ids, sets = np.array([r[0] for r in rows]), [np.frombuffer(r[2], "<u4") for r in rows]
+            if len(rows) == 2:
+                u = np.zeros(int(set_similarity(*sets) >= similarity), np.int64)
+                v = u + 1
+            else:
+                u, v = similar_among(sets, np.array([r[1] for r in rows]), similarity)
             root = local_roots(len(ids), u, v)
             moved = np.flatnonzero(root != np.arange(len(ids)))
             return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["u", "v"])
@@ -382,5 +418,6 @@ def _compared(members: DataFrame, sets: DataFrame, similarity: float) -> DataFra
                 held.append(tuple(row))
         if held:
             yield links_of(held)
+        release_memory()
 
     return met.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "u long, v long")
