@@ -22,25 +22,34 @@ from strandline.llm.shared import added_to, small_batches, stored
 
 SIZES, BITS = range(1, 4), 15
 
-#: Labelled documents learnt from, for each language, about (a threshold on a hash of doc_id).
-PER_LANGUAGE = 1500
+#: Labelled documents learnt from, for each language, about (a threshold on a hash of doc_id), and languages at most: the
+#: broadcast matrix has 2**BITS rows of one float each, 32 MB at 128 languages. Defaults of ``fit``.
+PER_LANGUAGE, LANGUAGES = 1500, 128
 
-#: Languages at most: the matrix has 2**BITS rows of one float each.
-LANGUAGES = 512
+#: Matrix cells that scoring holds at once, about.
+CELLS = 4 << 20
 
 SMOOTHING = 0.5
 
 UNKNOWN = "und"
 
 #: Bytes of text that a worker holds as code points at once, about.
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 3 << 19
 
 
-def bounded_sample(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """Rows whose hash of doc_id is low enough that about ``most`` rows of each group are left."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+def bounded_sample(rows: DataFrame, group: str, most: int, groups: int) -> tuple[DataFrame, dict]:
+    """Rows whose hash of doc_id is low enough that about ``most`` rows of each group are left, and all groups' sizes.
+
+    ValueError if there are over ``groups`` groups: their sizes are sent to every task.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().limit(groups + 1).collect()}
+    if len(sizes) > groups:
+        raise ValueError(f"over {groups} values of {group}: the model would not fit a broadcast")
+    if not sizes:
+        return rows, sizes
+    own = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col(group))
     share = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return rows.join(F.broadcast(sizes), group).where(share * F.col("_n") < most).drop("_n")
+    return rows.where(share * own < most), sizes
 
 
 def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,44 +71,42 @@ class Model:
         """The best language's index (-1: no letter) and its posterior probability."""
         points, lengths, lettered = _points(texts)
         total = np.tile(self.prior, (len(lengths), 1))
-        for owner, bucket in ngrams.hashed(points, lengths, SIZES, BITS):
+        for owner, bucket in ngrams.hashed(points, lengths, SIZES, BITS, min(ngrams.CHUNK, max(1 << 10, CELLS // len(self.languages)))):
             ngrams.summed(owner, self.matrix[bucket], total)
         best = total.argmax(axis=1)
         spread = np.exp(np.minimum(total - total.max(axis=1, keepdims=True), 0.0))
         return np.where(lettered, best, -1), np.where(lettered, 1.0 / spread.sum(axis=1), 0.0)
 
 
-def fit(docs: DataFrame, learn_from: Column) -> Model:
-    """Learn from a sample of the rows of ``docs`` where ``learn_from`` holds and doc_id, lang and text are there."""
+def fit(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """Learn from a sample of the rows of ``docs`` where ``learn_from`` holds and doc_id, lang and text are there.
+
+    About ``per_language`` documents of each language are learnt from; over ``languages`` languages are an error, as the
+    matrix would no longer fit a broadcast. Nothing to learn from gives a model without languages.
+    """
     small_batches(docs.sparkSession)
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = bounded_sample(rows.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", PER_LANGUAGE)
-    languages = sorted(r[0] for r in chosen.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages: the matrix would not fit a broadcast")
-    number = {x: k for k, x in enumerate(languages)}
+    chosen, sizes = bounded_sample(rows.select("doc_id", F.col("lang").cast("string").alias("lang")), "lang", per_language, languages)
+    names = sorted(sizes)
+    number = {x: k for k, x in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages) + 1, 1 << BITS), np.int64)
         for table in gathered(batches, BATCH_BYTES):
             points, lengths, _ = _points(table.column("text"))
-            lang = np.array([number[x] for x in table.column("lang").to_pylist()])
-            counts[-1, : len(languages)] += np.bincount(lang, minlength=len(languages))
-            for owner, bucket in ngrams.hashed(points, lengths, SIZES, BITS):
-                counts[:-1] += np.bincount(lang[owner].astype(np.int64) << BITS | bucket, minlength=len(languages) << BITS).reshape(-1, 1 << BITS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["cell", "n"])
-
-    keys = stored(chosen.select("doc_id", "lang"), "language-sample")
-    sample = rows.select("doc_id", F.col("text").cast("string")).join(F.broadcast(keys.select("doc_id", "lang").distinct()), "doc_id")
+            lang = np.array([number[x] for x in table.column("lang").to_pylist()], np.int64)
+            found = [(len(names) << BITS) + lang, *(lang[owner] << BITS | bucket for owner, bucket in ngrams.hashed(points, lengths, SIZES, BITS))]
+            for cells in found:
+                at, n = np.unique(cells, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["cell", "n"])
+
+    keys = stored(chosen.select("doc_id", "lang").distinct(), "language-sample")
+    sample = rows.select("doc_id", F.col("text").cast("string")).join(F.broadcast(keys), "doc_id")
     cells = sample.select("lang", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(languages) + 1) << BITS)
+    counts = np.zeros((len(names) << BITS) + len(names))
     counts[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(float)
-    counts = counts.reshape(-1, 1 << BITS)
-    seen = counts[-1, : len(languages)]
-    smooth = counts[:-1] + SMOOTHING
-    matrix = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T
-    return Model(languages, np.ascontiguousarray(matrix, np.float64), np.log((seen + 1.0) / (seen + 1.0).sum()) if languages else np.zeros(0))
+    grams, seen = counts[: len(names) << BITS].reshape(len(names), 1 << BITS) + SMOOTHING, counts[len(names) << BITS :]
+    matrix = np.log(grams / grams.sum(axis=1, keepdims=True)).T
+    return Model(names, np.ascontiguousarray(matrix, np.float64), np.log((seen + 1.0) / (seen + 1.0).sum()) if names else np.zeros(0))
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,14 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Code points hashed at once; bounds a worker's memory, also within a very long text.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
-_LETTERS = np.fromiter((chr(k).isalpha() for k in range(0x10000)), bool, 0x10000)
+_LETTERS = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
 
 def is_letter(points: np.ndarray) -> np.ndarray:
-    """Letters among code points; those past the basic plane count as letters."""
-    return _LETTERS[np.minimum(points, 0xFFFF)] | (points > 0xFFFF)
+    """Which code points are letters by their Unicode category."""
+    return _LETTERS[points]
 
 
 def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -26,12 +26,12 @@ def code_points(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), lengths
 
 
-def hashed(points: np.ndarray, lengths: np.ndarray, sizes: range, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def hashed(points: np.ndarray, lengths: np.ndarray, sizes: range, bits: int, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(owner, bucket) of every n-gram that lies within one string, in chunks; owners never decrease within a chunk."""
     owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     u = np.uint64
-    for a in range(0, len(points), CHUNK):
-        b = min(len(points), a + CHUNK)
+    for a in range(0, len(points), chunk):
+        b = min(len(points), a + chunk)
         h = np.zeros(b - a, u)
         for n in range(1, sizes.stop):
             end = min(b, len(points) - n + 1)
