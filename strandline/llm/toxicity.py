@@ -21,16 +21,20 @@ from strandline.llm import ngrams
 from strandline.llm import words as W
 from strandline.llm.langid import bounded_sample
 from strandline.llm.packing import gathered
-from strandline.llm.shared import added_to, small_batches, stored
+from strandline.llm.shared import added_to, release_memory, small_batches, stored
 
 SIZES, BITS, WIDTH = range(3, 6), 18, 4
 
-#: Labelled rows of each class that training takes, about; characters of the sample's texts at most on the driver.
-PER_CLASS, SAMPLE_CHARS = 1500, 30_000_000
+#: Labelled rows of each class that training takes, about, and the longest text it takes: the sample that reaches the
+#: driver holds at most about 2 * PER_CLASS * MOST_CHARS characters. Defaults of ``fit``.
+PER_CLASS, MOST_CHARS = 1500, 20_000
+
+#: Parts of the sample that are each scored by a model of the other parts, to set the bias.
+PARTS = 3
 
 #: n-grams are learnt if their share of the sample's texts leans to one class by so many standard errors (estimated with
 #: PROBES random signs); the others would only name single documents.
-LEAST_LEAN, PROBES = 3.0, 24
+LEAST_LEAN, PROBES = 2.5, 24
 
 ROUNDS, RATE, SCALE, SEED = 60, 0.1, 100.0, 3
 
@@ -134,23 +138,43 @@ def train(texts: pa.Array, toxic: np.ndarray) -> Model:
     return Model((values["e"] @ lean).astype(np.float64), float(values["b"][0, 1] - values["b"][0, 0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Model:
+def balanced(texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float]) -> Model:
+    """A model of all the texts; its bias is moved to where texts that a model hasn't seen have the least log loss.
+
+    For that each of PARTS parts is scored by a model of the others; classes weigh as much as their own ``shares``.
+    """
+    model = train(texts, toxic)
+    part = np.arange(len(toxic)) % PARTS
+    logit = np.zeros(len(toxic))
+    if min(toxic.sum(), len(toxic) - toxic.sum()) < PARTS:
+        return model
+    for k in range(PARTS):
+        own = part == k
+        chance = np.clip(train(texts.filter(pa.array(~own)), toxic[~own]).scores(texts.filter(pa.array(own))), 1e-12, 1 - 1e-12)
+        logit[own] = np.log(chance / (1 - chance))
+        release_memory()
+    weight = np.where(toxic == 1, shares[1] / toxic.sum(), shares[0] / (len(toxic) - toxic.sum()))
+    moves = np.arange(-6, 6.01, 0.05)
+    loss = [float(weight @ np.logaddexp(0, np.where(toxic == 1, -1, 1) * (logit + move))) for move in moves]
+    return Model(model.weights, model.bias + float(moves[int(np.argmin(loss))]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
     """Train on a balanced sample of the labelled documents where ``learn_from`` (on doc_id) holds.
 
-    Null doc_ids, labels and texts are not learnt from. Without labels of both classes every text gets one score.
+    About ``per_class`` documents of each class are learnt from, none of over ``most_chars`` characters. Null doc_ids, labels
+    and texts are not learnt from; a document with both labels counts as toxic, and of rows that share a doc_id the first text
+    in order counts. Without labels of both classes every text gets one score.
     """
     small_batches(docs.sparkSession)
-    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(learn_from).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = stored(bounded_sample(known, "toxic", PER_CLASS), "toxicity-sample")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).where("text is not null")
-    sample = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * PER_CLASS).toPandas()
-    sample = sample[sample["text"].str.len().cumsum() <= SAMPLE_CHARS]
-    model = train(pa.array(sample["text"].tolist(), pa.string()), sample["toxic"].to_numpy(np.int64))
-    whole = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    own = sample["toxic"].value_counts()
-    if len(whole) == 2 and len(own) == 2:  # half way back to the classes' own shares, which the sample levelled
-        model.bias += 0.5 * (np.log(whole[1] / whole[0]) - np.log(own[1] / own[0]))
-    return model
+    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where(learn_from & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen, sizes = bounded_sample(known, "toxic", per_class, 2)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).where(F.length("text") <= most_chars)
+    sample = rows.join(F.broadcast(stored(chosen, "toxicity-sample")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = sample.toPandas().sort_values("doc_id")
+    total = max(1, sum(sizes.values()))
+    return balanced(pa.array(sample["text"].tolist(), pa.string()), sample["toxic"].to_numpy(np.int64), (sizes.get(0, 0) / total, sizes.get(1, 0) / total))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
