@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.cuckoo import CuckooFilter
@@ -31,8 +31,9 @@ from strandline.llm.shared import added_to, lookup, small_batches, stored
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Keys of a filter shard, about; and bytes of all filters up to which they are broadcast (else the exact join does it all).
-SHARD_KEYS, BROADCAST_BYTES = 250_000, 64 << 20
+#: Keys of a filter shard, about; bytes of all filters up to which they are broadcast; and holders that meet one copy of a
+#: filter beyond that, about.
+SHARD_KEYS, BROADCAST_BYTES, HOLDERS = 250_000, 64 << 20, 1_000_000
 
 
 def line_keys(text: str, min_chars: int) -> list[bytes | None]:
@@ -107,8 +108,13 @@ def build(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> LineIndex:
 def _changed(index: LineIndex, holders: DataFrame, touched: DataFrame) -> LineIndex:
     """The index over new ``holders`` when only the keys of ``touched`` have other holders than before."""
     holders = stored(holders, "line-holders")
-    touched = stored(touched.select("key").distinct(), "line-touched")
-    counts = _counted(holders.join(touched, "key", "left_semi"))
+    rows = touched.groupBy("key").agg(F.count(F.lit(1)).alias("_new"))
+    known = index.refs.select(F.col("key").alias("_known"), F.col("n_docs").alias("_old"))
+    rows = rows.join(known, F.col("key") == F.col("_known"), "left").select("key", (F.col("_new") + F.coalesce("_old", F.lit(0))).alias("rows"))
+    touched = stored(rows, "line-touched")
+    met = lookup(holders, touched.withColumn("met", F.lit(True)), "key", "rows", max(1, holders.count()))
+    counts = _counted(met.where("met"))
+    touched = touched.select("key")
     refs = stored(index.refs.join(touched, "key", "left_anti").unionByName(counts), "line-refs")
     before = _common(index.refs, index.min_docs).join(touched, "key", "left_semi").select("key")
     after = _common(refs, index.min_docs).join(touched, "key", "left_semi").select("key")
@@ -149,11 +155,19 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     return _changed(index, index.holders.join(gone, "doc_id", "left_anti"), touched)
 
 
+def _shard(index: LineIndex) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(index.shards)).cast("int").alias("shard")
+
+
 def _candidates(index: LineIndex) -> DataFrame:
-    """Holders whose key may be common: all that the filters don't rule out, if the filters are small enough to share."""
+    """Holders whose key may be common: all that the filters don't rule out.
+
+    Filters are broadcast while they are small. Beyond that each filter is dealt, in as many copies as its shard's holders
+    ask for, to tasks that read it and then their holders one after another.
+    """
     size = index.filters.agg(F.sum(F.length("data"))).first()[0] or 0
     if size > BROADCAST_BYTES:
-        return index.holders
+        return _met_by_shard(index)
     shared = index.holders.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in index.filters.collect()})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +180,31 @@ def _candidates(index: LineIndex) -> DataFrame:
                     may[shard == k] = own[k].contains(keys[shard == k])
             yield batch.select(["key", "doc_id"]).filter(pa.array(may))
 
-    shard = F.pmod(F.xxhash64("key"), F.lit(index.shards)).cast("int").alias("shard")
-    return index.holders.select("key", "doc_id", shard).mapInArrow(probe, "key binary, doc_id long")
+    return index.holders.select("key", "doc_id", _shard(index)).mapInArrow(probe, "key binary, doc_id long")
+
+
+def _met_by_shard(index: LineIndex) -> DataFrame:
+    copies = max(1, -(-index.holders.count() // (index.shards * HOLDERS)))
+    copy = F.pmod(F.xxhash64("doc_id"), F.lit(copies)).cast("int")
+    holders = index.holders.select(_shard(index), copy.alias("copy"), "key", "doc_id", F.lit(None).cast("binary").alias("data"))
+    filters = index.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), "data")
+    rows = holders.unionByName(filters).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("data").isNull())
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, None  # the shard at hand and its filter, which comes before its holders
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]).tolist() if len(shards) else []
+            for first, last in zip(edges, [*edges[1:], len(shards)], strict=True):
+                part = batch.slice(first, last - first)
+                given = part.column("data").drop_null().to_pylist()
+                if given:
+                    now, own = shards[first], CuckooFilter.of(given[0])
+                part = part.filter(part.column("data").is_null())
+                if part.num_rows and now == shards[first]:
+                    yield part.select(["key", "doc_id"]).filter(pa.array(own.contains(_as_keys(part.column("key").to_pylist()))))
+
+    return rows.mapInArrow(probe, "key binary, doc_id long")
 
 
 def drops(index: LineIndex) -> DataFrame:
@@ -183,7 +220,8 @@ def deduplicated(docs: DataFrame, index: LineIndex) -> DataFrame:
     A line goes if its key is long enough, at least ``min_docs`` indexed documents hold it, and this is not the largest
     doc_id among them; every line of that key in the document goes. A null text is one empty line and stays an empty text.
     Documents with a null doc_id, or that the index doesn't hold, keep all lines. Columns n_lines and n_dropped are
-    replaced. An empty table gives no rows.
+    replaced. Rows that share a doc_id are one document in the index, and each loses its own lines. A very long text is cut
+    in one piece by one task, whole. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
