@@ -48,9 +48,12 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar "
     "navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup "
-    "social sponsor sponsored subscribe toolbar widget".split()
+    "social sponsor sponsored subscribe toolbar widget masthead topbar".split()
 )
 
+#: Pairs of such words of one class or id: a site's header is none of the article's, whose own header may hold its title.
+ASIDE_PAIRS = (frozenset(("site", "header")), frozenset(("site", "branding")), frozenset(("global", "header")))
+
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
@@ -86,7 +89,8 @@ def _opened(tag: str, rest: str, parent: Element) -> Element:
             if key == "class" and value:
                 name = tag + "." + ".".join(sorted(set(re.sub(r"\d+", "#", value).split())))
             if key in ("class", "id"):
-                aside |= tag not in ("body", "html") and not ASIDE_WORDS.isdisjoint(WORD.findall(value))
+                found = set(WORD.findall(value))
+                aside |= tag not in ("body", "html") and (not ASIDE_WORDS.isdisjoint(found) or any(pair <= found for pair in ASIDE_PAIRS))
             elif key == "role":
                 aside |= value in ASIDE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
