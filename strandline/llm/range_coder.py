@@ -2,10 +2,11 @@
 
 Blocks of ids are coded independently of one another, so many blocks advance together as the lanes of numpy arrays. For
 each id, order-2 and order-1 contexts (hashes of the ids before it) predict one id each, with a confidence; the chances
-that the first or the second prediction holds are mixed from adaptive counters of both orders with weights learned on the
-way. An id that neither predicts is coded by its order-0 frequency among the block's earlier ids (refreshed at
-REFRESH), or as a plain number if it is new. Encoder and decoder take the same steps; all mixing uses only +, -, * and /,
-so both find the same numbers on every machine.
+that the first or the second prediction holds are mixed from adaptive counters of three orders with weights learned on the
+way: the confidence of the order-2 and of the order-1 prediction, and the order-0 frequency of the predicted id among the
+block's ids so far. An id that neither predicts is coded by its order-0 frequency among the block's earlier ids (taken anew
+at REFRESH), or as a plain number if it is new. Encoder and decoder take the same steps; all mixing uses only +, -, * and
+/, so both find the same numbers on every machine.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ REFRESH = (64, 256, 1024, 4096)
 
 #: magic, ids, vocabulary, crc32 of the ids as little-endian 32-bit numbers, crc32 of the coded bytes
 HEADER = struct.Struct("<4sIIII")
-MAGIC = b"SLT1"
+MAGIC = b"SLT2"
 
 #: Total of the first symbol's frequencies; a coder puts out the upper half of its state once that is settled.
 ONE, HALF = 1 << 16, np.uint64(1 << 32)
-SLOTS1, SLOTS2 = 1 << 12, 1 << 13
+SLOTS0, SLOTS1, SLOTS2 = 1 << 12, 1 << 12, 1 << 13
 U64 = np.uint64
 
+#: Of a count of up to BLOCK ids: its size in steps of doubling, up to 7.
+LEVEL = np.minimum(np.ceil(np.log2(np.arange(BLOCK + 1) + 1)), 7).astype(np.int64)
+
 #: A prediction is an id with its confidence in the lowest bits.
 SURE_BITS, SUREST = 3, 7
 
@@ -87,16 +91,16 @@ class _Ranges:
 
 
 class _Mixer:
-    """Mixes two counters' chances of a yes, for every lane."""
+    """Mixes the chances of a yes that counters of several orders give, for every lane."""
 
-    def __init__(self, lanes: int, first: int, second: int):
-        self.chance = [np.full((lanes, n), 0.25) for n in (first, second)]
-        self.weight = [np.full(lanes, 0.6), np.full(lanes, 0.4)]
+    def __init__(self, lanes: int, *sizes: int):
+        self.chance = [np.full((lanes, n), 0.25) for n in sizes]
+        self.weight = [np.full(lanes, w) for w in (0.5, 0.3, 0.3)]
 
-    def mix(self, lanes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        self.where, self.old, self.lean = ((lanes, first), (lanes, second)), [], []
+    def mix(self, lanes: np.ndarray, *contexts: np.ndarray) -> np.ndarray:
+        self.where, self.old, self.lean = [(lanes, c) for c in contexts], [], []
         mixed = 0.0
-        for k in (0, 1):
+        for k in range(len(contexts)):
             old = self.chance[k][self.where[k]]
             lean = (old - 0.5) / np.minimum(old, 1.0 - old)
             self.old.append(old)
@@ -109,7 +113,7 @@ class _Mixer:
     def learn(self, yes: np.ndarray) -> None:
         n = len(yes)
         miss = (yes - self.chance_now) * 0.02
-        for k in (0, 1):
+        for k in range(len(self.where)):
             old, lean, weight = self.old[k], self.lean[k], self.weight[k][:n]
             self.chance[k][self.where[k]] = np.minimum(np.maximum(old + (yes - old) * 0.04, 0.002), 0.998)
             np.minimum(np.maximum(weight + miss * lean / (1.0 + np.abs(lean)), 0.0), 2.0, out=weight)
@@ -150,7 +154,8 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
     coder = _Ranges(lanes, data, 16 + 2 * steps)
     kind_of = np.int32 if vocabulary <= 1 << (31 - SURE_BITS) else np.int64
     table2, table1 = np.zeros(lanes * SLOTS2, kind_of), np.zeros(lanes * SLOTS1, kind_of)
-    first, second = _Mixer(lanes, 16, 8), _Mixer(lanes, 8, 8)
+    counts = np.zeros(lanes * SLOTS0, np.uint16)
+    first, second = _Mixer(lanes, 16, 8, 8), _Mixer(lanes, 8, 8, 8)
     every = np.arange(lanes)
     before, before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes longer than each step
@@ -169,9 +174,10 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
         s1 = lane * SLOTS1 + ((b * 40503 >> 4) & (SLOTS1 - 1))
         cell2, cell1 = table2[s2].astype(np.int64), table1[s1].astype(np.int64)
         guess2, guess1, c2, c1 = cell2 >> SURE_BITS, cell1 >> SURE_BITS, cell2 & SUREST, cell1 & SUREST
-        p2 = first.mix(lane, c2 * 2 + (guess1 == guess2), c1)
+        base = lane * SLOTS0
+        p2 = first.mix(lane, c2 * 2 + (guess1 == guess2), c1, LEVEL[counts[base + (guess2 & (SLOTS0 - 1))]])
         size2 = 1 + (p2 * (ONE - 3)).astype(np.int64)
-        p1 = second.mix(lane, c1, c2)
+        p1 = second.mix(lane, c1, c2, LEVEL[counts[base + (guess1 & (SLOTS0 - 1))]])
         size1 = 1 + (p1 * (ONE - size2 - 2)).astype(np.int64)
         if decoding:
             slot = coder.slot(slice(0, n), one)
@@ -207,6 +213,7 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
             right = guess == own
             stays = right | (c > 1)
             cells[s] = (np.where(stays, guess, own) << SURE_BITS) + np.where(right, np.minimum(c + 1, SUREST), np.where(stays, c >> 1, 1))
+        counts[base + (own & (SLOTS0 - 1))] += 1
         before2[:n], before[:n] = b, own
     return ids if decoding else coder.finish()
 
@@ -216,6 +223,8 @@ def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     if not blocks:
         return []
     lengths = np.array([len(x) for x in blocks])
+    if lengths.max() > BLOCK:
+        raise ValueError(f"a block of over {BLOCK} ids")
     order = np.argsort(-lengths, kind="stable")
     ids = np.zeros((int(lengths.max()), len(blocks)), np.int64)
     for lane, k in enumerate(order):

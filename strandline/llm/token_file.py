@@ -154,15 +154,19 @@ def documents(blocks: DataFrame) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.min("position").alias("position"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "n", "crc32"))).alias("spans")
     )
 
-    @F.udf("long")
-    def combined(spans):
-        crc = 0
-        for x in spans:
-            crc = joined_crc32(crc, x.crc32, 4 * x.n)
-        return crc
-
-    short = whole.where(F.size("spans") == 1).withColumn("ids_crc32", F.col("spans")[0]["crc32"])
-    long = whole.where(F.size("spans") > 1).withColumn("ids_crc32", combined("spans"))
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for spans in batch.column("spans").to_pylist():
+                crc = 0
+                for x in spans:
+                    crc = joined_crc32(crc, x["crc32"], 4 * x["n"])
+                found.append(crc)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.int64())], [*names, "ids_crc32"])
+
+    names = ["part", "doc_id", "position", "n_tokens"]
+    short = whole.where(F.size("spans") == 1).select(*names, F.col("spans")[0]["crc32"].alias("ids_crc32"))
+    long = whole.where(F.size("spans") > 1).mapInArrow(combined, "part int, doc_id long, position long, n_tokens long, ids_crc32 long")
     return short.unionByName(long).join(F.broadcast(starts), "part").select("doc_id", (F.col("before") + F.col("position")).alias("start"), "n_tokens", "ids_crc32")
 
 
