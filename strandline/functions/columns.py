@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 #: Consistency factor of the median absolute deviation for normal data.
 MAD_SCALE = 1.4826
 
-#: Month to label, for each scheme of regimes.
+#: Month to label, for each scheme of regimes.
 REGIMES = {
-    "flow_vs_rest": {m: "flow" if m in (5, 6, 7, 8) else "rest" for m in range(1, 13)},
-    "cycle": {m: "buildup" if m in (3, 4, 5) else "flow" if m in (6, 7) else "decline" if m in (8, 9, 10) else "dormant" for m in range(1, 13)},
-    "season": {m: "winter" if m in (12, 1, 2) else "spring" if m in (3, 4, 5) else "summer" if m in (6, 7, 8) else "autumn" for m in range(1, 13)},
-}
+    "flow_vs_rest": {
+        4: "flow", 5: "flow", 6: "flow", 7: "flow", 8: "flow",
+        9: "rest", 10: "rest", 11: "rest", 12: "rest", 1: "rest", 2: "rest", 3: "rest",
+    },
+    "season": {
+        3: "Spring", 4: "Spring", 5: "Spring", 6: "Summer", 7: "Summer", 8: "Summer",
+        9: "Autumn", 10: "Autumn", 11: "Autumn", 12: "Winter", 1: "Winter", 2: "Winter",
+    },
+    "colony_cycle": {
+        3: "buildup", 4: "buildup", 5: "buildup", 6: "flow", 7: "flow", 8: "flow",
+        9: "dormancy", 10: "dormancy", 11: "dormancy", 12: "dormancy", 1: "dormancy", 2: "dormancy",
+    },
+}
 
 
 def number(name: str, null_token: str = "NA") -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.history import in_ranges
+from strandline.operators.history import median, running_before
 
 
 def assert_unique(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,7 +40,7 @@ def profile(frame: DataFrame, value: str, entity: str, date: str, cut: float) ->
     v = F.col(value)
     return frame.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct(entity).alias("n_entities"), F.min(date).alias("first_date"), F.max(date).alias("last_date"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(F.abs(v) > cut).alias("n_beyond"),
+        F.avg(v).alias("mean"), median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(F.abs(v) > cut).alias("n_beyond"),
     )
 
 
@@ -73,7 +73,7 @@ def frame_audit(frame: DataFrame) -> DataFrame:
 def shares(frame: DataFrame, group: str) -> DataFrame:
     """Rows of each group and their percentage of all rows."""
     counts = frame.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.withColumn("pct", 100.0 * F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def histogram(frame: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -91,26 +91,25 @@ def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
     return frame.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def average_ranks(frame: DataFrame, value: str, name: str) -> DataFrame:
-    """The average rank of each value, ties sharing it. Ranks are summed over the distinct values, which are fewer than rows;
-    the running sum is taken in two phases over ranges of values."""
-    counts = frame.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = in_ranges(counts, value, "_part")
-    local = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_own", F.coalesce(F.sum("_n").over(local), F.lit(0)))
-    sizes = placed.groupBy("_part").agg(F.sum("_n").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    ranks = placed.join(F.broadcast(offsets), "_part").select(F.col(value).alias("_value"), (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2).alias(name))
-    return frame.join(ranks, F.col(value) == F.col("_value"), "left").drop("_value")
-
-
 def spearman(frame: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, n, rho), strongest first, over rows where both are present. The columns used are kept while ranks are taken."""
-    parts, frame = None, frame.select(*features, target).persist()
-    for f in features:
-        pairs = frame.where(F.col(f).isNotNull() & F.col(target).isNotNull()).select(F.col(f).alias("x"), F.col(target).alias("y"))
-        ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
-        one = ranked.agg(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"), C.pearson(F.col("rx"), F.col("ry")).alias("rho"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.orderBy(F.abs("rho").desc_nulls_last(), "feature")
+    """(feature, n, rho), strongest first, over rows where both are present. Ties share their average rank.
+
+    All features are ranked together, over their distinct values: pairs are counted first, and running sums of the counts
+    give the ranks in two phases.
+    """
+    number = {f: F.col(f).cast("double").alias(f) for f in features}
+    long = frame.select(F.col(target).cast("double").alias("y"), *number.values()).unpivot(["y"], features, "feature", "x").where("x is not null and y is not null")
+    pairs = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    sides = pairs.select("feature", "n", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s"))
+    values = sides.groupBy("feature", "s.side", "s.v").agg(F.sum("n").alias("n"))
+    totals = pairs.groupBy("feature").agg(F.sum("n").alias("total"))
+    ranks = running_before(values, ["feature", "side"], "v", ["n"]).join(totals, "feature")
+    ranks = ranks.select("feature", "side", "v", (F.col("n_before") + (F.col("n") - F.col("total")) / 2).alias("rank"))  # from the middle rank
+    met = pairs
+    for side in ("x", "y"):
+        met = met.join(ranks.where(F.col("side") == side).select("feature", F.col("v").alias(side), F.col("rank").alias(f"r{side}")), ["feature", side])
+    spread = F.sqrt(F.sum(F.col("n") * F.col("rx") * F.col("rx"))) * F.sqrt(F.sum(F.col("n") * F.col("ry") * F.col("ry")))
+    out = met.groupBy("feature").agg(F.sum("n").alias("n"), F.try_divide(F.sum(F.col("n") * F.col("rx") * F.col("ry")), spread).alias("rho"))
+    none = frame.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    out = none.join(out, "feature", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.orderBy(F.abs("rho").desc_nulls_last(), "feature")

@@ -216,6 +216,24 @@ def _ranked(frame: DataFrame, value: str, order: list[str], within: tuple[str, .
     return placed.join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
+def running_before(frame: DataFrame, keys: list[str], value: str, amounts: list[str], order: list[str] | None = None) -> DataFrame:
+    """``frame`` with <amount>_before: the sum over the rows of its ``keys`` with a smaller value (then by ``order``).
+
+    Two phases: ranges of about equally many rows of each key are summed on their own, and a range starts where the earlier
+    ones end, so no task holds all rows of a key. ``value`` is a number and not NULL.
+    """
+    parts = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = frame.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)] or [0.5], 1000).alias("_bounds"))
+    placed = frame.join(bounds, keys).withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    local = Window.partitionBy(*keys, "_part").orderBy(value, *(order or [])).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({f"_{a}_own": F.coalesce(F.sum(a).over(local), F.lit(0)) for a in amounts})
+    sums = placed.groupBy(*keys, "_part").agg(*[F.sum(a).alias(f"_{a}_sum") for a in amounts])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_{a}_sum").over(earlier), F.lit(0)).alias(f"_{a}_off") for a in amounts])
+    out = placed.join(offsets, [*keys, "_part"])
+    return out.withColumns({f"{a}_before": F.col(f"_{a}_own") + F.col(f"_{a}_off") for a in amounts}).drop("_part", *[f"_{a}_{k}" for a in amounts for k in ("own", "off")])
+
+
 def in_ranges(frame: DataFrame, value: str, name: str) -> DataFrame:
     """``name`` numbers ascending ranges of about equally many rows; missing values come last.
 

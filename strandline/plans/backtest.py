@@ -7,14 +7,15 @@ their dates. Predictions are long tables (fold, rule, y_true, y_pred), so every
 from __future__ import annotations
 
 import calendar as _calendar
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.history import DEFAULT, Panel
+from strandline.operators.history import DEFAULT, Panel, running_before
 
 DAILY_RULES = ("zero", "train_mean", "persistence", "entity_mean", "entity_month")
 PERIOD_RULES = ("zero", "train_mean", "persistence", "entity_mean", "month_mean", "entity_month")
@@ -22,9 +23,12 @@ PERIOD_RULES = ("zero", "train_mean", "persistence", "entity_mean", "month_mean"
 
 @dataclass(frozen=True)
 class Fold:
+    """Dates of a fold: test rows lie from ``origin`` to before ``end``; ``test_start`` is the first of them, if known."""
+
     name: str
     origin: date
     end: date
+    test_start: date | None = None
 
 
 def plus_months(day: date, months: int) -> date:
@@ -47,38 +51,48 @@ def origins(first: date, last: date, horizon: int = 6, least_train: int = 12, ke
 
 
 def rolling_folds(frame: DataFrame, column: str = "obs_date", horizon: int = 6, least_train: int = 12, keep: int | None = 4) -> list[Fold]:
-    """``origins`` over a table's dates: one aggregation. A table without dates has no folds."""
+    """``origins`` over a table's dates, with each fold's first test date: two aggregations. A table without dates has no folds."""
     row = frame.agg(F.min(column), F.max(column)).first()
     if row[0] is None:
         return []
-    return origins(row[0], row[1], horizon, least_train, keep)
+    found = origins(row[0], row[1], horizon, least_train, keep)
+    day = F.col(column)
+    starts = frame.agg(*[F.min(F.when((day >= F.lit(f.origin)) & (day < F.lit(f.end)), day)) for f in found]).first()
+    return [replace(f, test_start=s) for f, s in zip(found, starts, strict=True)]
 
 
 def assigned(frame: DataFrame, folds: list[Fold], column: str = "obs_date", label_end: str | None = None) -> DataFrame:
     """Rows once for each fold they are in, with fold and part (train, test).
 
-    With ``label_end``, the date up to which a row's label looks, a row trains only if that is before the origin: the
-    embargo. Rows between are in neither part.
+    With ``label_end``, the date up to which a row's label looks, a row trains only if that is before the first test date:
+    the embargo. Rows between are in neither part.
     """
     day = F.col(column)
-    before = F.col(label_end) if label_end else day
     parts = [
-        F.when(day < F.lit(f.origin), F.when(before < F.lit(f.origin), F.struct(F.lit(f.name).alias("fold"), F.lit("train").alias("part")))).when(day < F.lit(f.end), F.struct(F.lit(f.name).alias("fold"), F.lit("test").alias("part")))
+        F.when(day < F.lit(f.origin), F.when(_trains(f, column, label_end), F.struct(F.lit(f.name).alias("fold"), F.lit("train").alias("part")))).when(day < F.lit(f.end), F.struct(F.lit(f.name).alias("fold"), F.lit("test").alias("part")))
         for f in folds
     ] or [F.lit(None).cast("struct<fold:string,part:string>")]
     return frame.withColumn("_f", F.explode(F.array_compact(F.array(*parts)))).select("*", "_f.*").drop("_f")
 
 
+def _trains(fold: Fold, column: str, label_end: str | None) -> Column:
+    """Whether a row from before the origin trains: by its own date, or by the end of its label."""
+    return F.coalesce(F.col(label_end) < F.lit(fold.test_start or fold.origin), F.lit(False)) if label_end else F.col(column) < F.lit(fold.origin)
+
+
 def fold_table(frame: DataFrame, folds: list[Fold], column: str = "obs_date", label_end: str | None = None) -> DataFrame:
-    """(fold, n_train, n_test, train_end, test_start, test_end, embargoed) of the folds with rows on both sides."""
+    """(fold, n_train, n_test, train_end, test_start, test_end, embargoed) of the folds with rows on both sides.
+
+    ``train_end`` is the last date that training looks at: with ``label_end``, the latest end of a label.
+    """
     day = F.col(column)
     rows = assigned(frame, folds, column, label_end)
     train, test = F.col("part") == "train", F.col("part") == "test"
-    out = rows.groupBy("fold").agg(F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"), F.max(F.when(train, day)).alias("train_end"), F.min(F.when(test, day)).alias("test_start"), F.max(F.when(test, day)).alias("test_end"))
+    out = rows.groupBy("fold").agg(F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"), F.max(F.when(train, F.col(label_end or column))).alias("train_end"), F.min(F.when(test, day)).alias("test_start"), F.max(F.when(test, day)).alias("test_end"))
     out = out.where("n_train > 0 and n_test > 0")
     if not label_end or not folds:
         return out.withColumn("embargoed", F.lit(0).cast("long"))
-    lost = F.array(*[F.struct(F.lit(f.name).alias("fold"), F.count_if((day < F.lit(f.origin)) & ~F.coalesce(F.col(label_end) < F.lit(f.origin), F.lit(False))).alias("embargoed")) for f in folds])
+    lost = F.array(*[F.struct(F.lit(f.name).alias("fold"), F.count_if((day < F.lit(f.origin)) & ~_trains(f, column, label_end)).alias("embargoed")) for f in folds])
     return out.join(F.broadcast(frame.agg(lost.alias("x")).select(F.inline("x"))), "fold")
 
 
@@ -110,8 +124,14 @@ def date_share_split(frame: DataFrame, share: float = 0.8, column: str = "obs_da
 
 def group_folds(frame: DataFrame, folds: int = 5, seed: int = 42, entity: str = "entity_id") -> DataFrame:
     """(entity, fold): entities in an order shuffled by a hash of the seed, cut into equal blocks."""
-    ids = frame.select(entity).distinct()
-    return ids.select(entity, F.ntile(folds).over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string"))), entity)).cast("long").alias("fold"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(entity).cast("string")))
+    ids = frame.select(entity).distinct().select(entity, key.alias("_key"), F.lit(1).alias("_one"), F.lit(1).alias("_n"))
+    placed = running_before(ids.withColumn("_v", leading(F.col("_key"))), ["_one"], "_v", ["_n"], ["_key", entity])
+    total = ids.groupBy("_one").agg(F.count(F.lit(1)).alias("_all"))
+    size, more, rank = F.expr(f"_all div {folds}"), F.col("_all") % folds, F.col("_n_before")
+    cut = more * (size + 1)
+    fold = F.when(rank < cut, F.expr(f"_n_before div (_all div {folds} + 1)")).otherwise(more + F.floor((rank - cut) / F.greatest(size, F.lit(1))))
+    return placed.join(total, "_one").select(entity, (fold + 1).cast("long").alias("fold"))
 
 
 def naive(rows: DataFrame, rules: tuple[str, ...] = DAILY_RULES, target: str = "target", persistence: str = "change", p: Panel = DEFAULT, date_column: str | None = None) -> DataFrame:
@@ -201,18 +221,18 @@ def regime_report(predictions: DataFrame, month: Column, scheme: str, model: str
 def classifier_report(scores: DataFrame, label: str = "label", score: str = "score", by: str | None = None) -> DataFrame:
     """average_precision, roc_auc, positive_rate, lift and n, NULL where one class is missing.
 
-    Rows are first counted for each distinct score, so ties share a threshold and the running sums go over distinct scores.
+    Rows are first counted for each distinct score, so ties share a threshold and the running sums go over distinct scores,
+    in two phases over ranges of the score. Rows without a score count for nothing.
     """
     group = by or "_one"
     rows = scores if by else scores.withColumn("_one", F.lit(1))
     counts = rows.groupBy(group, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("all"))
-    down = Window.partitionBy(group).orderBy(F.desc(score))
-    total = Window.partitionBy(group)
-    run = counts.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("all").over(down), "P": F.sum("pos").over(total), "N": F.sum("all").over(total)})
+    run = running_before(counts.where(F.col(score).isNotNull()).withColumn("_down", -F.col(score)), [group], "_down", ["pos", "all"])
+    run = run.withColumns({"tp": F.col("pos_before") + F.col("pos"), "seen": F.col("all_before") + F.col("all")})
     negatives = F.col("all") - F.col("pos")
     above = F.col("tp") - F.col("pos") + F.col("pos") / 2
     out = run.groupBy(group).agg(
-        F.sum(F.col("pos") / F.nullif("P", F.lit(0)) * F.col("tp") / F.col("seen")).alias("ap"), F.sum(negatives * above).alias("area"), F.first("P").alias("P"), F.first("N").alias("N")
+        F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("ap"), F.sum(negatives * above).alias("area"), F.sum("pos").alias("P"), F.sum("all").alias("N")
     )
     mixed = (F.col("P") > 0) & (F.col("P") < F.col("N"))
     rate = F.col("P") / F.col("N")
@@ -223,18 +243,95 @@ def classifier_report(scores: DataFrame, label: str = "label", score: str = "sco
     return out if by else out.drop("_one")
 
 
-def subsamples(frame: DataFrame, fractions: tuple[float, ...], repeats: int, seed: int = 42, entity: str = "entity_id") -> DataFrame:
-    """Rows once for each (fraction, repeat) whose sample of entities holds theirs; entities are drawn by a hash."""
+def subsamples(frame: DataFrame, fractions: tuple[float, ...], repeats: int, seed: int = 42, entity: str = "entity_id", least: int = 3) -> DataFrame:
+    """Rows once for each (fraction, repeat) whose sample of entities holds theirs; entities are drawn by a hash.
+
+    A sample has at least ``least`` entities; one that holds all of them is drawn once.
+    """
     ids = frame.select(entity).distinct()
     draws = ids.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(entity).cast("string")))
-    w = Window.partitionBy("repeat")
-    draws = draws.withColumns({"_r": F.row_number().over(w.orderBy(key, entity)), "_n": F.count(F.lit(1)).over(w)})
-    fits = F.array_compact(F.array(*[F.when(F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_n") * f)), F.lit(f)) for f in fractions]))
-    drawn = draws.select(entity, F.col("repeat").cast("long"), F.explode(fits).alias("fraction"))
+    draws = draws.withColumns({"_key": key, "_v": leading(key), "_one": F.lit(1)})
+    placed = running_before(draws, ["repeat"], "_v", ["_one"], ["_key", entity]).join(draws.groupBy("repeat").agg(F.count(F.lit(1)).alias("_n")), "repeat")
+    most = [F.greatest(F.lit(least), F.round(F.col("_n") * f)) for f in fractions]
+    # a sample of all entities is one sample, however often it is drawn
+    taken = [F.when((F.col("_one_before") < m) & ((m < F.col("_n")) | (F.col("repeat") == 0)), F.lit(f)) for f, m in zip(fractions, most, strict=True)]
+    drawn = placed.select(entity, F.col("repeat").cast("long"), F.explode(F.array_compact(F.array(*taken))).alias("fraction"))
     return frame.join(drawn, entity)
 
 
+def leading(key: Column) -> Column:
+    """The first 12 hexadecimal digits of a hash as a number, in the order of the hash."""
+    return F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
+
+
+def drawn_folds(rows: DataFrame, draw: list[str], column: str, horizon: int = 6, least_train: int = 12, keep: int = 4) -> DataFrame:
+    """(draw, fold, origin, end, test_start): rolling folds of each draw's own dates, as a small table.
+
+    A draw has at most ``keep`` folds; draws that are too short, and folds without test rows, have none.
+    """
+    bounds = rows.groupBy(*draw).agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
+    steps = F.floor((F.months_between("_last", "_first") - least_train) / horizon).cast("int")
+    each = bounds.where(steps >= 1).select("*", F.explode(F.sequence(F.lit(0), steps)).alias("_k"))
+    each = each.withColumns({"origin": F.add_months("_first", least_train + horizon * F.col("_k")), "end": F.add_months("_first", least_train + horizon * (F.col("_k") + 1))})
+    each = each.where(F.col("end") <= F.date_add("_last", 1))
+    last = Window.partitionBy(*draw).orderBy(F.desc("origin"))  # as many rows as a record has half-years
+    each = each.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= keep).select(*draw, F.col("origin").cast("string").alias("fold"), "origin", "end")
+    met = rows.select(*draw, column).join(F.broadcast(each), draw).where((F.col(column) >= F.col("origin")) & (F.col(column) < F.col("end")))
+    return met.groupBy(*draw, "fold", "origin", "end").agg(F.min(column).alias("test_start"))
+
+
+def resampled_skill(
+    rows: DataFrame, prediction: Column, fractions: tuple[float, ...] = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0), repeats: int = 8, column: str = "period_start",
+    label_end: str = "target_period_end", rules: tuple[str, ...] = PERIOD_RULES, least_train: int = 30, least_test: int = 10, entity: str = "entity_id", model: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """(fraction, repeat, entities, n, folds, skill) of samples of entities: how skill and its spread grow with the sample.
+
+    Folds, their embargo and the best naive rule of each fold are made anew within every sample; folds with under
+    ``least_train`` or ``least_test`` rows don't count. ``prediction`` is a column of ``rows``; or ``model`` takes the rows
+    (with fold and part, fold naming sample and fold) and returns the test rows with y_pred.
+    """
+    draw = ["fraction", "repeat"]
+    drawn = subsamples(rows, fractions, repeats, entity=entity)
+    folds = drawn_folds(drawn, draw, column)
+    met = drawn.join(F.broadcast(folds), draw)  # at most len(fractions) * repeats * 4 folds
+    part = F.when(F.col(column) < F.col("origin"), F.when(F.col(label_end) < F.col("test_start"), "train")).when(F.col(column) < F.col("end"), "test")
+    met = met.withColumns({"part": part, "fold": F.concat_ws("|", "fraction", "repeat", "fold")}).where("part is not null").drop("origin", "end", "test_start")
+    sizes = met.groupBy("fold", *draw).agg(F.count_if(F.col("part") == "train").alias("_train"), F.count_if(F.col("part") == "test").alias("_test"))
+    bars = best(board(naive(met.drop(*draw), rules, date_column=column)))
+    scored = model(met) if model else met.where("part = 'test'").withColumn("y_pred", prediction)
+    errors = scored.groupBy("fold").agg(F.avg(F.abs(F.col("y_pred") - F.col("target"))).alias("mae"))
+    skills = errors.join(bars, "fold").join(sizes, "fold").where((F.col("_train") >= least_train) & (F.col("_test") >= least_test))
+    skills = skills.withColumn("skill", C.skill(F.col("mae"), F.col("bar"))).groupBy(*draw).agg(F.count("skill").alias("folds"), F.avg("skill").alias("skill"))
+    return drawn.groupBy(*draw).agg(F.count_distinct(entity).alias("entities"), F.count(F.lit(1)).alias("n")).join(skills, draw)
+
+
+def definition_sweep(
+    frame: DataFrame, definitions: dict[str, Column], routine: Callable[[DataFrame, DataFrame], DataFrame], chance: Callable[[DataFrame, DataFrame], DataFrame], least_train: int = 30, least_test: int = 5,
+) -> DataFrame:
+    """One row for each definition of an extreme: how many there are, the error of a model of the routine rows on routine
+    rows, and how well extremes are told.
+
+    ``frame`` has part (train, test) and target. ``routine`` takes routine training and test rows and returns the latter
+    with y_pred; ``chance`` takes training and test rows with label and returns the latter with score. With under
+    ``least_train`` or ``least_test`` extremes the classifier's figures are NULL: the definition's row stays.
+    """
+    out = None
+    for name, extreme in definitions.items():
+        rows = frame.withColumn("label", F.coalesce(extreme, F.lit(False)).cast("int"))
+        counts = rows.agg(
+            F.lit(name).alias("definition"), F.sum("label").alias("extremes"), (100.0 * F.avg("label")).alias("extreme_pct"), F.count_if(F.col("label") == 0).alias("routine_rows"),
+            F.count_if((F.col("label") == 1) & (F.col("part") == "train")).alias("_train"), F.count_if((F.col("label") == 1) & (F.col("part") == "test")).alias("_test"),
+        )
+        train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
+        error = routine(train.where("label = 0"), test.where("label = 0")).withColumn("y_true", F.col("target")).agg(*metrics()).select(F.col("mae").alias("routine_mae"), F.col("r2").alias("routine_r2"))
+        told = classifier_report(chance(train, test)).select("average_precision", "roc_auc", "lift")
+        enough = (F.col("_train") >= least_train) & (F.col("_test") >= least_test)
+        one = counts.withColumns({c: error.select(c).scalar() for c in error.columns} | {c: F.when(enough, told.select(c).scalar()) for c in told.columns}).drop("_train", "_test")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def curve_summary(curve: DataFrame, value: str = "skill") -> DataFrame:
     return curve.groupBy("fraction").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg((F.col(value) <= 0).cast("double")).alias("share_not_above_0"), F.avg("n").alias("mean_n"))
 

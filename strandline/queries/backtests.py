@@ -9,7 +9,7 @@ from strandline.functions import columns as C
 from strandline.operators import history, periods
 from strandline.plans import backtest as B
 from strandline.queries.base import LONG, long_panel, query
-from strandline.queries.grains import FEATURES, LONG_TARGET, grained, long_targets
+from strandline.queries.grains import FEATURES, LONG_TARGET, MONTHS, _features_sql, grained, long_targets
 
 #: Origins of the last four folds over the table that ``source`` names.
 ORIGINS = """origin_dates AS (
@@ -53,7 +53,8 @@ def rolling_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PERIOD_TARGETS = f"""{FEATURES}, period_targets AS (SELECT entity_id, period_index, period_start, target_period_end, target, period_change AS change FROM features WHERE target IS NOT NULL)"""
-PERIOD_FOLDS = f"""{PERIOD_TARGETS}, {ORIGINS.format(day="period_start", source="period_targets")}"""
+PERIOD_FOLDS = f"""{PERIOD_TARGETS}, {ORIGINS.format(day="period_start", source="period_targets").replace("folds AS (", "plain_folds AS (")},
+folds AS (SELECT f.*, (SELECT min(period_start) FROM period_targets t WHERE t.period_start >= f.origin AND t.period_start < f.horizon_end) AS test_start FROM plain_folds f)"""
 
 
 def period_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +63,10 @@ def period_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PERIOD_FOLDS} SELECT fold, count(*) FILTER (WHERE target_period_end < origin) AS n_train, count(*) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS n_test,
-        max(period_start) FILTER (WHERE target_period_end < origin) AS train_end, min(period_start) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS test_start,
-        max(period_start) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS test_end, count(*) FILTER (WHERE period_start < origin AND target_period_end >= origin) AS embargoed FROM period_targets, folds GROUP BY 1
-        HAVING count(*) FILTER (WHERE target_period_end < origin) > 0 AND count(*) FILTER (WHERE period_start >= origin AND period_start < horizon_end) > 0"""
+    f"""WITH {PERIOD_FOLDS} SELECT fold, count(*) FILTER (WHERE target_period_end < test_start) AS n_train, count(*) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS n_test,
+        max(target_period_end) FILTER (WHERE target_period_end < test_start) AS train_end, min(period_start) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS test_start,
+        max(period_start) FILTER (WHERE period_start >= origin AND period_start < horizon_end) AS test_end, count(*) FILTER (WHERE period_start < origin AND target_period_end >= test_start) AS embargoed FROM period_targets, folds GROUP BY 1
+        HAVING count(*) FILTER (WHERE target_period_end < test_start) > 0 AND count(*) FILTER (WHERE period_start >= origin AND period_start < horizon_end) > 0"""
 )
 def embargo_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = period_targets(spark, sf_dir)
@@ -101,7 +102,7 @@ def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.fold_summary(B.board(naive_predictions(spark, sf_dir)))
 
 
-SEASON = "CASE WHEN month({d}) IN (12, 1, 2) THEN 'winter' WHEN month({d}) IN (3, 4, 5) THEN 'spring' WHEN month({d}) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END"
+SEASON = "CASE WHEN month({d}) IN (12, 1, 2) THEN 'Winter' WHEN month({d}) IN (3, 4, 5) THEN 'Spring' WHEN month({d}) IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn' END"
 
 
 def _segmented_sql(segments: str, pooled: bool) -> str:
@@ -123,7 +124,7 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _segmented_sql(
-        "SELECT 'flow_vs_rest' AS segment, CASE WHEN month(obs_date) IN (5, 6, 7, 8) THEN 'flow' ELSE 'rest' END AS value, * FROM predictions UNION ALL SELECT 'pooled', 'all', * FROM predictions", False
+        "SELECT 'flow_vs_rest' AS segment, CASE WHEN month(obs_date) IN (4, 5, 6, 7, 8) THEN 'flow' ELSE 'rest' END AS value, * FROM predictions UNION ALL SELECT 'pooled', 'all', * FROM predictions", False
     )
 )
 def regime_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +132,7 @@ def regime_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PERIOD_FOLDS}, assigned AS (SELECT t.*, fold, CASE WHEN period_start >= origin THEN 'test' ELSE 'train' END AS part, month(period_start) AS month FROM period_targets t JOIN folds f ON (period_start >= origin AND period_start < horizon_end) OR (period_start < origin AND target_period_end < origin)),
+    f"""WITH {PERIOD_FOLDS}, assigned AS (SELECT t.*, fold, CASE WHEN period_start >= origin THEN 'test' ELSE 'train' END AS part, month(period_start) AS month FROM period_targets t JOIN folds f ON (period_start >= origin AND period_start < horizon_end) OR (period_start < origin AND target_period_end < test_start)),
     train AS (SELECT * FROM assigned WHERE part = 'train'), overall AS (SELECT fold, avg(target) AS m FROM train GROUP BY 1), e AS (SELECT fold, entity_id, avg(target) AS m FROM train GROUP BY 1, 2),
     mo AS (SELECT fold, month, avg(target) AS m FROM train GROUP BY 1, 2), em AS (SELECT fold, entity_id, month, avg(target) AS m FROM train GROUP BY 1, 2, 3),
     predictions AS (
@@ -147,21 +148,45 @@ def period_naive_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.board(B.naive(B.assigned(rows, folds, "period_start", "target_period_end"), B.PERIOD_RULES, date_column="period_start"))
 
 
-RESAMPLED = """{targets}, ids AS (SELECT DISTINCT entity_id FROM targets), draws AS (
-    SELECT entity_id, repeat, row_number() OVER (PARTITION BY repeat ORDER BY md5('42|' || repeat || '|' || entity_id), entity_id) AS r, count(*) OVER (PARTITION BY repeat) AS n FROM ids, (SELECT unnest(range(8)) AS repeat)),
-drawn AS (SELECT d.entity_id, repeat, fraction FROM draws d, (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0])::DOUBLE AS fraction) WHERE r <= greatest(1, round(n * fraction))),
-curve AS (SELECT fraction, repeat, count(*) AS n, 1 - avg(abs(target - change / 4)) / avg(abs(target)) AS skill FROM targets t JOIN drawn d ON t.entity_id = d.entity_id GROUP BY 1, 2),
-summary AS (SELECT fraction, avg(skill) AS mean, stddev_samp(skill) AS sd, min(skill) AS min, max(skill) AS max, avg((skill <= 0)::INT) AS share_not_above_0, avg(n) AS mean_n FROM curve GROUP BY 1)""".format(
-    targets=LONG_TARGET.replace("n_regionkey", "n_nationkey").replace("date_diff('day', pd, obs_date) = 1 AND date_diff('day', obs_date, nd) = 1 AND previous_level > 0", "previous_level > 0")
-)
+#: Nation months, their samples, folds within each sample, and the skill of the rule change / 4 against the best naive rule.
+RESAMPLED = f"""{_features_sql(MONTHS).replace("n_regionkey", "n_nationkey")},
+targets AS (SELECT entity_id, period_start, target_period_end, target, period_change AS change, month(period_start) AS month FROM features WHERE target IS NOT NULL),
+ids AS (SELECT DISTINCT entity_id FROM targets), ranked AS (
+    SELECT entity_id, repeat, row_number() OVER (PARTITION BY repeat ORDER BY md5('42|' || repeat || '|' || entity_id), entity_id) AS r, count(*) OVER (PARTITION BY repeat) AS n FROM ids, (SELECT unnest(range(4)) AS repeat)),
+drawn AS (
+    SELECT entity_id, repeat, fraction FROM ranked, (SELECT unnest([0.25, 0.4, 0.55, 0.7, 0.85, 1.0])::DOUBLE AS fraction)
+    WHERE r <= greatest(3, round(n * fraction)) AND (greatest(3, round(n * fraction)) < n OR repeat = 0)),
+rows AS (SELECT t.*, repeat, fraction FROM targets t JOIN drawn d ON t.entity_id = d.entity_id),
+bounds AS (SELECT fraction, repeat, min(period_start) AS first, max(period_start) AS last FROM rows GROUP BY 1, 2),
+origin_dates AS (
+    SELECT fraction, repeat, last, CAST(first + INTERVAL (12 + 6 * k) MONTH AS DATE) AS origin, CAST(first + INTERVAL (18 + 6 * k) MONTH AS DATE) AS horizon_end FROM bounds, (SELECT unnest(range(0, 200)) AS k)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY fraction, repeat ORDER BY origin DESC) AS back FROM origin_dates WHERE horizon_end <= last + INTERVAL 1 DAY),
+folds AS (
+    SELECT k.fraction, k.repeat, origin, horizon_end, min(period_start) AS test_start FROM kept k JOIN rows r ON k.fraction = r.fraction AND k.repeat = r.repeat
+    WHERE back <= 4 AND period_start >= origin AND period_start < horizon_end GROUP BY 1, 2, 3, 4),
+assigned AS (
+    SELECT r.*, origin, CASE WHEN period_start >= origin THEN 'test' ELSE 'train' END AS part FROM rows r JOIN folds f ON r.fraction = f.fraction AND r.repeat = f.repeat
+    AND ((period_start >= origin AND period_start < horizon_end) OR (period_start < origin AND target_period_end < test_start))),
+train AS (SELECT * FROM assigned WHERE part = 'train'), o AS (SELECT fraction, repeat, origin, avg(target) AS m FROM train GROUP BY ALL), e AS (SELECT fraction, repeat, origin, entity_id, avg(target) AS m FROM train GROUP BY ALL),
+mo AS (SELECT fraction, repeat, origin, month, avg(target) AS m FROM train GROUP BY ALL), em AS (SELECT fraction, repeat, origin, entity_id, month, avg(target) AS m FROM train GROUP BY ALL),
+errors AS (
+    SELECT fraction, repeat, origin, rule, avg(abs(y - p)) AS mae FROM (
+        SELECT a.fraction, a.repeat, a.origin, a.target AS y, unnest(['zero', 'train_mean', 'persistence', 'entity_mean', 'month_mean', 'entity_month', 'rule']) AS rule,
+               unnest([0.0::DOUBLE, o.m, coalesce(change, 0), coalesce(e.m, o.m), coalesce(mo.m, o.m), coalesce(em.m, mo.m, o.m), coalesce(change, 0) / 4]) AS p
+        FROM assigned a JOIN o USING (fraction, repeat, origin) LEFT JOIN e USING (fraction, repeat, origin, entity_id) LEFT JOIN mo USING (fraction, repeat, origin, month) LEFT JOIN em USING (fraction, repeat, origin, entity_id, month)
+        WHERE part = 'test') GROUP BY ALL),
+sizes AS (SELECT fraction, repeat, origin FROM assigned GROUP BY ALL HAVING count(*) FILTER (WHERE part = 'train') >= 30 AND count(*) FILTER (WHERE part = 'test') >= 10),
+skills AS (SELECT fraction, repeat, origin, 1 - max(mae) FILTER (WHERE rule = 'rule') / nullif(min(mae) FILTER (WHERE rule <> 'rule'), 0) AS skill FROM errors JOIN sizes USING (fraction, repeat, origin) GROUP BY ALL),
+counted AS (SELECT fraction, repeat, count(*) AS n, count(DISTINCT entity_id) AS entities FROM rows GROUP BY ALL),
+curve AS (SELECT s.fraction, s.repeat, any_value(n) AS n, avg(skill) AS skill FROM skills s JOIN counted c ON s.fraction = c.fraction AND s.repeat = c.repeat GROUP BY ALL),
+summary AS (SELECT fraction, avg(skill) AS mean, stddev_samp(skill) AS sd, min(skill) AS min, max(skill) AS max, avg((skill <= 0)::INT) AS share_not_above_0, avg(n) AS mean_n FROM curve GROUP BY 1)"""
 
 
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = history.neighbours(long_panel(spark, sf_dir, "n_nationkey")).withColumns({"change": F.col("level") - F.col("previous_level"), "target": F.col("next_level") - F.col("level")})
-    rows = rows.where("previous_level > 0 and level > 0 and next_level > 0").select("entity_id", "change", "target")
-    drawn = B.subsamples(rows, (0.2, 0.4, 0.6, 0.8, 1.0), 8)
-    found = drawn.groupBy("fraction", "repeat").agg(F.count(F.lit(1)).alias("n"), C.skill(F.avg(F.abs(F.col("target") - F.col("change") / 4)), F.avg(F.abs("target"))).alias("skill"))
-    return B.curve_summary(found)
+    """Skill over samples of nations, at the grain of months, of the rule that a quarter of the last change comes again."""
+    rows = periods.with_features(grained(spark, sf_dir, "month", "n_nationkey")).where("target is not null")
+    rows = rows.select("entity_id", "period_start", "target_period_end", "target", F.col("period_change").alias("change"))
+    return B.curve_summary(B.resampled_skill(rows, F.coalesce("change", F.lit(0.0)) / 4, repeats=4))
 
 
 @query(f"WITH {RESAMPLED} SELECT fraction, round(mean, 6) AS mean, round(sd, 6) AS sd, round(min, 6) AS min, round(max, 6) AS max, round(share_not_above_0, 6) AS share_not_above_0, round(mean_n, 6) AS mean_n FROM summary")

@@ -30,8 +30,8 @@ GRAIN_SELECT = ", ".join(GRAIN_COLUMNS) + ", " + ", ".join(f"round({c}, 6) AS {c
 WEEKS, MONTHS = _periods_sql(WEEK_SQL, 7.0, 5), _periods_sql(MONTH_SQL, 30.4375, 20)
 
 
-def grained(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
-    rows = history.neighbours(long_panel(spark, sf_dir)).withColumn("change", F.col("level") - F.col("previous_level"))
+def grained(spark: SparkSession, sf_dir: str, period: str, by: str = "n_regionkey") -> DataFrame:
+    rows = history.neighbours(long_panel(spark, sf_dir, by)).withColumn("change", F.col("level") - F.col("previous_level"))
     return periods.aggregated(rows.select("entity_id", "obs_date", "level", "change"), period).drop("period")
 
 
@@ -294,9 +294,9 @@ def incomplete_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
 def json_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A columnar JSON payload of each day, built and read back as rows."""
+    """Columnar JSON payloads of up to a thousand events, built and read back as rows."""
     rows = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    payload = rows.groupBy((F.col("event_id") % 997).alias("g")).agg(F.sort_array(F.collect_list(F.struct("event_id", "k"))).alias("r"))
+    payload = rows.groupBy(F.expr("event_id div 1000").alias("g")).agg(F.sort_array(F.collect_list(F.struct("event_id", "k"))).alias("r"))
     text = payload.select(F.to_json(F.struct(F.struct(F.expr("transform(r, x -> x.event_id)").alias("event_id"), F.expr("transform(r, x -> x.k)").alias("k")).alias("daily"))).alias("value"))
     return payloads.columnar(text, "value", {"event_id": "bigint", "k": "bigint"})
 

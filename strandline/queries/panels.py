@@ -125,10 +125,16 @@ def deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def robust_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-pass robust scales of each entity, in the form that aggregates and joins."""
-    rows = history.joined_scales(history.neighbours(daily(spark, sf_dir)))
-    gated = history.target_scale(history.changes(history.rolling(rows)).where(history.gate())).groupBy("entity_id").agg(F.first("target_mad").alias("target_mad"))
-    scales = rows.groupBy("entity_id").agg(*[F.first(c).alias(c) for c in ("entity_median", "entity_mad", "change_mad")])
-    return scales.join(gated, "entity_id", "left")
+    rows = history.neighbours(daily(spark, sf_dir))
+    change = F.col("level") - F.col("previous_level")
+    middle = rows.groupBy("entity_id").agg(history.median(F.col("level")).alias("entity_median"), history.median(change).alias("_m"))
+    spread = rows.join(middle, "entity_id").groupBy("entity_id").agg(
+        F.first("entity_median").alias("entity_median"), history.median(F.abs(F.col("level") - F.col("entity_median"))).alias("entity_mad"), history.median(F.abs(change - F.col("_m"))).alias("change_mad")
+    )
+    gated = rows.withColumn("target", F.col("next_level") - F.col("level")).where(history.gate())
+    aim = gated.groupBy("entity_id").agg(history.median(F.col("target")).alias("_t"))
+    target = gated.join(aim, "entity_id").groupBy("entity_id").agg(history.median(F.abs(F.col("target") - F.col("_t"))).alias("target_mad"))
+    return spread.join(target, "entity_id", "left")
 
 
 @query(
@@ -185,7 +191,7 @@ def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {HISTORY} SELECT count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities, min(obs_date) AS first_date, max(obs_date) AS last_date, round(avg(target), 6) AS mean, round(stddev_samp(target), 6) AS sd,
+    f"""WITH {HISTORY} SELECT count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities, min(obs_date) AS first_date, max(obs_date) AS last_date, round(avg(target), 6) AS mean, round(median(target), 6) AS median, round(stddev_samp(target), 6) AS sd,
         round(min(target), 6) AS min, round(max(target), 6) AS max, count(*) FILTER (WHERE abs(target) > 60) AS n_beyond FROM gated"""
 )
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,8 +318,8 @@ def largest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {DAILY}, g AS (SELECT *, date_diff('day', lag(obs_date) OVER w, obs_date) AS gap FROM daily WINDOW w AS (PARTITION BY entity_id ORDER BY obs_date))
         SELECT entity_id, obs_date, CASE WHEN gap > 1 THEN NULL ELSE level END AS level, CASE WHEN level < 25 THEN 'low' WHEN level <= 40 THEN 'mid' ELSE 'high' END AS tier,
-               CASE WHEN month(obs_date) IN (12, 1, 2) THEN 'winter' WHEN month(obs_date) IN (3, 4, 5) THEN 'spring' WHEN month(obs_date) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END AS season,
-               CASE WHEN month(obs_date) IN (5, 6, 7, 8) THEN 'flow' ELSE 'rest' END AS regime, CASE WHEN outside_temp IS NULL THEN NULL ELSE (outside_temp > 12)::INT::DOUBLE END AS warm, CASE WHEN outside_temp IS NOT NULL THEN round(greatest(outside_temp - 10, 0), 6) END AS degree_days
+               CASE WHEN month(obs_date) IN (12, 1, 2) THEN 'Winter' WHEN month(obs_date) IN (3, 4, 5) THEN 'Spring' WHEN month(obs_date) IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn' END AS season,
+               CASE WHEN month(obs_date) IN (4, 5, 6, 7, 8) THEN 'flow' ELSE 'rest' END AS regime, CASE WHEN outside_temp IS NULL THEN NULL ELSE (outside_temp > 12)::INT::DOUBLE END AS warm, CASE WHEN outside_temp IS NOT NULL THEN round(greatest(outside_temp - 10, 0), 6) END AS degree_days
         FROM g WHERE n_readings > 1 AND humidity IS NOT NULL"""
 )
 def row_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

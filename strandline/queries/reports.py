@@ -112,8 +112,9 @@ def headline_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {GROSS}, kinds AS (SELECT 'net' AS target_kind, entity_id, period_start, target_period_end, target FROM gross WHERE target IS NOT NULL
             UNION ALL SELECT 'gross', entity_id, period_start, target_period_end, target + removed_next FROM gross WHERE target IS NOT NULL AND removed_next IS NOT NULL),
-        {ORIGINS.format(day="period_start", source="(SELECT period_start FROM gross WHERE target IS NOT NULL)")},
-        assigned AS (SELECT b.*, fold, CASE WHEN period_start >= origin THEN 'test' ELSE 'train' END AS part FROM kinds b JOIN folds f ON (period_start >= origin AND period_start < horizon_end) OR (period_start < origin AND target_period_end < origin)),
+        {ORIGINS.format(day="period_start", source="(SELECT period_start FROM gross WHERE target IS NOT NULL)").replace("folds AS (", "plain_folds AS (")},
+        folds AS (SELECT f.*, (SELECT min(period_start) FROM gross t WHERE target IS NOT NULL AND t.period_start >= f.origin AND t.period_start < f.horizon_end) AS test_start FROM plain_folds f),
+        assigned AS (SELECT b.*, fold, CASE WHEN period_start >= origin THEN 'test' ELSE 'train' END AS part FROM kinds b JOIN folds f ON (period_start >= origin AND period_start < horizon_end) OR (period_start < origin AND target_period_end < test_start)),
         means AS (SELECT target_kind, fold, avg(target) AS m FROM assigned WHERE part = 'train' GROUP BY 1, 2),
         predictions AS (SELECT a.target_kind, unnest(['zero', 'train_mean']) AS rule, unnest([0.0::DOUBLE, m]) AS y_pred, target AS y_true FROM assigned a JOIN means USING (target_kind, fold) WHERE part = 'test'),
         board AS (SELECT target_kind, rule, {METRICS} FROM predictions GROUP BY 1, 2) SELECT target_kind, rule, {SHOWN} FROM board"""
