@@ -108,6 +108,15 @@ def degree_days(mean: Column, base: float = 10.0) -> Column:
     return F.when(mean.isNotNull(), F.greatest(mean - base, F.lit(0.0)))
 
 
+def sunshine_hours(seconds: Column) -> Column:
+    return seconds / 3600.0
+
+
+def flight_day(highest: Column, rain: Column) -> Column:
+    """1.0 on a day over 12 degrees with less than 1 mm of rain, else 0.0, also where a reading is missing."""
+    return F.coalesce((highest > 12.0) & (rain < 1.0), F.lit(False)).cast("double")
+
+
 def calendar(date: Column) -> dict[str, Column]:
     """Year, month, day of year, and the day of year on a circle of 365.25 days."""
     turn = 2 * F.pi() * F.dayofyear(date) / 365.25

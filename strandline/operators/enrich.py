@@ -6,10 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators import periods
+from strandline.operators import audit, periods
 from strandline.operators.history import DEFAULT, Panel
 
 
+#: How each daily weather variable collapses over a period.
+PERIOD_AGGREGATIONS = {
+    "temperature_2m_max": ("mean", "max"),
+    "temperature_2m_min": ("mean", "min"),
+    "temperature_2m_mean": ("mean", "std"),
+    "precipitation_sum": ("sum", "max"),
+    "precipitation_hours": ("sum",),
+    "sunshine_duration": ("sum",),
+    "shortwave_radiation_sum": ("sum",),
+    "wind_speed_10m_max": ("mean", "max"),
+    "et0_fao_evapotranspiration": ("sum",),
+    "growing_degree_days_10c": ("sum",),
+    "is_foraging_day": ("sum",),
+}
+
+
+def period_names(variables: dict[str, tuple[str, ...]] = PERIOD_AGGREGATIONS) -> list[str]:
+    return [f"{c}_{how}" for c, hows in variables.items() for how in hows]
+
+
+def derived(days: DataFrame) -> DataFrame:
+    """Daily weather with degree days, hours of sunshine and whether bees fly."""
+    return days.withColumns(
+        {
+            "growing_degree_days_10c": C.degree_days(F.col("temperature_2m_mean")), "foraging_hours_proxy": C.sunshine_hours(F.col("sunshine_duration")),
+            "is_foraging_day": C.flight_day(F.col("temperature_2m_max"), F.col("precipitation_sum")),
+        }
+    )
+
+
+def weather_correlation(periods_with_weather: DataFrame, target: str = "target", names: list[str] | None = None) -> DataFrame:
+    """(feature, rho_current, rho_next, n_next): rank correlation of each feature, and of the next period's, with the target."""
+    names = names or period_names()
+    now = audit.spearman(periods_with_weather, names, target).select("feature", F.col("rho").alias("rho_current"))
+    later = audit.spearman(periods_with_weather, [f"next_{c}" for c in names], target)
+    later = later.select(F.expr("substring(feature, 6)").alias("feature"), F.col("rho").alias("rho_next"), F.col("n").alias("n_next"))
+    return now.join(later, "feature")
+
+
 def grid(degrees: str) -> Column:
     """A coordinate as whole tenths of a degree: an exact join key."""
     return F.round(F.col(degrees) * 10).cast("long")

@@ -324,10 +324,13 @@ def definition_sweep(
             F.count_if((F.col("label") == 1) & (F.col("part") == "train")).alias("_train"), F.count_if((F.col("label") == 1) & (F.col("part") == "test")).alias("_test"),
         )
         train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
-        error = routine(train.where("label = 0"), test.where("label = 0")).withColumn("y_true", F.col("target")).agg(*metrics()).select(F.col("mae").alias("routine_mae"), F.col("r2").alias("routine_r2"))
+        error = routine(train.where("label = 0"), test.where("label = 0")).withColumn("y_true", F.col("target")).agg(*metrics())
         told = classifier_report(chance(train, test)).select("average_precision", "roc_auc", "lift")
+        parts = counts.unionByName(error.select(F.lit(name).alias("definition"), F.col("mae").alias("routine_mae"), F.col("r2").alias("routine_r2")), allowMissingColumns=True)
+        parts = parts.unionByName(told.withColumn("definition", F.lit(name)), allowMissingColumns=True)
+        one = parts.groupBy("definition").agg(*[F.max(c).alias(c) for c in parts.columns if c != "definition"])
         enough = (F.col("_train") >= least_train) & (F.col("_test") >= least_test)
-        one = counts.withColumns({c: error.select(c).scalar() for c in error.columns} | {c: F.when(enough, told.select(c).scalar()) for c in told.columns}).drop("_train", "_test")
+        one = one.withColumns({c: F.when(enough, F.col(c)) for c in told.columns if c != "definition"}).drop("_train", "_test")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -19,9 +19,16 @@ from strandline.functions import columns as C
 from strandline.plans import backtest as B
 from strandline.plans.backtest import Fold
 
-#: Columns that are only known after the day a prediction is made for.
-FORBIDDEN = frozenset({"target", "gross_target", "next_level", "next_date", "gap_after", "local_median", "target_mad", "target_period_end", "removed_next"})
-FORBIDDEN_PREFIXES, FORBIDDEN_SUFFIXES = ("next_", "extreme_"), ("_next_dif",)
+#: Columns that are only known after the day a prediction is made for: the target and what it is made of, flags and distances
+#: that look ahead (to the next level, a centred window or the next event), and statistics of an entity's whole record.
+FORBIDDEN = frozenset(
+    {
+        "target", "gross_target", "next_level", "next_date", "gap_after", "target_period_end", "removed_next",
+        "local_median", "implausible", "robust_outlier", "dropout",
+        "target_mad", "entity_median", "entity_mad", "change_mad", "minus_entity_median", "entity_change_mad",
+    }
+)
+FORBIDDEN_PREFIXES, FORBIDDEN_SUFFIXES = ("next_", "extreme_", "nearest_"), ("_next_dif",)
 
 #: Rungs of the ablation ladder: each adds to the one before.
 LADDER = {
@@ -49,11 +56,24 @@ def assert_no_leakage(columns: Iterable[str], allow: Iterable[str] = ()) -> list
     return columns
 
 
-def matrix(frame: DataFrame, columns: list[str], allow: Iterable[str] = ()) -> DataFrame:
-    """``frame`` with ``features``; rows with a missing feature are kept with 0 in its place, so fill before if that matters."""
+def matrix(frame: DataFrame, columns: list[str], allow: Iterable[str] = (), train: DataFrame | None = None, entity: str = "entity_id") -> DataFrame:
+    """``frame`` with ``features``: the columns, then for each whether it was missing.
+
+    A missing value becomes the median of its entity's rows in ``train``, else the median of all of them, else 0. Give a
+    fold's training rows as ``train``, so that nothing is learnt from its test rows; without it missing values become 0.
+    """
     assert_no_leakage(columns, allow)
-    filled = frame.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
-    return VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="features").transform(filled).drop(*[f"_{c}" for c in columns])
+    overall = [0.0] * len(columns)
+    if train is not None:
+        found = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000) for c in columns]).first()
+        overall = [0.0 if x is None else x for x in found]
+        medians = train.groupBy(F.col(entity).alias("_entity")).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_m_{c}") for c in columns])
+        frame = frame.join(medians, F.col(entity) == F.col("_entity"), "left").drop("_entity")
+    own = (lambda c: [F.col(f"_m_{c}")]) if train is not None else (lambda c: [])
+    filled = frame.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), *own(c), F.lit(float(m))) for c, m in zip(columns, overall, strict=True)})
+    filled = filled.withColumns({f"_{c}_was_missing": F.col(c).isNull().cast("double") for c in columns})
+    inputs = [f"_{c}" for c in columns] + [f"_{c}_was_missing" for c in columns]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(filled).drop(*inputs, *[f"_m_{c}" for c in columns])
 
 
 def regressor(name: str = "gb", seed: int = 42, target: str = "target", **options):
@@ -98,7 +118,7 @@ def single(columns: list[str], name: str = "rf", seed: int = 42) -> FitPredict:
     """Fit one regressor on the training rows and score the test rows."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        return regressor(name, seed).fit(matrix(train, columns)).transform(matrix(test, columns))
+        return regressor(name, seed).fit(matrix(train, columns, train=train)).transform(matrix(test, columns, train=train))
 
     return run
 
@@ -111,10 +131,10 @@ def two_stage(columns: list[str], extreme: Column, blend: bool = False, oracle:
     """
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        rows = matrix(train, columns).withColumn("label", F.when(extreme, 1).otherwise(0)).persist()
+        rows = matrix(train, columns, train=train).withColumn("label", F.when(extreme, 1).otherwise(0)).persist()
         n = rows.where("label = 1").count()
         routine = regressor(name, seed).setPredictionCol("_routine").fit(rows.where("label = 0"))
-        out = routine.transform(matrix(test, columns))
+        out = routine.transform(matrix(test, columns, train=train))
         if n < least:
             rows.unpersist()
             return out.withColumn("y_pred", F.col("_routine"))
@@ -135,9 +155,9 @@ def season_gated(columns: list[str], scheme: str, date: str = "obs_date", least:
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         label = C.labelled(F.month(date), scheme)
-        rows = matrix(train, columns).withColumn("_regime", label).persist()
+        rows = matrix(train, columns, train=train).withColumn("_regime", label).persist()
         sizes = {r[0]: r[1] for r in rows.groupBy("_regime").count().collect()}  # at most 12 regimes
-        out = regressor(name, seed).setPredictionCol("_pooled").fit(rows).transform(matrix(test, columns)).withColumn("_regime", label)
+        out = regressor(name, seed).setPredictionCol("_pooled").fit(rows).transform(matrix(test, columns, train=train)).withColumn("_regime", label)
         choice = F.col("_pooled")
         for k, regime in enumerate(sorted(r for r, n in sizes.items() if r is not None and n >= least)):
             out = regressor(name, seed).setPredictionCol(f"_own_{k}").fit(rows.where(F.col("_regime") == regime)).transform(out)
@@ -197,8 +217,22 @@ def permutation_importance(model: Model, test: DataFrame, columns: list[str], ke
 
 
 def impurity_importance(model: Model, columns: list[str], spark) -> DataFrame:
-    """(feature, importance) of a tree model: as many rows as features."""
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    """(feature, importance) of a tree model: two rows for each column, its value and whether it was missing."""
+    names = [*columns, *[f"{c}_was_missing" for c in columns]]
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+
+
+def chance_of(columns: list[str], name: str = "rf", seed: int = 42) -> FitPredict:
+    """A balanced classifier of ``label``: the test rows with score; 0 for all where training has one class alone."""
+
+    def run(train: DataFrame, test: DataFrame) -> DataFrame:
+        counts = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+        if not all(counts):
+            return test.withColumn("score", F.lit(0.0))
+        model = classifier(name, seed).fit(balanced(matrix(train, columns, train=train)))
+        return probability(model, matrix(test, columns, train=train)).withColumn("score", F.col("chance"))
+
+    return run
 
 
 def normalised_two_stage(columns: list[str], multiplier: float, entity: str = "entity_id", name: str = "rf", seed: int = 42) -> FitPredict:

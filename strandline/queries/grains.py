@@ -276,6 +276,62 @@ def period_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("next_level_max", "next_level_sum")
 
 
+#: Stand-in weather of each day, from the lines shipped on it.
+WEATHER = """weather_days AS (
+    SELECT CAST(l_shipdate AS DATE) AS obs_date, max(CAST(l_quantity AS BIGINT)) / 2.0::DOUBLE AS temperature_2m_max, min(CAST(l_quantity AS BIGINT)) / 2.0::DOUBLE AS temperature_2m_min,
+           (sum(CAST(l_quantity AS BIGINT))::BIGINT * 10 // count(*)) / 40.0::DOUBLE AS temperature_2m_mean, (count(*) % 7) / 2.0::DOUBLE AS precipitation_sum, (count(*) % 11)::DOUBLE AS precipitation_hours,
+           (sum(l_linenumber)::BIGINT % 13) * 3600.0::DOUBLE AS sunshine_duration, (sum(l_linenumber)::BIGINT % 29)::DOUBLE AS shortwave_radiation_sum, max(l_linenumber)::DOUBLE AS wind_speed_10m_max,
+           (count(*) % 5)::DOUBLE AS et0_fao_evapotranspiration FROM lineitem GROUP BY 1),
+weather_full AS (
+    SELECT *, greatest(temperature_2m_mean - 10, 0) AS growing_degree_days_10c, sunshine_duration / 3600 AS foraging_hours_proxy,
+           coalesce(temperature_2m_max > 12 AND precipitation_sum < 1, false)::INT::DOUBLE AS is_foraging_day FROM weather_days)"""
+
+
+def weather_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("obs_date")).agg(
+        (F.expr("max(cast(l_quantity as bigint))") / 2.0).alias("temperature_2m_max"), (F.expr("min(cast(l_quantity as bigint))") / 2.0).alias("temperature_2m_min"),
+        F.expr("(sum(cast(l_quantity as bigint)) * 10 div count(*)) / 40D").alias("temperature_2m_mean"), F.expr("(count(*) % 7) / 2D").alias("precipitation_sum"), F.expr("cast(count(*) % 11 as double)").alias("precipitation_hours"),
+        F.expr("(sum(cast(l_linenumber as bigint)) % 13) * 3600D").alias("sunshine_duration"), F.expr("cast(sum(cast(l_linenumber as bigint)) % 29 as double)").alias("shortwave_radiation_sum"),
+        F.expr("cast(max(l_linenumber) as double)").alias("wind_speed_10m_max"), F.expr("cast(count(*) % 5 as double)").alias("et0_fao_evapotranspiration"),
+    )
+    return enrich.derived(days)
+
+
+SQL_STATISTICS = {"mean": "avg", "sum": "sum", "max": "max", "min": "min", "std": "stddev_samp"}
+WEATHER_NAMES = enrich.period_names()
+WEATHER_WEEKS = f"""{FEATURES}, {WEATHER},
+weekly AS (SELECT p.entity_id, {WEEK_SQL.replace("obs_date", "p.obs_date")} AS period_index, {", ".join(f"{SQL_STATISTICS[how]}({c}) AS {c}_{how}" for c, hows in enrich.PERIOD_AGGREGATIONS.items() for how in hows)}
+    FROM long_panel p LEFT JOIN weather_full x ON p.obs_date = x.obs_date GROUP BY 1, 2),
+met AS (SELECT f.entity_id, f.period_index, f.target, {", ".join(WEATHER_NAMES)} FROM features f LEFT JOIN weekly w ON f.entity_id = w.entity_id AND f.period_index = w.period_index),
+ahead AS (SELECT *, {", ".join(f"CASE WHEN lead(period_index) OVER p - period_index = 1 THEN lead({c}) OVER p END AS next_{c}" for c in WEATHER_NAMES)} FROM met WINDOW p AS (PARTITION BY entity_id ORDER BY period_index))"""
+
+
+def weather_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = periods.with_features(grained(spark, sf_dir, "week")).select("entity_id", "period_index", "target")
+    days = long_panel(spark, sf_dir).select("entity_id", "obs_date").join(weather_days(spark, sf_dir), "obs_date", "left")
+    return enrich.period_weather(features, days, enrich.PERIOD_AGGREGATIONS, lookahead=True)
+
+
+@query(f"WITH {WEATHER_WEEKS} SELECT entity_id, period_index, {', '.join(f'round({c}, 6) AS {c}' for c in WEATHER_NAMES)}, round(next_precipitation_sum_sum, 6) AS next_precipitation_sum_sum FROM ahead")
+def weather_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen weather features of each week, and the next week's rain."""
+    return weather_weeks(spark, sf_dir).select("entity_id", "period_index", *WEATHER_NAMES, "next_precipitation_sum_sum")
+
+
+def _rank_sql(feature: str) -> str:
+    return f"""(SELECT count(*) AS n, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS rho FROM (
+        SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry
+        FROM (SELECT round({feature}, 9) AS x, target AS y FROM ahead WHERE {feature} IS NOT NULL AND target IS NOT NULL)))"""
+
+
+@query(f"WITH {WEATHER_WEEKS} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, a.rho AS rho_current, b.rho AS rho_next, b.n AS n_next FROM {_rank_sql(c)} a, {_rank_sql(f'next_{c}')} b" for c in WEATHER_NAMES))
+def weather_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of the sixteen weather features, this week's and next week's, with the target."""
+    rows = weather_weeks(spark, sf_dir)
+    rounded = rows.select("target", *[F.round(c, 9).alias(c) for name in WEATHER_NAMES for c in (name, f"next_{name}")])
+    return enrich.weather_correlation(rounded)
+
+
 @query(
     f"""WITH {DAILY}, {SITES}, j AS (SELECT d.outside_temp, s.tmax FROM daily d LEFT JOIN site_days s ON {ON_SITE})
         SELECT 'outside_temp' AS column_name, round(100.0 * avg((outside_temp IS NOT NULL)::INT), 6) AS pct_present, round(avg(outside_temp), 6) AS mean, round(stddev_samp(outside_temp), 6) AS sd FROM j

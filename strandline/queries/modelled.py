@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import history
 from strandline.plans import backtest as B
 from strandline.plans import models as M
 from strandline.queries.base import long_panel, query
+from strandline.queries.grains import LONG_TARGET
 
 COLUMNS = M.ladder()["history"]
-CUT = 200
+CUT, BLOCKS = 200, 5
 
 
-def rows_and_folds(spark: SparkSession, sf_dir: str, keep: int = 2) -> tuple[DataFrame, list[B.Fold]]:
+def rows_and_folds(spark: SparkSession, sf_dir: str, keep: int = 4) -> tuple[DataFrame, list[B.Fold]]:
     rows = history.candidates(long_panel(spark, sf_dir)).where(history.gate()).persist()
     return rows, B.rolling_folds(rows, keep=keep)
 
@@ -69,7 +72,8 @@ def feature_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, folds = rows_and_folds(spark, sf_dir, 1)
     split = B.assigned(rows, folds)
-    model = M.regressor("rf").fit(M.matrix(split.where("part = 'train'"), COLUMNS))
+    train = split.where("part = 'train'")
+    model = M.regressor("rf").fit(M.matrix(train, COLUMNS))
     return M.permutation_importance(model, split.where("part = 'test'"), COLUMNS, ["entity_id", "obs_date"])
 
 
@@ -86,33 +90,65 @@ def seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.seed_boards(rows, folds, lambda seed: M.single(COLUMNS, "rf", seed))
 
 
+def _definitions(relative: str = "relative_2_mad") -> dict[str, Column]:
+    """Absolute cuts, and a cut relative to the entity's own scale."""
+    return {f"absolute_{cut}": F.abs("target") > cut for cut in (50, 100, 200, 400)} | {relative: history.beyond(F.col("target"), F.col("target_mad"), 2.0)}
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history.target_scale(history.candidates(long_panel(spark, sf_dir)).where(history.gate()))
+    return B.date_split(rows, date(1997, 1, 1))
+
+
 @query()
 def classifier_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A balanced classifier of extremes under several definitions: average precision, ROC area and lift on the last fold."""
-    rows, folds = rows_and_folds(spark, sf_dir, 1)
-    split = M.matrix(B.assigned(rows, folds), COLUMNS)
-    out = None
-    for cut in (CUT, 2 * CUT):
-        own = split.withColumn("label", (F.abs("target") > cut).cast("int"))
-        train = own.where("part = 'train'")
-        if train.where("label = 1").count() < 5:
-            continue
-        scored = M.probability(M.classifier("rf").fit(M.balanced(train)), own.where("part = 'test'"))
-        one = B.classifier_report(scored.select("label", F.col("chance").alias("score"))).withColumn("cut", F.lit(float(cut)))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else B.classifier_report(split.select(F.lit(0).alias("label"), F.lit(0.0).alias("score"))).withColumn("cut", F.lit(float(CUT)))
+    """Boosted trees of routine rows and a balanced classifier of extremes under five definitions, on one date split."""
+    rows = _split(spark, sf_dir).persist()
+    return B.definition_sweep(rows, _definitions(), M.single(COLUMNS, "gb"), M.chance_of(COLUMNS))
+
+
+def _sweep_sql(name: str, condition: str) -> str:
+    return f"""SELECT '{name}' AS definition, sum(x)::BIGINT AS extremes, round(100.0 * avg(x), 6) AS extreme_pct, count(*) FILTER (WHERE x = 0) AS routine_rows,
+        round(any_value(e.mae), 6) AS routine_mae, round(any_value(e.r2), 6) AS routine_r2,
+        round(CASE WHEN count(*) FILTER (WHERE x = 1 AND part = 'train') >= 30 AND count(*) FILTER (WHERE x = 1 AND part = 'test') >= 5 THEN any_value(c.ap) END, 6) AS average_precision,
+        round(CASE WHEN count(*) FILTER (WHERE x = 1 AND part = 'train') >= 30 AND count(*) FILTER (WHERE x = 1 AND part = 'test') >= 5 THEN any_value(c.roc) END, 6) AS roc_auc,
+        round(CASE WHEN count(*) FILTER (WHERE x = 1 AND part = 'train') >= 30 AND count(*) FILTER (WHERE x = 1 AND part = 'test') >= 5 THEN any_value(c.lift) END, 6) AS lift
+        FROM (SELECT *, coalesce({condition}, false)::INT AS x FROM scaled) r,
+        (SELECT avg(abs(target - m)) AS mae, 1 - avg((target - m) * (target - m)) / nullif(var_pop(target), 0) AS r2 FROM (SELECT target, (SELECT avg(target) FROM scaled WHERE part = 'train' AND NOT coalesce({condition}, false)) AS m FROM scaled WHERE part = 'test' AND NOT coalesce({condition}, false))) e,
+        (SELECT sum(pos / nullif(p, 0) * tp / seen) AS ap, sum((n - pos) * (tp - pos + pos / 2)) / nullif(any_value(p) * (any_value(total) - any_value(p)), 0) AS roc, sum(pos / nullif(p, 0) * tp / seen) / nullif(any_value(p) / any_value(total), 0) AS lift
+         FROM (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER () AS p, sum(n) OVER () AS total
+               FROM (SELECT round(abs(change), 0) AS score, sum(coalesce({condition}, false)::INT) AS pos, count(*) AS n FROM scaled WHERE part = 'test' GROUP BY 1) WINDOW w AS (ORDER BY score DESC))) c"""
+
+
+@query(
+    f"""WITH {LONG_TARGET}, middle AS (SELECT entity_id, median(target) AS m FROM targets GROUP BY 1), mads AS (SELECT t.entity_id, median(abs(target - m)) AS target_mad FROM targets t JOIN middle USING (entity_id) GROUP BY 1),
+        scaled AS (SELECT t.*, target_mad, CASE WHEN obs_date < DATE '1997-01-01' THEN 'train' ELSE 'test' END AS part FROM targets t JOIN mads USING (entity_id))
+        """
+    + " UNION ALL ".join(_sweep_sql(f"absolute_{cut}", f"abs(target) > {cut}") for cut in (50, 100, 200, 400))
+    + " UNION ALL "
+    + _sweep_sql("relative_2_mad", "target_mad <> 0 AND abs(target) > 2 * 1.4826 * target_mad")
+)
+def definition_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep with plain predictors: the mean of routine training rows, and the size of the last change as score."""
+
+    def mean(train: DataFrame, test: DataFrame) -> DataFrame:
+        return test.withColumn("y_pred", train.agg(F.avg("target")).scalar())
+
+    def last_change(train: DataFrame, test: DataFrame) -> DataFrame:
+        return test.withColumn("score", F.round(F.abs("change"), 0))
+
+    return B.definition_sweep(_split(spark, sf_dir), _definitions(), mean, last_change)
 
 
 @query()
 def group_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-entities-out error: each block of entities is scored by a model that never saw it."""
     rows, _ = rows_and_folds(spark, sf_dir, 1)
-    blocks = B.group_folds(rows, 3).withColumnRenamed("fold", "block")
-    met = M.matrix(rows.join(F.broadcast(blocks), "entity_id"), COLUMNS).persist()
+    blocks = B.group_folds(rows, BLOCKS).withColumnRenamed("fold", "block")
+    met = rows.join(blocks, "entity_id")
     out = None
-    for k in (1, 2, 3):
-        test = met.where(F.col("block") == k)
-        model = M.regressor("rf").fit(met.where(F.col("block") != k))
-        one = model.transform(test).withColumn("y_true", F.col("target")).agg(F.lit(k).cast("long").alias("block"), *B.metrics())
+    for k in range(1, BLOCKS + 1):
+        train, test = met.where(F.col("block") != k), met.where(F.col("block") == k)
+        one = M.single(COLUMNS)(train, test).withColumn("y_true", F.col("target")).agg(F.lit(k).cast("long").alias("block"), *B.metrics())
         out = one if out is None else out.unionByName(one)
     return out

@@ -124,12 +124,62 @@ def test_constant_pair_has_no_correlation(spark):
     assert frame.agg(C.pearson(F.col("x"), F.col("y"))).first()[0] is None
 
 
-def test_leakage_guard():
-    with pytest.raises(ValueError, match="next_level"):
-        M.assert_no_leakage(["level", "next_level"])
+@pytest.mark.parametrize("name", ["next_level", "dropout", "nearest_purchase", "implausible", "robust_outlier", "entity_median", "purchase_next_dif", "extreme_5", "target_mad"])
+def test_leakage_guard(name):
+    with pytest.raises(ValueError, match=name):
+        M.assert_no_leakage(["level", name])
+
+
+def test_leakage_guard_allows_by_name():
     assert M.assert_no_leakage(["next_rain"], allow=["next_rain"]) == ["next_rain"]
 
 
+def test_regimes_are_those_of_the_survey():
+    flow = {m for m in range(1, 13) if C.REGIMES["flow_vs_rest"][m] == "flow"}
+    assert flow == {4, 5, 6, 7, 8}
+    cycle = C.REGIMES["colony_cycle"]
+    assert [cycle[m] for m in (2, 3, 5, 6, 8, 9)] == ["dormancy", "buildup", "buildup", "flow", "flow", "dormancy"]
+    assert C.REGIMES["season"][12] == "Winter" and C.REGIMES["season"][9] == "Autumn" and all(len(x) == 12 for x in C.REGIMES.values())
+
+
+def test_embargo_ends_at_the_first_test_date(spark):
+    day = lambda y, m, d: date(y, m, d)
+    rows = [(day(2020, 1, 1), day(2020, 1, 31)), (day(2020, 12, 20), day(2021, 1, 5)), (day(2020, 12, 28), day(2021, 1, 12)), (day(2021, 1, 10), day(2021, 1, 20)), (day(2021, 7, 1), day(2021, 7, 20))]
+    frame = spark.createDataFrame([(1, a, b) for a, b in rows], "entity_id long, start date, until date")
+    folds = B.rolling_folds(frame, "start")
+    assert folds[0].origin == date(2021, 1, 1) and folds[0].test_start == date(2021, 1, 10)
+    r = B.fold_table(frame, folds, "start", "until").first()
+    assert (r.n_train, r.n_test, r.embargoed, r.train_end) == (2, 1, 1, date(2021, 1, 5))
+    B.assert_order(frame, folds, "start", "until")
+
+
+def test_running_sums_in_ranges(spark):
+    rows = [(k % 3, float((k * 7) % 13), k) for k in range(200)]
+    found = history.running_before(spark.createDataFrame(rows, "g long, v double, a long"), ["g"], "v", ["a"], ["a"]).collect()
+    assert len(found) == 200
+    for r in found:
+        assert r.a_before == sum(a for g, v, a in rows if g == r.g and (v, a) < (r.v, r.a))
+
+
+def test_classifier_report_matches_plain_sums(spark):
+    rows = [(int((k * 5) % 7 < 2), float((k * 3) % 11)) for k in range(120)] + [(1, None)]
+    r = B.classifier_report(spark.createDataFrame(rows, "label int, score double")).first()
+    pos, neg = [s for x, s in rows if x and s is not None], [s for x, s in rows if not x]
+    assert r.roc_auc == pytest.approx(sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / len(pos) / len(neg)) and r.n == 120
+
+
+def test_matrix_learns_fills_from_training_rows(spark):
+    train = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 9.0)], "entity_id long, level double")
+    test = spark.createDataFrame([(1, None), (3, None), (2, 5.0)], "entity_id long, level double")
+    found = {r.entity_id: r.features.toArray().tolist() for r in M.matrix(test, ["level"], train=train).collect()}
+    assert found == {1: [3.0, 1.0], 3: [4.0, 1.0], 2: [5.0, 0.0]}
+
+
+def test_flight_days(spark):
+    found = spark.createDataFrame([(13.0, 0.5), (12.0, 0.0), (20.0, 1.0), (None, 0.0)], "t double, r double").select(C.flight_day(F.col("t"), F.col("r")).alias("x")).collect()
+    assert [r.x for r in found] == [1.0, 0.0, 0.0, 0.0]
+
+
 def test_empty_tables(spark):
     empty = panel(spark, [])
     assert history.model_table(empty).count() == 0 and periods.aggregated(empty).count() == 0
