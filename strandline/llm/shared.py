@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strandline.sources.sinks import delete_on_exit, scratch_dir
+
 #: Documents a Python worker sees at once; bounds a worker's memory when texts are long.
 ROWS_PER_BATCH = 500
 
@@ -19,18 +20,6 @@ ROWS_PER_BATCH = 500
 HEAVY_SHARE = 1000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only in local mode, where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="strandline-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir() or root
-    return root.rstrip("/")
-
-
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
 
@@ -39,8 +28,7 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    delete_on_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -479,3 +479,107 @@ def test_html_headers_under_long_classes():
     pages = [f'<body><{tag}><div class="{long}"><p>Words of the text</p></div></{tag}></body>' for tag in ("main", "section")]
     paths = [html_extract.page_blocks(x)[0][0].parent.path for x in pages]
     assert paths[0] != paths[1] and max(map(len, paths)) <= html_extract.PATH_BYTES
+
+
+@pytest.mark.parametrize("most", [0, 1 << 30])
+def test_line_dedup_with_filters_dealt_by_shard(spark, docs, monkeypatch, most):
+    for name, value in (("BROADCAST_BYTES", most), ("SHARD_KEYS", 3), ("HOLDERS", 20)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rows = docs.select("doc_id", "text")
+    found = {r.doc_id: r.text for r in line_dedup.deduplicated(rows, line_dedup.build(rows)).collect()}
+    assert found == brute_lines([(r.doc_id, r.text) for r in rows.collect()])
+
+
+def test_line_index_grows_past_its_filters(spark):
+    line = lambda k: f"a line of its own, number {k}"
+    start = spark.createDataFrame([(k, line(0)) for k in range(4)], "doc_id long, text string")
+    more = spark.createDataFrame([(10 + k, "\n".join(line(j) for j in range(1, 60))) for k in range(3)], "doc_id long, text string")
+    grown = line_dedup.insert(line_dedup.build(start), more)
+    assert grown.filters.agg(F.sum("n")).first()[0] == 60
+    rows = [(r.doc_id, r.text) for r in start.unionByName(more).collect()]
+    assert {r.doc_id: r.text for r in line_dedup.deduplicated(start.unionByName(more), grown).collect()} == brute_lines(rows)
+
+
+def test_letters_and_bounds_of_languages(spark):
+    model = langid.Model(["a", "b"], np.zeros((1 << langid.BITS, 2)), np.log([0.5, 0.5]))
+    best, score = model.scores(pa.array(["😀😀", "𝒜", "12 !", "日本", None]))
+    assert best.tolist() == [-1, 0, -1, 0, -1] and score[1] == pytest.approx(0.5)  # ties go to the first language
+    frame = spark.createDataFrame([(k, f"text {k}", f"l{k}") for k in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="over 3"):
+        langid.fit(frame, F.lit(True), languages=3)
+
+
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    forests = quality.fit(docs, labels.where(~held))
+    judged = quality.judged(docs.join(labels.where(held).select("doc_id", "quality"), "doc_id"), forests).where("not base_failed").collect()
+    assert np.mean([r.kept for r in judged if r.quality == 1]) > 0.97 and np.mean([r.kept for r in judged if r.quality == 0]) < 0.1
+    again = quality.fit(docs.repartition(7), labels.where(~held).repartition(3))
+    assert [f.threshold for f in again] == [f.threshold for f in forests]
+
+
+def test_toxicity_scores_match_plain_sums():
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS) / 50, -0.3)
+    texts = ["Some words, some MORE", "", None, "ab", "é" * 40, "a " * 5000]
+    for text, score in zip(texts, model.scores(pa.array(texts)), strict=True):
+        words = [w.strip(toxicity.MARKS) for w in re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())]
+        total = 0.0
+        for w in words:
+            grams = [b for _, bucket in toxicity.subwords(pa.array([w], pa.large_string())) for b in bucket]
+            total += sum(model.weights[b] for b in grams) / max(1, len(grams))
+        assert score == pytest.approx(1 / (1 + np.exp(-(toxicity.SCALE * total / max(1, len(words)) - 0.3))))
+
+
+def test_one_long_text_does_not_empty_the_sample(spark):
+    rows = [(k, ("grumblers " if k % 2 else "kindly ") + "tal mer sin dov " * 10, k % 2) for k in range(200)] + [(1000, "tal " * 20_000, 1)]
+    frame = spark.createDataFrame([r[:2] for r in rows] + [rows[0][:2]] * 3, "doc_id long, text string")
+    marks = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1)], "doc_id long, toxic int")
+    found = {r.doc_id: r.predicted for r in toxicity.scored(frame, toxicity.fit(frame, marks, F.lit(True))).collect()}
+    assert sum(found[k] == k % 2 for k in range(200)) > 195
+
+
+def test_components_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SMALL", 16)
+    rng = np.random.default_rng(14)
+    chain = np.cumsum(rng.normal(0, 0.05, (300, 16)), axis=0) + rng.normal(size=16) * 2
+    rows = [(k, [float(x) for x in v], 0) for k, v in enumerate(chain)] + [(300, [float(x) for x in chain[0]], 0)] * 2
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    found = sorted((r.vec_id, r.n_links) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert found == sorted((r[0], int(n)) for r, n in zip(rows, linked.sum(axis=1), strict=True))
+
+
+GOLDEN = {
+    "blog": (
+        '<html><body class="home"><div class="site-header"><p>Our site has a long header text that must not stay in</p></div><div class="wrap"><div id="sidebar"><p>Popular posts of the week</p></div>'
+        '<main><article class="post-{n} entry"><header class="entry-header"><h1>Title {n}</h1></header><p>Body &lt;one&gt; of   page {n}.</p><ul><li>First item</li><li>Second item</li></ul>'
+        '<form><p>Subscribe here now please</p></form><blockquote>Quoted words</blockquote></article></main></div><div class="comments-area"><p>I disagree with all of this</p></div></body></html>',
+        "Title {n}\nBody <one> of page {n}.\nFirst item\nSecond item\nQuoted words",
+    ),
+    "table": (
+        "<body><table><tr><td class=nav><a href=/>Home</a> <a href=/x>More</a></td><td class=text><h2>Report {n}</h2><p>Numbers went up in the year {n} as was told.<p>Then they fell, &copy; nobody knows why.</td></tr></table>"
+        "<div class='cookie-notice'>We use cookies on this site</div></body>",
+        "Report {n}\nNumbers went up in the year {n} as was told.\nThen they fell, © nobody knows why.",
+    ),
+    "sections": (
+        "<div role=navigation><p>Sections Sections Sections</p></div><section class='story body-{n}'><h1>Story {n}</h1><p>It was a dark&nbsp;night and {n} people came.</p><aside><p>Read also this other story</p></aside>"
+        "<pre>code  here</pre><script>var p = '<p>no</p>';</script><!-- <p>hidden</p> --><p>The end &#8212; really.</p></section><div class='masthead'><p>Daily news of the whole wide world</p></div>",
+        "Story {n}\nIt was a dark night and {n} people came.\ncode here\nThe end — really.",
+    ),
+}
+
+
+@pytest.mark.parametrize("hosts", [0, 200_000])
+def test_html_golden_pages(spark, monkeypatch, hosts):
+    monkeypatch.setattr(html_extract, "HOSTS", hosts)
+    rows = [(10 * k + j, f"https://{name}.example/{k}", page.replace("{n}", str(k))) for j, (name, (page, _)) in enumerate(GOLDEN.items()) for k in range(4)]
+    rows += [rows[0], (900, "https://blog.example/long", GOLDEN["blog"][0].replace("Quoted words", "word " * 60_000))]
+    found = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for j, (_, text) in enumerate(GOLDEN.values()):
+        for k in range(4):
+            assert found[10 * k + j] == text.replace("{n}", str(k))
+    assert len(found[900]) > 290_000
