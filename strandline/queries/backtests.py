@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions import columns as C
 from strandline.operators import history, periods
 from strandline.plans import backtest as B
+from strandline.plans import models as M
 from strandline.queries.base import LONG, long_panel, query
 from strandline.queries.grains import FEATURES, LONG_TARGET, MONTHS, _features_sql, grained, long_targets
 
@@ -105,11 +106,11 @@ def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEASON = "CASE WHEN month({d}) IN (12, 1, 2) THEN 'Winter' WHEN month({d}) IN (3, 4, 5) THEN 'Spring' WHEN month({d}) IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn' END"
 
 
-def _segmented_sql(segments: str, pooled: bool) -> str:
-    extra = ", round(1 - mae / (SELECT min(m) FROM (SELECT avg(abs(y_pred - y_true)) AS m FROM predictions WHERE rule <> 'persistence' GROUP BY rule)), 6) AS skill_pooled" if pooled else ""
-    return f"""WITH {NAIVE}, long AS ({segments}), rows AS (SELECT segment, value, rule, rule_order, {METRICS} FROM long GROUP BY ALL),
-        bars AS (SELECT segment, value, min(mae) AS bar, arg_min(rule, (mae, rule_order)) AS bar_rule FROM rows WHERE rule <> 'persistence' GROUP BY 1, 2)
-        SELECT r.segment, r.value, {SHOWN}, round(bar, 6) AS bar, bar_rule, round(1 - mae / nullif(bar, 0), 6) AS skill{extra} FROM rows r LEFT JOIN bars b ON r.segment = b.segment AND r.value = b.value WHERE rule = 'persistence'"""
+def _segmented_sql(segments: str, pooled: bool, model: str = "persistence", before: str = "") -> str:
+    extra = f", round(1 - mae / (SELECT min(m) FROM (SELECT avg(abs(y_pred - y_true)) AS m FROM predictions WHERE rule <> '{model}' GROUP BY rule)), 6) AS skill_pooled" if pooled else ""
+    return f"""WITH {NAIVE}{before}, long AS ({segments}), rows AS (SELECT segment, value, rule, rule_order, {METRICS} FROM long GROUP BY ALL),
+        bars AS (SELECT segment, value, min(mae) AS bar, arg_min(rule, (mae, rule_order)) AS bar_rule FROM rows WHERE rule <> '{model}' GROUP BY 1, 2)
+        SELECT r.segment, r.value, {SHOWN}, round(bar, 6) AS bar, bar_rule, round(1 - mae / nullif(bar, 0), 6) AS skill{extra} FROM rows r LEFT JOIN bars b ON r.segment = b.segment AND r.value = b.value WHERE rule = '{model}'"""
 
 
 @query(
@@ -131,6 +132,24 @@ def regime_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.regime_report(naive_predictions(spark, sf_dir), F.month("obs_date"), "flow_vs_rest", "persistence")
 
 
+@query(
+    _segmented_sql(
+        f"SELECT 'season' AS segment, {SEASON.format(d='obs_date')} AS value, * FROM pooled UNION ALL SELECT 'year', year(obs_date)::VARCHAR, * FROM pooled", True, "model",
+        ", pooled AS (SELECT * FROM predictions UNION ALL SELECT fold, entity_id, obs_date, target, 'model', 99, coalesce(-change / 2, 0) FROM wide)",
+    )
+)
+def pooled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictor's pooled out-of-fold predictions by season and year, against the naive rules: half the last change is taken back."""
+    rows = long_targets(spark, sf_dir)
+    folds = B.rolling_folds(rows)
+
+    def reversal(train: DataFrame, test: DataFrame) -> DataFrame:
+        return test.withColumn("y_pred", F.coalesce(-F.col("change") / 2, F.lit(0.0)))
+
+    predictions = B.naive(B.assigned(rows, folds), B.DAILY_RULES).unionByName(M.out_of_fold(rows, folds, reversal, "model"))
+    return B.segmented(predictions, {"season": C.season(F.col("obs_date")), "year": F.year("obs_date")}, "model")
+
+
 @query(
     f"""WITH {PERIOD_FOLDS}, assigned AS (SELECT t.*, fold, CASE WHEN period_start >= origin THEN 'test' ELSE 'train' END AS part, month(period_start) AS month FROM period_targets t JOIN folds f ON (period_start >= origin AND period_start < horizon_end) OR (period_start < origin AND target_period_end < test_start)),
     train AS (SELECT * FROM assigned WHERE part = 'train'), overall AS (SELECT fold, avg(target) AS m FROM train GROUP BY 1), e AS (SELECT fold, entity_id, avg(target) AS m FROM train GROUP BY 1, 2),
