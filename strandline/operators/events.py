@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
 from strandline.operators import periods
-from strandline.operators.history import DEFAULT, Panel, median
+from strandline.operators.history import DEFAULT, Panel, median, quantiles
 
 #: A counter falls by more than this share at a reset.
 RESET_BELOW = 0.95
@@ -69,7 +69,7 @@ def step_downs(panel: DataFrame, threshold: float = 3.0, sustain_rows: int = 7,
 
 
 def threshold_sweep(panel: DataFrame, thresholds: tuple[float, ...] = (2, 3, 4, 5, 7, 10), p: Panel = DEFAULT) -> DataFrame:
-    """Per threshold: steps, entities, median and total mass, and the share from May to August. One aggregation for all."""
+    """Per threshold: steps, entities, median and total mass, and the share from May to August."""
     rows = step_candidates(panel, p=p).where(F.col("removed") >= float(min(thresholds)))
     cells = []
     for t in thresholds:
@@ -77,11 +77,13 @@ def threshold_sweep(panel: DataFrame, thresholds: tuple[float, ...] = (2, 3, 4,
         mass = F.when(own, F.col("removed"))
         cells.append(
             F.struct(
-                F.lit(float(t)).alias("threshold"), F.count(mass).alias("n"), F.count_distinct(F.when(own, F.col(p.entity))).alias("entities"), median(mass).alias("median_removed"),
+                F.lit(float(t)).alias("threshold"), F.count(mass).alias("n"), F.count_distinct(F.when(own, F.col(p.entity))).alias("entities"),
                 F.coalesce(F.sum(mass), F.lit(0.0)).alias("total_removed"), F.avg(F.when(own, F.col("month").between(5, 8).cast("double"))).alias("share_may_to_aug"),
             )
         )
-    return rows.agg(F.array(*cells).alias("x")).select(F.inline("x"))
+    each = rows.select("removed", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")).where("removed >= threshold")
+    middle = quantiles(each, ["threshold"], "removed", (0.5,)).select("threshold", F.col("q0").alias("median_removed"))
+    return rows.agg(F.array(*cells).alias("x")).select(F.inline("x")).join(middle, "threshold", "left")
 
 
 def corroboration(found: DataFrame, steps: DataFrame, tolerances: tuple[int, ...] = (1, 3, 7, 14), p: Panel = DEFAULT) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.history import DEFAULT, Panel, median
+from strandline.operators.history import DEFAULT, Panel, quantiles
 
 
 def proximity(frame: DataFrame, extreme: Column, distances: dict[str, str]) -> DataFrame:
@@ -14,10 +14,12 @@ def proximity(frame: DataFrame, extreme: Column, distances: dict[str, str]) -> D
     rows = frame.withColumn("group", F.when(extreme, "extreme").otherwise("routine")).select("group", *[F.col(c).alias(k) for k, c in distances.items()])
     long = rows.unpivot(["group"], list(distances), "event_type", "days")
     present = F.col("days").isNotNull()
-    return long.groupBy("group", "event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.count("days").alias("n_logged"), median(F.col("days")).alias("median_days"),
+    middle = quantiles(long, ["group", "event_type"], "days", (0.5,)).select("group", "event_type", F.col("q0").alias("median_days"))
+    out = long.groupBy("group", "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count("days").alias("n_logged"),
         (100.0 * F.avg(F.when(present, (F.col("days") <= 1).cast("double")))).alias("pct_within_1"), (100.0 * F.avg(F.when(present, (F.col("days") <= 7).cast("double")))).alias("pct_within_7"),
     )
+    return out.join(middle, ["group", "event_type"])
 
 
 def date_clusters(frame: DataFrame, extreme: Column, p: Panel = DEFAULT) -> DataFrame:
@@ -74,15 +76,17 @@ def relative_flag(multiplier: float, target: str = "target", scale: str = "scale
 def relative_sweep(frame: DataFrame, multipliers: tuple[float, ...] = (2, 3, 4, 5, 6, 8), target: str = "target", scale: str = "scale", p: Panel = DEFAULT) -> DataFrame:
     """Per multiplier: positives, rate, entities with one, and the median threshold over entities."""
     per_entity = frame.where(F.col(target).isNotNull()).groupBy(p.entity).agg(F.first(scale, ignorenulls=True).alias("scale"), F.count(F.lit(1)).alias("n"), *[F.count_if(relative_flag(m, target, scale)).alias(f"p{k}") for k, m in enumerate(multipliers)])
-    cells = [F.struct(F.lit(float(m)).alias("multiplier"), F.sum(f"p{k}").alias("positives"), F.sum("n").alias("n"), F.count_if(F.col(f"p{k}") > 0).alias("entities"), (m * median(F.col("scale"))).alias("median_threshold")) for k, m in enumerate(multipliers)]
-    return per_entity.agg(F.array(*cells).alias("x")).select(F.inline("x")).withColumn("rate", F.try_divide("positives", "n")).drop("n")
+    cells = [F.struct(F.lit(float(m)).alias("multiplier"), F.sum(f"p{k}").alias("positives"), F.sum("n").alias("n"), F.count_if(F.col(f"p{k}") > 0).alias("entities")) for k, m in enumerate(multipliers)]
+    middle = quantiles(per_entity, [], "scale", (0.5,)).select("q0").scalar()
+    out = per_entity.agg(F.array(*cells).alias("x")).select(F.inline("x"))
+    return out.withColumns({"median_threshold": F.col("multiplier") * middle, "rate": F.try_divide("positives", "n")}).drop("n")
 
 
-def matched_multiplier(frame: DataFrame, rate: float, target: str = "target", scale: str = "scale", exact: bool = True) -> DataFrame:
+def matched_multiplier(frame: DataFrame, rate: float, target: str = "target", scale: str = "scale") -> DataFrame:
     """The multiplier whose flag marks about ``rate`` of the rows: a percentile of |target| / scale, 0 where it is missing."""
     ratio = F.coalesce(F.try_divide(F.abs(target), F.col(scale)), F.lit(0.0))
-    found = F.percentile(ratio, F.lit(1 - rate)) if exact else F.percentile_approx(ratio, 1 - rate, 100_000)
-    return frame.where(F.col(target).isNotNull()).agg(found.alias("multiplier"))
+    ratios = frame.where(F.col(target).isNotNull()).select(ratio.alias("_ratio"))
+    return quantiles(ratios, [], "_ratio", (1 - rate,)).select(F.col("q0").alias("multiplier"))
 
 
 def label_comparison(frame: DataFrame, absolute: float, multiplier: float, target: str = "target", scale: str = "scale", level: str = "level", p: Panel = DEFAULT) -> DataFrame:
@@ -90,9 +94,9 @@ def label_comparison(frame: DataFrame, absolute: float, multiplier: float, targe
     rows = frame.where(F.col(target).isNotNull()).withColumns({"absolute": F.abs(target) > absolute, "relative": relative_flag(multiplier, target, scale)})
     agreement = rows.agg(F.count_if(F.col("absolute") & F.col("relative")).alias("agreement"))
     long = rows.unpivot([p.entity, level], ["absolute", "relative"], "rule", "flag")
-    levels = long.where("flag").groupBy("rule").agg(median(F.col(level)).alias("median_level"))
+    levels = quantiles(long.where("flag"), ["rule"], level, (0.5,)).select("rule", F.col("q0").alias("median_level"))
     counts = long.groupBy("rule", p.entity).agg(F.count_if("flag").alias("n"))
-    order = Window.partitionBy("rule").orderBy(F.desc("n"), p.entity)
+    order = Window.partitionBy("rule").orderBy(F.desc("n"), p.entity)  # Spark keeps five rows of each task before the shuffle
     top = counts.withColumn("_r", F.row_number().over(order)).where("_r <= 5").groupBy("rule").agg(F.sum("n").alias("_top"), F.max("n").alias("most"))
     sums = counts.groupBy("rule").agg(F.sum("n").alias("positives"), F.count_if(F.col("n") > 0).alias("entities_with"), F.count_if(F.col("n") == 0).alias("entities_without"))
     out = sums.join(top, "rule").join(levels, "rule", "left").withColumn("agreement", agreement.scalar())

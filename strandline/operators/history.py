@@ -234,6 +234,31 @@ def running_before(frame: DataFrame, keys: list[str], value: str, amounts: list[
     return out.withColumns({f"{a}_before": F.col(f"_{a}_own") + F.col(f"_{a}_off") for a in amounts}).drop("_part", *[f"_{a}_{k}" for a in amounts for k in ("own", "off")])
 
 
+def quantiles(frame: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(keys, n, q0, q1, ..): exact percentiles of each group's values, linear between neighbours.
+
+    Rows are counted by distinct value, and the counts summed in ranges of the value, so no task holds a group. Missing
+    values count for nothing: a group without any has n = 0 and NULLs. Rows with a missing key are left out. Without keys
+    there is one row.
+    """
+    group = keys or ["_all"]
+    rows = frame if keys else frame.withColumn("_all", F.lit(1))
+    counts = rows.groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    totals = counts.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_c"))), F.lit(0)).alias("n"))
+    met = running_before(counts.where("_x is not null"), group, "_x", ["_c"]).join(totals, group)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_c_before") <= place) & (place < F.col("_c_before") + F.col("_c")), F.col("_x")))
+
+    places = [F.lit(float(q)) * (F.col("n") - 1) for q in shares]
+    ends = [c.alias(f"_{side}{k}") for k, place in enumerate(places) for side, c in (("low", at(F.floor(place))), ("high", at(F.ceil(place))))]
+    out = totals.join(met.groupBy(*group).agg(*ends), group, "left")
+    found = [(F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * (place - F.floor(place))).alias(f"q{k}") for k, place in enumerate(places)]
+    if keys:
+        return out.select(*keys, "n", *found)
+    return out.select("n", *found).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(f"q{k}").alias(f"q{k}") for k in range(len(shares))])
+
+
 def in_ranges(frame: DataFrame, value: str, name: str) -> DataFrame:
     """``name`` numbers ascending ranges of about equally many rows; missing values come last.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.history import DEFAULT, Panel, running_before
+from strandline.operators.history import DEFAULT, Panel, quantiles, running_before
 
 DAILY_RULES = ("zero", "train_mean", "persistence", "entity_mean", "entity_month")
 PERIOD_RULES = ("zero", "train_mean", "persistence", "entity_mean", "month_mean", "entity_month")
@@ -355,11 +355,11 @@ def row_share_split(frame: DataFrame, share: float = 0.8, column: str = "obs_dat
     return frame.withColumn("part", F.when(F.coalesce(F.col(column) >= cut, F.lit(False)), "test").otherwise("train"))
 
 
-def residual_tiers(predictions: DataFrame, tier: Column, quantiles: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+def residual_tiers(predictions: DataFrame, tier: Column, shares: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Box-plot statistics of the residuals by tier and rule."""
     rows = predictions.withColumns({"tier": tier, "_e": F.col("y_true") - F.col("y_pred")}).where("tier is not null")
-    found = rows.groupBy("tier", "rule").agg(F.count("_e").alias("n"), F.percentile("_e", F.array(*map(F.lit, quantiles))).alias("q"))
-    return found.select("tier", "rule", "n", *[F.col("q")[k].alias(f"q{int(100 * q):03d}") for k, q in enumerate(quantiles)])
+    found = quantiles(rows, ["tier", "rule"], "_e", shares)
+    return found.select("tier", "rule", "n", *[F.col(f"q{k}").alias(f"q{int(100 * q):03d}") for k, q in enumerate(shares)])
 
 
 def expectations(found: DataFrame, expected: dict[str, tuple[float, float]]) -> DataFrame:

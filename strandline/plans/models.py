@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
+from strandline.operators.history import quantiles
 from strandline.plans import backtest as B
 from strandline.plans.backtest import Fold
 
@@ -114,11 +115,11 @@ def probability(model: Model, rows: DataFrame) -> DataFrame:
 FitPredict = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def single(columns: list[str], name: str = "rf", seed: int = 42) -> FitPredict:
-    """Fit one regressor on the training rows and score the test rows."""
+def single(columns: list[str], name: str = "rf", seed: int = 42, allow: Iterable[str] = ()) -> FitPredict:
+    """Fit one regressor on the training rows and score the test rows; ``allow`` names columns from the future, for a bound."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        return regressor(name, seed).fit(matrix(train, columns, train=train)).transform(matrix(test, columns, train=train))
+        return regressor(name, seed).fit(matrix(train, columns, allow, train)).transform(matrix(test, columns, allow, train))
 
     return run
 
@@ -235,20 +236,20 @@ def chance_of(columns: list[str], name: str = "rf", seed: int = 42) -> FitPredic
     return run
 
 
-def normalised_two_stage(columns: list[str], multiplier: float, entity: str = "entity_id", name: str = "rf", seed: int = 42) -> FitPredict:
+def normalised_two_stage(columns: list[str], multiplier: float, blend: bool = False, entity: str = "entity_id", name: str = "rf", seed: int = 42) -> FitPredict:
     """Two-stage model of the target in units of each entity's training scale; scales have a floor at their 5th percentile
     and the median for entities without one."""
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         scale = train.groupBy(entity).agg(F.percentile(F.abs("target"), F.lit(0.5)).alias("_scale"))
-        bounds = scale.agg(F.percentile("_scale", F.lit(0.05)).alias("_low"), F.percentile("_scale", F.lit(0.5)).alias("_mid"))
+        bounds = quantiles(scale, [], "_scale", (0.05, 0.5)).select(F.col("q0").alias("_low"), F.col("q1").alias("_mid"))
 
         def scaled(rows: DataFrame) -> DataFrame:
             met = rows.join(scale, entity, "left")
             met = met.withColumn("_unit", F.greatest(F.coalesce(F.col("_scale"), bounds.select("_mid").scalar()), bounds.select("_low").scalar(), F.lit(1e-9)))
             return met.withColumns({"_raw": F.col("target"), "target": F.col("target") / F.col("_unit")}).drop("_scale")
 
-        out = two_stage(columns, F.abs("target") > multiplier, name=name, seed=seed)(scaled(train), scaled(test))
+        out = two_stage(columns, F.abs("target") > multiplier, blend, name=name, seed=seed)(scaled(train), scaled(test))
         return out.withColumns({"y_pred": F.col("y_pred") * F.col("_unit"), "target": F.col("_raw")})
 
     return run

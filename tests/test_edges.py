@@ -161,6 +161,16 @@ def test_running_sums_in_ranges(spark):
         assert r.a_before == sum(a for g, v, a in rows if g == r.g and (v, a) < (r.v, r.a))
 
 
+def test_quantiles_in_ranges(spark):
+    values = [("a", float(v)) for v in (5, 1, 1, 1, 9, 2, 7)] + [("b", 4.0), ("b", None), ("c", None)]
+    frame = spark.createDataFrame(values, "k string, x double")
+    found = {r.k: (r.n, r.q0, r.q1, r.q2) for r in history.quantiles(frame, ["k"], "x", (0.0, 0.5, 0.9)).collect()}
+    assert found["a"] == (7, 1.0, 2.0, pytest.approx(7.8))
+    assert found["b"] == (1, 4.0, 4.0, 4.0) and found["c"] == (0, None, None, None)
+    assert history.quantiles(frame.where("x > 100"), [], "x", (0.5,)).collect() == [(0, None)]
+    assert history.quantiles(frame, [], "x", (0.5,)).first().q0 == 3.0
+
+
 def test_classifier_report_matches_plain_sums(spark):
     rows = [(int((k * 5) % 7 < 2), float((k * 3) % 11)) for k in range(120)] + [(1, None)]
     r = B.classifier_report(spark.createDataFrame(rows, "label int, score double")).first()
