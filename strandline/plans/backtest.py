@@ -218,26 +218,26 @@ def regime_report(predictions: DataFrame, month: Column, scheme: str, model: str
     return segmented(predictions, {scheme: C.labelled(month, scheme), "pooled": F.lit("all")}, model, pooled_bar=False)
 
 
-def classifier_report(scores: DataFrame, label: str = "label", score: str = "score", by: str | None = None) -> DataFrame:
+def classifier_report(scores: DataFrame, label: str = "label", score: str = "score", by: str | list[str] | None = None) -> DataFrame:
     """average_precision, roc_auc, positive_rate, lift and n, NULL where one class is missing.
 
     Rows are first counted for each distinct score, so ties share a threshold and the running sums go over distinct scores,
     in two phases over ranges of the score. Rows without a score count for nothing.
     """
-    group = by or "_one"
+    groups = [by] if isinstance(by, str) else by or ["_one"]
     rows = scores if by else scores.withColumn("_one", F.lit(1))
-    counts = rows.groupBy(group, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("all"))
-    run = running_before(counts.where(F.col(score).isNotNull()).withColumn("_down", -F.col(score)), [group], "_down", ["pos", "all"])
+    counts = rows.groupBy(*groups, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("all"))
+    run = running_before(counts.where(F.col(score).isNotNull()).withColumn("_down", -F.col(score)), groups, "_down", ["pos", "all"])
     run = run.withColumns({"tp": F.col("pos_before") + F.col("pos"), "seen": F.col("all_before") + F.col("all")})
     negatives = F.col("all") - F.col("pos")
     above = F.col("tp") - F.col("pos") + F.col("pos") / 2
-    out = run.groupBy(group).agg(
+    out = run.groupBy(*groups).agg(
         F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("ap"), F.sum(negatives * above).alias("area"), F.sum("pos").alias("P"), F.sum("all").alias("N")
     )
     mixed = (F.col("P") > 0) & (F.col("P") < F.col("N"))
     rate = F.col("P") / F.col("N")
     out = out.select(
-        group, F.when(mixed, F.col("ap")).alias("average_precision"), F.when(mixed, F.try_divide("area", F.col("P") * (F.col("N") - F.col("P")))).alias("roc_auc"),
+        *groups, F.when(mixed, F.col("ap")).alias("average_precision"), F.when(mixed, F.try_divide("area", F.col("P") * (F.col("N") - F.col("P")))).alias("roc_auc"),
         rate.alias("positive_rate"), F.when(mixed, F.col("ap") / rate).alias("lift"), F.col("N").alias("n"),
     )
     return out if by else out.drop("_one")

@@ -178,9 +178,78 @@ def out_of_fold(frame: DataFrame, folds: list[Fold], fit_predict: FitPredict, ru
         found = fit_predict(own.where("part = 'train'").drop("fold", "part"), own.where("part = 'test'"))
         found = found.select(*rows.columns, F.lit(rule).alias("rule"), F.lit(99).alias("rule_order"), F.col(target).alias("y_true"), "y_pred")
         out = found if out is None else out.unionByName(found)
+    if out is None:  # no folds, so no rows
+        return rows.withColumns({"rule": F.lit(rule), "rule_order": F.lit(99), "y_true": F.col(target).cast("double"), "y_pred": F.lit(0.0)})
     return out
 
 
+def _boards(frame: DataFrame, predictors: dict[str, FitPredict], column: str, label_end: str, rules: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Boards of the predictors and of the naive rules over the same embargoed folds."""
+    folds = B.rolling_folds(frame, column)
+    naive = B.board(B.naive(B.assigned(frame, folds, column, label_end), rules, date_column=column))
+    out = None
+    for name, predictor in predictors.items():
+        one = B.board(out_of_fold(frame, folds, predictor, name, column, label_end))
+        out = one if out is None else out.unionByName(one)
+    return out, naive
+
+
+def protocol(
+    frame: DataFrame, predictors: dict[str, FitPredict], column: str = "period_start", label_end: str = "target_period_end", rules: tuple[str, ...] = B.PERIOD_RULES, best_naive: bool = False,
+) -> DataFrame:
+    """Boards over embargoed rolling folds with skill against each fold's best naive rule.
+
+    With ``best_naive`` also the board of the one naive rule whose mean error over the folds is least, as naive_<rule>.
+    """
+    boards, naive = _boards(frame, predictors, column, label_end, rules)
+    if best_naive:
+        least = naive.where(F.col("rule") == B.best(naive, per_fold=False).select("bar_rule").scalar())
+        boards = boards.unionByName(least.withColumn("rule", F.concat(F.lit("naive_"), "rule")))
+    return B.with_skill(boards, B.best(naive))
+
+
+def head_to_head(frame: DataFrame, predictor: FitPredict, column: str = "period_start", label_end: str = "target_period_end", rules: tuple[str, ...] = B.PERIOD_RULES, target: str = "target") -> DataFrame:
+    """One row for a prepared table: its size and spread, the best naive rule, and mean errors and skill over the folds. An
+    empty table has none."""
+    boards, naive = _boards(frame, {"model": predictor}, column, label_end, rules)
+    scored = B.with_skill(boards, B.best(naive)).agg(F.avg("bar").alias("naive_mae"), F.avg("mae").alias("model_mae"), F.avg("skill").alias("skill"))
+    out = frame.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(target).alias("target_sd"))
+    return out.withColumn("best_naive", B.best(naive, per_fold=False).select("bar_rule").scalar()).where("n > 0").crossJoin(scored)  # one row each
+
+
+def label_board(
+    frame: DataFrame, folds: list[Fold], rules: dict[str, Column], chance: FitPredict, column: str = "period_start", label_end: str = "target_period_end", least_train: int = 5, least_test: int = 2,
+) -> DataFrame:
+    """(rule, fold, n, positives, classifier metrics): how well rows are told under each labelling rule.
+
+    With under ``least_train`` or ``least_test`` positives in a fold its metrics are NULL; the row stays. No folds, no rows.
+    """
+    rows = B.assigned(frame, folds, column, label_end)
+    scores = sizes = None
+    for name, label in rules.items():
+        own = rows.withColumns({"rule": F.lit(name), "label": F.coalesce(label, F.lit(False)).cast("int")})
+        size = own.groupBy("rule", "fold").agg(*[F.count_if((F.col("part") == part) & (F.col("label") == 1)).alias(f"{part}_positives") for part in ("train", "test")])
+        sizes = size if sizes is None else sizes.unionByName(size)
+        if not folds:
+            scores = own.select("rule", "fold", "label", F.lit(0.0).alias("score"))
+        for f in folds:
+            fold = own.where(F.col("fold") == f.name)
+            one = chance(fold.where("part = 'train'"), fold.where("part = 'test'")).select("rule", "fold", "label", "score")
+            scores = one if scores is None else scores.unionByName(one)
+    told = B.classifier_report(scores, by=["rule", "fold"]).drop("positive_rate")
+    enough = (F.col("train_positives") >= least_train) & (F.col("test_positives") >= least_test)
+    return sizes.join(told, ["rule", "fold"]).withColumns({c: F.when(enough, F.col(c)) for c in ("average_precision", "roc_auc", "lift")})
+
+
+def rung_board(frame: DataFrame, rungs: dict[str, list[str]], allow: Iterable[str] = (), name: str = "rf") -> DataFrame:
+    """``protocol`` for each rung, with its number of features and whether it is deployable or, as it uses a column that
+    ``allow`` takes from the future, an upper bound."""
+    allow = set(allow)
+    boards = protocol(frame, {rung: single(columns, name, allow=allow & set(columns)) for rung, columns in rungs.items()})
+    about = F.create_map(*[x for r, c in rungs.items() for x in (F.lit(r), F.struct(F.lit(len(c)).cast("long").alias("n_features"), F.lit("upper_bound" if allow & set(c) else "deployable").alias("use")))])
+    return boards.withColumn("_about", about[F.col("rule")]).select("*", "_about.*").drop("_about").withColumnRenamed("rule", "rung")
+
+
 def seed_boards(frame: DataFrame, folds: list[Fold], make: Callable[[int], FitPredict], seeds: Iterable[int] = (0, 1, 2)) -> DataFrame:
     """(seed, mae) over all folds' test rows."""
     out = None

@@ -15,11 +15,22 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+_HELD: list[DataFrame] = []
+
+
+def held(frame: DataFrame) -> DataFrame:
+    """``frame``, kept for the query at hand; the next registered query frees it."""
+    _HELD.append(frame.persist())
+    return _HELD[-1]
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its name, with its DuckDB twin; double results are rounded to six places on both sides."""
 
     def add(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            while _HELD:
+                _HELD.pop().unpersist()
             return C.rounded(f(spark, sf_dir))
 
         QUERIES[f.__name__] = run

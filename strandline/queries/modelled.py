@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.operators import history
 from strandline.plans import backtest as B
 from strandline.plans import models as M
-from strandline.queries.base import long_panel, query
+from strandline.queries.base import held, long_panel, query
 from strandline.queries.grains import LONG_TARGET
 
 COLUMNS = M.ladder()["history"]
@@ -18,7 +18,7 @@ CUT, BLOCKS = 200, 5
 
 
 def rows_and_folds(spark: SparkSession, sf_dir: str, keep: int = 4) -> tuple[DataFrame, list[B.Fold]]:
-    rows = history.candidates(long_panel(spark, sf_dir)).where(history.gate()).persist()
+    rows = held(history.candidates(long_panel(spark, sf_dir)).where(history.gate()))
     return rows, B.rolling_folds(rows, keep=keep)
 
 
@@ -103,7 +103,7 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def classifier_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees of routine rows and a balanced classifier of extremes under five definitions, on one date split."""
-    rows = _split(spark, sf_dir).persist()
+    rows = held(_split(spark, sf_dir))
     return B.definition_sweep(rows, _definitions(), M.single(COLUMNS, "gb"), M.chance_of(COLUMNS))
 
 

@@ -161,6 +161,16 @@ def test_running_sums_in_ranges(spark):
         assert r.a_before == sum(a for g, v, a in rows if g == r.g and (v, a) < (r.v, r.a))
 
 
+def test_label_board_keeps_rules_without_positives(spark):
+    rows = [(1, date(2000 + k // 12, k % 12 + 1, 1), date(2000 + k // 12, k % 12 + 1, 28), float(k % 5), float(k % 3)) for k in range(30)]
+    frame = spark.createDataFrame(rows, "entity_id long, period_start date, target_period_end date, target double, score double")
+    board = M.label_board(frame, B.rolling_folds(frame, "period_start"), {"some": F.col("target") > 2, "none": F.col("target") > 99}, lambda train, test: test, least_train=1, least_test=1)
+    found = {(r.rule, r.fold): r for r in board.collect()}
+    assert {k[0] for k in found} == {"some", "none"} and len(found) == 2 * len(B.rolling_folds(frame, "period_start"))
+    for (rule, _), r in found.items():
+        assert (r.average_precision is None) == (rule == "none") and r.n == 6
+
+
 def test_quantiles_in_ranges(spark):
     values = [("a", float(v)) for v in (5, 1, 1, 1, 9, 2, 7)] + [("b", 4.0), ("b", None), ("c", None)]
     frame = spark.createDataFrame(values, "k string, x double")
