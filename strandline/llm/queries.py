@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import embed_dedup, html_extract, langid, line_dedup, packing, quality, sentencepiece_codec, simhash, token_file, toxicity
+from strandline.llm import embed_dedup, html_extract, langid, line_dedup, mixing, packing, quality, sentencepiece_codec, simhash, token_file, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -94,13 +94,50 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP13_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (
+    SELECT source, sum(size)::HUGEINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (
+    SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS limit_ FROM sources),
+poured AS (
+    SELECT *, coalesce(sum(limit_) OVER earlier, 0) AS limits, coalesce(sum(w) OVER earlier, 0) AS ws FROM weighed
+    WINDOW earlier AS (ORDER BY source_size * (10 // w), rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+filled AS (
+    SELECT *, limit_ * ((SELECT sum(w) FROM weighed) - ws) <= w * ((SELECT sum(source_size) FROM weighed) - limits) AS is_full FROM poured),
+rest AS (
+    SELECT sum(source_size) - coalesce(sum(limit_) FILTER (WHERE is_full), 0) AS words, sum(w) FILTER (WHERE NOT is_full) AS w FROM filled),
+shares AS (
+    SELECT f.source, f.source_size::BIGINT AS source_size,
+           CASE WHEN is_full THEN limit_::DOUBLE ELSE rest.words::DOUBLE * f.w / rest.w END AS target,
+           CASE WHEN is_full THEN 3 ELSE rest.words * f.w END::HUGEINT AS num,
+           CASE WHEN is_full THEN 1 ELSE rest.w * source_size END::HUGEINT AS den,
+           ('0x' || md5('0|' || coalesce('s' || source, 'n'))[1:8])::BIGINT::HUGEINT AS drawn
+    FROM filled f, rest),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS k FROM sized)
+SELECT n.doc_id, n.size, s.source_size, s.target,
+       CASE WHEN s.source_size > 0
+            THEN n.size * ((num * (k + 1) + drawn * den // 4294967296) // den - (num * k + drawn * den // 4294967296) // den)
+            ELSE 0 END::BIGINT AS taken
+FROM numbered n JOIN shares s ON n.source IS NOT DISTINCT FROM s.source
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash, op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id,
         op6_sentencepiece, op7_line_dedup, op8_html_extraction, op9_toxicity, op10_embedding_dedup,
+        op13_source_mixing,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op13_source_mixing": OP13_SQL}

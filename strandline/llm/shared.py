@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,6 +83,26 @@ def sized(frame: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(frame) if frame.limit(most_rows + 1).count() <= most_rows else frame
 
 
+def sums_before(frame: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """``frame`` with, for each new column of ``sums``, the sum of its source column over the rows of the same group that come
+    before in ``order``.
+
+    Rows are dealt over ranges of (group, order), so a large group fills no task; sums run within a range, and ranges start
+    where the earlier ones of their group end. Rows that tie in ``order`` come in any order. Null groups are a group.
+    """
+    ranges = stored(frame.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy(F.col("_range").alias("_r"), *by).agg(*[F.sum(c).alias(f"_sum_{k}") for k, c in enumerate(sums.values())])
+    starts = totals.select("_r", *[F.col(c).alias(f"_by_{c}") for c in by], *[F.coalesce(F.sum(f"_sum_{k}").over(earlier), F.lit(0)).alias(f"_from_{k}") for k in range(len(sums))])
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    local = ranges.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"_own_{k}") for k, c in enumerate(sums.values())])
+    met = local.join(sized(stored(starts, "range-starts"), 100_000), same)
+    return met.select(*frame.columns, *[(F.col(f"_from_{k}") + F.col(f"_own_{k}")).alias(name) for k, name in enumerate(sums)])
+
+
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start+1, ... of every span, one after another."""
     lengths = np.asarray(lengths, dtype=np.int64)
