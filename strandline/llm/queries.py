@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import embed_dedup, html_extract, langid, line_dedup, mixing, packing, quality, sentencepiece_codec, simhash, token_file, toxicity
+from strandline.llm import collocations, embed_dedup, html_extract, langid, line_dedup, mixing, packing, quality, sentencepiece_codec, simhash, token_file, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -94,6 +94,40 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+    FROM worded, (SELECT unnest(range(1, 6)) AS size) sizes WHERE len(w) >= size),
+counts AS (SELECT lang, size, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size >= 2 AND f >= 100),
+cuts AS (
+    SELECT c.*, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+    FROM candidates c, (SELECT unnest(range(1, 5)) AS k) ks WHERE k < size),
+scored AS (
+    SELECT u.lang, u.size, u.phrase, u.a, k, h.f AS l, t.f AS r, n, ((1000::HUGEINT * u.a * n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+    FROM cuts u JOIN counts h ON h.lang = u.lang AND h.phrase = u.head JOIN counts t ON t.lang = u.lang AND t.phrase = u.tail
+    JOIN totals ON totals.lang = u.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS most
+    FROM candidates, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(2, 5)) AS n)
+    WHERE n < size AND i + n - 1 <= size GROUP BY ALL)
+SELECT l.lang, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank, l.phrase, a, l, r, n, score
+FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.phrase = l.phrase WHERE most IS NULL OR 100 * most < 100 * a
+QUALIFY rank <= 2000
+"""
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -134,10 +168,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash, op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id,
         op6_sentencepiece, op7_line_dedup, op8_html_extraction, op9_toxicity, op10_embedding_dedup,
-        op13_source_mixing,
+        op12_collocations, op13_source_mixing,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op13_source_mixing": OP13_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op12_collocations": OP12_SQL, "op13_source_mixing": OP13_SQL}

@@ -49,3 +49,36 @@ def bytes_in(texts: pa.Array, members: bytes) -> np.ndarray:
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
     ends = np.concatenate([[0], np.cumsum(table[data[offsets[0] : offsets[-1]]], dtype=np.int64)])
     return np.diff(ends[offsets - offsets[0]])
+
+
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+
+
+def kinds(word: bytes, breaks: bytes = b"") -> np.ndarray:
+    """A table of the kind of each byte: 1 belongs to a word, 2 breaks a piece, 0 only separates words."""
+    found = np.zeros(256, np.uint8)
+    found[list(word)], found[list(breaks)] = 1, 2
+    return found
+
+
+def cut_words(texts: pa.Array, kind: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Maximal runs of word bytes with A-Z lowered; the index of each one's text; whether it begins a piece of the text.
+
+    Pieces end at bytes that break and at the end of a text. Bytes of longer characters are of one kind.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    now = kind[data]
+    inside, opens = now == 1, np.zeros(len(data) + 1, bool)
+    opens[offsets] = True
+    starts = np.flatnonzero(inside & (opens[:-1] | ~np.r_[False, inside[:-1]]))
+    ends = np.flatnonzero(inside & (opens[1:] | ~np.r_[inside[1:], False])) + 1
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    breaks = np.flatnonzero(now == 2)
+    piece = np.searchsorted(breaks, starts)
+    first = np.r_[True, (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])][: len(starts)]
+    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(LOWERED[data[inside]])])
+    return words, owner, first
