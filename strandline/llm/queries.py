@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import collocations, embed_dedup, html_extract, langid, line_dedup, mixing, packing, quality, sentencepiece_codec, simhash, token_file, toxicity
+from strandline.llm import collocations, embed_dedup, html_extract, langid, lexical, line_dedup, mixing, packing, quality, sentencepiece_codec, simhash, token_file, toxicity
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -94,6 +94,33 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+terms AS (
+    SELECT kind, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM words),
+counts AS (SELECT kind, id, term, count(*)::BIGINT AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT id AS doc_id, sum(tf)::BIGINT AS n FROM counts WHERE kind = 'd' GROUP BY id),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM lengths),
+norms AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM lengths, corpus),
+asked AS (SELECT id AS item_id, term, tf AS reps FROM counts WHERE kind = 'q'),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counts, corpus WHERE kind = 'd' AND term IN (SELECT term FROM asked) GROUP BY term, docs),
+scored AS (
+    SELECT item_id, c.id AS doc_id, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN counts c ON c.term = asked.term AND c.kind = 'd' JOIN norms ON norms.doc_id = c.id
+    GROUP BY item_id, c.id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -168,10 +195,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash, op2_token_file, op3_best_fit_packing, op4_quality_rules, op5_language_id,
         op6_sentencepiece, op7_line_dedup, op8_html_extraction, op9_toxicity, op10_embedding_dedup,
-        op12_collocations, op13_source_mixing,
+        op11_lexical_search, op12_collocations, op13_source_mixing,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op12_collocations": OP12_SQL, "op13_source_mixing": OP13_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op11_lexical_search": OP11_SQL, "op12_collocations": OP12_SQL, "op13_source_mixing": OP13_SQL}

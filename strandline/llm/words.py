@@ -62,6 +62,17 @@ def kinds(word: bytes, breaks: bytes = b"") -> np.ndarray:
     return found
 
 
+def count_words(texts: pa.Array, kind: np.ndarray) -> np.ndarray:
+    """How many runs of word bytes each text has."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside, opens = kind[data] == 1, np.zeros(len(data) + 1, bool)
+    opens[offsets] = True
+    starts = np.flatnonzero(inside & (opens[:-1] | ~np.r_[False, inside[:-1]]))
+    return np.diff(np.searchsorted(starts, offsets))
+
+
 def cut_words(texts: pa.Array, kind: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Maximal runs of word bytes with A-Z lowered; the index of each one's text; whether it begins a piece of the text.
 
