@@ -93,3 +93,16 @@ def cut_words(texts: pa.Array, kind: np.ndarray) -> tuple[pa.Array, np.ndarray,
     places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(LOWERED[data[inside]])])
     return words, owner, first
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each string (large strings, none empty); equal strings have equal hashes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    lengths = np.diff(offsets)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    within = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+    mixed = np.add.reduceat(data * powers[within], offsets[:-1] - offsets[0])
+    return (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
