@@ -1,15 +1,16 @@
 """Embedding near-dedup by NN-descent.
 
-Equal vectors of a label are made one representative first. A group is the vectors of one label and size. Groups of at most
-EXACT vectors are compared whole, in blocks. In larger ones a first neighbour graph comes from leaves of random hyperplanes
-(several codes for each vector, as many bits as the group needs); leaves that grow too large are split by hyperplanes through
-their own middle, and what can't be split is compared in pairs of chunks. The graph is refined by joins of neighbours with
+Equal vectors of a label are made one representative first. A group is the vectors of one label and size. A first neighbour
+graph comes from leaves of random hyperplanes (several codes for each vector, as many bits as the group needs; a group that
+fits a leaf is one); leaves that grow too large are split by hyperplanes through their own middle, and what can't be split is
+compared in pairs of chunks. The graph is refined by joins of neighbours with
 neighbours' neighbours until the lists settle: around every vector its neighbours, in both directions, are compared with one
 another. Lists keep the LIST nearest of those at least EXPLORE alike; no link is lost to that limit, because a list full of
 links is enlarged to its whole component: members of a component are compared with one another in blocks, in double
-precision, and only counts leave the blocks. An audit compares a share of each larger group's vectors with the whole group
-and scores every vector alike; while a group falls short of TARGET, another round of hyperplanes and refinement is added to
-its graph. A group that still falls short, or whose sample holds too few links to tell, is compared whole.
+precision, and only counts leave the blocks. An audit compares a share of the vectors of each group that isn't one leaf with
+the whole group, and a larger share while too few of them have links to tell; it scores every vector alike. While a group
+falls short of TARGET, another round of hyperplanes and refinement is added to its graph. A group that still falls short
+after ROUNDS is compared whole, the exact way after a failed audit.
 """
 
 from __future__ import annotations
@@ -38,11 +39,9 @@ LIST, EXPLORE = 12, 0.75
 #: over before its blocks grow.
 BLOCK, SMALL, SPREAD = 1024, 128, 16
 
-#: Vectors of a group that is compared whole; that copies a vector at most as often as the codes do.
-EXACT = CODES * BLOCK
-
-#: Audited vectors of a group: at least AUDIT, else one in SHARE; LEAST of them must have links, at most LIST each.
-AUDIT, SHARE, LEAST = 200, 50, 20
+#: Audited vectors of a group: at least AUDIT, else one in the first of SHARES, and one in the next while fewer than LEAST of
+#: them have links (at most LIST each).
+AUDIT, SHARES, LEAST = 200, (50, 12, 3, 1), 20
 
 #: Recall that an audit asks for, and the rounds before a group is compared whole.
 TARGET, ROUNDS = 0.97, 4
@@ -73,18 +72,18 @@ def representatives(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumns({"label": F.col("key.label"), "raw": F.col("key.raw")})
     scaled = rows.withColumn("top", F.expr("array_max(transform(raw, x -> abs(x)))")).withColumn("raw", F.expr("transform(raw, x -> x / top)"))
     length = F.expr("sqrt(aggregate(raw, double(0), (s, x) -> s + x * x))")
-    return scaled.withColumn("_l", length).select("key", "rep", F.xxhash64("label", F.size("raw")).alias("group"), F.size("raw").alias("size"), F.expr("transform(raw, x -> x / _l)").alias("unit"), "copies")
+    return scaled.withColumn("_l", length).select("key", "rep", F.concat_ws(":", "label", F.size("raw")).alias("group"), F.size("raw").alias("size"), F.expr("transform(raw, x -> x / _l)").alias("unit"), "copies")
 
 
 def _grouped(rows: DataFrame, key: str, work: Callable[[pa.Table], list[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply ``work`` to the rows of each key; a key's rows must be few."""
+    """Apply ``work`` to the rows of each key and group; a key's rows must be few. Keys are hashes, so groups may share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def groups(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
-            keys = table.column(key).to_numpy()
-            edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
+            keys, own = table.column(key).to_numpy(), table.column("group").combine_chunks().dictionary_encode().indices.to_numpy()
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])]).tolist()
             stops = [*edges[1:], len(keys)] if last else edges[1:]
             out = [b for a, z in zip(edges, stops, strict=False) for b in work(table.slice(a, z - a))]
             return out, table.slice(stops[-1] if stops else 0)
@@ -99,7 +98,7 @@ def _grouped(rows: DataFrame, key: str, work: Callable[[pa.Table], list[pa.Recor
         if held:
             yield from groups(pa.Table.from_batches(held).combine_chunks(), True)[0]
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, "group").mapInArrow(run, schema)
 
 
 def _nearest(ids: np.ndarray, units: np.ndarray, threshold: float) -> pa.RecordBatch:
@@ -142,7 +141,7 @@ def _projected(directions: Callable[[int, int], np.ndarray]) -> Callable[[Iterat
 
 
 def _taken_apart(rows: DataFrame, keys: DataFrame, seed: int) -> DataFrame:
-    """(leaf, rep, unit): ``rows`` (leaf, k, rep, unit) with every leaf of over LARGEST rows in smaller ones.
+    """(leaf, group, rep, unit): ``rows`` (leaf, k, group, rep, unit) with every leaf of over LARGEST rows in smaller ones.
 
     A large leaf is split by hyperplanes through the middle of its own vectors, other ones for each code k. What SPLITS
     passes leave too large is dealt over chunks, and every pair of chunks is a leaf. ``keys`` has the leaf of each row.
@@ -154,17 +153,17 @@ def _taken_apart(rows: DataFrame, keys: DataFrame, seed: int) -> DataFrame:
         if not most:
             break
         held = sized(large, 200_000)
-        done.append(rows.join(held, "leaf", "left_anti").select("leaf", "rep", "unit"))
-        rest, bits = rows.join(held, "leaf").select("leaf", "k", "rep", "unit", "n"), max(1, int(np.ceil(np.log2(most / LEAF))))
+        done.append(rows.join(held, "leaf", "left_anti").select("leaf", "group", "rep", "unit"))
+        rest, bits = rows.join(held, "leaf").select("leaf", "k", "group", "rep", "unit", "n"), max(1, int(np.ceil(np.log2(most / LEAF))))
         at = _projected(lambda k, size, depth=depth, bits=bits: np.random.default_rng([seed, 7, depth, k, size]).normal(size=(size, bits)))
-        placed = stored(rest.mapInArrow(at, "leaf long, k int, rep long, unit array<double>, n long, at array<double>"), "large-leaf-rows")
+        placed = stored(rest.mapInArrow(at, "leaf long, k int, group string, rep long, unit array<double>, n long, at array<double>"), "large-leaf-rows")
         middles = stored(placed.groupBy("leaf").agg(F.array(*[F.avg(F.col("at")[i]) for i in range(bits)]).alias("middle")), "leaf-middles")
         met = placed.join(sized(middles, 200_000), "leaf").withColumn("wanted", F.greatest(F.lit(1), _bits(F.col("n"))))
         sides = F.expr("transform(slice(at, 1, wanted), (x, i) -> x > middle[i])")
-        rows = stored(met.select(F.xxhash64("leaf", sides).alias("leaf"), "k", "rep", "unit"), "split-leaves")
+        rows = stored(met.select(F.xxhash64("leaf", sides).alias("leaf"), "k", "group", "rep", "unit"), "split-leaves")
         large = stored(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST), "large-leaves")
     rows = rows.join(sized(large, 200_000), "leaf", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    done.append(_paired(rows, "leaf", LARGEST // 2).select(F.col("pair").alias("leaf"), "rep", "unit"))
+    done.append(_paired(rows, "leaf", LARGEST // 2).select(F.col("pair").alias("leaf"), "group", "rep", "unit"))
     out = done[0]
     for other in done[1:]:
         out = out.unionByName(other)
@@ -180,7 +179,7 @@ def _paired(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 def _compared(rows: DataFrame, threshold: float) -> DataFrame:
     """Edges, as proven paths, that join what the links of whole groups join; ``rows`` has group, n, rep and unit."""
-    pairs = _paired(rows, "group", BLOCK).select("rep", "unit", "pair", (F.col("b") <= F.col("other")).alias("left"), (F.col("b") == F.col("other")).alias("own"))
+    pairs = _paired(rows, "group", BLOCK).select("group", "rep", "unit", "pair", (F.col("b") <= F.col("other")).alias("left"), (F.col("b") == F.col("other")).alias("own"))
 
     def compare(table: pa.Table) -> list[pa.RecordBatch]:
         ids, x = table.column("rep").to_numpy(), _matrix(table.column("unit").combine_chunks())
@@ -199,13 +198,13 @@ def _compared(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _leaves(rows: DataFrame, seed: int, threshold: float) -> DataFrame:
-    """Edges within the leaves of CODES random codes; a vector's code has as many bits as its group needs."""
+    """Edges within the leaves of CODES random codes; a vector's code has as many bits as its group needs, one code if none."""
     bits = max(1, rows.agg(F.max(_bits(F.col("n")))).first()[0] or 0)
-    copies = rows.select("group", "n", "rep", "unit", F.explode(F.sequence(F.lit(0), F.lit(CODES - 1))).alias("k"))
+    copies = rows.select("group", "n", "rep", "unit", F.explode(F.sequence(F.lit(0), F.when(_bits(F.col("n")) > 0, CODES - 1).otherwise(0))).alias("k"))
     at = _projected(lambda k, size: np.random.default_rng([seed, k, size]).normal(size=(size, bits)))
-    coded = copies.mapInArrow(at, "group long, n long, rep long, unit array<double>, k int, at array<double>")
+    coded = copies.mapInArrow(at, "group string, n long, rep long, unit array<double>, k int, at array<double>")
     sides = F.transform(F.slice("at", F.lit(1), _bits(F.col("n"))), lambda x: x > 0)
-    coded = coded.select(F.xxhash64("group", "k", sides).alias("leaf"), "k", "rep", "unit")
+    coded = coded.select(F.xxhash64("group", "k", sides).alias("leaf"), "k", "group", "rep", "unit")
     return _grouped(_taken_apart(coded, coded, seed), "leaf", lambda table: _near(table, threshold), EDGES)
 
 
@@ -222,7 +221,7 @@ def _refined(reps: DataFrame, lists: DataFrame, seed: int, threshold: float) ->
     around = lists.unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(lists.select("u", F.col("u").alias("v"))).distinct()
     places = stored(around.select(F.xxhash64("u").alias("leaf"), F.lit(0).alias("k"), F.col("v").alias("rep")), "neighbourhoods")
     uses = places.groupBy("rep").agg(F.count(F.lit(1)).alias("uses"))
-    units = stored(reps.select("rep", "unit").join(uses, "rep"), "used-vectors")
+    units = stored(reps.select("group", "rep", "unit").join(uses, "rep"), "used-vectors")
     met = lookup(places, units, "rep", "uses", places.count())
     return _grouped(_taken_apart(met, places, seed), "leaf", lambda table: _near(table, threshold), EDGES)
 
@@ -231,7 +230,7 @@ def _searched(rows: DataFrame, edges: DataFrame, seed: int, threshold: float) ->
     """``edges`` with those of another round of codes, refined until the lists settle."""
     edges, before = edges.unionByName(stored(_leaves(rows, 2 * seed + 1, threshold), "leaf-edges")), None
     for k in range(REFINEMENTS):
-        lists = _lists(edges)
+        lists = _lists(edges.join(rows.select(F.col("rep").alias("u")), "u", "left_semi"))  # of the groups at hand
         if before is not None and lists.join(before, ["u", "v"], "left_anti").count() <= SETTLED * lists.count():
             break
         edges, before = edges.unionByName(stored(_refined(rows, lists, 100 * seed + k, threshold), "refined-edges")), lists
@@ -249,7 +248,7 @@ def _counted(reps: DataFrame, rooted: DataFrame, threshold: float) -> DataFrame:
     members = members.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = reps.select("rep", "unit", "copies").join(members, F.col("rep") == F.col("node"))
     pairs = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-    pairs = pairs.select("rep", "unit", "copies", F.xxhash64("root", F.least("b", "other"), F.greatest("b", "other")).alias("pair"), F.col("b").cast("long"), (F.col("b") <= F.col("other")).alias("left"), (F.col("b") == F.col("other")).alias("own"))
+    pairs = pairs.select(F.col("root").alias("group"), "rep", "unit", "copies", F.xxhash64("root", F.least("b", "other"), F.greatest("b", "other")).alias("pair"), F.col("b").cast("long"), (F.col("b") <= F.col("other")).alias("left"), (F.col("b") == F.col("other")).alias("own"))
 
     def compare(table: pa.Table) -> list[pa.RecordBatch]:
         ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
@@ -270,23 +269,38 @@ def _counted(reps: DataFrame, rooted: DataFrame, threshold: float) -> DataFrame:
 def audited(rows: DataFrame, threshold: float) -> DataFrame:
     """(group, rep, real): a share of each group's vectors with the number of others they link to, if any.
 
-    The share is compared with all ``rows`` (group, n, rep, unit), in slices that are small enough to send.
+    The share is compared with all ``rows`` (group, n, rep, unit) of its group, in slices that are small enough to send. Groups
+    in which fewer than LEAST of these have links are audited further, by the next of SHARES, in the end whole.
     """
-    chosen = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("n")) < F.greatest(F.lit(AUDIT), F.ceil(F.col("n") / SHARE))
-    sample = stored(rows.where(chosen).select("group", "rep", "unit"), "audited")
+    out, low = None, F.lit(0)
+    for share in SHARES:
+        high = F.greatest(F.lit(AUDIT), F.ceil(F.col("n") / share))
+        place = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("n"))
+        sample = stored(rows.where((place >= low) & (place < high)).select("group", "rep", "unit"), "audited")
+        found = stored(_links_of(sample, rows, threshold), "audit")
+        out = found if out is None else out.unionByName(found)
+        told = out.where(F.col("real") <= LIST).groupBy("group").count().where(F.col("count") >= LEAST).select("group")
+        rows, low = stored(rows.where(F.col("n") > high).join(sized(stored(told, "told-groups"), 200_000), "group", "left_anti"), "untold-groups"), high
+        if rows.isEmpty():
+            break
+    return stored(out, "audit")
+
+
+def _links_of(sample: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     total = sample.agg(F.sum(F.size("unit")) * 8 / 1e6).first()[0] or 0.0
     slices, context, out = max(1, int(np.ceil(total / SENT))), rows.sparkSession.sparkContext, None
     for k in range(slices):
         part = sample.where(F.pmod(F.xxhash64("rep", F.lit(6)), F.lit(slices)) == k).toPandas()
-        groups = {int(g): (x["rep"].to_numpy(), np.array(x["unit"].tolist(), float)) for g, x in part.groupby("group")}
+        groups = {g: (x["rep"].to_numpy(), np.array(x["unit"].tolist(), float)) for g, x in part.groupby("group")}
         shared = context.broadcast(groups)
 
         def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                group = batch.column("group").to_numpy()
-                for g in np.unique(group).tolist():
-                    if g in shared.value:
-                        ids, units = shared.value[g]
+                codes = batch.column("group").dictionary_encode()
+                group = codes.indices.to_numpy()
+                for g, name in enumerate(codes.dictionary.to_pylist()):
+                    if name in shared.value:
+                        ids, units = shared.value[name]
                         own = batch.filter(pa.array(group == g))
                         other, real = own.column("rep").to_numpy(), np.zeros(len(ids), np.int64)
                         x = _matrix(own.column("unit"))
@@ -294,11 +308,11 @@ def audited(rows: DataFrame, threshold: float) -> DataFrame:
                             linked = (units[a : a + BLOCK] @ x.T >= threshold) & (ids[a : a + BLOCK, None] != other[None, :])
                             real[a : a + BLOCK] = linked.sum(axis=1)
                         at = np.flatnonzero(real)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g)), pa.array(ids[at]), pa.array(real[at])], ["group", "rep", "real"])
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(ids[at]), pa.array(real[at])], ["group", "rep", "real"])
 
-        found = rows.select("group", "rep", "unit").mapInArrow(compare, "group long, rep long, real long").groupBy("group", "rep").agg(F.sum("real").alias("real"))
+        found = rows.select("group", "rep", "unit").mapInArrow(compare, "group string, rep long, real long").groupBy("group", "rep").agg(F.sum("real").alias("real"))
         out = found if out is None else out.unionByName(found)
-    return stored(out, "audit")
+    return out
 
 
 def _short(real: DataFrame, counts: DataFrame, target: float) -> tuple[DataFrame, float]:
@@ -318,30 +332,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, target: float =
     empty or zero, that hold null or non-finite components, or that have no label or vec_id link with nothing: they are
     their own component and kept. Vectors of different sizes never link. Equal vectors link with one another like any
     others. Rows that share a vec_id count as separate vectors. An empty table gives no rows. audit_recall is the average over
-    audited vectors of the share of their links that was found; 1.0 also where every group was compared whole.
+    audited vectors of the share of their links that was found; 1.0 also where no audited vector has a link.
     """
-    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long"))
+    spark, vectors = vectors.sparkSession, vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long"))
     reps = stored(representatives(vectors), "embedding-reps")
     groups = stored(reps.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "embedding-groups")
-    grouped = lookup(reps.select("group", "rep", "unit"), groups.withColumn("rows", F.col("n")), "group", "rows", max(1, reps.count()))
-    edges = stored(_compared(grouped.where(F.col("n") <= EXACT), threshold), "whole-groups")
-    open_, real, recall = stored(groups.where(F.col("n") > EXACT).select("group"), "large-groups"), None, 1.0
-    if not open_.isEmpty():
-        grouped = stored(grouped.where(F.col("n") > EXACT), "large-group-rows")
-        real = audited(grouped, threshold)
-        told = stored(real.where(F.col("real") <= LIST).groupBy("group").count().where(F.col("count") >= LEAST).select("group"), "told-groups")
-        untold = grouped.join(sized(told, 200_000), "group", "left_anti")
-        edges, open_ = edges.unionByName(stored(_compared(untold, threshold), "whole-groups")), told
+    grouped = stored(lookup(reps.select("group", "rep", "unit"), groups.withColumn("rows", F.col("n")), "group", "rows", max(1, reps.count())), "grouped-vectors")
+    edges, open_, recall = spark.createDataFrame([], EDGES), groups.select("group"), 1.0
+    real = audited(grouped.where(F.col("n") > LEAF), threshold)
     for round_ in range(ROUNDS + 1):
-        if real is not None and not open_.isEmpty():
-            rows = grouped.join(sized(open_, 200_000), "group", "left_semi")
-            whole = round_ == ROUNDS
-            edges = edges.unionByName(stored(_compared(rows, threshold), "whole-groups")) if whole else _searched(rows, edges, round_, threshold)
+        rows = grouped.join(sized(open_, 200_000), "group", "left_semi")
+        edges = edges.unionByName(stored(_compared(rows, threshold), "whole-groups")) if round_ == ROUNDS else _searched(rows, edges, round_, threshold)
         stars = components(edges.where((F.col("cosine") >= threshold) | F.isnan("cosine")).select("u", "v"))
         rooted = stored(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "embedding-components")
         counts = stored(_counted(reps, rooted, threshold), "embedding-links")
-        if real is None:
-            break
         open_, recall = _short(real, counts, target)
         if open_.isEmpty():
             break
