@@ -3,6 +3,10 @@
 Each page's containers are scored by the running text of their paragraphs; the best container's generalised path of tags
 and classes is the page's vote. Votes are counted for each host in Spark. Pages are then read again with their host's
 winning path; a page where that path finds no text, or that has no host, uses its own best container.
+
+Tags, roles and hidden elements that are never an article are left out for certain. Words of a class or id only hint at
+that: "right-sidebar" names a sidebar or a layout with one. A hint is dropped where the element holds the page's article:
+most of its running text with its heading, or with little of it elsewhere; see ``_asides``.
 """
 
 from __future__ import annotations
@@ -24,15 +28,15 @@ HOSTS = 200_000
 #: Characters of a generalised path at most; longer ones are a hash of the whole with their end.
 PATH_BYTES = 300
 
-#: Elements whose content is never text of an article.
-RAW = "script|style|noscript|template|iframe|textarea|select|svg|math|object|title"
+#: Elements whose content is never text of an article: read to their end tag or else the page's end, or only if they have one.
+RAW, CLOSED = "script|style|iframe|textarea|title", "noscript|template|select|svg|math|object"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 #: Elements that begin a new block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "head header hgroup hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 
 #: Start tags that end an open paragraph, and open elements that some start tags end.
@@ -43,7 +47,7 @@ CONTAINERS = frozenset("article body div main section td center".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd td h1 h2 h3 h4 h5 h6 div article section main center body".split())
 
 #: Elements, roles and words of classes or ids that mark anything but the article.
-ASIDE_TAGS = frozenset("nav footer aside form button dialog menu".split())
+ASIDE_TAGS = frozenset("nav footer aside button dialog label legend menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar "
@@ -54,20 +58,37 @@ ASIDE_WORDS = frozenset(
 #: Pairs of such words of one class or id: a site's header is none of the article's, whose own header may hold its title.
 ASIDE_PAIRS = (frozenset(("site", "header")), frozenset(("site", "branding")), frozenset(("global", "header")))
 
+#: Words whose elements hold links or buttons; prose under such a word is an article's own.
+LINK_WORDS = frozenset("share sharing social toolbar widget".split())
+
+#: Words beside a hint, and tags, that speak for an article.
+TEXT_WORDS, TEXT_TAGS = frozenset("article body content entry main post story text".split()), frozenset("article main section".split())
+
+#: Hints of an element, from none to the one that is dropped most easily.
+NONE, STRONG, WEAK, LINKS = range(4)
+
+#: Shares of a page's running text: an element with the first is its article although it has a weak hint, with the second if
+#: nothing else speaks against it; the third is the most that may lie elsewhere. Least prose, and most of it in links.
+WEAK_SHARE, STRONG_SHARE, ELSEWHERE, PROSE, LINKED = 0.25, 0.5, 0.25, 200, 0.2
+
+_VALUE = r"""\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)"""
+_RAW_TAG = r"(?=[\s/>])[^>]*>.*?"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW}){_RAW_TAG}(?:</(?P=raw)\s*>|\Z)|<(?P<closed>{CLOSED})(?=[\s/>])[^>]*(?<!/)>.*?</(?P=closed)\s*>"
+    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)>|<(?P<cut>/?[a-z][^\s/<>]*+)[^<>]*+>|<[!?/][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*+)))?+""")
+NAMES = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("aside", "header", "parent", "path", "score", "tag", "titled", "within")
+    __slots__ = ("aside", "chars", "header", "hint", "links", "parent", "path", "score", "tag", "titled", "within")
 
-    def __init__(self, tag: str, parent: Element | None, path: str, aside: bool):
-        self.tag, self.parent, self.path, self.aside, self.score = tag, parent, path, aside, 0.0
+    def __init__(self, tag: str, parent: Element | None, path: str, aside: bool, hint: int = NONE):
+        self.tag, self.parent, self.path, self.aside, self.hint, self.score = tag, parent, path, aside, hint, 0.0
+        self.chars = self.links = 0  # of all text in it
         #: In a header; in an article, main or section; in a header that is in one of these.
         self.header = tag == "header" or (parent is not None and parent.header)
         self.within = tag in ("article", "main", "section") or (parent is not None and parent.within)
@@ -82,20 +103,27 @@ def _bounded(path: str) -> str:
 
 
 def _opened(tag: str, rest: str, parent: Element) -> Element:
-    name, aside = tag, parent.aside or tag in ASIDE_TAGS
+    name, aside, hints, words = tag, parent.aside or tag in ASIDE_TAGS, set(), set()
     if rest and not rest.isspace():
         for key, *values in ATTRIBUTE.findall(rest):
-            key, value = key.lower(), unescape("".join(values)).lower()
+            key = key.lower()
+            if key not in NAMES:
+                continue
+            value = unescape("".join(values)).lower()
             if key == "class" and value:
                 name = tag + "." + ".".join(sorted(set(re.sub(r"\d+", "#", value).split())))
             if key in ("class", "id"):
                 found = set(WORD.findall(value))
-                aside |= tag not in ("body", "html") and (not ASIDE_WORDS.isdisjoint(found) or any(pair <= found for pair in ASIDE_PAIRS))
+                words |= found
+                hints |= (ASIDE_WORDS & found).union(*(pair for pair in ASIDE_PAIRS if pair <= found))
             elif key == "role":
                 aside |= value in ASIDE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                 aside |= key == "hidden" or tag not in ("body", "html")
-    return Element(tag, parent, _bounded(f"{parent.path}/{name}"), aside)
+    hint = NONE
+    if tag not in ("body", "html") and (hints or tag == "form"):
+        hint = LINKS if hints and hints <= LINK_WORDS else WEAK if tag in TEXT_TAGS or TEXT_WORDS & words else STRONG
+    return Element(tag, parent, _bounded(f"{parent.path}/{name}"), aside, hint)
 
 
 def blocks(html: str) -> Iterator[tuple[Element, str, int]]:
@@ -119,7 +147,9 @@ def blocks(html: str) -> Iterator[tuple[Element, str, int]]:
             within.append(piece)
             links += len(piece) if link_depth else 0
         at = m.end()
-        tag = m["tag"]
+        tag, ends, rest = m["tag"], m["end"], m["rest"] or ""
+        if m["cut"]:  # a quote that isn't closed: a tag whose attributes can't be told
+            tag, ends = m["cut"].lstrip("/"), m["cut"][0] == "/"
         if tag is None:
             continue
         tag = tag.lower()
@@ -130,7 +160,7 @@ def blocks(html: str) -> Iterator[tuple[Element, str, int]]:
             if found := text():
                 yield found
             within, links = [], 0
-        if m["end"]:
+        if ends:
             spot = now
             while spot.parent is not None and spot.tag != tag:
                 if spot.tag in SCOPES and tag not in SCOPES:
@@ -141,7 +171,7 @@ def blocks(html: str) -> Iterator[tuple[Element, str, int]]:
             if tag == "a":
                 link_depth = 0
             continue
-        if tag in VOID or (m["rest"] or "").endswith("/"):
+        if tag in VOID or (rest.endswith("/") and tag not in BLOCKS):
             continue
         if tag == "html":
             continue
@@ -151,16 +181,66 @@ def blocks(html: str) -> Iterator[tuple[Element, str, int]]:
                 if spot.tag == "p" or spot.tag in CLOSES.get(tag, ()):
                     now = spot.parent
                 spot = spot.parent
-        now = _opened(tag, m["rest"], now)
+        now = _opened(tag, rest, now)
         link_depth |= tag == "a"
     within.append(unescape(html[at:]))
     if found := text():
         yield found
 
 
+def _chain(element: Element | None) -> Iterator[Element]:
+    while element is not None:
+        yield element
+        element = element.parent
+
+
+def _asides(found: list[tuple[Element, str, int]]) -> set[int]:
+    """The ids of elements whose hints hold; ``found`` are the blocks that aren't left out for certain.
+
+    A hint is dropped if it names links but the element holds prose, if it is weak and the element holds a good share of the
+    page's running text, or if the element holds most of that and the page's leading element (a first heading, article or
+    main element without a hint of its own) is in it, or is nowhere and little running text lies elsewhere.
+    """
+    hinted: dict[int, Element] = {}
+    leads: list[Element] = []
+    total = 0
+    for holder, text, links in found:
+        total += max(0, len(text) - 2 * links)
+        for spot in _chain(holder):
+            spot.chars += len(text)
+            spot.links += links
+            if spot.hint:
+                hinted.setdefault(id(spot), spot)
+            elif spot.tag in ("h1", "article", "main") and not any(x is spot for x in leads):
+                leads.append(spot)
+    if not hinted:
+        return set()
+    depth = {k: sum(1 for _ in _chain(e)) for k, e in hinted.items()}
+    holds: set[int] = set()
+    for key in sorted(hinted, key=lambda k: depth[k]):
+        e = hinted[key]
+        running = max(0, e.chars - 2 * e.links)
+        if any(id(x) in holds for x in _chain(e.parent)):
+            continue
+        if e.hint == LINKS and e.chars >= PROSE and e.links < LINKED * e.chars:
+            continue
+        if e.hint == WEAK and running >= WEAK_SHARE * total:
+            continue
+        if running > STRONG_SHARE * total:
+            inside = e.tag in ("article", "main") or any(any(x is e for x in _chain(lead)) for lead in leads)
+            plain = [lead for lead in leads if not any(x.hint for x in _chain(lead)) and not any(x is lead for x in _chain(e))]
+            free = sum(max(0, len(text) - 2 * links) for holder, text, links in found if not any(x is e or (x.hint and id(x) in hinted and depth[id(x)] >= depth[key]) for x in _chain(holder)))
+            if inside or (not plain and free < ELSEWHERE * running):
+                continue
+        holds.add(key)
+    return holds
+
+
 def page_blocks(html: str | None) -> list[tuple[Element, str, int]]:
     """The blocks that may be text of an article; a header element's only if it holds a heading within a container."""
     found = [x for x in blocks(html or "") if not x[0].aside]
+    if left_out := _asides(found):
+        found = [x for x in found if not any(id(e) in left_out for e in _chain(x[0]))]
     return [x for x in found if not x[0].header or (x[0].titled and x[0].tag[0] == "h" and x[0].tag[1:].isdigit())]
 
 
