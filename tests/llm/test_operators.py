@@ -398,8 +398,8 @@ def test_embedding_pairs_of_a_small_label_beside_a_large_one(spark, monkeypatch)
 
 
 def test_embedding_pairs_within_a_dense_region(spark, monkeypatch):
-    for name, value in (("EXACT", 0), ("LARGEST", 16), ("LEAF", 8), ("LIST", 3), ("ROUNDS", 1)):
-        monkeypatch.setattr(embed_dedup, name, value, raising=False)
+    for name, value in (("LARGEST", 16), ("LEAF", 8), ("LIST", 3), ("ROUNDS", 1)):
+        monkeypatch.setattr(embed_dedup, name, value)
     rng = np.random.default_rng(9)
     middle = rng.normal(size=48)
     middle /= np.linalg.norm(middle)
@@ -420,6 +420,36 @@ def test_embedding_pairs_within_a_dense_region(spark, monkeypatch):
     assert sum(found[i] for i, _, _ in rows) >= 0.96 * linked.sum() > 500
 
 
+def test_embedding_search_alone(spark, monkeypatch):
+    """What NN-descent finds by itself in one label of 3,000 vectors: no group is compared whole, whatever an audit says."""
+    def whole(rows, threshold):
+        raise AssertionError("a group was compared whole")
+
+    monkeypatch.setattr(embed_dedup, "_compared", whole)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(2400, 32))
+    vectors = [*base, *(_pair_at(rng, base[k], 0.935) for k in range(600))]
+    x = np.array([v / np.linalg.norm(v) for v in vectors])
+    linked = (x @ x.T >= 0.93).sum(axis=1) - 1
+    frame = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    rows = embed_dedup.near_duplicates(frame).collect()
+    assert all(r.n_links <= linked[r.vec_id] for r in rows)
+    assert sum(r.n_links for r in rows) >= 0.97 * linked.sum() >= 0.97 * 1200
+    assert rows[0].audit_recall >= 0.97
+
+
+def test_embedding_audit_goes_on_until_it_can_tell(spark):
+    """One vector in 50 has a partner: the first share of 200 sees too few of them."""
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(1960, 16))
+    x = np.array([*base, *(_pair_at(rng, base[k], 0.97) for k in range(20))])
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    rows = [("0:16", len(x), k, u.tolist()) for k, u in enumerate(units)]
+    found = embed_dedup.audited(spark.createDataFrame(rows, "group string, n long, rep long, unit array<double>"), 0.93).collect()
+    linked = (units @ units.T >= 0.93).sum(axis=1) - 1
+    assert len(found) >= embed_dedup.LEAST and all(r.real == linked[r.rep] > 0 for r in found)
+
+
 def test_similar_documents_that_share_a_passage(spark):
     """Near copies in a hot group whose members are mostly too far from its centre."""
     rng = np.random.default_rng(3)
