@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
 from strandline.operators.history import median, running_before
+from strandline.sources.sinks import stored
 
 
 def assert_unique(frame: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,7 +100,7 @@ def spearman(frame: DataFrame, features: list[str], target: str) -> DataFrame:
     """
     number = {f: F.col(f).cast("double").alias(f) for f in features}
     long = frame.select(F.col(target).cast("double").alias("y"), *number.values()).unpivot(["y"], features, "feature", "x").where("x is not null and y is not null")
-    pairs = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    pairs = stored(long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
     sides = pairs.select("feature", "n", F.explode(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s"))
     values = sides.groupBy("feature", "s.side", "s.v").agg(F.sum("n").alias("n"))
     totals = pairs.groupBy("feature").agg(F.sum("n").alias("total"))

@@ -41,12 +41,16 @@ def derived(days: DataFrame) -> DataFrame:
 
 
 def weather_correlation(periods_with_weather: DataFrame, target: str = "target", names: list[str] | None = None) -> DataFrame:
-    """(feature, rho_current, rho_next, n_next): rank correlation of each feature, and of the next period's, with the target."""
+    """(feature, rho_current, rho_next, n_next): rank correlation of each feature, and of the next period's, with the target;
+    strongest next first. All are ranked together."""
     names = names or period_names()
-    now = audit.spearman(periods_with_weather, names, target).select("feature", F.col("rho").alias("rho_current"))
-    later = audit.spearman(periods_with_weather, [f"next_{c}" for c in names], target)
-    later = later.select(F.expr("substring(feature, 6)").alias("feature"), F.col("rho").alias("rho_next"), F.col("n").alias("n_next"))
-    return now.join(later, "feature")
+    found = audit.spearman(periods_with_weather, [*names, *(f"next_{c}" for c in names)], target)
+    is_next = F.col("feature").isin([f"next_{c}" for c in names])
+    feature = F.when(is_next, F.expr("substring(feature, 6)")).otherwise(F.col("feature"))
+    met = found.groupBy(feature.alias("feature")).agg(
+        F.max(F.when(~is_next, F.col("rho"))).alias("rho_current"), F.max(F.when(is_next, F.col("rho"))).alias("rho_next"), F.max(F.when(is_next, F.col("n"))).alias("n_next")
+    )
+    return met.orderBy(F.abs("rho_next").desc_nulls_last(), "feature")
 
 
 def grid(degrees: str) -> Column:

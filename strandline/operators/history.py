@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
+from strandline.sources.sinks import stored
 
 
 @dataclass(frozen=True)
@@ -207,7 +207,7 @@ def _ranked(frame: DataFrame, value: str, order: list[str], within: tuple[str, .
     if within:
         w = Window.partitionBy(*within)
         return frame.withColumns({"_rank": F.row_number().over(w.orderBy(F.col(value).asc_nulls_last(), *order)), "_n": F.count(value).over(w)})
-    placed = in_ranges(frame, value, "_part")
+    placed = in_ranges(frame, [], [F.col(value).asc_nulls_last(), *order])
     local = Window.partitionBy("_part").orderBy(F.col(value).asc_nulls_last(), *order)
     placed = placed.withColumn("_local", F.row_number().over(local))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.count(value).alias("_with"))
@@ -219,18 +219,16 @@ def _ranked(frame: DataFrame, value: str, order: list[str], within: tuple[str, .
 def running_before(frame: DataFrame, keys: list[str], value: str, amounts: list[str], order: list[str] | None = None) -> DataFrame:
     """``frame`` with <amount>_before: the sum over the rows of its ``keys`` with a smaller value (then by ``order``).
 
-    Two phases: ranges of about equally many rows of each key are summed on their own, and a range starts where the earlier
-    ones end, so no task holds all rows of a key. ``value`` is a number and not NULL.
+    Two phases: ranges of about equally many rows are summed on their own, and a range starts where the earlier ones of its
+    key end, so no task holds all rows of a key. Rows with a missing key are left out; ``value`` is a number.
     """
-    parts = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = frame.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)] or [0.5], 1000).alias("_bounds"))
-    placed = frame.join(bounds, keys).withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
-    local = Window.partitionBy(*keys, "_part").orderBy(value, *(order or [])).rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumns({f"_{a}_own": F.coalesce(F.sum(a).over(local), F.lit(0)) for a in amounts})
+    placed = in_ranges(frame, keys, [value, *(order or [])])
+    local = Window.partitionBy("_part", *keys).orderBy(value, *(order or [])).rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*keys, "_part").agg(*[F.sum(a).alias(f"_{a}_sum") for a in amounts])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_{a}_sum").over(earlier), F.lit(0)).alias(f"_{a}_off") for a in amounts])
-    out = placed.join(offsets, [*keys, "_part"])
+    own = placed.withColumns({f"_{a}_own": F.coalesce(F.sum(a).over(local), F.lit(0)) for a in amounts})
+    out = own.join(small(offsets), [*keys, "_part"])
     return out.withColumns({f"{a}_before": F.col(f"_{a}_own") + F.col(f"_{a}_off") for a in amounts}).drop("_part", *[f"_{a}_{k}" for a in amounts for k in ("own", "off")])
 
 
@@ -243,9 +241,10 @@ def quantiles(frame: DataFrame, keys: list[str], value: str, shares: tuple[float
     """
     group = keys or ["_all"]
     rows = frame if keys else frame.withColumn("_all", F.lit(1))
-    counts = rows.groupBy(*group, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    totals = counts.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_c"))), F.lit(0)).alias("n"))
-    met = running_before(counts.where("_x is not null"), group, "_x", ["_c"]).join(totals, group)
+    number = F.col(value).cast("double")
+    met = running_before(rows.groupBy(*group, number.alias("_x")).agg(F.count(number).alias("_c")), group, "_x", ["_c"])
+    totals = met.groupBy(*group).agg(F.sum("_c").alias("n"))
+    met = met.join(totals, group)
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("_c_before") <= place) & (place < F.col("_c_before") + F.col("_c")), F.col("_x")))
@@ -259,15 +258,15 @@ def quantiles(frame: DataFrame, keys: list[str], value: str, shares: tuple[float
     return out.select("n", *found).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.max(f"q{k}").alias(f"q{k}") for k in range(len(shares))])
 
 
-def in_ranges(frame: DataFrame, value: str, name: str) -> DataFrame:
-    """``name`` numbers ascending ranges of about equally many rows; missing values come last.
+def in_ranges(frame: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``frame`` with _part, which numbers ascending ranges of about equally many rows in the order of keys and ``order``.
 
-    The bounds (one for each shuffle partition) are taken once and are then fixed, so a row's range is the same however
-    often, and wherever, it is computed.
+    Ranges end between any two rows that differ in these, so a value that most rows hold is split by what follows it. The
+    rows are stored: a row's range is the same however often it is read.
     """
-    n = max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = frame.agg(F.percentile_approx(F.col(value).cast("double"), [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_v", outputCol=name, handleInvalid="keep")
-    out = cut.transform(frame.withColumn("_v", F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))))
-    return out.drop("_v")
+    return stored(frame.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def small(frame: DataFrame, most: int = 200_000) -> DataFrame:
+    """``frame``, broadcast if its rows, counted here, are few; else as it is, for a shuffle join."""
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame

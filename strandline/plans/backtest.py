@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
 from strandline.operators.history import DEFAULT, Panel, quantiles, running_before
+from strandline.plans import linear as L
+from strandline.sources.sinks import stored
 
 DAILY_RULES = ("zero", "train_mean", "persistence", "entity_mean", "entity_month")
 PERIOD_RULES = ("zero", "train_mean", "persistence", "entity_mean", "month_mean", "entity_month")
@@ -243,21 +245,25 @@ def classifier_report(scores: DataFrame, label: str = "label", score: str = "sco
     return out if by else out.drop("_one")
 
 
-def subsamples(frame: DataFrame, fractions: tuple[float, ...], repeats: int, seed: int = 42, entity: str = "entity_id", least: int = 3) -> DataFrame:
-    """Rows once for each (fraction, repeat) whose sample of entities holds theirs; entities are drawn by a hash.
+def draws(ids: DataFrame, fractions: tuple[float, ...], repeats: int, seed: int = 42, entity: str = "entity_id", least: int = 3) -> DataFrame:
+    """(entity, repeat, fraction): the entities of each sample, drawn by a hash.
 
     A sample has at least ``least`` entities; one that holds all of them is drawn once.
     """
-    ids = frame.select(entity).distinct()
-    draws = ids.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    each = ids.select(entity).distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(entity).cast("string")))
-    draws = draws.withColumns({"_key": key, "_v": leading(key), "_one": F.lit(1)})
-    placed = running_before(draws, ["repeat"], "_v", ["_one"], ["_key", entity]).join(draws.groupBy("repeat").agg(F.count(F.lit(1)).alias("_n")), "repeat")
+    each = each.withColumns({"_key": key, "_v": leading(key), "_one": F.lit(1)})
+    placed = running_before(each, ["repeat"], "_v", ["_one"], ["_key", entity])
+    placed = placed.join(F.broadcast(placed.groupBy("repeat").agg(F.count(F.lit(1)).alias("_n"))), "repeat")  # a row for each repeat
     most = [F.greatest(F.lit(least), F.round(F.col("_n") * f)) for f in fractions]
     # a sample of all entities is one sample, however often it is drawn
     taken = [F.when((F.col("_one_before") < m) & ((m < F.col("_n")) | (F.col("repeat") == 0)), F.lit(f)) for f, m in zip(fractions, most, strict=True)]
-    drawn = placed.select(entity, F.col("repeat").cast("long"), F.explode(F.array_compact(F.array(*taken))).alias("fraction"))
-    return frame.join(drawn, entity)
+    return placed.select(entity, F.col("repeat").cast("long"), F.explode(F.array_compact(F.array(*taken))).alias("fraction"))
+
+
+def subsamples(frame: DataFrame, fractions: tuple[float, ...], repeats: int, seed: int = 42, entity: str = "entity_id", least: int = 3) -> DataFrame:
+    """Rows once for each (fraction, repeat) whose sample of entities holds theirs."""
+    return frame.join(draws(frame, fractions, repeats, seed, entity, least), entity)
 
 
 def leading(key: Column) -> Column:
@@ -265,45 +271,87 @@ def leading(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
 
 
-def drawn_folds(rows: DataFrame, draw: list[str], column: str, horizon: int = 6, least_train: int = 12, keep: int = 4) -> DataFrame:
-    """(draw, fold, origin, end, test_start): rolling folds of each draw's own dates, as a small table.
-
-    A draw has at most ``keep`` folds; draws that are too short, and folds without test rows, have none.
-    """
-    bounds = rows.groupBy(*draw).agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
+def fold_dates(bounds: DataFrame, draw: list[str], horizon: int = 6, least_train: int = 12, keep: int = 4) -> DataFrame:
+    """(draw, fold, origin, end): the last ``keep`` rolling origins of each draw, from its _first and _last date."""
     steps = F.floor((F.months_between("_last", "_first") - least_train) / horizon).cast("int")
     each = bounds.where(steps >= 1).select("*", F.explode(F.sequence(F.lit(0), steps)).alias("_k"))
     each = each.withColumns({"origin": F.add_months("_first", least_train + horizon * F.col("_k")), "end": F.add_months("_first", least_train + horizon * (F.col("_k") + 1))})
     each = each.where(F.col("end") <= F.date_add("_last", 1))
     last = Window.partitionBy(*draw).orderBy(F.desc("origin"))  # as many rows as a record has half-years
-    each = each.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= keep).select(*draw, F.col("origin").cast("string").alias("fold"), "origin", "end")
-    met = rows.select(*draw, column).join(F.broadcast(each), draw).where((F.col(column) >= F.col("origin")) & (F.col(column) < F.col("end")))
-    return met.groupBy(*draw, "fold", "origin", "end").agg(F.min(column).alias("test_start"))
+    return each.withColumn("_r", F.row_number().over(last)).where(F.col("_r") <= keep).select(*draw, F.col("origin").cast("string").alias("fold"), "origin", "end")
+
+
+def drawn_folds(rows: DataFrame, members: DataFrame, draw: list[str], column: str, horizon: int = 6, least_train: int = 12, keep: int = 4, entity: str = "entity_id") -> DataFrame:
+    """(draw, fold, origin, end, test_start): rolling folds of each draw's own dates, from dates of its entities alone.
+
+    A draw has at most ``keep`` folds; draws that are too short, and folds without test rows, have none. ``rows`` is read
+    twice and copied for no draw.
+    """
+    ends = rows.groupBy(entity).agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
+    bounds = members.join(ends, entity).groupBy(*draw).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    each = stored(fold_dates(bounds, draw, horizon, least_train, keep), "fold-dates")
+    spans = each.select("origin", "end").distinct()  # most draws share theirs
+    day = F.col(column)
+    starts = rows.join(F.broadcast(spans), (day >= F.col("origin")) & (day < F.col("end"))).groupBy(entity, "origin", "end").agg(F.min(column).alias("_start"))
+    met = members.join(F.broadcast(each), draw).join(starts, [entity, "origin", "end"])
+    return met.groupBy(*draw, "fold", "origin", "end").agg(F.min("_start").alias("test_start"))
 
 
 def resampled_skill(
-    rows: DataFrame, prediction: Column, fractions: tuple[float, ...] = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0), repeats: int = 8, column: str = "period_start",
+    rows: DataFrame, prediction: Column | None = None, fractions: tuple[float, ...] = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0), repeats: int = 8, column: str = "period_start",
     label_end: str = "target_period_end", rules: tuple[str, ...] = PERIOD_RULES, least_train: int = 30, least_test: int = 10, entity: str = "entity_id", model: Callable[[DataFrame], DataFrame] | None = None,
+    linear: list[str] | None = None,
 ) -> DataFrame:
     """(fraction, repeat, entities, n, folds, skill) of samples of entities: how skill and its spread grow with the sample.
 
     Folds, their embargo and the best naive rule of each fold are made anew within every sample; folds with under
-    ``least_train`` or ``least_test`` rows don't count. ``prediction`` is a column of ``rows``; or ``model`` takes the rows
-    (with fold and part, fold naming sample and fold) and returns the test rows with y_pred.
+    ``least_train`` or ``least_test`` rows don't count. Predictions are a column of ``rows``, or least squares on the columns
+    of ``linear``, or ``model`` takes the rows of all samples (with fold and part, fold naming sample and fold) and returns the
+    test rows with y_pred.
+
+    Training sums are taken once for each entity, month and span of dates, and added up for the samples that hold the entity:
+    only test rows are copied for each sample, unless there is a ``model``.
     """
-    draw = ["fraction", "repeat"]
-    drawn = subsamples(rows, fractions, repeats, entity=entity)
-    folds = drawn_folds(drawn, draw, column)
-    met = drawn.join(F.broadcast(folds), draw)  # at most len(fractions) * repeats * 4 folds
-    part = F.when(F.col(column) < F.col("origin"), F.when(F.col(label_end) < F.col("test_start"), "train")).when(F.col(column) < F.col("end"), "test")
-    met = met.withColumns({"part": part, "fold": F.concat_ws("|", "fraction", "repeat", "fold")}).where("part is not null").drop("origin", "end", "test_start")
-    sizes = met.groupBy("fold", *draw).agg(F.count_if(F.col("part") == "train").alias("_train"), F.count_if(F.col("part") == "test").alias("_test"))
-    bars = best(board(naive(met.drop(*draw), rules, date_column=column)))
-    scored = model(met) if model else met.where("part = 'test'").withColumn("y_pred", prediction)
-    errors = scored.groupBy("fold").agg(F.avg(F.abs(F.col("y_pred") - F.col("target"))).alias("mae"))
-    skills = errors.join(bars, "fold").join(sizes, "fold").where((F.col("_train") >= least_train) & (F.col("_test") >= least_test))
-    skills = skills.withColumn("skill", C.skill(F.col("mae"), F.col("bar"))).groupBy(*draw).agg(F.count("skill").alias("folds"), F.avg("skill").alias("skill"))
-    return drawn.groupBy(*draw).agg(F.count_distinct(entity).alias("entities"), F.count(F.lit(1)).alias("n")).join(skills, draw)
+    draw, day = ["fraction", "repeat"], F.col(column)
+    rows = stored(rows.where(F.col("target").isNotNull()).withColumn("_month", F.month(column)), "sampled-rows")
+    members = stored(draws(rows, fractions, repeats, entity=entity), "samples")
+    folds = stored(drawn_folds(rows, members, draw, column, entity=entity), "sample-folds")
+    sizes = members.join(rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")), entity).groupBy(*draw).agg(F.count(F.lit(1)).alias("entities"), F.sum("_n").alias("n"))
+    spans = F.broadcast(folds.select("origin", "end", "test_start").distinct())
+    trains, tests = (day < F.col("origin")) & (F.col(label_end) < F.col("test_start")), (day >= F.col("origin")) & (day < F.col("end"))
+    span = ["origin", "end", "test_start"]
+    columns, fold = linear or [], [*draw, "fold"]
+    around = L.centres(rows, columns)
+    sums = stored(rows.join(spans, trains).groupBy(entity, "_month", *span).agg(*L.moments(columns, around)), "training-sums")
+    inside = stored(members.join(F.broadcast(folds), draw), "sample-entities")  # a row for each sample, fold and entity
+    parts = inside.join(sums, [entity, *span]).groupBy(*fold, "_month").agg(*L.summed(columns))
+    parts = stored(parts, "sample-sums")
+
+    def mean(name: str) -> Column:
+        return (F.col("_m_y") / F.col("_m_n")).alias(name)
+
+    fits = parts.groupBy(*fold).agg(*L.summed(columns)).select(*fold, F.col("_m_n").alias("_train"), mean("_all"), L.coefficients(columns).alias("_coefficients"))
+    months = parts.select(*fold, "_month", mean("_by_month"))
+    both = sums.select(entity, "_month", *span, mean("_both"))
+    entities = sums.groupBy(entity, *span).agg(*L.summed([])).select(entity, *span, mean("_entity"))
+    found = rows.join(spans, tests).join(entities, [entity, *span], "left").join(both, [entity, "_month", *span], "left")
+    found = found.join(inside, [entity, *span]).join(F.broadcast(fits), fold).join(F.broadcast(months), [*fold, "_month"], "left")
+    y, fallback = F.col("target"), F.coalesce("_by_month", "_all") if "month_mean" in rules else F.col("_all")
+    guesses = {
+        "zero": F.lit(0.0), "train_mean": F.col("_all"), "persistence": F.coalesce(F.col("change"), F.lit(0.0)), "entity_mean": F.coalesce("_entity", "_all"),
+        "month_mean": F.coalesce("_by_month", "_all"), "entity_month": F.coalesce(F.col("_both"), fallback),
+    }
+    own = L.prediction(columns, around) if linear else prediction if prediction is not None else F.lit(None).cast("double")
+    errors = found.groupBy(*fold).agg(
+        F.least(*[F.avg(F.abs(guesses[r] - y)) for r in rules], F.lit(float("inf"))).alias("bar"), F.avg(F.abs(own - y)).alias("mae"), F.max("_train").alias("_train"), F.count(F.lit(1)).alias("_test")
+    )
+    if model:
+        met = inside.join(rows, entity).withColumn("part", F.when(trains, "train").when(tests, "test")).where("part is not null").drop(*span)
+        met = met.withColumn("_draw", F.struct(*fold)).withColumn("fold", F.concat_ws("|", *fold))
+        scored = model(met).groupBy("_draw.*").agg(F.avg(F.abs(F.col("y_pred") - F.col("target"))).alias("mae"))
+        errors = errors.drop("mae").join(scored, fold)
+    skills = errors.where((F.col("_train") >= least_train) & (F.col("_test") >= least_test)).withColumn("skill", C.skill(F.col("mae"), F.col("bar")))
+    return sizes.join(skills.groupBy(*draw).agg(F.count("skill").alias("folds"), F.avg("skill").alias("skill")), draw)
 
 
 def definition_sweep(

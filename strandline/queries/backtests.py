@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from strandline.functions import columns as C
 from strandline.operators import history, periods
 from strandline.plans import backtest as B
+from strandline.plans import linear as L
 from strandline.plans import models as M
-from strandline.queries.base import LONG, long_panel, query
+from strandline.queries.base import LONG, held, long_panel, query
 from strandline.queries.grains import FEATURES, LONG_TARGET, MONTHS, _features_sql, grained, long_targets
 
 #: Origins of the last four folds over the table that ``source`` names.
@@ -167,11 +168,11 @@ def period_naive_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.board(B.naive(B.assigned(rows, folds, "period_start", "target_period_end"), B.PERIOD_RULES, date_column="period_start"))
 
 
-#: Nation months, their samples, folds within each sample, and the skill of the rule change / 4 against the best naive rule.
+#: Nation months, their samples, folds within each sample, and the skill of a line through the last change against the best naive rule.
 RESAMPLED = f"""{_features_sql(MONTHS).replace("n_regionkey", "n_nationkey")},
 targets AS (SELECT entity_id, period_start, target_period_end, target, period_change AS change, month(period_start) AS month FROM features WHERE target IS NOT NULL),
 ids AS (SELECT DISTINCT entity_id FROM targets), ranked AS (
-    SELECT entity_id, repeat, row_number() OVER (PARTITION BY repeat ORDER BY md5('42|' || repeat || '|' || entity_id), entity_id) AS r, count(*) OVER (PARTITION BY repeat) AS n FROM ids, (SELECT unnest(range(4)) AS repeat)),
+    SELECT entity_id, repeat, row_number() OVER (PARTITION BY repeat ORDER BY md5('42|' || repeat || '|' || entity_id), entity_id) AS r, count(*) OVER (PARTITION BY repeat) AS n FROM ids, (SELECT unnest(range(8)) AS repeat)),
 drawn AS (
     SELECT entity_id, repeat, fraction FROM ranked, (SELECT unnest([0.25, 0.4, 0.55, 0.7, 0.85, 1.0])::DOUBLE AS fraction)
     WHERE r <= greatest(3, round(n * fraction)) AND (greatest(3, round(n * fraction)) < n OR repeat = 0)),
@@ -186,12 +187,12 @@ folds AS (
 assigned AS (
     SELECT r.*, origin, CASE WHEN period_start >= origin THEN 'test' ELSE 'train' END AS part FROM rows r JOIN folds f ON r.fraction = f.fraction AND r.repeat = f.repeat
     AND ((period_start >= origin AND period_start < horizon_end) OR (period_start < origin AND target_period_end < test_start))),
-train AS (SELECT * FROM assigned WHERE part = 'train'), o AS (SELECT fraction, repeat, origin, avg(target) AS m FROM train GROUP BY ALL), e AS (SELECT fraction, repeat, origin, entity_id, avg(target) AS m FROM train GROUP BY ALL),
+train AS (SELECT * FROM assigned WHERE part = 'train'), o AS (SELECT fraction, repeat, origin, avg(target) AS m, regr_slope(target, coalesce(change, 0)) AS slope, regr_intercept(target, coalesce(change, 0)) AS intercept FROM train GROUP BY ALL), e AS (SELECT fraction, repeat, origin, entity_id, avg(target) AS m FROM train GROUP BY ALL),
 mo AS (SELECT fraction, repeat, origin, month, avg(target) AS m FROM train GROUP BY ALL), em AS (SELECT fraction, repeat, origin, entity_id, month, avg(target) AS m FROM train GROUP BY ALL),
 errors AS (
     SELECT fraction, repeat, origin, rule, avg(abs(y - p)) AS mae FROM (
         SELECT a.fraction, a.repeat, a.origin, a.target AS y, unnest(['zero', 'train_mean', 'persistence', 'entity_mean', 'month_mean', 'entity_month', 'rule']) AS rule,
-               unnest([0.0::DOUBLE, o.m, coalesce(change, 0), coalesce(e.m, o.m), coalesce(mo.m, o.m), coalesce(em.m, mo.m, o.m), coalesce(change, 0) / 4]) AS p
+               unnest([0.0::DOUBLE, o.m, coalesce(change, 0), coalesce(e.m, o.m), coalesce(mo.m, o.m), coalesce(em.m, mo.m, o.m), intercept + slope * coalesce(change, 0)]) AS p
         FROM assigned a JOIN o USING (fraction, repeat, origin) LEFT JOIN e USING (fraction, repeat, origin, entity_id) LEFT JOIN mo USING (fraction, repeat, origin, month) LEFT JOIN em USING (fraction, repeat, origin, entity_id, month)
         WHERE part = 'test') GROUP BY ALL),
 sizes AS (SELECT fraction, repeat, origin FROM assigned GROUP BY ALL HAVING count(*) FILTER (WHERE part = 'train') >= 30 AND count(*) FILTER (WHERE part = 'test') >= 10),
@@ -202,10 +203,10 @@ summary AS (SELECT fraction, avg(skill) AS mean, stddev_samp(skill) AS sd, min(s
 
 
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skill over samples of nations, at the grain of months, of the rule that a quarter of the last change comes again."""
+    """Skill over samples of nations, at the grain of months, of least squares on the last change."""
     rows = periods.with_features(grained(spark, sf_dir, "month", "n_nationkey")).where("target is not null")
     rows = rows.select("entity_id", "period_start", "target_period_end", "target", F.col("period_change").alias("change"))
-    return B.curve_summary(B.resampled_skill(rows, F.coalesce("change", F.lit(0.0)) / 4, repeats=4))
+    return B.curve_summary(B.resampled_skill(rows, linear=["change"]))
 
 
 @query(f"WITH {RESAMPLED} SELECT fraction, round(mean, 6) AS mean, round(sd, 6) AS sd, round(min, 6) AS min, round(max, 6) AS max, round(share_not_above_0, 6) AS share_not_above_0, round(mean_n, 6) AS mean_n FROM summary")
@@ -221,6 +222,20 @@ def required_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.required_size(curve(spark, sf_dir).where("sd > 1e-12"))
 
 
+@query(
+    f"""WITH {NAIVE}, fits AS (SELECT fold, regr_slope(target, coalesce(change, 0)) AS slope, regr_intercept(target, coalesce(change, 0)) AS intercept FROM train GROUP BY 1),
+        model AS (SELECT w.fold, target AS y_true, intercept + slope * coalesce(change, 0) AS y_pred FROM wide w JOIN fits USING (fold)), board AS (SELECT fold, {METRICS} FROM model GROUP BY 1),
+        bars AS (SELECT fold, min(mae) AS bar, arg_min(rule, (mae, rule)) AS bar_rule FROM (SELECT fold, rule, avg(abs(y_pred - y_true)) AS mae FROM predictions GROUP BY 1, 2) GROUP BY 1)
+        SELECT fold, 'linear' AS rule, {SHOWN}, round(bar, 6) AS bar, bar_rule, round(1 - mae / nullif(bar, 0), 6) AS skill FROM board JOIN bars USING (fold)"""
+)
+def linear_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares on the last change, for all folds in one job, against each fold's best naive rule."""
+    rows = held(long_targets(spark, sf_dir))
+    split = B.assigned(rows, B.rolling_folds(rows))
+    found = L.predicted(split.where("target is not null"), ["fold"], ["change"]).withColumns({"rule": F.lit("linear"), "y_true": F.col("target")})
+    return B.with_skill(B.board(found), B.best(B.board(B.naive(split, B.DAILY_RULES))))
+
+
 @query(
     f"""WITH {LONG_TARGET}, s AS (SELECT entity_id, (target > 100)::INT AS label, round(-change / 10, 0) AS score FROM targets), c AS (SELECT entity_id, score, sum(label) AS pos, count(*) AS n FROM s GROUP BY 1, 2),
         r AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY entity_id) AS p, sum(n) OVER (PARTITION BY entity_id) AS total FROM c WINDOW w AS (PARTITION BY entity_id ORDER BY score DESC)),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
+from strandline.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +16,9 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-_HELD: list[DataFrame] = []
-
-
 def held(frame: DataFrame) -> DataFrame:
-    """``frame``, kept for the query at hand; the next registered query frees it."""
-    _HELD.append(frame.persist())
-    return _HELD[-1]
+    """``frame``, computed once for all that a query reads of it; the result may be collected whenever, and again."""
+    return sinks.stored(frame, "held")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -29,8 +26,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     def add(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            while _HELD:
-                _HELD.pop().unpersist()
             return C.rounded(f(spark, sf_dir))
 
         QUERIES[f.__name__] = run

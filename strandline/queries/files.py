@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.queries.base import query, table
+from strandline.queries.base import held, query, table
 from strandline.sources import readers, sinks
 
 FORMS = ("csv_by_name", "csv_typed", "model_table", "of_grain", "parquet_slice", "partitioned", "table", "text_slice", "view")
@@ -58,6 +58,9 @@ def stored_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     for form in FORMS:
         one = _summed(form, found[form])
         out = one if out is None else out.unionByName(one)
+    out = held(out)
+    spark.sql(f"DROP TABLE {name}")
+    spark.catalog.dropTempView(f"{name}_view")
     return out
 
 

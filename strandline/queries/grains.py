@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import enrich, events, extremes, history, periods
-from strandline.queries.base import DAILY, FLAGS, HISTORY, LONG, daily, flagged, long_panel, query, table
+from strandline.queries.base import DAILY, FLAGS, HISTORY, LONG, daily, flagged, held, long_panel, query, table
 from strandline.sources import payloads
 
 WEEK_SQL = "CAST(floor((date_diff('day', DATE '1970-01-01', obs_date) + 3) / 7.0) AS BIGINT) + 1"
@@ -372,7 +372,7 @@ def _proximity_sql(kind: str) -> str:
 def event_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.functions import columns as C
 
-    rows = flagged(spark, sf_dir).withColumns({k: C.nearest(F.col(f"{k}_last_dif"), F.col(f"{k}_next_dif")) for k in ("purchase", "error")})
+    rows = held(flagged(spark, sf_dir)).withColumns({k: C.nearest(F.col(f"{k}_last_dif"), F.col(f"{k}_next_dif")) for k in ("purchase", "error")})
     return extremes.proximity(rows, F.col("extreme_60"), {"purchase": "purchase", "error": "error"})
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +29,16 @@ def delete_on_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def stored(frame: DataFrame, label: str = "table") -> DataFrame:
+    """``frame``, computed once and written to the shared folder: what reads it computes nothing again and survives lost
+    executors. The table goes when the application ends."""
+    spark = frame.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    delete_on_exit(spark, path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def parquet(frame: DataFrame, path: str, order: list[str], files: int | None = None) -> None:
     """Files in ranges of the key, each sorted by it, with Zstandard: later filters on the key skip files and row groups."""
     ranged = frame.repartitionByRange(files, *order) if files else frame.repartitionByRange(*order)
@@ -35,12 +46,10 @@ def parquet(frame: DataFrame, path: str, order: list[str], files: int | None = N
 
 
 def csv(frame: DataFrame, path: str, note: str = "") -> str:
-    """CSV with a header; returns a line that reports the rows written."""
-    rows = F.count(F.lit(1))
-    observed = frame.sparkSession
-    frame.write.mode("overwrite").option("header", True).csv(path)
-    n = observed.read.option("header", True).csv(path).agg(rows).first()[0]
-    return f"{path}: {n} rows" + (f" ({note})" if note else "")
+    """CSV with a header; returns a line that reports the rows written, counted while they are."""
+    seen = Observation()
+    frame.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    return f"{path}: {seen.get['n']} rows" + (f" ({note})" if note else "")
 
 
 def table(frame: DataFrame, name: str, buckets: tuple[int, str] | None = None, path: str | None = None) -> None:
