@@ -1,24 +1,31 @@
 """Spark ML models in the back-test: regressors, balanced classifiers, two-stage and season-gated models, importance.
 
-Only the loop over folds and seeds runs on the driver; fitting and scoring are Spark jobs over DataFrames.
+Features of all folds are one stored table with fold marks. Fits of folds, seeds and rungs are Spark jobs that the driver starts
+side by side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.history import quantiles
+from strandline.operators.history import quantiles, running_before
 from strandline.plans import backtest as B
 from strandline.plans.backtest import Fold
+from strandline.sources.sinks import stored
+
+T = TypeVar("T")
 
 #: Columns that are only known after the day a prediction is made for: the target and what it is made of, flags and distances
 #: that look ahead (to the next level, a centred window or the next event), and statistics of an entity's whole record.
@@ -29,6 +36,7 @@ FORBIDDEN = frozenset(
         "target_mad", "entity_median", "entity_mad", "change_mad", "minus_entity_median", "entity_change_mad",
     }
 )
+FEATURES = "features"
 FORBIDDEN_PREFIXES, FORBIDDEN_SUFFIXES = ("next_", "extreme_", "nearest_"), ("_next_dif",)
 
 #: Rungs of the ablation ladder: each adds to the one before.
@@ -57,31 +65,68 @@ def assert_no_leakage(columns: Iterable[str], allow: Iterable[str] = ()) -> list
     return columns
 
 
+def _assembled(filled: DataFrame, columns: list[str]) -> DataFrame:
+    filled = filled.withColumns({f"_{c}_was_missing": F.col(c).isNull().cast("double") for c in columns})
+    inputs = [f"_{c}" for c in columns] + [f"_{c}_was_missing" for c in columns]
+    return VectorAssembler(inputCols=inputs, outputCol=FEATURES).transform(filled).drop(*inputs)
+
+
 def matrix(frame: DataFrame, columns: list[str], allow: Iterable[str] = (), train: DataFrame | None = None, entity: str = "entity_id") -> DataFrame:
     """``frame`` with ``features``: the columns, then for each whether it was missing.
 
     A missing value becomes the median of its entity's rows in ``train``, else the median of all of them, else 0. Give a
     fold's training rows as ``train``, so that nothing is learnt from its test rows; without it missing values become 0.
+    A frame of ``fold_matrix`` has its features already.
     """
     assert_no_leakage(columns, allow)
-    overall = [0.0] * len(columns)
-    if train is not None:
-        found = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000) for c in columns]).first()
-        overall = [0.0 if x is None else x for x in found]
-        medians = train.groupBy(F.col(entity).alias("_entity")).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-        frame = frame.join(medians, F.col(entity) == F.col("_entity"), "left").drop("_entity")
-    own = (lambda c: [F.col(f"_m_{c}")]) if train is not None else (lambda c: [])
-    filled = frame.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), *own(c), F.lit(float(m))) for c, m in zip(columns, overall, strict=True)})
-    filled = filled.withColumns({f"_{c}_was_missing": F.col(c).isNull().cast("double") for c in columns})
-    inputs = [f"_{c}" for c in columns] + [f"_{c}_was_missing" for c in columns]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(filled).drop(*inputs, *[f"_m_{c}" for c in columns])
+    if FEATURES in frame.columns:
+        return frame
+    if train is None:
+        return _assembled(frame.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}), columns)
+    learnt = train.withColumns({"fold": F.lit("_"), "part": F.lit("train")})
+    return _filled(frame.withColumn("_fold", F.lit("_")), learnt, "_fold", columns, entity).drop("_fold")
+
+
+def _filled(frame: DataFrame, rows: DataFrame, fold: str, columns: list[str], entity: str) -> DataFrame:
+    """``frame`` with features whose gaps are filled from the training rows of the fold that the column ``fold`` names."""
+    train = rows.where("part = 'train'")
+    own = train.groupBy(F.col("fold").alias("_f"), F.col(entity).alias("_entity")).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_m_{c}") for c in columns])
+    overall = train.groupBy(F.col("fold").alias("_f")).agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(f"_a_{c}") for c in columns])
+    met = frame.join(own, (F.col(fold) == F.col("_f")) & (F.col(entity) == F.col("_entity")), "left").drop("_f", "_entity")
+    met = met.join(F.broadcast(overall), F.col(fold) == F.col("_f"), "left").drop("_f")  # one row for each fold
+    met = met.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), f"_m_{c}", f"_a_{c}", F.lit(0.0)) for c in columns})
+    return _assembled(met, columns).drop(*[f"_{k}_{c}" for c in columns for k in "ma"])
+
+
+def fold_matrix(rows: DataFrame, columns: list[str], allow: Iterable[str] = (), entity: str = "entity_id") -> DataFrame:
+    """The rows of all folds (fold, part) with ``features``, stored once: each fold's gaps are filled from its own training rows,
+    by one aggregation for all folds."""
+    assert_no_leakage(columns, allow)
+    return stored(_filled(rows, rows, "fold", columns, entity), "fold-matrix")
+
+
+def side_by_side(spark: SparkSession, tasks: list[Callable[[], T]], most: int = 4) -> list[T]:
+    """The results of ``tasks``, each a chain of Spark jobs, with up to ``most`` of them running at a time in a fair pool.
+
+    They share the executors' slots, so small fits don't wait for one another. Job groups and other local properties are
+    those of the caller, and the first error is raised.
+    """
+    context = spark.sparkContext
+    pool = context.getLocalProperty("spark.scheduler.pool")
+
+    def run(task: Callable[[], T]) -> T:
+        context.setLocalProperty("spark.scheduler.pool", pool or "fits")
+        return task()
+
+    with ThreadPoolExecutor(max(1, min(most, len(tasks)))) as threads:
+        return [f.result() for f in [threads.submit(inheritable_thread_target(spark)(run), task) for task in tasks]]
 
 
 def regressor(name: str = "gb", seed: int = 42, target: str = "target", **options):
     """rf, gb, hist_gb or lightgbm (all gradient-boosted trees of Spark), or linear."""
     common = {"labelCol": target, "featuresCol": "features", "predictionCol": "y_pred"}
     if name == "rf":
-        return RandomForestRegressor(**common, seed=seed, **{"numTrees": 20, "maxDepth": 6, **options})
+        return RandomForestRegressor(**common, seed=seed, **{"numTrees": 200, "maxDepth": 6, **options})
     if name in ("gb", "hist_gb", "lightgbm"):
         return GBTRegressor(**common, seed=seed, **{"maxIter": 10, "maxDepth": 3, **options})
     if name == "linear":
@@ -92,7 +137,7 @@ def regressor(name: str = "gb", seed: int = 42, target: str = "target", **option
 def classifier(name: str = "rf", seed: int = 42, label: str = "label", balanced: bool = True, **options):
     common = {"labelCol": label, "featuresCol": "features"} | ({"weightCol": "weight"} if balanced else {})
     if name == "rf":
-        return RandomForestClassifier(**common, seed=seed, **{"numTrees": 20, "maxDepth": 6, **options})
+        return RandomForestClassifier(**common, seed=seed, **{"numTrees": 300, "maxDepth": 6, **options})
     if name == "gb":
         return GBTClassifier(**common, seed=seed, **{"maxIter": 10, "maxDepth": 3, **options})
     if name == "linear":
@@ -115,9 +160,20 @@ def probability(model: Model, rows: DataFrame) -> DataFrame:
 FitPredict = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+def using(columns: list[str], allow: Iterable[str] = ()) -> Callable[[FitPredict], FitPredict]:
+    """Marks a predictor with the columns of its features, so that these are assembled once for all folds."""
+
+    def mark(run: FitPredict) -> FitPredict:
+        run.columns, run.allow = list(columns), tuple(allow)
+        return run
+
+    return mark
+
+
 def single(columns: list[str], name: str = "rf", seed: int = 42, allow: Iterable[str] = ()) -> FitPredict:
     """Fit one regressor on the training rows and score the test rows; ``allow`` names columns from the future, for a bound."""
 
+    @using(columns, allow)
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         return regressor(name, seed).fit(matrix(train, columns, allow, train)).transform(matrix(test, columns, allow, train))
 
@@ -131,6 +187,7 @@ def two_stage(columns: list[str], extreme: Column, blend: bool = False, oracle:
     itself: an upper bound, not a forecast.
     """
 
+    @using(columns)
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         rows = matrix(train, columns, train=train).withColumn("label", F.when(extreme, 1).otherwise(0)).persist()
         n = rows.where("label = 1").count()
@@ -154,6 +211,7 @@ def two_stage(columns: list[str], extreme: Column, blend: bool = False, oracle:
 def season_gated(columns: list[str], scheme: str, date: str = "obs_date", least: int = 150, name: str = "rf", seed: int = 42) -> FitPredict:
     """One regressor for each regime with at least ``least`` training rows; a pooled one for the others."""
 
+    @using(columns)
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         label = C.labelled(F.month(date), scheme)
         rows = matrix(train, columns, train=train).withColumn("_regime", label).persist()
@@ -169,29 +227,54 @@ def season_gated(columns: list[str], scheme: str, date: str = "obs_date", least:
     return run
 
 
-def out_of_fold(frame: DataFrame, folds: list[Fold], fit_predict: FitPredict, rule: str, column: str = "obs_date", label_end: str | None = None, target: str = "target") -> DataFrame:
+def by_fold(rows: DataFrame, folds: list[Fold], predictors: dict[str, FitPredict]) -> dict[tuple[str, str], DataFrame]:
+    """What each predictor makes of each fold's training and test rows (part), keyed by predictor and fold.
+
+    Predictors of the same columns share one matrix of all folds; fits of all folds and predictors run side by side.
+    """
+    made: dict[tuple, DataFrame] = {}
+
+    def prepared(predictor: FitPredict) -> DataFrame:
+        columns = getattr(predictor, "columns", None)
+        if columns is None:
+            return rows
+        key = (tuple(columns), tuple(sorted(predictor.allow)))
+        if key not in made:
+            made[key] = fold_matrix(rows, *key)
+        return made[key]
+
+    keys, tasks = [], []
+    for name, predictor in predictors.items():
+        whole = prepared(predictor)
+        for f in folds:
+            own = whole.where(F.col("fold") == f.name)
+            keys.append((name, f.name))
+            tasks.append(lambda p=predictor, own=own: p(own.where("part = 'train'").drop("fold", "part"), own.where("part = 'test'")))
+    return dict(zip(keys, side_by_side(rows.sparkSession, tasks), strict=True))
+
+
+def out_of_folds(frame: DataFrame, folds: list[Fold], predictors: dict[str, FitPredict], column: str = "obs_date", label_end: str | None = None, target: str = "target") -> DataFrame:
     """Long predictions of all folds' test rows: the rows with fold, rule, rule_order, y_true and y_pred."""
     rows = B.assigned(frame.where(F.col(target).isNotNull()), folds, column, label_end)
     out = None
-    for f in folds:
-        own = rows.where(F.col("fold") == f.name)
-        found = fit_predict(own.where("part = 'train'").drop("fold", "part"), own.where("part = 'test'"))
+    for (rule, _), found in by_fold(rows, folds, predictors).items():
         found = found.select(*rows.columns, F.lit(rule).alias("rule"), F.lit(99).alias("rule_order"), F.col(target).alias("y_true"), "y_pred")
         out = found if out is None else out.unionByName(found)
     if out is None:  # no folds, so no rows
-        return rows.withColumns({"rule": F.lit(rule), "rule_order": F.lit(99), "y_true": F.col(target).cast("double"), "y_pred": F.lit(0.0)})
+        return rows.withColumns({"rule": F.lit(""), "rule_order": F.lit(99), "y_true": F.col(target).cast("double"), "y_pred": F.lit(0.0)})
     return out
 
 
+def out_of_fold(frame: DataFrame, folds: list[Fold], fit_predict: FitPredict, rule: str, column: str = "obs_date", label_end: str | None = None, target: str = "target") -> DataFrame:
+    """``out_of_folds`` of one predictor."""
+    return out_of_folds(frame, folds, {rule: fit_predict}, column, label_end, target)
+
+
 def _boards(frame: DataFrame, predictors: dict[str, FitPredict], column: str, label_end: str, rules: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Boards of the predictors and of the naive rules over the same embargoed folds."""
     folds = B.rolling_folds(frame, column)
     naive = B.board(B.naive(B.assigned(frame, folds, column, label_end), rules, date_column=column))
-    out = None
-    for name, predictor in predictors.items():
-        one = B.board(out_of_fold(frame, folds, predictor, name, column, label_end))
-        out = one if out is None else out.unionByName(one)
-    return out, naive
+    return B.board(out_of_folds(frame, folds, predictors, column, label_end)), naive
 
 
 def protocol(
@@ -224,18 +307,19 @@ def label_board(
 
     With under ``least_train`` or ``least_test`` positives in a fold its metrics are NULL; the row stays. No folds, no rows.
     """
-    rows = B.assigned(frame, folds, column, label_end)
-    scores = sizes = None
-    for name, label in rules.items():
-        own = rows.withColumns({"rule": F.lit(name), "label": F.coalesce(label, F.lit(False)).cast("int")})
-        size = own.groupBy("rule", "fold").agg(*[F.count_if((F.col("part") == part) & (F.col("label") == 1)).alias(f"{part}_positives") for part in ("train", "test")])
-        sizes = size if sizes is None else sizes.unionByName(size)
-        if not folds:
-            scores = own.select("rule", "fold", "label", F.lit(0.0).alias("score"))
+    cells = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(label, F.lit(False)).cast("int").alias("label")) for name, label in rules.items()])
+    rows = B.assigned(frame, folds, column, label_end).withColumn("_x", F.explode(cells)).select("*", "_x.*").drop("_x")
+    sizes = rows.groupBy("rule", "fold").agg(*[F.count_if((F.col("part") == part) & (F.col("label") == 1)).alias(f"{part}_positives") for part in ("train", "test")])
+    scores = rows.select("rule", "fold", "label", F.lit(0.0).alias("score")).where("false")
+    columns = getattr(chance, "columns", None)
+    whole = rows if columns is None or not folds else fold_matrix(rows, columns, chance.allow)
+    tasks = []
+    for name in rules:
         for f in folds:
-            fold = own.where(F.col("fold") == f.name)
-            one = chance(fold.where("part = 'train'"), fold.where("part = 'test'")).select("rule", "fold", "label", "score")
-            scores = one if scores is None else scores.unionByName(one)
+            own = whole.where((F.col("rule") == name) & (F.col("fold") == f.name))
+            tasks.append(lambda own=own: chance(own.where("part = 'train'"), own.where("part = 'test'")).select("rule", "fold", "label", "score"))
+    for one in side_by_side(frame.sparkSession, tasks) if tasks else ():
+        scores = scores.unionByName(one)
     told = B.classifier_report(scores, by=["rule", "fold"]).drop("positive_rate")
     enough = (F.col("train_positives") >= least_train) & (F.col("test_positives") >= least_test)
     return sizes.join(told, ["rule", "fold"]).withColumns({c: F.when(enough, F.col(c)) for c in ("average_precision", "roc_auc", "lift")})
@@ -252,11 +336,8 @@ def rung_board(frame: DataFrame, rungs: dict[str, list[str]], allow: Iterable[st
 
 def seed_boards(frame: DataFrame, folds: list[Fold], make: Callable[[int], FitPredict], seeds: Iterable[int] = (0, 1, 2)) -> DataFrame:
     """(seed, mae) over all folds' test rows."""
-    out = None
-    for seed in seeds:
-        found = out_of_fold(frame, folds, make(seed), "model").agg(F.lit(seed).cast("long").alias("seed"), F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"), F.count(F.lit(1)).alias("n"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = out_of_folds(frame, folds, {str(seed): make(seed) for seed in seeds}, "obs_date")
+    return found.groupBy(F.col("rule").cast("long").alias("seed")).agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
 def ranges_apart(a: DataFrame, b: DataFrame, metric: str = "mae") -> bool:
@@ -265,21 +346,30 @@ def ranges_apart(a: DataFrame, b: DataFrame, metric: str = "mae") -> bool:
     return x[1] < y[0] or y[1] < x[0]
 
 
-def permutation_importance(model: Model, test: DataFrame, columns: list[str], key: list[str], repeats: int = 3, target: str = "target", bucket_rows: int = 20_000, seed: int = 42) -> DataFrame:
-    """(feature, mean, sd): by how much the error grows when a feature's values are shuffled among the rows.
+def permuted(rows: DataFrame, columns: list[str], key: list[str], repeats: int, seed: int = 42) -> DataFrame:
+    """``rows`` once for each repeat with _s_<column>: the columns of another row, by a permutation of all rows.
+
+    Two orders by hash are ranked, each in two phases over ranges, and joined on rank: whatever the number of rows, any row
+    may get any row's values, and each row's are given once.
+    """
+    copies = stored(rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_one", F.lit(1)), "permuted-rows")
+
+    def ranked(k: int) -> DataFrame:
+        hashed = copies.withColumn("_h", F.xxhash64(*key, "repeat", F.lit(seed + k)))
+        return running_before(hashed, ["repeat"], "_h", ["_one"], key).withColumnRenamed("_one_before", "_rank").drop("_h", "_one")
+
+    given = ranked(1).select("repeat", "_rank", *[F.col(c).alias(f"_s_{c}") for c in columns])
+    return ranked(0).join(given, ["repeat", "_rank"]).drop("_rank")
 
-    Values are shuffled within buckets of about ``bucket_rows`` rows, drawn anew for each repeat: the next row's value in an
-    order by hash, the last row taking the first's. All shuffled copies are scored in one pass.
+
+def permutation_importance(model: Model, test: DataFrame, columns: list[str], key: list[str], repeats: int = 5, target: str = "target", train: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """(feature, mean, sd): by how much the error grows when a feature's values are shuffled among all rows.
+
+    ``train`` has the training rows that the model's gaps were filled from. All shuffled copies are scored in one pass.
     """
-    buckets = max(1, test.count() // bucket_rows)
-    copies = test.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    copies = copies.withColumn("_b", F.pmod(F.xxhash64(*key, "repeat", F.lit(seed)), F.lit(buckets)))
-    order = Window.partitionBy("repeat", "_b").orderBy(F.xxhash64(*key, F.lit(seed + 1), "repeat"), *key)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shuffled = copies.withColumns({f"_s_{c}": F.when(F.lead(F.lit(1)).over(order).isNotNull(), F.lead(c).over(order)).otherwise(F.first(c).over(whole)) for c in columns})
-    which = shuffled.withColumn("feature", F.explode(F.array(F.lit(""), *map(F.lit, columns))))
+    which = permuted(test, columns, key, repeats, seed).withColumn("feature", F.explode(F.array(F.lit(""), *map(F.lit, columns))))
     which = which.withColumns({c: F.when(F.col("feature") == c, F.col(f"_s_{c}")).otherwise(F.col(c)) for c in columns})
-    scored = model.transform(matrix(which, columns))
+    scored = model.transform(matrix(which, columns, train=train))
     errors = scored.groupBy("feature", "repeat").agg(F.avg(F.abs(F.col("y_pred") - F.col(target))).alias("mae"))
     base = errors.where("feature = ''").select("repeat", F.col("mae").alias("base"))
     grown = errors.where("feature <> ''").join(F.broadcast(base), "repeat").withColumn("growth", F.col("mae") - F.col("base"))
@@ -295,6 +385,7 @@ def impurity_importance(model: Model, columns: list[str], spark) -> DataFrame:
 def chance_of(columns: list[str], name: str = "rf", seed: int = 42) -> FitPredict:
     """A balanced classifier of ``label``: the test rows with score; 0 for all where training has one class alone."""
 
+    @using(columns)
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         counts = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
         if not all(counts):
@@ -305,20 +396,23 @@ def chance_of(columns: list[str], name: str = "rf", seed: int = 42) -> FitPredic
     return run
 
 
-def normalised_two_stage(columns: list[str], multiplier: float, blend: bool = False, entity: str = "entity_id", name: str = "rf", seed: int = 42) -> FitPredict:
-    """Two-stage model of the target in units of each entity's training scale; scales have a floor at their 5th percentile
-    and the median for entities without one."""
+def on_scale(rows: DataFrame, scale: str, entity: str = "entity_id") -> DataFrame:
+    """``rows`` with _unit: the scale of a row, at least its 5th percentile over the rows, and its median where it is missing."""
+    bounds = quantiles(rows, [], scale, (0.05, 0.5)).select(F.col("q0").alias("_low"), F.col("q1").alias("_mid"))
+    met = rows.crossJoin(F.broadcast(bounds))  # one row
+    return met.withColumn("_unit", F.greatest(F.coalesce(F.greatest(F.col(scale), "_low"), "_mid"), F.lit(1e-9))).drop("_low", "_mid")
 
-    def run(train: DataFrame, test: DataFrame) -> DataFrame:
-        scale = train.groupBy(entity).agg(F.percentile(F.abs("target"), F.lit(0.5)).alias("_scale"))
-        bounds = quantiles(scale, [], "_scale", (0.05, 0.5)).select(F.col("q0").alias("_low"), F.col("q1").alias("_mid"))
 
+def normalised_two_stage(columns: list[str], multiplier: float, blend: bool = False, unit: str = "_unit", name: str = "rf", seed: int = 42) -> FitPredict:
+    """Two-stage model of the target in units of ``unit`` (see ``on_scale``): the rule |target| > multiplier * unit is then one
+    cut for all rows, the rule that ``multiplier`` was calibrated for."""
+
+    @using(columns)
+    def run(train: DataFrame, test: DataFrame) -> DataFrame:
         def scaled(rows: DataFrame) -> DataFrame:
-            met = rows.join(scale, entity, "left")
-            met = met.withColumn("_unit", F.greatest(F.coalesce(F.col("_scale"), bounds.select("_mid").scalar()), bounds.select("_low").scalar(), F.lit(1e-9)))
-            return met.withColumns({"_raw": F.col("target"), "target": F.col("target") / F.col("_unit")}).drop("_scale")
+            return rows.withColumns({"_raw": F.col("target"), "target": F.col("target") / F.col(unit)})
 
         out = two_stage(columns, F.abs("target") > multiplier, blend, name=name, seed=seed)(scaled(train), scaled(test))
-        return out.withColumns({"y_pred": F.col("y_pred") * F.col("_unit"), "target": F.col("_raw")})
+        return out.withColumns({"y_pred": F.col("y_pred") * F.col(unit), "target": F.col("_raw")})
 
     return run

@@ -22,15 +22,12 @@ def rows_and_folds(spark: SparkSession, sf_dir: str, keep: int = 4) -> tuple[Dat
     return rows, B.rolling_folds(rows, keep=keep)
 
 
-def _board(spark: SparkSession, sf_dir: str, rules: dict[str, M.FitPredict]) -> DataFrame:
-    """Boards of models with skill against each fold's best naive rule."""
+def _board(spark: SparkSession, sf_dir: str, rules: dict[str, M.FitPredict], scale: str | None = None) -> DataFrame:
+    """Boards of models with skill against each fold's best naive rule; ``scale`` gives rows the unit of a model that needs one."""
     rows, folds = rows_and_folds(spark, sf_dir)
+    rows = held(M.on_scale(history.target_scale(rows), scale)) if scale else rows
     naive = B.board(B.naive(B.assigned(rows, folds)))
-    out = None
-    for name, fit_predict in rules.items():
-        one = B.board(M.out_of_fold(rows, folds, fit_predict, name))
-        out = one if out is None else out.unionByName(one)
-    return B.with_skill(out, B.best(naive))
+    return B.with_skill(B.board(M.out_of_folds(rows, folds, rules)), B.best(naive))
 
 
 @query()
@@ -53,6 +50,7 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
             "hard_gate": M.two_stage(COLUMNS, extreme), "blend": M.two_stage(COLUMNS, extreme, blend=True), "labelled_bound": M.two_stage(COLUMNS, extreme, oracle=True),
             "scale_normalised": M.normalised_two_stage(COLUMNS, 2.0),
         },
+        "target_mad",
     )
 
 
@@ -70,23 +68,24 @@ def feature_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, folds = rows_and_folds(spark, sf_dir, 1)
-    split = B.assigned(rows, folds)
+    rows, folds = rows_and_folds(spark, sf_dir)
+    split = held(B.assigned(rows, folds[-1:]))
     train = split.where("part = 'train'")
-    model = M.regressor("rf").fit(M.matrix(train, COLUMNS))
-    return M.permutation_importance(model, split.where("part = 'test'"), COLUMNS, ["entity_id", "obs_date"])
+    model = M.regressor("rf").fit(M.matrix(train, COLUMNS, train=train))
+    return M.permutation_importance(model, split.where("part = 'test'"), COLUMNS, ["entity_id", "obs_date"], train=train)
 
 
 @query()
 def impurity_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, folds = rows_and_folds(spark, sf_dir, 1)
-    model = M.regressor("rf").fit(M.matrix(B.assigned(rows, folds).where("part = 'train'"), COLUMNS))
+    rows, folds = rows_and_folds(spark, sf_dir)
+    train = B.assigned(rows, folds[-1:]).where("part = 'train'")
+    model = M.regressor("rf").fit(M.matrix(train, COLUMNS, train=train))
     return M.impurity_importance(model, COLUMNS, spark)
 
 
 @query()
 def seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, folds = rows_and_folds(spark, sf_dir, 1)
+    rows, folds = rows_and_folds(spark, sf_dir)
     return M.seed_boards(rows, folds, lambda seed: M.single(COLUMNS, "rf", seed))
 
 
@@ -145,10 +144,10 @@ def group_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-entities-out error: each block of entities is scored by a model that never saw it."""
     rows, _ = rows_and_folds(spark, sf_dir, 1)
     blocks = B.group_folds(rows, BLOCKS).withColumnRenamed("fold", "block")
-    met = rows.join(blocks, "entity_id")
-    out = None
-    for k in range(1, BLOCKS + 1):
-        train, test = met.where(F.col("block") != k), met.where(F.col("block") == k)
-        one = M.single(COLUMNS)(train, test).withColumn("y_true", F.col("target")).agg(F.lit(k).cast("long").alias("block"), *B.metrics())
-        out = one if out is None else out.unionByName(one)
-    return out
+    met = held(rows.join(blocks, "entity_id"))
+    parts = [M.single(COLUMNS) for _ in range(BLOCKS)]
+    found = M.side_by_side(spark, [lambda k=k, p=p: p(met.where(F.col("block") != k), met.where(F.col("block") == k)) for k, p in enumerate(parts, 1)])
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out.withColumn("y_true", F.col("target")).groupBy("block").agg(*B.metrics())
