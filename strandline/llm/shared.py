@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandline.sources.sinks import delete_on_exit, scratch_dir
+from strandline.sources.sinks import stored
+
+__all__ = ["added_to", "local_roots", "lookup", "release_memory", "sized", "small_batches", "spans", "stored", "sums_before"]
 
 #: Documents a Python worker sees at once; bounds a worker's memory when texts are long.
 ROWS_PER_BATCH = 500
@@ -21,18 +22,6 @@ ROWS_PER_BATCH = 500
 HEAVY_SHARE = 1000
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
-
-    The table goes when the application ends.
-    """
-    spark = frame.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    delete_on_exit(spark, path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def added_to(schema: StructType) -> StructType:
     """A copy of a table's schema that fields may be added to."""
     return StructType(list(schema.fields))
