@@ -94,6 +94,12 @@ def station_days(facts: DataFrame, stations: DataFrame, key: str, most: int = 20
     return facts.join(F.broadcast(stations) if small else stations, key)
 
 
+def kept_on(facts: DataFrame, keys: DataFrame, key: str, most: int = 200_000) -> DataFrame:
+    """``facts`` whose key is in ``keys``, which may repeat it; no row is doubled and no column is added."""
+    wanted = keys.select(key)
+    return facts.join(F.broadcast(wanted) if wanted.limit(most + 1).count() <= most else wanted, key, "left_semi")
+
+
 def regional_days(facts: DataFrame, value: str, station: str, date: str) -> DataFrame:
     """Mean over stations of each day, rounded to two places, and how many stations it has."""
     return facts.groupBy(date).agg(F.round(F.avg(value), 2).alias("mean_value"), F.count_distinct(station).alias("n_stations"))

@@ -1,15 +1,19 @@
 """Per-entity history of a daily panel: lags, rolling and robust statistics, gates and quality flags.
 
 Every statistic is a window over one partitioning (entity, ordered by date), so a whole table is built with one shuffle and
-no join back. Statistics over an entity's whole record see its future; ``past_only`` gives the expanding forms.
+no join back. ``long_candidates`` and ``carried`` are the forms for entities that no task can hold. Statistics over an entity's whole record see its future; ``past_only`` gives the expanding forms.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strandline.functions import columns as C
 from strandline.sources.sinks import stored
@@ -17,19 +21,20 @@ from strandline.sources.sinks import stored
 
 @dataclass(frozen=True)
 class Panel:
-    """Names of a panel's key and level."""
+    """Names of a panel's key and level; windows stay within an entity, and within the columns of ``within`` if there are any."""
 
     entity: str = "entity_id"
     date: str = "obs_date"
     level: str = "level"
+    within: tuple[str, ...] = ()
 
     @property
     def window(self) -> WindowSpec:
-        return Window.partitionBy(self.entity).orderBy(self.date)
+        return self.whole.orderBy(self.date)
 
     @property
     def whole(self) -> WindowSpec:
-        return Window.partitionBy(self.entity)
+        return Window.partitionBy(*self.within, self.entity)
 
 
 DEFAULT = Panel()
@@ -77,9 +82,11 @@ def before_current(frame: DataFrame, p: Panel = DEFAULT) -> DataFrame:
 def robust_scales(frame: DataFrame, p: Panel = DEFAULT, past_only: bool = False) -> DataFrame:
     """Entity median of the level, its MAD, and the MAD of the change; ``frame`` has previous_level.
 
-    With ``past_only`` each row sees the rows up to its own.
+    With ``past_only`` each row sees the rows up to its own: deviations from the median that is known on its day.
     """
-    w = p.window.rowsBetween(Window.unboundedPreceding, 0) if past_only else p.whole
+    if past_only:
+        return past_scales(frame, p)
+    w = p.whole
     level, change = F.col(p.level), F.col(p.level) - F.col("previous_level")
     first = frame.withColumns({"entity_median": median(level).over(w), "_change_median": median(change).over(w)})
     return first.withColumns(
@@ -87,14 +94,142 @@ def robust_scales(frame: DataFrame, p: Panel = DEFAULT, past_only: bool = False)
     ).drop("_change_median")
 
 
+def past_scales(frame: DataFrame, p: Panel = DEFAULT) -> DataFrame:
+    """entity_median, entity_mad and change_mad of each row from the rows up to its own.
+
+    An entity's record lies in one task, as arrays; medians of all its prefixes are found together, level by level of a
+    wavelet matrix, in n log(n)^2 steps.
+    """
+    rows = frame.drop("entity_median", "entity_mad", "change_mad")
+
+    def scales(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table.column(p.date)))
+
+        def numbers(name: str) -> np.ndarray:
+            return table.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+        level = numbers(p.level)
+        middle, spread = prefix_mad(level)
+        _, change = prefix_mad(level - numbers("previous_level"))
+        for name, values in (("entity_median", middle), ("entity_mad", spread), ("change_mad", change)):
+            table = table.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
+        return table
+
+    schema = rows.select("*", *[F.lit(0.0).cast("double").alias(c) for c in ("entity_median", "entity_mad", "change_mad")]).schema
+    return rows.groupBy(*p.within, p.entity).applyInArrow(scales, StructType([StructField(f.name, f.dataType, True) for f in schema]))
+
+
+def prefix_mad(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The median of each prefix of ``values``, and the median distance of its values from that; missing values (NaN) don't
+    count, and a prefix of nothing else has NaN."""
+    present = ~np.isnan(values)
+    x, ends = values[present], np.cumsum(present)
+    if not len(x):
+        return np.full(len(values), np.nan), np.full(len(values), np.nan)
+    tree, t = Prefixes(x), np.arange(1, len(x) + 1)
+    low, high = (t - 1) // 2, t // 2
+    middle = (tree.kth(t, low) + tree.kth(t, high)) / 2
+    below = tree.count(t, middle)  # values up to the median
+
+    def distance(k: np.ndarray) -> np.ndarray:
+        """The k-th smallest distance: i values below and k - i above are nearer, for the i that a bisection finds."""
+        lo, hi = np.maximum(0, k - (t - below)), np.minimum(k, below)
+        while (lo < hi).any():
+            i = (lo + hi) // 2  # take more from below while the next one there is nearer than the last one taken above
+            left, right = middle - tree.kth(t, np.maximum(below - 1 - i, 0)), tree.kth(t, np.clip(below + k - i - 1, 0, t - 1)) - middle
+            more = (left < right) & (lo < hi)
+            lo, hi = np.where(more, i + 1, lo), np.where(more | (lo >= hi), hi, i)
+        left = np.where(below - 1 - lo >= 0, middle - tree.kth(t, np.maximum(below - 1 - lo, 0)), np.inf)
+        right = np.where(below + k - lo < t, tree.kth(t, np.clip(below + k - lo, 0, t - 1)) - middle, np.inf)
+        return np.minimum(left, right)
+
+    spread = (distance(low) + distance(high)) / 2
+    at = np.maximum(ends - 1, 0)
+    return np.where(ends > 0, middle[at], np.nan), np.where(ends > 0, spread[at], np.nan)
+
+
+class Prefixes:
+    """A wavelet matrix over the ranks of a sequence: order statistics of all its prefixes at once."""
+
+    def __init__(self, values: np.ndarray):
+        self.sorted = np.sort(values)
+        rank = np.empty(len(values), np.int64)
+        rank[np.argsort(values, kind="stable")] = np.arange(len(values))
+        self.levels = []
+        for bit in range(max(1, int(len(values) - 1).bit_length()) - 1, -1, -1):
+            one = (rank >> bit) & 1 == 1
+            zeros = np.concatenate([[0], np.cumsum(~one)])
+            self.levels.append((bit, zeros))
+            rank = np.concatenate([rank[~one], rank[one]])
+
+    def kth(self, t: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The k-th smallest (from 0) of the first t values."""
+        start, end, k, found = np.zeros_like(t), t.copy(), k.copy(), np.zeros_like(t)
+        for bit, zeros in self.levels:
+            a, b = zeros[start], zeros[end]
+            up = k >= b - a
+            k = np.where(up, k - (b - a), k)
+            start, end = np.where(up, zeros[-1] + start - a, a), np.where(up, zeros[-1] + end - b, b)
+            found |= up.astype(np.int64) << bit
+        return self.sorted[found]
+
+    def count(self, t: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many of the first t values are at most ``most``."""
+        limit = np.searchsorted(self.sorted, most, "right")  # ranks under this
+        start, end, n = np.zeros_like(t), t.copy(), np.zeros_like(t)
+        for bit, zeros in self.levels:
+            a, b = zeros[start], zeros[end]
+            up = (limit >> bit) & 1 == 1
+            n += np.where(up, b - a, 0)
+            start, end = np.where(up, zeros[-1] + start - a, a), np.where(up, zeros[-1] + end - b, b)
+        return np.where(limit >= 1 << len(self.levels), t, n)
+
+
 def joined_scales(frame: DataFrame, p: Panel = DEFAULT) -> DataFrame:
-    """``robust_scales`` by two aggregations and joins, for entities whose record is too long to hold in a window."""
-    level, change = F.col(p.level), F.col(p.level) - F.col("previous_level")
-    middle = frame.groupBy(p.entity).agg(median(level).alias("entity_median"), median(change).alias("_change_median"))
-    spread = frame.join(middle, p.entity).groupBy(p.entity).agg(
-        median(F.abs(level - F.col("entity_median"))).alias("entity_mad"), median(F.abs(change - F.col("_change_median"))).alias("change_mad")
-    )
-    return frame.join(middle.drop("_change_median").join(spread, p.entity), p.entity)
+    """``robust_scales`` by counts in ranges of the value and joins, for entities whose record no task can hold."""
+    rows = stored(frame.withColumn("_change", F.col(p.level) - F.col("previous_level")), "scaled-rows")
+    keys = rows.select(p.entity, p.level, "_change")
+    middle = small(stored(_middles(keys, {p.level: "entity_median", "_change": "_change_median"}, p), "middles"))
+    apart = keys.join(middle, p.entity).select(p.entity, F.abs(F.col(p.level) - F.col("entity_median")).alias("_l"), F.abs(F.col("_change") - F.col("_change_median")).alias("_c"))
+    spread = _middles(apart, {"_l": "entity_mad", "_c": "change_mad"}, p)
+    return rows.join(small(middle.drop("_change_median").join(spread, p.entity)), p.entity).drop("_change")
+
+
+def _middles(rows: DataFrame, names: dict[str, str], p: Panel) -> DataFrame:
+    """(entity, medians) of the columns, under new names."""
+    out = None
+    for column, name in names.items():
+        one = quantiles(rows, [p.entity], column, (0.5,)).select(p.entity, F.col("q0").alias(name))
+        out = one if out is None else out.join(one, p.entity)
+    return out
+
+
+def with_halo(frame: DataFrame, rows: int = 7, p: Panel = DEFAULT) -> DataFrame:
+    """``frame`` in ranges of (entity, date), each with copies of its entities' last and next ``rows`` rows across its borders:
+    _part numbers the ranges, and _core marks the rows that are no copies.
+
+    Windows of up to ``rows`` rows to either side then need no more than a range: an entity that no task can hold lies in many.
+    """
+    placed = in_ranges(frame, [p.entity], [p.date])
+    own = Window.partitionBy("_part", p.entity)
+    ends = placed.withColumns({"_up": F.row_number().over(own.orderBy(p.date)), "_down": F.row_number().over(own.orderBy(F.desc(p.date)))})
+    ends = ends.where((F.col("_up") <= rows) | (F.col("_down") <= rows))
+    parts = placed.select(p.entity, "_part").distinct()
+    every = Window.partitionBy(p.entity)  # a row for each range of the entity
+    parts = stored(parts.withColumns({"_k": F.row_number().over(every.orderBy("_part")), "_all": F.collect_list("_part").over(every.orderBy("_part").rowsBetween(-rows, rows))}).where(F.size("_all") > 1), "halo-parts")
+    met = ends.join(small(parts.withColumnsRenamed({p.entity: "_e", "_part": "_p"})), (F.col(p.entity) == F.col("_e")) & (F.col("_part") == F.col("_p")))
+    # the last rows go to the ranges after, the first to those before; a range with fewer rows than the halo is passed over
+    to = met.withColumn("_to", F.explode("_all")).where(((F.col("_to") > F.col("_part")) & (F.col("_down") <= rows)) | ((F.col("_to") < F.col("_part")) & (F.col("_up") <= rows)))
+    copies = to.withColumn("_part", F.col("_to")).select(*placed.columns).withColumn("_core", F.lit(False))
+    return placed.withColumn("_core", F.lit(True)).unionByName(copies)
+
+
+def long_candidates(frame: DataFrame, p: Panel = DEFAULT) -> DataFrame:
+    """``candidates`` for entities that no task can hold: windows in ranges of dates with a halo, scales by counts in ranges of
+    the value."""
+    ranged = replace(p, within=(*p.within, "_part"))
+    near = rolling(neighbours(with_halo(frame, 7, p), ranged), ranged).where("_core").drop("_part", "_core")
+    return changes(joined_scales(near, p), p).withColumns(C.calendar(F.col(p.date)))
 
 
 def changes(frame: DataFrame, p: Panel = DEFAULT) -> DataFrame:
@@ -184,6 +319,19 @@ def forward_filled(frame: DataFrame, columns: list[str], p: Panel = DEFAULT) ->
     return frame.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns} | {f"{c}_was_missing": F.col(c).isNull() for c in columns})
 
 
+def carried(frame: DataFrame, columns: list[str], p: Panel = DEFAULT) -> DataFrame:
+    """``forward_filled`` for entities that no task can hold: each range of dates is filled on its own, and begins with what the
+    last range with a value of the entity carries into it."""
+    placed = in_ranges(frame, [p.entity], [p.date])
+    last = placed.groupBy(p.entity, "_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(p.date))).alias(f"_last_{c}") for c in columns])
+    earlier = Window.partitionBy(p.entity).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    into = last.select(F.col(p.entity).alias("_e"), F.col("_part").alias("_p"), *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_into_{c}") for c in columns])
+    met = placed.join(small(into), F.col(p.entity).eqNullSafe(F.col("_e")) & (F.col("_part") == F.col("_p")))
+    w = Window.partitionBy("_part", p.entity).orderBy(p.date).rowsBetween(Window.unboundedPreceding, 0)
+    filled = met.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_into_{c}")) for c in columns} | {f"{c}_was_missing": F.col(c).isNull() for c in columns})
+    return filled.select(*frame.columns, *[f"{c}_was_missing" for c in columns])
+
+
 def imputed(frame: DataFrame, columns: list[str], p: Panel = DEFAULT) -> DataFrame:
     """Forward fill within the entity, then the entity's median, then the median of all rows (a scalar subquery)."""
     overall = frame.agg(*[F.percentile_approx(c, 0.5, 100_000).alias(f"_{c}") for c in columns])

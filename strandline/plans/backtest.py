@@ -348,7 +348,7 @@ def resampled_skill(
     if model:
         met = inside.join(rows, entity).withColumn("part", F.when(trains, "train").when(tests, "test")).where("part is not null").drop(*span)
         met = met.withColumn("_draw", F.struct(*fold)).withColumn("fold", F.concat_ws("|", *fold))
-        scored = model(met).groupBy("_draw.*").agg(F.avg(F.abs(F.col("y_pred") - F.col("target"))).alias("mae"))
+        scored = model(met).groupBy(*[F.col(f"_draw.{c}").alias(c) for c in fold]).agg(F.avg(F.abs(F.col("y_pred") - F.col("target"))).alias("mae"))
         errors = errors.drop("mae").join(scored, fold)
     skills = errors.where((F.col("_train") >= least_train) & (F.col("_test") >= least_test)).withColumn("skill", C.skill(F.col("mae"), F.col("bar")))
     return sizes.join(skills.groupBy(*draw).agg(F.count("skill").alias("folds"), F.avg("skill").alias("skill")), draw)

@@ -400,7 +400,7 @@ def on_scale(rows: DataFrame, scale: str, entity: str = "entity_id") -> DataFram
     """``rows`` with _unit: the scale of a row, at least its 5th percentile over the rows, and its median where it is missing."""
     bounds = quantiles(rows, [], scale, (0.05, 0.5)).select(F.col("q0").alias("_low"), F.col("q1").alias("_mid"))
     met = rows.crossJoin(F.broadcast(bounds))  # one row
-    return met.withColumn("_unit", F.greatest(F.coalesce(F.greatest(F.col(scale), "_low"), "_mid"), F.lit(1e-9))).drop("_low", "_mid")
+    return met.withColumn("_unit", F.greatest(F.when(F.col(scale).isNull(), F.col("_mid")).otherwise(F.greatest(F.col(scale), "_low")), F.lit(1e-9))).drop("_low", "_mid")
 
 
 def normalised_two_stage(columns: list[str], multiplier: float, blend: bool = False, unit: str = "_unit", name: str = "rf", seed: int = 42) -> FitPredict:

@@ -333,14 +333,33 @@ def row_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DAILY}, w AS (SELECT entity_id, obs_date, level, lag(obs_date, 1) OVER p AS previous_date, median(level) OVER (p ROWS UNBOUNDED PRECEDING) AS entity_median FROM daily WINDOW p AS (PARTITION BY entity_id ORDER BY obs_date))
-        SELECT entity_id, obs_date, level, round(entity_median, 6) AS past_median FROM w"""
+    f"""WITH {DAILY}, l AS (SELECT entity_id, obs_date, level, level - lag(level) OVER w AS change, median(level) OVER p AS m FROM daily WINDOW w AS (PARTITION BY entity_id ORDER BY obs_date), p AS (PARTITION BY entity_id ORDER BY obs_date ROWS UNBOUNDED PRECEDING)),
+        c AS (SELECT *, median(change) OVER (PARTITION BY entity_id ORDER BY obs_date ROWS UNBOUNDED PRECEDING) AS mc FROM l)
+        SELECT t.entity_id, t.obs_date, t.level, round(any_value(t.m), 6) AS entity_median, round(median(abs(s.level - t.m)), 6) AS entity_mad, round(median(abs(s.change - t.mc)), 6) AS change_mad
+        FROM c t JOIN c s ON s.entity_id = t.entity_id AND s.obs_date <= t.obs_date GROUP BY 1, 2, 3"""
 )
 def past_only_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entity median that sees no later row."""
-    rows = daily(spark, sf_dir).select("entity_id", "obs_date", "level")
-    w = Window.partitionBy("entity_id").orderBy("obs_date").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("past_median", history.median(F.col("level")).over(w))
+    """The entity's median and the median deviations from it and of the change, as they are known on each day."""
+    rows = history.neighbours(daily(spark, sf_dir).select("entity_id", "obs_date", "level"))
+    return history.robust_scales(rows, past_only=True).select("entity_id", "obs_date", "level", "entity_median", "entity_mad", "change_mad")
+
+
+RANGED = ("previous_level", "next_level", "lag_2", "lag_7", "gap_before", "gap_after", "mean_3", "mean_7", "sd_7", "local_median", "entity_median", "entity_mad", "change_mad", "target", "slope_7")
+
+
+@query(f"WITH {HISTORY} SELECT entity_id, obs_date, level, {', '.join(f'round({c}, 6) AS {c}' if not c.startswith('gap') else c for c in RANGED)} FROM candidates")
+def ranged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History columns by ranges of dates with a halo, as for entities that no task can hold."""
+    return history.long_candidates(daily(spark, sf_dir)).select("entity_id", "obs_date", "level", *RANGED)
+
+
+@query(
+    f"""WITH {DAILY} SELECT entity_id, obs_date, outside_temp IS NULL AS outside_temp_was_missing, humidity IS NULL AS humidity_was_missing,
+        last_value(outside_temp IGNORE NULLS) OVER w AS outside_temp, last_value(humidity IGNORE NULLS) OVER w AS humidity FROM daily WINDOW w AS (PARTITION BY entity_id ORDER BY obs_date ROWS UNBOUNDED PRECEDING)"""
+)
+def ranged_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward fill carried over ranges of dates."""
+    return history.carried(daily(spark, sf_dir).select("entity_id", "obs_date", "outside_temp", "humidity"), ["outside_temp", "humidity"])
 
 
 @query(
