@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.queries import backtests, boards, files, grains, modelled, panels, reports  # noqa: F401
+from strandline.queries import backtests, boards, details, files, grains, modelled, panels, reports  # noqa: F401
 from strandline.queries.base import QUERIES, SQL, Query
 
 

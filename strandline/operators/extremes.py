@@ -28,11 +28,15 @@ def date_clusters(frame: DataFrame, extreme: Column, p: Panel = DEFAULT) -> Data
     return out.where("n_extreme > 0").withColumn("share", F.col("affected") / F.col("reporting"))
 
 
-def monthly_rate(frame: DataFrame, extreme: Column, p: Panel = DEFAULT) -> DataFrame:
-    """Per month: rows, extremes, losses and gains among them, and the rate in percent."""
+def monthly_rate(frame: DataFrame, extreme: Column, p: Panel = DEFAULT, every: bool = False) -> DataFrame:
+    """Per month: rows, extremes, losses and gains among them, and the rate in percent. With ``every`` all twelve months have a
+    row; one without rows counts 0 and has no rate."""
     loss = C.direction(F.col("target")) == "loss"
     out = frame.groupBy(F.month(p.date).cast("long").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.count_if(extreme).alias("n_extreme"), F.count_if(extreme & loss).alias("n_loss"), F.count_if(extreme & ~loss).alias("n_gain"))
-    return out.withColumn("pct_extreme", 100.0 * F.col("n_extreme") / F.col("n"))
+    if every:
+        months = frame.sparkSession.range(1, 13).select(F.col("id").alias("month"))
+        out = months.join(F.broadcast(out), "month", "left").na.fill(0, ["n", "n_extreme", "n_loss", "n_gain"])  # twelve rows
+    return out.withColumn("pct_extreme", F.try_divide(100.0 * F.col("n_extreme"), F.col("n")))
 
 
 def attribution(frame: DataFrame, extreme: Column, flags: list[str]) -> DataFrame:

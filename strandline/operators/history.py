@@ -269,12 +269,17 @@ def beyond(value: Column, scale: Column, k: float) -> Column:
     return F.when(scale.isNull() | (scale == 0), F.lit(False)).otherwise(F.abs(value) > k * C.MAD_SCALE * scale)
 
 
+def extreme(value: Column, cut: float, inclusive: bool = False) -> Column:
+    """|value| beyond the cut, or from it on."""
+    return F.abs(value) >= cut if inclusive else F.abs(value) > cut
+
+
 def flags(frame: DataFrame, floor: float = 5.0, k: float = 6.0, k_relative: float = 5.0, cuts: tuple[float, ...] = (3, 5, 7, 10), p: Panel = DEFAULT) -> DataFrame:
     """Extreme, implausible, robust-outlier and dropout flags. They never drop a row."""
     target, change, level = F.col("target"), F.col("change"), F.col(p.level)
     return frame.withColumns(
         {
-            **{f"extreme_{cut:g}": F.abs(target) > cut for cut in cuts},
+            **{f"extreme_{cut:g}": extreme(target, cut) for cut in cuts},
             "extreme_relative": beyond(target, F.col("target_mad"), k_relative),
             "implausible": (level < floor) | (F.col("previous_level") < floor) | (F.col("next_level") < floor),
             "robust_outlier": beyond(level - F.col("local_median"), F.col("change_mad"), k),
@@ -339,6 +344,16 @@ def imputed(frame: DataFrame, columns: list[str], p: Panel = DEFAULT) -> DataFra
     return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}_m"), overall.select(f"_{c}").scalar()) for c in columns}).drop(*[f"_{c}_m" for c in columns])
 
 
+def filled_by(frame: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
+    """Gaps filled by one number for each column: the mean of all rows, or their exact median."""
+    if how == "mean":
+        one = frame.agg(*[F.avg(c).alias(f"_{c}") for c in columns])
+        return frame.withColumns({c: F.coalesce(F.col(c), one.select(f"_{c}").scalar()) for c in columns})
+    if how != "median":
+        raise ValueError(f"no fill is called {how}")
+    return frame.withColumns({c: F.coalesce(F.col(c), quantiles(frame, [], c, (0.5,)).select("q0").scalar()) for c in columns})
+
+
 def equal_bins(frame: DataFrame, value: str, order: list[str], bins: int = 10, name: str = "bin", within: tuple[str, ...] = ()) -> DataFrame:
     """Equal-frequency bins 1..bins by first rank (ties by ``order``), within groups if given.
 

@@ -325,11 +325,12 @@ def label_board(
     return sizes.join(told, ["rule", "fold"]).withColumns({c: F.when(enough, F.col(c)) for c in ("average_precision", "roc_auc", "lift")})
 
 
-def rung_board(frame: DataFrame, rungs: dict[str, list[str]], allow: Iterable[str] = (), name: str = "rf") -> DataFrame:
-    """``protocol`` for each rung, with its number of features and whether it is deployable or, as it uses a column that
-    ``allow`` takes from the future, an upper bound."""
+def rung_board(frame: DataFrame, rungs: dict[str, list[str]], allow: Iterable[str] = (), names: tuple[str, ...] = ("rf",)) -> DataFrame:
+    """``protocol`` for each rung and model, with the rung's number of features and whether it is deployable or, as it uses a
+    column that ``allow`` takes from the future, an upper bound."""
     allow = set(allow)
-    boards = protocol(frame, {rung: single(columns, name, allow=allow & set(columns)) for rung, columns in rungs.items()})
+    boards = protocol(frame, {f"{rung}|{name}": single(columns, name, allow=allow & set(columns)) for rung, columns in rungs.items() for name in names})
+    boards = boards.withColumns({"model": F.split_part("rule", F.lit("|"), F.lit(2)), "rule": F.split_part("rule", F.lit("|"), F.lit(1))})
     about = F.create_map(*[x for r, c in rungs.items() for x in (F.lit(r), F.struct(F.lit(len(c)).cast("long").alias("n_features"), F.lit("upper_bound" if allow & set(c) else "deployable").alias("use")))])
     return boards.withColumn("_about", about[F.col("rule")]).select("*", "_about.*").drop("_about").withColumnRenamed("rule", "rung")
 
@@ -340,6 +341,14 @@ def seed_boards(frame: DataFrame, folds: list[Fold], make: Callable[[int], FitPr
     return found.groupBy(F.col("rule").cast("long").alias("seed")).agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
+def ranges(boards: DataFrame, by: str, metric: str = "mae") -> DataFrame:
+    """(by, other, low, high, other_low, other_high, apart): whether the ranges of a metric don't overlap, for every pair."""
+    one = boards.groupBy(by).agg(F.min(metric).alias("low"), F.max(metric).alias("high"))
+    other = one.select(F.col(by).alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    met = one.join(F.broadcast(other), F.col(by) < F.col("other"))  # a row for each rule
+    return met.withColumn("apart", (F.col("high") < F.col("other_low")) | (F.col("other_high") < F.col("low")))
+
+
 def ranges_apart(a: DataFrame, b: DataFrame, metric: str = "mae") -> bool:
     """Whether the ranges of two seed tables don't overlap."""
     x, y = (f.agg(F.min(metric), F.max(metric)).first() for f in (a, b))

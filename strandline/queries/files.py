@@ -66,7 +66,8 @@ def stored_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'cents' AS name, 'bigint' AS kind, 2 AS place UNION ALL SELECT 'entity_id', 'bigint', 0 UNION ALL SELECT 'obs_date', 'date', 1 UNION ALL SELECT 'year', 'int', 3")
 def stored_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of a table as its DDL names them."""
-    text = sinks.schema_text(_orders(spark, sf_dir))
-    lines = _orders(spark, sf_dir).agg(F.count(F.lit(1))).select(F.posexplode(F.split(F.lit(text), ",\n")).alias("place", "line"))
+    """The columns of a stored table, read back from its files, as its DDL names them."""
+    path = sinks.delete_on_exit(spark, f"{sinks.scratch_dir(spark)}/schema-{uuid.uuid4().hex}")
+    sinks.parquet(_orders(spark, sf_dir), path, ["entity_id"])
+    lines = spark.createDataFrame([*enumerate(sinks.schema_text(spark.read.parquet(path)).split(",\n"))], "place int, line string")  # a row for each column
     return lines.select(F.split_part("line", F.lit(" "), F.lit(1)).alias("name"), F.split_part("line", F.lit(" "), F.lit(2)).alias("kind"), "place")

@@ -42,6 +42,19 @@ def site_days(spark: SparkSession, path: str, variables: list[str]) -> DataFrame
     return audit.assert_columns(spark.read.parquet(path), ["latitude", "longitude", "obs_date", *variables])
 
 
+def first_file(frame: DataFrame) -> DataFrame:
+    """The rows of the first of the files that ``filename`` names: a sample of one file, chosen by a scalar subquery."""
+    return frame.where(F.col("filename") == frame.agg(F.min("filename")).scalar())
+
+
+def snapshots(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Snapshots of one table under each other, by name; a column that one lacks is NULL there."""
+    out = spark.read.parquet(paths[0])
+    for path in paths[1:]:
+        out = out.unionByName(spark.read.parquet(path), allowMissingColumns=True)
+    return out
+
+
 def csv_text(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
     """CSV files as text columns joined by name, with ``filename``. Files may differ in their columns.
 
