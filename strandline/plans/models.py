@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.history import quantiles, running_before
+from strandline.operators.history import DEFAULT, Panel, forward_filled, quantiles, running_before, small
 from strandline.plans import backtest as B
 from strandline.plans.backtest import Fold
 from strandline.sources.sinks import stored
@@ -98,6 +98,28 @@ def _filled(frame: DataFrame, rows: DataFrame, fold: str, columns: list[str], en
     return _assembled(met, columns).drop(*[f"_{k}_{c}" for c in columns for k in "ma"])
 
 
+def feature_table(frame: DataFrame, columns: list[str], fill: str = "forward", target: str = "target", p: Panel = DEFAULT) -> DataFrame:
+    """Entity, date, target and ``columns``, with year, month, season and the table's extreme_* and *_flag columns for segments.
+
+    ``fill`` is "forward" (the entity's last present value, with <column>_was_missing; what precedes the first one gets the
+    median of the entity's filled values, else that of all) or "none" (gaps stay). These medians see all rows: for a back-test
+    use ``matrix``, which learns them from training rows. ValueError for a column from the future or another fill.
+    """
+    assert_no_leakage(columns)
+    if fill not in ("forward", "none"):
+        raise ValueError(f"no fill is called {fill}")
+    marks = [c for c in frame.columns if (c.startswith("extreme_") or c.endswith("_flag")) and c not in columns]
+    date = F.col(p.date)
+    rows = frame.select(p.entity, p.date, F.col(target).alias("target"), *columns, *marks).withColumns({"year": F.year(date), "month": F.month(date), "season": C.season(date)})
+    if fill == "none":
+        return rows
+    filled = stored(forward_filled(rows, columns, p), "filled")
+    own = filled.groupBy(F.col(p.entity).alias("_e")).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_m_{c}") for c in columns])
+    met = filled.join(small(own), F.col(p.entity).eqNullSafe(F.col("_e")), "left")
+    overall = {c: quantiles(filled, [], c, (0.5,)).select("q0").scalar() for c in columns}
+    return met.withColumns({c: F.coalesce(F.col(c).cast("double"), f"_m_{c}", overall[c]) for c in columns}).drop("_e", *[f"_m_{c}" for c in columns])
+
+
 def fold_matrix(rows: DataFrame, columns: list[str], allow: Iterable[str] = (), entity: str = "entity_id") -> DataFrame:
     """The rows of all folds (fold, part) with ``features``, stored once: each fold's gaps are filled from its own training rows,
     by one aggregation for all folds."""

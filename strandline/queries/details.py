@@ -131,6 +131,24 @@ def ranges_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ranges(B.board(naive_predictions(spark, sf_dir)), "rule")
 
 
+def _feature_sql(c: str) -> str:
+    return f"round(coalesce(f.{c}, e.{c}, o.{c}), 6) AS {c}, f.{c}_was_missing"
+
+
+@query(
+    f"""WITH {DAILY}, t AS (SELECT *, lead(level) OVER w - level AS target, abs(level) > 60 AS extreme_60 FROM daily WINDOW w AS (PARTITION BY entity_id ORDER BY obs_date)),
+        f AS (SELECT entity_id, obs_date, target, extreme_60, outside_temp IS NULL AS outside_temp_was_missing, humidity IS NULL AS humidity_was_missing, last_value(outside_temp IGNORE NULLS) OVER w AS outside_temp, last_value(humidity IGNORE NULLS) OVER w AS humidity
+              FROM t WINDOW w AS (PARTITION BY entity_id ORDER BY obs_date ROWS UNBOUNDED PRECEDING)),
+        e AS (SELECT entity_id, median(outside_temp) AS outside_temp, median(humidity) AS humidity FROM f GROUP BY 1), o AS (SELECT median(outside_temp) AS outside_temp, median(humidity) AS humidity FROM f)
+        SELECT f.entity_id, f.obs_date, round(f.target, 6) AS target, f.extreme_60, year(f.obs_date) AS year, month(f.obs_date) AS month, {SEASONS.replace("obs_date", "f.obs_date")} AS season, {_feature_sql("outside_temp")}, {_feature_sql("humidity")}
+        FROM f JOIN e ON f.entity_id = e.entity_id, o"""
+)
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sensors as features, filled forward, with the columns that segments need."""
+    rows = history.neighbours(daily(spark, sf_dir)).withColumns({"target": F.col("next_level") - F.col("level"), "extreme_60": F.abs("level") > 60})
+    return M.feature_table(rows, ["outside_temp", "humidity"])
+
+
 HISTORY_RUNG = ("period_change", "previous_period_change", "rolling_change", "minus_rolling")
 
 #: One feature for each mechanism, in place of all sixteen.
