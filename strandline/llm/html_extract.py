@@ -301,7 +301,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """All columns of ``pages`` (url, html, ...) with text, the page's main text (empty if there is none).
 
     A null or empty page gives an empty text. A null url, or one without a host, takes no part in a vote; the page is read
-    by its own best container. A column named text is replaced. Repeated rows give repeated rows; an empty table none.
+    by its own best container. A column named text is replaced. Repeated rows give repeated rows; an empty table none. A very long page is parsed whole, by one task.
     """
     small_batches(pages.sparkSession)
     pages = pages.drop("text", "_host", "_path")

@@ -113,7 +113,8 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learnt. Ties go to the
-    language first in order. Columns of those names are replaced; only the text decides. An empty table gives no rows.
+    language first in order. Columns of those names are replaced; only the text decides. A very long text is scored whole, by
+    one task. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -262,7 +262,8 @@ def codec(path: str, verify: bool = False) -> SentenceCodec:
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """All columns of ``docs`` with ids (little-endian 32-bit numbers as bytes) and n_tokens.
 
-    A null or empty text has no ids. Columns of those names are replaced. An empty table gives no rows.
+    A null or empty text has no ids. Columns of those names are replaced. A very long text is encoded whole, by one task. An
+    empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens").withColumn("text", F.col("text").cast("string"))

@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, heavy: int = HEAVY) -> Data
 
     Rows are linked when their fingerprints differ in at most three bits; texts without words (null and empty ones too)
     have fingerprint zero and are linked like any other. Rows with a null doc_id take part and never name a component
-    unless all its ids are null. Repeated rows give repeated rows. An empty table gives no rows.
+    unless all its ids are null. Repeated rows give repeated rows. A very long text is read whole, by one task. An empty table
+    gives no rows.
     """
     rows = stored(fingerprints(docs, words), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
@@ -315,7 +316,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     first the groups of FIRST samples, large ones in chunks that each hold the group's leaders, which joins near copies at a
     cost in proportion to their number; then every group that still holds different components, in pairs of chunks. Texts
     with the same set of shingles (all without words among them) are one from the start. Rows that share a doc_id are one
-    document with the first of their sets in order. An empty table gives no rows.
+    document with the first of their sets in order. A very long text is read whole, by one task. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 

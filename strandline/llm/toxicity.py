@@ -180,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int =
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with score (0 to 1) and predicted (1 from 0.5 on).
 
-    A null or empty text gets the score of the bias alone. Columns of those names are replaced; only the text decides. An
-    empty table gives no rows.
+    A null or empty text gets the score of the bias alone. Columns of those names are replaced; only the text decides. A very
+    long text is scored whole, by one task. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
