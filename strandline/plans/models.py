@@ -427,23 +427,31 @@ def chance_of(columns: list[str], name: str = "rf", seed: int = 42) -> FitPredic
     return run
 
 
-def on_scale(rows: DataFrame, scale: str, entity: str = "entity_id") -> DataFrame:
-    """``rows`` with _unit: the scale of a row, at least its 5th percentile over the rows, and its median where it is missing."""
-    bounds = quantiles(rows, [], scale, (0.05, 0.5)).select(F.col("q0").alias("_low"), F.col("q1").alias("_mid"))
+def on_scale(rows: DataFrame, scale: str, learnt: DataFrame | None = None) -> DataFrame:
+    """``rows`` with _unit: the scale of a row, at least its 5th percentile over the rows of ``learnt`` (else these), and its median
+    where it is missing."""
+    bounds = quantiles(rows if learnt is None else learnt, [], scale, (0.05, 0.5)).select(F.col("q0").alias("_low"), F.col("q1").alias("_mid"))
     met = rows.crossJoin(F.broadcast(bounds))  # one row
     return met.withColumn("_unit", F.greatest(F.when(F.col(scale).isNull(), F.col("_mid")).otherwise(F.greatest(F.col(scale), "_low")), F.lit(1e-9))).drop("_low", "_mid")
 
 
-def normalised_two_stage(columns: list[str], multiplier: float, blend: bool = False, unit: str = "_unit", name: str = "rf", seed: int = 42) -> FitPredict:
+def normalised_two_stage(columns: list[str], multiplier: float, blend: bool = False, unit: str | None = None, entity: str = "entity_id", name: str = "rf", seed: int = 42) -> FitPredict:
     """Two-stage model of the target in units of ``unit`` (see ``on_scale``): the rule |target| > multiplier * unit is then one
-    cut for all rows, the rule that ``multiplier`` was calibrated for."""
+    cut for all rows, the rule that ``multiplier`` was calibrated for. Without ``unit`` the scale is the median size of the
+    target over the entity's training rows.
+    """
 
     @using(columns)
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
+        if unit is None:
+            scale = train.groupBy(entity).agg(F.percentile(F.abs("target"), F.lit(0.5)).alias("_scale"))
+            learnt = train.join(scale, entity)
+            train, test = on_scale(learnt, "_scale"), on_scale(test.join(scale, entity, "left"), "_scale", learnt)
+
         def scaled(rows: DataFrame) -> DataFrame:
-            return rows.withColumns({"_raw": F.col("target"), "target": F.col("target") / F.col(unit)})
+            return rows.withColumns({"_raw": F.col("target"), "target": F.col("target") / F.col(unit or "_unit")})
 
         out = two_stage(columns, F.abs("target") > multiplier, blend, name=name, seed=seed)(scaled(train), scaled(test))
-        return out.withColumns({"y_pred": F.col("y_pred") * F.col(unit), "target": F.col("_raw")})
+        return out.withColumns({"y_pred": F.col("y_pred") * F.col(unit or "_unit"), "target": F.col("_raw")})
 
     return run

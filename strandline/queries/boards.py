@@ -134,7 +134,7 @@ def label_rule_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-stage models end to end under both labelling rules."""
     rows, cut, multiplier = _labels(spark, sf_dir)
     rows = held(M.on_scale(rows, "entity_change_mad"))
-    return M.protocol(rows, {"absolute": M.two_stage(COLUMNS, F.abs("target") > cut, blend=True), "relative": M.normalised_two_stage(COLUMNS, multiplier, blend=True)})
+    return M.protocol(rows, {"absolute": M.two_stage(COLUMNS, F.abs("target") > cut, blend=True), "relative": M.normalised_two_stage(COLUMNS, multiplier, blend=True, unit="_unit")})
 
 
 @query()

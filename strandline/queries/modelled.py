@@ -48,7 +48,7 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir,
         {
             "hard_gate": M.two_stage(COLUMNS, extreme), "blend": M.two_stage(COLUMNS, extreme, blend=True), "labelled_bound": M.two_stage(COLUMNS, extreme, oracle=True),
-            "scale_normalised": M.normalised_two_stage(COLUMNS, 2.0),
+            "scale_normalised": M.normalised_two_stage(COLUMNS, 2.0, unit="_unit"),
         },
         "target_mad",
     )
