@@ -77,7 +77,8 @@ def test_stages_with_nulls_repeats_and_clashing_columns(spark):
 def test_sql(spark, name):
     import duckdb
 
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for view in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM '{SF}/{view}.parquet'")
     ours, theirs = queries()[name](spark, SF).toPandas(), duckdb.sql(oracle_sql()[name]).df()
     key = sorted(ours.columns)
     assert sorted(map(tuple, ours[key].to_numpy().tolist()), key=str) == sorted(map(tuple, theirs[key].to_numpy().tolist()), key=str)
