@@ -207,8 +207,8 @@ def test_folders_pruned_by_a_dimension(spark):
     path = f"{sinks.scratch_dir(spark)}/folders-{os.getpid()}"
     spark.range(4000).select("id", (F.col("id") % 40).alias("station")).write.mode("overwrite").partitionBy("station").parquet(path)
     dimension = f"{path}-stations"
-    spark.range(40).select(F.col("id").alias("station"), (F.col("id") < 3).alias("near")).write.mode("overwrite").parquet(dimension)
-    met = enrich.station_days(readers.partitioned(spark, path), spark.read.parquet(dimension).where("near"), "station")
+    spark.range(40).select(F.col("id").cast("int").alias("station"), F.col("id").alias("distance")).write.mode("overwrite").parquet(dimension)
+    met = enrich.station_days(readers.partitioned(spark, path), spark.read.parquet(dimension).where("distance < 3"), "station")
     assert met.count() == 300
     plan = met._jdf.queryExecution().executedPlan()
     assert "dynamicpruning" in plan.toString()
