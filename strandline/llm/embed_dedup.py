@@ -6,8 +6,8 @@ fits a leaf is one); leaves that grow too large are split by hyperplanes through
 compared in pairs of chunks. The graph is refined by joins of neighbours with
 neighbours' neighbours until the lists settle: around every vector its neighbours, in both directions, are compared with one
 another. Lists keep the LIST nearest of those at least EXPLORE alike; no link is lost to that limit, because a list full of
-links is enlarged to its whole component: members of a component are compared with one another in blocks, in double
-precision, and only counts leave the blocks. An audit compares a share of the vectors of each group that isn't one leaf with
+links is enlarged to its whole component (and so need not settle): members of a component are compared with one another in
+blocks, in double precision, and only counts leave the blocks. An audit compares a share of the vectors of each group that isn't one leaf with
 the whole group, and a larger share while too few of them have links to tell; it scores every vector alike. While a group
 falls short of TARGET, another round of hyperplanes and refinement is added to its graph. A group that still falls short
 after ROUNDS is compared whole, the exact way after a failed audit.
@@ -29,7 +29,7 @@ from strandline.llm.shared import local_roots, lookup, sized, stored
 #: Codes for each vector and round; vectors of a leaf about and at most; passes that may split a leaf.
 CODES, LEAF, LARGEST, SPLITS = 8, 64, 384, 3
 
-#: Refinements of a round at most, and the share of new list entries at which they end.
+#: Refinements of a round at most, and the share of new entries, in lists that aren't full of links, at which they end.
 REFINEMENTS, SETTLED = 8, 0.01
 
 #: Neighbours kept for each vector and refinement, and how alike a stepping stone must be.
@@ -208,16 +208,19 @@ def _leaves(rows: DataFrame, seed: int, threshold: float) -> DataFrame:
     return _grouped(_taken_apart(coded, coded, seed), "leaf", lambda table: _near(table, threshold), EDGES)
 
 
-def _lists(edges: DataFrame) -> DataFrame:
-    """(u, v): each vector's LIST nearest known neighbours."""
+def _lists(edges: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, full): each vector's LIST nearest known neighbours; full where all of LIST are links."""
     steps = edges.where("not isnan(cosine)")
     steps = steps.unionByName(steps.select(F.col("v").alias("u"), F.col("u").alias("v"), "cosine")).groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("u").orderBy(F.desc("cosine"), "v")
-    return stored(steps.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= LIST).select("u", "v"), "neighbour-lists")
+    near = steps.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= LIST)
+    links = F.count(F.when(F.col("cosine") >= threshold, 1)).over(Window.partitionBy("u"))
+    return stored(near.select("u", "v", (links == LIST).alias("full")), "neighbour-lists")
 
 
 def _refined(reps: DataFrame, lists: DataFrame, seed: int, threshold: float) -> DataFrame:
     """Edges found by comparing each vector's neighbours, in both directions, with one another."""
+    lists = lists.select("u", "v")
     around = lists.unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(lists.select("u", F.col("u").alias("v"))).distinct()
     places = stored(around.select(F.xxhash64("u").alias("leaf"), F.lit(0).alias("k"), F.col("v").alias("rep")), "neighbourhoods")
     uses = places.groupBy("rep").agg(F.count(F.lit(1)).alias("uses"))
@@ -227,11 +230,14 @@ def _refined(reps: DataFrame, lists: DataFrame, seed: int, threshold: float) ->
 
 
 def _searched(rows: DataFrame, edges: DataFrame, seed: int, threshold: float) -> DataFrame:
-    """``edges`` with those of another round of codes, refined until the lists settle."""
+    """``edges`` with those of another round of codes, refined until the lists settle.
+
+    A list full of links need not settle: its vector's whole component is compared later, whichever links the list holds.
+    """
     edges, before = edges.unionByName(stored(_leaves(rows, 2 * seed + 1, threshold), "leaf-edges")), None
     for k in range(REFINEMENTS):
-        lists = _lists(edges.join(rows.select(F.col("rep").alias("u")), "u", "left_semi"))  # of the groups at hand
-        if before is not None and lists.join(before, ["u", "v"], "left_anti").count() <= SETTLED * lists.count():
+        lists = _lists(edges.join(rows.select(F.col("rep").alias("u")), "u", "left_semi"), threshold)  # of the groups at hand
+        if before is not None and lists.where("not full").join(before, ["u", "v"], "left_anti").count() <= SETTLED * lists.where("not full").count():
             break
         edges, before = edges.unionByName(stored(_refined(rows, lists, 100 * seed + k, threshold), "refined-edges")), lists
     return stored(edges.groupBy("u", "v").agg(F.max("cosine").alias("cosine")), "edges")  # NaN, a proven path, is largest
@@ -279,6 +285,8 @@ def audited(rows: DataFrame, threshold: float) -> DataFrame:
         sample = stored(rows.where((place >= low) & (place < high)).select("group", "rep", "unit"), "audited")
         found = stored(_links_of(sample, rows, threshold), "audit")
         out = found if out is None else out.unionByName(found)
+        if share == SHARES[-1]:
+            break
         told = out.where(F.col("real") <= LIST).groupBy("group").count().where(F.col("count") >= LEAST).select("group")
         rows, low = stored(rows.where(F.col("n") > high).join(sized(stored(told, "told-groups"), 200_000), "group", "left_anti"), "untold-groups"), high
         if rows.isEmpty():
