@@ -4,9 +4,9 @@ Blocks of ids are coded independently of one another, so many blocks advance tog
 each id, order-2 and order-1 contexts (hashes of the ids before it) predict one id each, with a confidence; the chances
 that the first or the second prediction holds are mixed from adaptive counters of three orders with weights learned on the
 way: the confidence of the order-2 and of the order-1 prediction, and the order-0 frequency of the predicted id among the
-block's ids so far. An id that neither predicts is coded by its order-0 frequency among the block's earlier ids (taken anew
-at REFRESH), or as a plain number if it is new. Encoder and decoder take the same steps; all mixing uses only +, -, * and
-/, so both find the same numbers on every machine.
+block's ids so far. An id that neither predicts is coded by its order-0 frequency among all of the block's earlier ids: its
+three digits one after another, each by the counts of the digits that followed the ones before it. Encoder and decoder take
+the same steps; all mixing uses only +, -, * and /, so both find the same numbers on every machine.
 """
 
 from __future__ import annotations
@@ -19,16 +19,17 @@ import numpy as np
 #: Ids in a block, at most.
 BLOCK = 8192
 
-#: Ids of a block after which its order-0 frequencies are taken anew.
-REFRESH = (64, 256, 1024, 4096)
+#: What an occurrence adds to a digit's frequency, which starts at one; and the most ids that are counted one by one: of a
+#: larger vocabulary, neighbours share a count.
+GAIN, CELLS = 16, 1 << 16
 
 #: magic, ids, vocabulary, crc32 of the ids as little-endian 32-bit numbers, crc32 of the coded bytes
 HEADER = struct.Struct("<4sIIII")
-MAGIC = b"SLT2"
+MAGIC = b"SLT3"
 
 #: Total of the first symbol's frequencies; a coder puts out the upper half of its state once that is settled.
 ONE, HALF = 1 << 16, np.uint64(1 << 32)
-SLOTS0, SLOTS1, SLOTS2 = 1 << 12, 1 << 12, 1 << 13
+SLOTS1, SLOTS2 = 1 << 12, 1 << 13
 U64 = np.uint64
 
 #: Of a count of up to BLOCK ids: its size in steps of doubling, up to 7.
@@ -94,14 +95,15 @@ class _Mixer:
     """Mixes the chances of a yes that counters of several orders give, for every lane."""
 
     def __init__(self, lanes: int, *sizes: int):
-        self.chance = [np.full((lanes, n), 0.25) for n in sizes]
+        self.sizes = sizes
+        self.chance = [np.full(lanes * n, 0.25) for n in sizes]
         self.weight = [np.full(lanes, w) for w in (0.5, 0.3, 0.3)]
 
     def mix(self, lanes: np.ndarray, *contexts: np.ndarray) -> np.ndarray:
-        self.where, self.old, self.lean = [(lanes, c) for c in contexts], [], []
+        self.where, self.old, self.lean = [lanes * n + c for n, c in zip(self.sizes, contexts, strict=True)], [], []
         mixed = 0.0
         for k in range(len(contexts)):
-            old = self.chance[k][self.where[k]]
+            old = np.take(self.chance[k], self.where[k])
             lean = (old - 0.5) / np.minimum(old, 1.0 - old)
             self.old.append(old)
             self.lean.append(lean)
@@ -119,29 +121,47 @@ class _Mixer:
             np.minimum(np.maximum(weight + miss * lean / (1.0 + np.abs(lean)), 0.0), 2.0, out=weight)
 
 
-class _Seen:
-    """Order-0 frequencies of each lane's earlier ids, all lanes in one sorted table."""
-
-    def __init__(self, ids: np.ndarray, lanes: int):
-        keys = (np.arange(lanes, dtype=np.int64)[None, :] << 32) | ids[:, :lanes]
-        self.keys, counts = np.unique(keys.ravel(), return_counts=True)
-        owner = self.keys >> 32
-        self.first = np.searchsorted(owner, np.arange(lanes))
-        self.distinct = np.diff(np.append(self.first, len(owner)))
-        ends = np.cumsum(counts)
-        self.base = (ends - counts)[self.first]
-        self.start = ends - counts - self.base[owner]
-        self.counts = counts
-        self.total = len(ids)
-        self.marks = (owner << 32) | self.start
-
-    def find(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = (lanes << 32) | ids
-        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return k, self.keys[k] == key
-
-    def at(self, lanes: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.marks, (lanes << 32) | slots, side="right") - 1
+class _Order0:
+    """How often each lane has met each id so far, as a tree of digits; it counts every id as soon as it is known."""
+
+    def __init__(self, lanes: int, vocabulary: int):
+        self.width = -(-vocabulary // CELLS)
+        cells = -(-vocabulary // self.width)
+        self.radix = next(r for r in range(1, CELLS) if r**3 >= cells)
+        self.counts = [np.zeros((lanes * self.radix**k, self.radix), np.uint16) for k in range(3)]
+        self.flat = [x.reshape(-1) for x in self.counts]
+        self.ranks = np.arange(1, self.radix + 1, dtype=np.int32)
+
+    def count(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.flat[2][lanes * self.radix**3 + ids // self.width]
+
+    def learn(self, lanes: np.ndarray, ids: np.ndarray) -> None:
+        cell = ids // self.width
+        for k in range(3):
+            self.flat[k][lanes * self.radix ** (k + 1) + cell // self.radix ** (2 - k)] += 1
+
+    def code(self, coder: _Ranges, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """Code ``ids``, one for each lane, or decode them."""
+        every, found = np.arange(len(lanes)), np.zeros(len(lanes), np.int64)
+        for k in range(3):
+            rows = np.take(self.counts[k], lanes * self.radix**k + found, axis=0)
+            ends = np.cumsum(rows, axis=1, dtype=np.int32)
+            ends *= GAIN
+            ends += self.ranks
+            total = ends[:, -1].astype(U64)
+            if ids is None:
+                digit = (ends <= coder.slot(lanes, total)[:, None]).sum(axis=1)
+            else:
+                digit = ids // self.width // self.radix ** (2 - k) - found * self.radix
+            size = rows[every, digit].astype(np.int64) * GAIN + 1
+            coder.take(lanes, ends[every, digit] - size, size, total)
+            found = found * self.radix + digit
+        if self.width == 1:
+            return found
+        total = U64(self.width)
+        rest = coder.slot(lanes, total) if ids is None else ids % self.width
+        coder.take(lanes, rest, np.ones(len(lanes), np.int64), total)
+        return found * self.width + rest
 
 
 def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: list[bytes] | None):
@@ -151,33 +171,25 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
     decoding = ids is None
     if decoding:
         ids = np.zeros((steps, lanes), np.int64)
-    coder = _Ranges(lanes, data, 16 + 2 * steps)
+    coder = _Ranges(lanes, data, 16 + 4 * steps)
     kind_of = np.int32 if vocabulary <= 1 << (31 - SURE_BITS) else np.int64
     table2, table1 = np.zeros(lanes * SLOTS2, kind_of), np.zeros(lanes * SLOTS1, kind_of)
-    counts = np.zeros(lanes * SLOTS0, np.uint16)
+    seen = _Order0(lanes, vocabulary)
     first, second = _Mixer(lanes, 16, 8, 8), _Mixer(lanes, 8, 8, 8)
     every = np.arange(lanes)
     before, before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes longer than each step
-    seen = None
-    one, plain = U64(ONE), U64(vocabulary)
+    one = U64(ONE)
     for t in range(steps):
         n = int(active[t])
-        if t in REFRESH:
-            seen = _Seen(ids[:t], n)
-            if not decoding:  # all that follows until the next refresh is known: look it up at once
-                upto = min((r for r in REFRESH if r > t), default=steps)
-                found_at, found = seen.find(every[:n][None, :], ids[t:upto, :n])
-                since = t
         lane, b, b2 = every[:n], before[:n], before2[:n]
         s2 = lane * SLOTS2 + (((b * 40503 + b2 * 65599 + 12345) >> 3) & (SLOTS2 - 1))
         s1 = lane * SLOTS1 + ((b * 40503 >> 4) & (SLOTS1 - 1))
         cell2, cell1 = table2[s2].astype(np.int64), table1[s1].astype(np.int64)
         guess2, guess1, c2, c1 = cell2 >> SURE_BITS, cell1 >> SURE_BITS, cell2 & SUREST, cell1 & SUREST
-        base = lane * SLOTS0
-        p2 = first.mix(lane, c2 * 2 + (guess1 == guess2), c1, LEVEL[counts[base + (guess2 & (SLOTS0 - 1))]])
+        p2 = first.mix(lane, c2 * 2 + (guess1 == guess2), c1, LEVEL[seen.count(lane, guess2)])
         size2 = 1 + (p2 * (ONE - 3)).astype(np.int64)
-        p1 = second.mix(lane, c1, c2, LEVEL[counts[base + (guess1 & (SLOTS0 - 1))]])
+        p1 = second.mix(lane, c1, c2, LEVEL[seen.count(lane, guess1)])
         size1 = 1 + (p1 * (ONE - size2 - 2)).astype(np.int64)
         if decoding:
             slot = coder.slot(slice(0, n), one)
@@ -190,22 +202,8 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
         rest = np.flatnonzero(kind == 2)
         if decoding:
             ids[t, :n] = np.where(kind == 0, guess2, guess1)
-        if seen is not None and len(rest):
-            total = (seen.total + seen.distinct[rest]).astype(U64)
-            if decoding:
-                slot = coder.slot(rest, total)
-                k, known = seen.at(rest, slot), slot < seen.total
-            else:
-                k, known = found_at[t - since, rest], found[t - since, rest]
-            k = np.where(known, k, 0)
-            coder.take(rest, np.where(known, seen.start[k], seen.total), np.where(known, seen.counts[k], seen.distinct[rest]), total)
-            if decoding:
-                ids[t, rest] = seen.keys[k] & 0xFFFFFFFF
-            rest = rest[~known]
         if len(rest):
-            if decoding:
-                ids[t, rest] = coder.slot(rest, plain)
-            coder.take(rest, ids[t, rest], np.ones(len(rest), np.int64), plain)
+            ids[t, rest] = seen.code(coder, rest, None if decoding else ids[t, rest])
         own = ids[t, :n]
         first.learn((kind == 0).astype(np.float64))
         second.learn((kind == 1).astype(np.float64))
@@ -213,7 +211,7 @@ def _code(lengths: np.ndarray, vocabulary: int, ids: np.ndarray | None, data: li
             right = guess == own
             stays = right | (c > 1)
             cells[s] = (np.where(stays, guess, own) << SURE_BITS) + np.where(right, np.minimum(c + 1, SUREST), np.where(stays, c >> 1, 1))
-        counts[base + (own & (SLOTS0 - 1))] += 1
+        seen.learn(lane, own)
         before2[:n], before[:n] = b, own
     return ids if decoding else coder.finish()
 

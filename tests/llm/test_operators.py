@@ -77,6 +77,29 @@ def test_range_coder_blocks():
         range_coder.decode([coded[3][:-1] + bytes([coded[3][-1] ^ 1])])
 
 
+@pytest.mark.parametrize("vocabulary", [1, 2, 9, 1 << 16, 200_000, 1 << 20])
+def test_range_coder_vocabularies(vocabulary):
+    """Ids counted one by one and ids that share a count, the first and the last one included."""
+    rng = np.random.default_rng(vocabulary)
+    ends = np.array([0, vocabulary - 1] * 300)
+    blocks = [rng.integers(0, vocabulary, n) for n in (1, 700, 64)] + [ends, np.minimum(rng.zipf(1.3, 900), vocabulary) - 1]
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(range_coder.encode(blocks, vocabulary)), strict=True))
+
+
+def test_range_coder_counts_every_id():
+    """Ids in random order, which no context predicts, and other ids in the second half, which a table of the first would code at
+    about 10 bits each. Failed predictions cost over half a bit, so bounds are a bit and two above the entropy of 3 and 4 bits."""
+    rng = np.random.default_rng(5)
+    halves = [rng.choice(rng.choice(49408, 8, replace=False), 3000) for _ in range(2)]
+    first, both = (8 * len(x) for x in range_coder.encode([halves[0], np.concatenate(halves)], 49408))
+    assert first / 3000 < 4 and (both - first) / 3000 < 6
+    counts = range_coder._Order0(2, 49408)
+    for t, x in enumerate(halves[0][:50]):
+        counts.learn(np.arange(2), np.array([x, 7]))
+        assert counts.count(np.arange(2), np.array([x, 7])).tolist() == [int((halves[0][: t + 1] == x).sum()), t + 1]
+
+
+
 def test_joined_crc():
     for a, b in ((b"", b"x"), (b"abc", b""), (b"abc" * 99, b"de" * 1000)):
         assert token_file.joined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
