@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -572,6 +573,29 @@ def test_quality_held_out(spark):
     assert [f.threshold for f in again] == [f.threshold for f in forests]
 
 
+def test_quality_learns_from_every_document_and_label(spark):
+    """Bad documents that come last in the order of a hash of doc_id, behind 8,000 good ones."""
+    ids = spark.range(8600).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")).alias("place"))
+    word = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.when(F.col("place") > 8300, F.lit("#|#")).otherwise(F.lit("")), F.lit("w"), (k * 7919 + F.col("doc_id") * 31) % 997))
+    rows = ids.select("doc_id", "place", F.concat_ws(" ", word).alias("text")).repartition(3)
+    forests = quality.fit(rows, rows.select("doc_id", (F.col("place") <= 8300).cast("int").alias("quality")))
+    found = quality.judged(rows, forests).where("not base_failed").groupBy(F.col("place") > 8300).agg(F.avg(F.col("kept").cast("int")), F.count("*")).collect()
+    kept = {r[0]: r[1] for r in found}
+    assert sum(r[2] for r in found) == 8600 and kept[False] > 0.99 and kept[True] < 0.05
+    assert all(f.path[:, 0].max() > quality.path_constant(quality.TREE_SAMPLE // 2) for f in forests)
+
+
+def test_quality_forest_holds_every_row():
+    x = np.random.default_rng(3).normal(size=(70_000, len(quality.FEATURES)))
+    for n in (1, 300, 70_000):
+        forest = quality.bare((0, 1))
+        tally = quality.Tally.of_none(forest, 0)
+        tally.add(forest, 0, x[:n], np.arange(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), quality.shares(n))
+        assert tally.n.sum() == n * quality.shares(n) and tally.low.min() == x[:n, :2].min()
+    halves = [quality.grow(x[:9000], (0, 1)), quality.grow(x[:9000], (0, 1))]
+    assert (halves[0].split == halves[1].split).all()
+
+
 def test_toxicity_scores_match_plain_sums():
     rng = np.random.default_rng(6)
     model = toxicity.Model(rng.normal(size=1 << toxicity.BITS) / 50, -0.3)
