@@ -6,11 +6,11 @@ no join back. ``long_candidates`` and ``carried`` are the forms for entities tha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -94,95 +94,128 @@ def robust_scales(frame: DataFrame, p: Panel = DEFAULT, past_only: bool = False)
     ).drop("_change_median")
 
 
-def past_scales(frame: DataFrame, p: Panel = DEFAULT) -> DataFrame:
+#: Rows whose prefixes are looked at together, about; a longer record is taken whole.
+TOGETHER = 1 << 15
+
+
+def past_scales(frame: DataFrame, p: Panel = DEFAULT, together: int = TOGETHER) -> DataFrame:
     """entity_median, entity_mad and change_mad of each row from the rows up to its own.
 
-    An entity's record lies in one task, as arrays; medians of all its prefixes are found together, level by level of a
-    wavelet matrix, in n log(n)^2 steps.
+    Records of entities follow one another through a task, as arrays: one shuffle, and no call for each entity. Medians of all
+    prefixes of many records are found together, level by level of a wavelet matrix, in n log(longest record)^2 steps.
     """
-    rows = frame.drop("entity_median", "entity_mad", "change_mad")
-
-    def scales(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table.column(p.date)))
+    added = ("entity_median", "entity_mad", "change_mad")
+    rows = frame.drop(*added)
 
+    def measured(table: pa.Table) -> pa.Table:
         def numbers(name: str) -> np.ndarray:
             return table.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
 
+        starts = np.maximum.accumulate(np.where(table.column("_place").to_numpy() == 1, np.arange(len(table)), 0))
         level = numbers(p.level)
-        middle, spread = prefix_mad(level)
-        _, change = prefix_mad(level - numbers("previous_level"))
-        for name, values in (("entity_median", middle), ("entity_mad", spread), ("change_mad", change)):
+        middle, spread = prefix_mad(level, starts)
+        _, change = prefix_mad(level - numbers("previous_level"), starts)
+        table = table.drop_columns("_place")
+        for name, values in zip(added, (middle, spread, change), strict=True):
             table = table.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
         return table
 
-    schema = rows.select("*", *[F.lit(0.0).cast("double").alias(c) for c in ("entity_median", "entity_mad", "change_mad")]).schema
-    return rows.groupBy(*p.within, p.entity).applyInArrow(scales, StructType([StructField(f.name, f.dataType, True) for f in schema]))
-
-
-def prefix_mad(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, enough = [], 0, together
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < enough:
+                continue
+            table = pa.Table.from_batches(held)
+            last = int(np.flatnonzero(table.column("_place").to_numpy() == 1)[-1])  # the last record may go on
+            if last:
+                yield from measured(table.slice(0, last)).to_batches()
+                table = table.slice(last)
+            held, n = table.to_batches(), len(table)
+            enough = max(together, 2 * n)
+        if n:
+            yield from measured(pa.Table.from_batches(held)).to_batches()
+
+    schema = rows.select("*", *[F.lit(0.0).cast("double").alias(c) for c in added]).schema
+    placed = rows.withColumn("_place", F.row_number().over(p.window))  # leaves each record together, by date
+    return placed.mapInArrow(scales, StructType([StructField(f.name, f.dataType, True) for f in schema]))
+
+
+def prefix_mad(values: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The median of each prefix of ``values``, and the median distance of its values from that; missing values (NaN) don't
-    count, and a prefix of nothing else has NaN."""
+    count, and a prefix of nothing else has NaN. ``starts`` tells where each row's record starts, if there are several."""
     present = ~np.isnan(values)
     x, ends = values[present], np.cumsum(present)
     if not len(x):
         return np.full(len(values), np.nan), np.full(len(values), np.nan)
-    tree, t = Prefixes(x), np.arange(1, len(x) + 1)
+    before = np.zeros(len(values), np.int64) if starts is None else ends[starts] - present[starts]
+    begin, end = before[present], np.arange(1, len(x) + 1)
+    tree, t = Prefixes(x, begin), end - begin
     low, high = (t - 1) // 2, t // 2
-    middle = (tree.kth(t, low) + tree.kth(t, high)) / 2
-    below = tree.count(t, middle)  # values up to the median
+
+    def kth(k: np.ndarray) -> np.ndarray:
+        return tree.sorted[tree.kth(begin, end, k)]
+
+    middle = (kth(low) + kth(high)) / 2
+    below = tree.count(begin, end, np.where(middle < kth(high), tree.kth(begin, end, low), tree.kth(begin, end, high)))  # values up to the median
 
     def distance(k: np.ndarray) -> np.ndarray:
         """The k-th smallest distance: i values below and k - i above are nearer, for the i that a bisection finds."""
         lo, hi = np.maximum(0, k - (t - below)), np.minimum(k, below)
         while (lo < hi).any():
             i = (lo + hi) // 2  # take more from below while the next one there is nearer than the last one taken above
-            left, right = middle - tree.kth(t, np.maximum(below - 1 - i, 0)), tree.kth(t, np.clip(below + k - i - 1, 0, t - 1)) - middle
+            left, right = middle - kth(np.maximum(below - 1 - i, 0)), kth(np.clip(below + k - i - 1, 0, t - 1)) - middle
             more = (left < right) & (lo < hi)
             lo, hi = np.where(more, i + 1, lo), np.where(more | (lo >= hi), hi, i)
-        left = np.where(below - 1 - lo >= 0, middle - tree.kth(t, np.maximum(below - 1 - lo, 0)), np.inf)
-        right = np.where(below + k - lo < t, tree.kth(t, np.clip(below + k - lo, 0, t - 1)) - middle, np.inf)
+        left = np.where(below - 1 - lo >= 0, middle - kth(np.maximum(below - 1 - lo, 0)), np.inf)
+        right = np.where(below + k - lo < t, kth(np.clip(below + k - lo, 0, t - 1)) - middle, np.inf)
         return np.minimum(left, right)
 
     spread = (distance(low) + distance(high)) / 2
     at = np.maximum(ends - 1, 0)
-    return np.where(ends > 0, middle[at], np.nan), np.where(ends > 0, spread[at], np.nan)
+    return np.where(ends > before, middle[at], np.nan), np.where(ends > before, spread[at], np.nan)
 
 
 class Prefixes:
-    """A wavelet matrix over the ranks of a sequence: order statistics of all its prefixes at once."""
+    """A wavelet matrix over the ranks of values within their records, which follow one another: order statistics of all
+    prefixes of all records at once. ``begin`` tells where each value's record begins."""
 
-    def __init__(self, values: np.ndarray):
-        self.sorted = np.sort(values)
+    def __init__(self, values: np.ndarray, begin: np.ndarray):
+        order = np.lexsort((values, begin))
+        self.sorted = values[order]
         rank = np.empty(len(values), np.int64)
-        rank[np.argsort(values, kind="stable")] = np.arange(len(values))
+        rank[order] = np.arange(len(values)) - begin
+        edges = np.append(np.flatnonzero((self.sorted[1:] != self.sorted[:-1]) | (begin[1:] != begin[:-1])) + 1, len(values))
+        self.under = edges[np.searchsorted(edges, np.arange(len(values)), "right")] - begin  # values of the record up to this one
         self.levels = []
-        for bit in range(max(1, int(len(values) - 1).bit_length()) - 1, -1, -1):
+        for bit in range(max(1, int(rank.max()).bit_length()) - 1, -1, -1):
             one = (rank >> bit) & 1 == 1
             zeros = np.concatenate([[0], np.cumsum(~one)])
             self.levels.append((bit, zeros))
             rank = np.concatenate([rank[~one], rank[one]])
 
-    def kth(self, t: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The k-th smallest (from 0) of the first t values."""
-        start, end, k, found = np.zeros_like(t), t.copy(), k.copy(), np.zeros_like(t)
+    def kth(self, begin: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Where in ``sorted`` the k-th smallest (from 0) of the values from ``begin`` to ``end``, all of one record, is."""
+        start, found = begin, begin.copy()
         for bit, zeros in self.levels:
             a, b = zeros[start], zeros[end]
             up = k >= b - a
             k = np.where(up, k - (b - a), k)
             start, end = np.where(up, zeros[-1] + start - a, a), np.where(up, zeros[-1] + end - b, b)
-            found |= up.astype(np.int64) << bit
-        return self.sorted[found]
+            found += up.astype(np.int64) << bit
+        return found
 
-    def count(self, t: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many of the first t values are at most ``most``."""
-        limit = np.searchsorted(self.sorted, most, "right")  # ranks under this
-        start, end, n = np.zeros_like(t), t.copy(), np.zeros_like(t)
+    def count(self, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of the values from ``begin`` to ``end`` are at most the one at ``at`` in ``sorted``."""
+        limit = self.under[at]
+        start, n, whole = begin, np.zeros_like(end), end - begin
         for bit, zeros in self.levels:
             a, b = zeros[start], zeros[end]
             up = (limit >> bit) & 1 == 1
             n += np.where(up, b - a, 0)
             start, end = np.where(up, zeros[-1] + start - a, a), np.where(up, zeros[-1] + end - b, b)
-        return np.where(limit >= 1 << len(self.levels), t, n)
+        return np.where(limit >= 1 << len(self.levels), whole, n)
 
 
 def joined_scales(frame: DataFrame, p: Panel = DEFAULT) -> DataFrame:

@@ -85,6 +85,20 @@ def test_deviations_known_on_the_day(seed):
             assert middle[t] == np.median(seen) and spread[t] == pytest.approx(np.median(np.abs(seen - np.median(seen))), abs=1e-12)
 
 
+def test_deviations_of_many_records_at_once(spark):
+    """Records of one call, and records cut by batches, as each alone."""
+    rng = np.random.default_rng(1)
+    sizes = [1, 40, 3, 1, 200, 7, 64, 2]
+    records = [np.where(rng.random(n) < 0.2, np.nan, np.round(rng.normal(0, 3, n), n % 2)) for n in sizes]
+    records[3][:] = np.nan
+    starts = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    alone = np.concatenate([np.stack(history.prefix_mad(r)) for r in records], axis=1)
+    assert np.array_equal(np.stack(history.prefix_mad(np.concatenate(records), starts)), alone, equal_nan=True)
+    frame = history.neighbours(record(spark, sizes))
+    columns = ["entity_id", "obs_date", "entity_median", "entity_mad", "change_mad"]
+    assert listed(history.past_scales(frame, together=5), columns) == listed(history.past_scales(frame), columns)
+
+
 def test_past_scales_keep_other_columns(spark):
     frame = history.neighbours(record(spark, (9, 4))).withColumn("entity_mad", F.lit("old"))
     found = history.robust_scales(frame, past_only=True)
