@@ -205,28 +205,39 @@ def single(columns: list[str], name: str = "rf", seed: int = 42, allow: Iterable
 def two_stage(columns: list[str], extreme: Column, blend: bool = False, oracle: bool = False, least: int = 30, name: str = "rf", seed: int = 42) -> FitPredict:
     """A classifier sends rows to a regressor of routine or of extreme rows, by a hard gate or weighted by its chance.
 
-    With fewer than ``least`` extreme training rows only the routine regressor is used. ``oracle`` gates by the label
-    itself: an upper bound, not a forecast.
+    With fewer than ``least`` extreme training rows only the routine regressor is used, and without routine ones a regressor
+    of all. ``oracle`` gates by the label itself: an upper bound, not a forecast.
     """
+    one = two_stages(columns, extreme, ("labelled_bound" if oracle else "blend" if blend else "hard_gate",), least, name, seed)
+
+    @using(columns)
+    def run(train: DataFrame, test: DataFrame) -> DataFrame:
+        return one(train, test).withColumn("y_pred", F.col(*one.framings.values()))
+
+    return run
+
+
+def two_stages(columns: list[str], extreme: Column, framings: Iterable[str] = ("hard_gate", "blend", "labelled_bound"), least: int = 30, name: str = "rf", seed: int = 42) -> FitPredict:
+    """``two_stage`` in several framings, each a rule of its own: they share a fold's regressors and classifier."""
+    framings = {f: f"_y_{f}" for f in framings}
 
     @using(columns)
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         rows = matrix(train, columns, train=train).withColumn("label", F.when(extreme, 1).otherwise(0)).persist()
-        n = rows.where("label = 1").count()
-        routine = regressor(name, seed).setPredictionCol("_routine").fit(rows.where("label = 0"))
+        n, others = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+        routine = regressor(name, seed).setPredictionCol("_routine").fit(rows.where("label = 0") if others else rows)
         out = routine.transform(matrix(test, columns, train=train))
-        if n < least:
+        if n < least or not others:
             rows.unpersist()
-            return out.withColumn("y_pred", F.col("_routine"))
+            return out.withColumns({column: F.col("_routine") for column in framings.values()})
         out = regressor(name, seed).setPredictionCol("_extreme").fit(rows.where("label = 1")).transform(out)
-        if oracle:
-            gate = F.when(extreme, 1.0).otherwise(0.0)
-        else:
+        if set(framings) - {"labelled_bound"}:
             out = probability(classifier("rf", seed).fit(balanced(rows)), out)
-            gate = F.col("chance") if blend else F.when(F.col("chance") >= 0.5, 1.0).otherwise(0.0)
         rows.unpersist()
-        return out.withColumn("y_pred", gate * F.col("_extreme") + (1 - gate) * F.col("_routine"))
+        gates = {"hard_gate": lambda: F.when(F.col("chance") >= 0.5, 1.0).otherwise(0.0), "blend": lambda: F.col("chance"), "labelled_bound": lambda: F.when(extreme, 1.0).otherwise(0.0)}
+        return out.withColumns({column: gates[f]() * F.col("_extreme") + (1 - gates[f]()) * F.col("_routine") for f, column in framings.items()})
 
+    run.framings = framings
     return run
 
 
@@ -276,11 +287,16 @@ def by_fold(rows: DataFrame, folds: list[Fold], predictors: dict[str, FitPredict
 
 
 def out_of_folds(frame: DataFrame, folds: list[Fold], predictors: dict[str, FitPredict], column: str = "obs_date", label_end: str | None = None, target: str = "target") -> DataFrame:
-    """Long predictions of all folds' test rows: the rows with fold, rule, rule_order, y_true and y_pred."""
+    """Long predictions of all folds' test rows: the rows with fold, rule, rule_order, y_true and y_pred.
+
+    A predictor with ``framings`` (rule to column) gives the predictions of these rules instead of one in y_pred.
+    """
     rows = B.assigned(frame.where(F.col(target).isNotNull()), folds, column, label_end)
     out = None
     for (rule, _), found in by_fold(rows, folds, predictors).items():
-        found = found.select(*rows.columns, F.lit(rule).alias("rule"), F.lit(99).alias("rule_order"), F.col(target).alias("y_true"), "y_pred")
+        framings = getattr(predictors[rule], "framings", {rule: "y_pred"})
+        told = F.inline(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(99).alias("rule_order"), F.col(target).alias("y_true"), F.col(y_pred).alias("y_pred")) for name, y_pred in framings.items()]))
+        found = found.select(*rows.columns, told)
         out = found if out is None else out.unionByName(found)
     if out is None:  # no folds, so no rows
         return rows.withColumns({"rule": F.lit(""), "rule_order": F.lit(99), "y_true": F.col(target).cast("double"), "y_pred": F.lit(0.0)})

@@ -46,10 +46,7 @@ def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     extreme = F.abs("target") > CUT
     return _board(
         spark, sf_dir,
-        {
-            "hard_gate": M.two_stage(COLUMNS, extreme), "blend": M.two_stage(COLUMNS, extreme, blend=True), "labelled_bound": M.two_stage(COLUMNS, extreme, oracle=True),
-            "scale_normalised": M.normalised_two_stage(COLUMNS, 2.0, unit="_unit"),
-        },
+        {"framings": M.two_stages(COLUMNS, extreme), "scale_normalised": M.normalised_two_stage(COLUMNS, 2.0, unit="_unit")},
         "target_mad",
     )
 

@@ -1,6 +1,6 @@
 """Hand-made edge cases of the panel operators."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pandas as pd
 import pytest
@@ -206,6 +206,26 @@ def test_empty_tables(spark):
     assert audit.frame_audit(empty).first().n_rows == 0 and extremes.class_balance(empty.withColumn("target", F.col("level")), (1,)).first().positives == 0
 
 
+def test_framings_share_their_fits(spark, monkeypatch):
+    """Three framings from one classifier and two regressors a fold, equal to each alone; all rows extreme is no error."""
+    day = date(2020, 1, 1)
+    rows = spark.createDataFrame([(1, day + timedelta(days=k), float(k % 9), float((k % 9 - 4) * 8 + k % 5)) for k in range(240)], "entity_id long, obs_date date, level double, target double").coalesce(1)
+    train, test = rows.where("obs_date < '2020-07-01'"), rows.where("obs_date >= '2020-07-01'")
+    small = {"numTrees": 5, "maxDepth": 3}
+    made, regressor, classifier = [], M.regressor, M.classifier
+    monkeypatch.setattr(M, "regressor", lambda *a: made.append("r") or regressor(*a, **small))
+    monkeypatch.setattr(M, "classifier", lambda *a: made.append("c") or classifier(*a, **small))
+    together = M.two_stages(["level"], F.abs("target") > 15)
+    found = together(train, test).orderBy("obs_date").select(*together.framings.values()).collect()
+    assert sorted(made) == ["c", "r", "r"]
+    alone = [M.two_stage(["level"], F.abs("target") > 15), M.two_stage(["level"], F.abs("target") > 15, blend=True), M.two_stage(["level"], F.abs("target") > 15, oracle=True)]
+    for k, one in enumerate(alone):
+        assert [r[k] for r in found] == [r.y_pred for r in one(train, test).orderBy("obs_date").collect()]
+    folds = [B.Fold("f", date(2020, 7, 1), date(2020, 9, 1))]
+    assert {r.rule: r.n for r in M.out_of_folds(rows, folds, {"x": together}).groupBy("rule").agg(F.count("y_pred").alias("n")).collect()} == dict.fromkeys(together.framings, test.count())
+    assert M.two_stage(["level"], F.abs("target") >= 0)(train, test).where("y_pred is not null").count() == test.count()
+
+
 def test_two_stage_and_gates_fit(spark):
     rows = [(e, date(2024, 1 + d // 28, 1 + d % 28), float((d * 7 + e) % 11), float((d * 5) % 9) * (10 if d % 6 == 0 else 1)) for e in range(4) for d in range(80)]
     frame = panel(spark, rows, "entity_id long, obs_date date, level double, target double")
