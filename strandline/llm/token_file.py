@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm import range_coder
+from strandline.llm import range_coder, wide_blocks
 from strandline.llm.packing import gathered
 from strandline.llm.shared import small_batches, stored
 from strandline.llm.tokenise import encoder
@@ -27,11 +27,11 @@ from strandline.llm.tokenise import encoder
 SPAN = "struct<row:bigint,doc_id:bigint,position:bigint,at:bigint,n:bigint>"
 SPAN_ARROW = pa.list_(pa.struct([(x, pa.int64()) for x in ("row", "doc_id", "position", "at", "n")]))
 
-#: Blocks coded side by side; bounds a worker's memory.
-LANES = 512
+#: Ids coded side by side; bounds a worker's memory.
+AT_ONCE = wide_blocks.WIDE
 
 
-def coded_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block: int = range_coder.BLOCK) -> DataFrame:
+def coded_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block: int = wide_blocks.WIDE) -> DataFrame:
     """The rows of a token file for ``docs`` (doc_id, text; other columns are not read).
 
     A null or empty text holds the end id alone. Rows with a null doc_id come first; rows that share a doc_id are all
@@ -53,7 +53,7 @@ def coded_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block: i
                 full.append(np.concatenate(held))
                 spans.append([])
                 held = []
-            if full and (last or len(full) >= LANES):
+            if full and (last or len(full) * block >= AT_ONCE):
                 n = len(full)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int32()), pa.array(range(done, done + n), pa.int32()), pa.array(spans[:n], SPAN_ARROW), pa.array(range_coder.encode(full, vocabulary), pa.binary())],
@@ -91,6 +91,7 @@ def spans(blocks: DataFrame, keep_ids: bool = False) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list, bytes]] = []
+        ids_held = 0
 
         def emit() -> pa.RecordBatch:
             rows = []
@@ -106,9 +107,11 @@ def spans(blocks: DataFrame, keep_ids: bool = False) -> DataFrame:
 
         for batch in batches:
             for part, docs, data in zip(*(batch.column(c).to_pylist() for c in ("part", "docs", "data")), strict=True):
-                held.append(((part, docs), data))
-                if len(held) == LANES:
+                if held and ids_held + range_coder.block_length(data) > AT_ONCE:
                     yield emit()
+                    ids_held = 0
+                held.append(((part, docs), data))
+                ids_held += range_coder.block_length(data)
         if held:
             yield emit()
 

@@ -99,6 +99,16 @@ def test_range_coder_counts_every_id():
         counts.learn(np.arange(2), np.array([x, 7]))
         assert counts.count(np.arange(2), np.array([x, 7])).tolist() == [int((halves[0][: t + 1] == x).sum()), t + 1]
 
+@pytest.mark.parametrize("vocabulary", [9, 49408, 200_000, 1 << 30])
+def test_range_coder_wide_blocks(vocabulary):
+    """Blocks of many lanes beside small ones: lanes of unequal length, ids that share a count, ids that nothing predicts."""
+    rng = np.random.default_rng(vocabulary)
+    blocks = [np.minimum(rng.zipf(1.3, n), vocabulary) - 1 for n in (8193, 20_000, 700)] + [np.tile([0, vocabulary - 1, 0], 5000), rng.integers(0, vocabulary, 9001)]
+    coded = range_coder.encode(blocks, vocabulary)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(coded), strict=True))
+    assert len(coded[3]) < 15_000 and len(coded[4]) < 9001 * (np.log2(vocabulary) + 2) / 8
+    with pytest.raises(ValueError, match="damaged"):
+        range_coder.decode([coded[1][:-1] + bytes([coded[1][-1] ^ 1])])
 
 
 def test_joined_crc():
