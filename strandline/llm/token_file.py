@@ -27,8 +27,9 @@ from strandline.llm.tokenise import encoder
 SPAN = "struct<row:bigint,doc_id:bigint,position:bigint,at:bigint,n:bigint>"
 SPAN_ARROW = pa.list_(pa.struct([(x, pa.int64()) for x in ("row", "doc_id", "position", "at", "n")]))
 
-#: Ids coded side by side; bounds a worker's memory.
-AT_ONCE = wide_blocks.WIDE
+#: Ids coded side by side, and bytes of texts tokenised at once, since each time costs a look through all words met before;
+#: they bound a worker's memory.
+AT_ONCE, TEXT_BYTES = wide_blocks.WIDE, 16 << 20
 
 
 def coded_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block: int = wide_blocks.WIDE) -> DataFrame:
@@ -62,7 +63,7 @@ def coded_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 1, block: i
                 done += n
                 full, spans = [], spans[n:]
 
-        for table in gathered(batches):
+        for table in gathered(batches, TEXT_BYTES):
             ids, counts = encoder(tokenizer_path).encode(table.column("text").combine_chunks())
             first = 0
             for key, n in zip(table.column("doc_id").to_pylist(), counts.tolist(), strict=True):

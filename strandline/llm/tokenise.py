@@ -35,6 +35,18 @@ class Memory:
     def forget(self) -> None:
         self.strings = pa.array([], pa.large_string())
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.met = np.zeros(0, np.int32)
+
+    def fade(self) -> None:
+        """Keep the strings that were asked for twice or more since the last time, unless they are too many."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > REMEMBERED // 2:
+            self.forget()
+            return
+        self.strings = self.strings.take(pa.array(kept))
+        self.ids, self.lengths = self.spelled(kept), self.lengths[kept]
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        self.met = np.zeros(len(kept), np.int32)
 
     def rows(self, distinct: pa.Array) -> np.ndarray:
         """The row of each string: its ids are ids[starts[k] : starts[k] + lengths[k]]."""
@@ -42,16 +54,19 @@ class Memory:
         if at.null_count:
             new = distinct.filter(pc.is_null(at))
             if len(self.strings) + len(new) > REMEMBERED:
-                self.forget()
-                new = distinct
+                self.fade()
+                new = distinct.filter(pc.is_null(pc.index_in(distinct, value_set=self.strings)))
             for first in range(0, len(new), AT_ONCE):
                 ids, starts, lengths = self.learn(new.slice(first, AT_ONCE))
                 self.starts = np.concatenate([self.starts, len(self.ids) + starts])
                 self.ids = np.concatenate([self.ids, ids])
                 self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
             self.strings = pa.concat_arrays([self.strings, new])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
             at = pc.index_in(distinct, value_set=self.strings)
-        return at.to_numpy(zero_copy_only=False)
+        rows = at.to_numpy(zero_copy_only=False)
+        self.met[rows] += 1
+        return rows
 
     def spelled(self, rows: np.ndarray) -> np.ndarray:
         """The ids of the strings of these rows, one after another."""

@@ -1,6 +1,6 @@
 """The range coder's large blocks: one adaptive model for a block, learned by thousands of lanes at once.
 
-A block's ids are dealt over lanes of LANE ids, which advance side by side as numpy arrays. At each step every lane codes one
+A block's ids are dealt over lanes of LANE ids or more, which advance side by side as numpy arrays. At each step every lane codes one
 id with the model that the earlier steps of all lanes left, and then all of them teach it, so that a step costs a few array
 operations however many lanes there are. As in small blocks, order-2 and order-1 contexts predict one id each, two mixers
 weigh counters of three orders into the chances that the first or the second prediction holds, and other ids are coded by
@@ -15,18 +15,18 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Ids in a block, at most; ids of a lane.
-WIDE, LANE = 1 << 22, 512
+#: Ids in a block, at most; ids of a lane, at least; lanes, at most (their arrays should fit a core's cache).
+WIDE, LANE, LANES = 1 << 23, 512, 8192
 
 #: What an occurrence adds to an id's frequency, which starts at one; the most ids that are counted one by one: of a larger
 #: vocabulary, neighbours share a count.
-GAIN, CELLS = 8, 1 << 16
+GAIN, CELLS = 4, 1 << 16
 
 #: Parts of a step's interval, in bits; what is left at least to ids that nothing predicts.
 PARTS, LEAST = 16, 1 << 10
 
 #: Cells of order 2 and order 1, an id with its confidence in the lowest bits each.
-SLOTS2, SLOTS1 = 1 << 20, 1 << 16
+SLOTS2, SLOTS1 = 1 << 18, 1 << 16
 SURE_BITS, SUREST = 3, 7
 
 #: The mixers learn at each of the first steps, later at every so manieth one, as do the steps of frequency.
@@ -111,16 +111,17 @@ class _Lanes:
         self.out.append((np.arange(len(self.low)), (self.low + (HALF - U64(1))) >> WORD))
         lanes, words = (np.concatenate(x) for x in zip(*self.out, strict=True))
         counts = np.bincount(lanes, minlength=len(self.low))
-        return counts.astype("<u2").tobytes() + words[np.argsort(lanes, kind="stable")].astype("<u4").tobytes()
+        return counts.astype("<u2").tobytes() + words[np.argsort(lanes.astype(np.uint16), kind="stable")].astype("<u4").tobytes()
 
 
 def _code(n: int, vocabulary: int, ids: np.ndarray | None, data: bytes | None):
     """Code (``ids``) or decode (``data``) a block of ``n`` ids."""
     decoding = ids is None
-    steps = -(-n // -(-n // LANE))
+    steps = -(-n // min(-(-n // LANE), LANES))
     lanes = -(-n // steps)
     last = n - (lanes - 1) * steps
-    table = np.zeros(lanes * steps, np.int64)
+    kind_of = np.int32 if vocabulary <= 1 << (31 - SURE_BITS) else np.int64
+    table = np.zeros(lanes * steps, kind_of)
     if not decoding:
         table[:n] = ids
     table = np.ascontiguousarray(table.reshape(lanes, steps).T)
@@ -128,7 +129,6 @@ def _code(n: int, vocabulary: int, ids: np.ndarray | None, data: bytes | None):
     shared = -(-vocabulary // CELLS)
     frequency = np.ones(-(-vocabulary // shared), np.int64)
     ends = np.cumsum(frequency)
-    kind_of = np.int32 if vocabulary <= 1 << (31 - SURE_BITS) else np.int64
     cells2, cells1 = np.zeros(SLOTS2, kind_of), np.zeros(SLOTS1, kind_of)
     first, second = _JointMixer(16, 8, 8), _JointMixer(8, 8, 16)
     before = before2 = np.zeros(lanes, np.int64)
@@ -158,7 +158,7 @@ def _code(n: int, vocabulary: int, ids: np.ndarray | None, data: bytes | None):
             slot = (coder.code[:active] - low) // step
             right2, rest = slot < size2, np.flatnonzero(slot >= end1)
         else:
-            own = table[t, :active]
+            own = table[t, :active].astype(np.int64)
             right2, right1 = own == guess2, own == guess1
             rest = np.flatnonzero(~(right2 | right1))
         begin = np.where(right2, U64(0), size2)
@@ -169,7 +169,11 @@ def _code(n: int, vocabulary: int, ids: np.ndarray | None, data: bytes | None):
             total = U64(ends[-1])
             step = (U64(1 << PARTS) - end) * step // total
             if decoding:
-                cell = np.searchsorted(ends, np.minimum((coder.code[rest] - lo) // step, total - U64(1)).view(np.int64), side="right")
+                # in ascending order, in which the search is much faster; the lanes follow
+                slot = np.sort((np.minimum((coder.code[rest] - lo) // step, total - U64(1)) << U64(16)) + np.arange(len(rest), dtype=U64))
+                order = (slot & U64(0xFFFF)).view(np.int64)
+                cell = np.searchsorted(ends, (slot >> U64(16)).view(np.int64), side="right")
+                rest, lo, step = rest[order], lo[order], step[order]
             else:
                 other = own[rest]
                 cell = other if shared == 1 else other // shared
