@@ -15,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm import components, cuckoo, embed_dedup, html_extract, langid, line_dedup, packing, quality, range_coder, sentencepiece_codec, simhash, token_file, toxicity
+from strandline.llm import components, cuckoo, embed_dedup, html_extract, langid, line_dedup, packing, quality, range_coder, sentencepiece_codec, simhash, token_file, tokenise, toxicity
 from strandline.llm.shared import local_roots, lookup
 from strandline.llm.tokenise import encoder
 
@@ -111,6 +111,20 @@ def test_range_coder_wide_blocks(vocabulary):
         range_coder.decode([coded[1][:-1] + bytes([coded[1][-1] ^ 1])])
 
 
+def test_full_memory_keeps_repeated_words(monkeypatch):
+    """A full memory forgets words met once, learns repeated ones only once, and gives the library's ids all along."""
+    monkeypatch.setattr(tokenise, "REMEMBERED", 40)
+    own, learned = tokenise.WordEncoder(WORDS), Counter()
+    learn = own.memory.learn
+    own.memory.learn = lambda words: learned.update(words.to_pylist()) or learn(words)
+    for k in range(12):
+        texts = [f"often again. k{k}a{n}" for n in range(9)] + ["Often, again.", None]
+        ids, counts = own.encode(pa.array(texts))
+        assert np.split(ids.tolist(), np.cumsum(counts)[:-1])[-2].tolist() == whole_ids(["Often, again."])[0][:-1]
+        assert ids.tolist() == [i for x in whole_ids(texts) for i in x[:-1]]
+    assert learned["often"] == learned["again."] == 1 and len(own.memory.strings) <= 40
+
+
 def test_joined_crc():
     for a, b in ((b"", b"x"), (b"abc", b""), (b"abc" * 99, b"de" * 1000)):
         assert token_file.joined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
