@@ -19,7 +19,7 @@ import numpy as np
 WIDE, LANE, LANES = 1 << 23, 512, 8192
 
 #: What an occurrence adds to an id's frequency, which starts at one; the most ids that are counted one by one: of a larger
-#: vocabulary, neighbours share a count.
+#: vocabulary, neighbours share a count. WIDE * GAIN + CELLS must stay below 1 << 26, the least interval that LEAST leaves.
 GAIN, CELLS = 4, 1 << 16
 
 #: Parts of a step's interval, in bits; what is left at least to ids that nothing predicts.
@@ -29,7 +29,7 @@ PARTS, LEAST = 16, 1 << 10
 SLOTS2, SLOTS1 = 1 << 18, 1 << 16
 SURE_BITS, SUREST = 3, 7
 
-#: The mixers learn at each of the first steps, later at every so manieth one, as do the steps of frequency.
+#: The mixers learn at each of the FIRST steps and later at every fourth; the sizes of counts are renewed at every sixteenth.
 FIRST, EVERY, LEVELS_EVERY = 16, 4, 16
 
 U64 = np.uint64
